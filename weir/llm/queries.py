@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, mixing
+from . import audio, chat, langid, mixing, packing
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_docs(spark, sf_dir))
 
 
+def op5_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_digest(_docs(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(_docs(spark, sf_dir))
 
@@ -23,7 +27,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op6_mix_sources, op9_chat_format)}
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op5_media_audio, op6_mix_sources, op9_chat_format, op10_pack)}
 
 ORACLE_SQL = {
     "op9_chat_format": """
