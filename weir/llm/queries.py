@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, langid, mixing, packing
+from . import audio, chat, langid, linededup, mixing, packing
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_docs(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_docs(spark, sf_dir), min_docs=10, digest=True)
+
+
 def op5_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digest(_docs(spark, sf_dir))
 
@@ -31,9 +35,21 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_media_audio, op6_mix_sources, op9_chat_format, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_line_dedup, op5_media_audio, op6_mix_sources, op9_chat_format, op10_pack)}
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_KEY = f"translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op4_line_dedup": f"""
+WITH l AS (SELECT doc_id, i, lines[i] AS line
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS r(i)),
+k AS (SELECT doc_id, i, line, {_KEY} AS key FROM l),
+d AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT k.doc_id, count(*) AS n_lines, count(d.key) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN d.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM k LEFT JOIN d USING (key) GROUP BY k.doc_id
+""",
     "op9_chat_format": """
 WITH c AS (
   SELECT conv_id, count(*) AS n,
