@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stage
 
-#: Rows that a key range of one source holds at most, about.
-RANGE_ROWS = 20_000
-
 
 def _keyed(docs: DataFrame, seed: int, keep: list[Column] = []) -> DataFrame:
     """source, doc_id, size and the total order (key, id, size, text hash) of each row."""
@@ -78,7 +75,7 @@ def plan_mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, cap=2.0, seed=0) ->
     places = rows.groupBy("__source", "__at").agg(F.count(F.lit(1)).alias("__c"), F.first("__size").alias("__size"))
     wanted = plan.where("__rest > 0").select(F.col("__source").alias("__s"), "__rest", "__n")
     places = places.join(wanted, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
-    ranges = F.ceil(F.col("__n") / RANGE_ROWS)
+    ranges = F.ceil(F.sqrt("__n"))  # as many ranges as rows in a range: neither level grows with the whole source
     places = places.withColumn("__range", F.floor(F.col("__at.key") / F.lit(float(2**63)) * ranges)).withColumn("__sum", F.col("__size") * F.col("__c"))
     sums = places.groupBy("__source", "__range", "__rest").agg(F.sum("__sum").alias("__sum"))
     before = F.sum("__sum").over(Window.partitionBy("__source").orderBy("__range")) - F.col("__sum")
