@@ -54,7 +54,7 @@ def repeated_keys(docs: DataFrame, min_docs: int) -> DataFrame:
     """key, first (id, text hash) of the keys found in at least ``min_docs`` documents."""
     only = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
     lines = F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
-    twice = twobloom.twice_seen(only.select("text"), _hashes, twobloom.bits_for(docs.agg(lines).first()[0] or 0))
+    twice, _ = twobloom.twice_seen(only.select("text"), _hashes, twobloom.bits_for(docs.agg(lines).first()[0] or 0))
     schema = "key binary, id long, th long, n long"
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ correctness.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 
 MAX_BITS = 1 << 28
 SEGMENTS = 64
+#: Occurrences among half a million from which a task counts a hash for the list of hot ones.
+OFTEN = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,12 +53,14 @@ class Pair:
 
     def __init__(self, bits: int):
         self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        self.often: Counter = Counter()
 
     def add(self, hashes: np.ndarray) -> None:
         u, n = np.unique(hashes, return_counts=True)
         again = (n > 1) | has(self.once, u)
         put(self.once, u)
         put(self.twice, u[again])
+        self.often.update(dict(zip(u[n >= OFTEN].tolist(), n[n >= OFTEN].tolist())))
 
 
 def _packed(seg: np.ndarray) -> bytes:
@@ -72,8 +77,12 @@ def _unpacked(data: bytes, size: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> Broadcast:
-    """Broadcast bytes of the twice-seen filter over what ``hashes`` gives for the batches of ``df``."""
+def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int, hot: int | None = None) -> tuple[Broadcast, Broadcast]:
+    """Broadcasts: bytes of the twice-seen filter over what ``hashes`` gives for the batches of ``df``; hot hashes.
+
+    Hot hashes were counted at least ``hot`` times, so a table of n hashes has at most n / hot; for
+    a huge table raise ``hot`` with it. A hash that is rare in every half million may be missed.
+    """
     size = bits // 8 // SEGMENTS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,13 +98,27 @@ def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bi
         for s in range(SEGMENTS):
             once, twice = (_packed(f[s * size : (s + 1) * size]) for f in (pair.once, pair.twice))
             if len(once) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([once], pa.binary()), pa.array([twice], pa.binary())], ["segment", "once", "twice"])
+                yield row(s, once, twice)
+        if hot and pair.often:
+            found = np.array(list(pair.often.items()), np.uint64)
+            for s in range(SEGMENTS):
+                own = found[found[:, 0] >> np.uint64(58) == s]
+                if len(own):
+                    yield row(SEGMENTS + s, own.tobytes(), b"")
+
+    def row(s: int, a: bytes, b: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["segment", "once", "twice"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list[np.ndarray]] = {}
+        often: Counter = Counter()
         for b in batches:
             for i in range(b.num_rows):
                 s = b.column("segment")[i].as_py()
+                if s >= SEGMENTS:
+                    found = np.frombuffer(b.column("once")[i].as_py(), np.uint64).reshape(-1, 2)
+                    often.update(dict(found.tolist()))
+                    continue
                 once, twice = (_unpacked(b.column(c)[i].as_py(), size) for c in ("once", "twice"))
                 if s not in got:
                     got[s] = [once, twice]
@@ -104,10 +127,17 @@ def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bi
                 mine[1] |= twice | (mine[0] & once)
                 mine[0] |= once
         for s, (_, twice) in got.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([twice.tobytes()], pa.binary())], ["segment", "twice"])
+            yield row(s, twice.tobytes(), b"")
+        if most := [h for h, n in often.items() if n >= hot]:
+            yield row(SEGMENTS, np.array(most, np.uint64).tobytes(), b"")
 
-    parts = df.mapInArrow(build, "segment int, once binary, twice binary").repartition("segment").mapInArrow(merge, "segment int, twice binary")
+    parts = df.mapInArrow(build, "segment int, once binary, twice binary").repartition("segment").mapInArrow(merge, "segment int, once binary, twice binary")
+    found = [np.zeros(0, np.uint64)]
     whole = np.zeros(bits // 8, np.uint8)
     for r in parts.collect():  # at most MAX_BITS / 8 bytes
-        whole[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["twice"], np.uint8)
-    return df.sparkSession.sparkContext.broadcast(whole)
+        if r["segment"] >= SEGMENTS:
+            found.append(np.frombuffer(r["once"], np.uint64))
+        else:
+            whole[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["once"], np.uint8)
+    sc = df.sparkSession.sparkContext
+    return sc.broadcast(whole), sc.broadcast(np.sort(np.concatenate(found)))
