@@ -3,6 +3,9 @@
 A word position starts a suffix; two windows of ``window`` words are equal when their suffixes
 share a tree node at least that deep. The suffixes are split into groups that fit in memory:
 
+Documents whose whole text is another's are set aside first (all their windows are repeats, as
+far as they have any); only the earliest of equal texts takes part below.
+
 1. Of the k-word grams in a window, the one of smallest hash is its anchor. Equal windows have
    equal anchors, so the anchor gram is the prefix that partitions suffixes. Two Bloom filters
    tell which anchors may occur twice; other suffixes have no deep node and go no further.
@@ -42,6 +45,8 @@ GRAM = 8
 HOT = 4096
 #: Windows of one shipped piece, at most; bytes that a task remembers; bytes of pieces handled at once.
 RUN, REMEMBERED, AT_ONCE = 256, 32 << 20, 4 << 20
+#: Equal texts (24 bytes each) up to which every worker knows them.
+COPIES = 2_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -135,8 +140,37 @@ class Anchors:
         return at[first], at[np.r_[first[1:] - 1, len(at) - 1]]
 
 
-def _occurrences(window: int):
+class Copies:
+    """Equal texts that occur in several rows: text hash -> the earliest doc_id."""
+
+    def __init__(self, only: DataFrame):
+        groups = only.groupBy("th").agg(
+            F.min(F.md5("text")).alias("low"), F.max(F.md5("text")).alias("high"), F.count(F.lit(1)).alias("n"),
+            F.min("id").alias("id"), F.count("id").alias("known"),
+        )
+        # Two texts with one hash would show different digests; they aren't set aside.
+        found = stage(groups.where("n > 1 and low = high").select("th", "id", (F.col("known") == F.col("n")).alias("known")), "copies")
+        rows = found.toArrow() if found.count() <= COPIES else None  # beyond, copies go the way of other repeats
+        order = np.argsort(rows["th"].to_numpy()) if rows else []
+        self.th = rows["th"].to_numpy()[order] if rows else np.zeros(0, np.int64)
+        self.id = rows["id"].fill_null(0).to_numpy()[order] if rows else self.th
+        self.known = rows["known"].to_numpy()[order] if rows else np.zeros(0, bool)
+
+    def later(self, id_col: pa.Array, th_col: pa.Array) -> np.ndarray:
+        """Which rows repeat the text of an earlier document."""
+        th = th_col.to_numpy(zero_copy_only=False)
+        if not len(self.th):
+            return np.zeros(len(th), bool)
+        at = np.minimum(np.searchsorted(self.th, th), len(self.th) - 1)
+        known = id_col.is_valid().to_numpy(zero_copy_only=False)
+        same = self.known[at] == known  # with a null id in the group, rows of null id are the earliest
+        first = same & ((self.id[at] == id_col.fill_null(0).to_numpy(zero_copy_only=False)) | ~known)
+        return (self.th[at] == th) & ~first
+
+
+def _occurrences(window: int, copies):
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        batch = batch.filter(pa.array(~copies.value.later(batch.column("id"), batch.column("th"))))
         found = [Anchors(*text_view(b.column("text")), window).occurrences() for b in slices(iter([batch]), most=1 << 20)]
         return np.concatenate([np.zeros(0, np.uint64), *found])
 
@@ -162,7 +196,7 @@ class _Seen:
 
     def drain(self) -> Iterator[pa.RecordBatch]:
         """Everything as rows: repeats have no text."""
-        rows = [(None, p, None) for p in self.repeats] + [(k, p, t) for (k, t), p in self.pieces.items()]
+        rows = [(hash(p), p, None) for p in self.repeats] + [(k, p, t) for (k, t), p in self.pieces.items()]
         self.__init__()
         for i in range(0, len(rows), 20_000):
             part = rows[i : i + 20_000]
@@ -216,16 +250,17 @@ def repeats_in(pieces: list[bytes], ids: list, ths: np.ndarray, first: np.ndarra
     return list(zip(row[hit[a]].tolist(), place[hit[a]].tolist(), (place[hit[b]] + window).tolist()))
 
 
-def repeated_intervals(docs: DataFrame, window: int) -> DataFrame:
-    """id, th (text hash), spans: the word intervals [from, to) that repeat earlier text, of each document that has any."""
-    only = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
+def repeated_intervals(docs: DataFrame, window: int, copies) -> DataFrame:
+    """id, th (text hash), spans: the word intervals [from, to) that repeat earlier text, of documents that ``copies`` doesn't name."""
+    only = _named(docs)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     # An anchor each 7 words or so; words of 6 characters.
-    twice, hot = twobloom.twice_seen(only.select("text"), _occurrences(window), twobloom.bits_for(chars // 40), HOT)
+    twice, hot = twobloom.twice_seen(only, _occurrences(window, copies), twobloom.bits_for(chars // 40), HOT)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
-        for b in slices(batches, most=1 << 20):
+        kept = (b.filter(pa.array(~copies.value.later(b.column("id"), b.column("th")))) for b in batches)
+        for b in slices(kept, most=1 << 20):
             off, raw = text_view(b.column("text"))
             a = Anchors(off, raw, window)
             first, last = a.runs()
@@ -258,6 +293,10 @@ def repeated_intervals(docs: DataFrame, window: int) -> DataFrame:
         held: list[tuple] = []
         size = 0
         for b in batches:
+            done = b.filter(b.column("piece").is_null())
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column(c) for c in ("id", "th", "from", "to")], ["id", "th", "from", "to"])
+            b = b.filter(b.column("piece").is_valid())
             for row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "th", "from", "piece"))):
                 if size > AT_ONCE and row[0] != held[-1][0]:
                     yield _resolved(held, window, out)
@@ -267,13 +306,15 @@ def repeated_intervals(docs: DataFrame, window: int) -> DataFrame:
         if held:
             yield _resolved(held, window, out)
 
-    shipped = only.mapInArrow(ship, "key long, id long, th long, from long, to long, piece binary")
-    shipped = stage(shipped, "substring-pieces")
-    pieces = shipped.where("piece is not null").select("key", "id", "th", "from", "piece").repartition("key").sortWithinPartitions("key")
-    found = pieces.mapInArrow(resolve, "id long, th long, from long, to long").unionByName(shipped.where("piece is null").select("id", "th", "from", "to"))
+    pieces = only.mapInArrow(ship, "key long, id long, th long, from long, to long, piece binary").repartition("key").sortWithinPartitions("key")
+    found = pieces.mapInArrow(resolve, "id long, th long, from long, to long")
     return found.groupBy("id", "th").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
+
+
 def _resolved(held: list[tuple], window: int, out) -> pa.RecordBatch:
     _, ids, ths, first, pieces = zip(*held)
     return out(ids, ths, repeats_in(pieces, ids, np.array(ths), np.array(first), window))
@@ -284,7 +325,8 @@ def dedup_passages(docs: DataFrame, window: int = 20, digest: bool = False) -> D
 
     With ``digest`` instead: doc_id, n_words, n_removed, kept_sha256.
     """
-    spans = repeated_intervals(docs, window).select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.col("spans").alias("__spans"))
+    copies = docs.sparkSession.sparkContext.broadcast(Copies(_named(docs)))
+    spans = repeated_intervals(docs, window, copies).select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.col("spans").alias("__spans"))
     rows = docs.select("*", F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"))
     if digest:
         rows = rows.select("__id", "__th", "text")
@@ -295,8 +337,10 @@ def dedup_passages(docs: DataFrame, window: int = 20, digest: bool = False) -> D
     else:
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
 
-    def cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
+    def cut(text: bytes, spans: list | None, copy: bool) -> tuple[bytes, int, int]:
         words = text.split()
+        if copy and len(words) >= window:
+            return b"", len(words), len(words)
         if not spans:
             return b" ".join(words), len(words), 0
         change = np.zeros(len(words) + 1, np.int64)
@@ -308,7 +352,8 @@ def dedup_passages(docs: DataFrame, window: int = 20, digest: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             own = b.column("__spans").to_pylist()
-            made = [cut(t, s) for t, s in zip(texts(b.column("text")), own)]
+            copy = copies.value.later(b.column("__id"), b.column("__th")).tolist()
+            made = [cut(t, s, c) for t, s, c in zip(texts(b.column("text")), own, copy)]
             if digest:
                 yield pa.RecordBatch.from_arrays(
                     [b.column("__id"), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), pa.array([hashlib.sha256(m[0]).hexdigest() for m in made], pa.string())],
