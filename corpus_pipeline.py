@@ -51,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stage(docs, name)
+            docs = stage(docs, name, narrow=False)
     return docs

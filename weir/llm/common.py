@@ -28,9 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, label: str, narrow: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Tables of narrow rows are written in two files a core at most, not one a shuffle partition.
+    """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(2 * max(2, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -63,7 +63,7 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: fl
 
 def plan_mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, cap=2.0, seed=0) -> tuple[DataFrame, DataFrame]:
     """(keyed rows, one row per source with target, whole epochs and the cut of the last epoch)."""
-    rows = stage(_keyed(docs, seed), "mix-rows")
+    rows = stage(_keyed(docs, seed), "mix-rows", narrow=False)
     sources = rows.groupBy("__source").agg(F.sum("__size").alias("__source_size"), F.count(F.lit(1)).alias("__n"))
     plan = _targets(sources, weights, share, cap)
     budget = F.floor(F.col("__target") + 0.5)

@@ -255,7 +255,7 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    own = stage(fingerprints(docs), "fingerprints")
+    own = stage(fingerprints(docs), "fingerprints", narrow=False)
     distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     stars = components(links(distinct, distance))
     named = distinct.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
