@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -14,8 +15,16 @@ DIRTY_CODES = ("EMPTY_EVENT_ID", "EMPTY_SESSION_ID", "EMPTY_USER_ID", "INVALID_E
 OPEN_END = "9999-12-31 23:59:59.999"
 
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "tinyint": T.ByteType(), "timestamp": T.TimestampType(), "date": T.DateType()}
+
+
+def schema(text: str) -> T.StructType:
+    """A flat schema from DDL, without a session: "name type [not null], ..."."""
+    fields = []
+    for name, kind, null in re.findall(r"(\w+) (\w+(?:\(\d+,\d+\))?)( not null)?", text):
+        size = re.fullmatch(r"decimal\((\d+),(\d+)\)", kind)
+        fields.append(T.StructField(name, T.DecimalType(int(size[1]), int(size[2])) if size else _TYPES[kind], not null))
+    return T.StructType(fields)
 
 
 @dataclass(frozen=True)
@@ -33,7 +42,7 @@ class Contract:
 
 BEHAVIOR = Contract(
     "user_behavior",
-    _schema(
+    schema(
         "event_id string, session_id string, order_id string, event_sequence int, event_version bigint, user_id bigint, "
         "product_id bigint, shop_id bigint, event_type string, channel string, amount decimal(10,2), event_time string"
     ),
@@ -41,7 +50,7 @@ BEHAVIOR = Contract(
 )
 ORDER_INFO = Contract(
     "order_info",
-    _schema(
+    schema(
         "order_id string not null, user_id bigint not null, shop_id bigint not null, order_status string not null, channel string not null, "
         "order_amount decimal(12,2) not null, promotion_code string, create_time timestamp not null, update_time timestamp not null, version_no bigint not null"
     ),
@@ -49,7 +58,7 @@ ORDER_INFO = Contract(
 )
 ORDER_DETAIL = Contract(
     "order_detail",
-    _schema(
+    schema(
         "detail_id string not null, order_id string not null, product_id bigint not null, quantity int not null, unit_price decimal(10,2) not null, "
         "detail_amount decimal(12,2) not null, create_time timestamp not null, update_time timestamp not null, version_no bigint not null"
     ),
@@ -57,7 +66,7 @@ ORDER_DETAIL = Contract(
 )
 PAYMENT_INFO = Contract(
     "payment_info",
-    _schema(
+    schema(
         "payment_id string not null, order_id string not null, payment_status string not null, payment_method string not null, "
         "payment_amount decimal(12,2) not null, payment_time timestamp, update_time timestamp not null, version_no bigint not null"
     ),
@@ -65,7 +74,7 @@ PAYMENT_INFO = Contract(
 )
 REFUND_INFO = Contract(
     "refund_info",
-    _schema(
+    schema(
         "refund_id string not null, order_id string not null, payment_id string not null, refund_status string not null, refund_amount decimal(12,2) not null, "
         "refund_reason string, refund_time timestamp, update_time timestamp not null, version_no bigint not null"
     ),
@@ -73,7 +82,7 @@ REFUND_INFO = Contract(
 )
 PRODUCT_SCD2 = Contract(
     "dim_product_scd2",
-    _schema(
+    schema(
         "product_id bigint not null, version_no int not null, product_name string not null, category_id bigint not null, category_name string not null, "
         "price decimal(10,2) not null, effective_from timestamp not null, effective_to timestamp not null, is_current tinyint not null, updated_at timestamp not null"
     ),
