@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import LOWER, slices, stage, texts
 
 CAPACITY = 2048
 GROUPS = 192
-#: Words whose ids a worker keeps; the first seen stay, which are the frequent ones.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps.
+CACHED_WORDS = 700_000
 #: Rows of one class that are ranked in one task, about.
 RANK_ROWS = 50_000
 
@@ -51,29 +52,63 @@ def tokenizer_path() -> str:
 
 @lru_cache(1)
 def _tokenizer(path: str):
+    """The tokenizer, which of its ids end a word, and the encodings kept so far."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tok = Tokenizer.from_file(path)
+    vocabulary = tok.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return tok, ends, {b"": b""}
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers.
+def _encode_words(tok, ends: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of words of letters only. They are encoded as one text: each gives ids up to one that ends a word."""
+    out = []
+    for i in range(0, len(words), 2000):
+        part = words[i : i + 2000]
+        ids = np.array(tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        cut = np.flatnonzero(ends[ids]) + 1
+        if len(cut) == len(part):
+            raw = ids.tobytes()
+            at = (4 * cut).tolist()
+            out += [raw[x:y] for x, y in zip([0, *at], at)]
+        else:
+            out += [array("I", e.ids).tobytes() for e in tok.encode_batch(part, add_special_tokens=False)]
+    return out
+
 
-    The tokenizer never joins across a space or newline, so each chunk between them is encoded once.
+def encode(texts: list[bytes], path: str) -> list[bytes]:
+    """Ids of each UTF-8 text as little-endian unsigned 32-bit numbers.
+
+    The tokenizer ignores ASCII case, never joins across a space or newline, and splits a mark off
+    the letters before it. So each lower-cased chunk between spaces is encoded once; a word with a
+    last full stop or comma is the word's ids and the mark's.
     """
-    tok, kept = _tokenizer(path)
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for p in parts for w in p if w not in kept})
-    made = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False))))
-    for w in new[: max(0, CACHED_WORDS - len(kept))]:
-        kept[w] = made[w]
-    out = []
-    for p in parts:
-        try:
-            out.append(b"".join([kept[w] for w in p]))
-        except KeyError:
-            out.append(b"".join([kept[w] if w in kept else made[w] for w in p]))
+    tok, ends, kept = _tokenizer(path)
+    parts = []
+    for t in texts:  # special tokens are matched before lower-casing, so text that may hold one keeps its case
+        parts.append((t if b"<|" in t else t.translate(LOWER)).replace(b"\n", b" ").split(b" "))
+    new = set().union(*parts).difference(kept)
+    words, marked, other = [], {}, []
+    for w in new:
+        c = w.decode()
+        if c.isalpha():
+            words.append(w)
+        elif c[-1] in ".," and c[:-1].isalpha() and "İ" not in c:  # whose lower case ends in a mark of its own
+            marked[w] = (w[:-1], w[-1:])
+        else:
+            other.append(w)
+    words += {x for x, _ in marked.values()}.difference(kept, words)
+    other += [m for m in (b".", b",") if m not in kept and m not in new]
+    kept.update(zip(words, _encode_words(tok, ends, [w.decode() for w in words])))
+    kept.update(zip(other, (array("I", e.ids).tobytes() for e in tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False))))
+    kept.update({w: kept[x] + kept[m] for w, (x, m) in marked.items()})
+    out = [b"".join(map(kept.__getitem__, p)) for p in parts]
+    if (spare := len(kept) - CACHED_WORDS) > 0:  # the first seen stay
+        for w in [*marked, *(w for w in words if w), *(w for w in other if w not in (b".", b","))][:spare]:
+            del kept[w]
     return out
 
 
@@ -86,7 +121,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=4 << 20):
             rows = [[] for _ in names]
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode([t or "" for t in b.column("text").to_pylist()], path)):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encode(texts(b.column("text")), path)):
                 ids += b"\0\0\0\0"
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -269,4 +304,4 @@ def _by_length(groups: list[tuple[int, int, int]], capacity: int, least: int) ->
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset of every piece."""
-    return pack(stage(pieces(docs, capacity, path, with_ids), "pack-pieces"), capacity)
+    return pack(stage(pieces(docs, capacity, path, with_ids), "pack-pieces", narrow=False), capacity)
