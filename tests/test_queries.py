@@ -1,5 +1,5 @@
 import pytest
-from conftest import against_duckdb
+from duck import against_duckdb
 
 from weir.plans.oracle import ORACLE_SQL
 from weir.plans.queries import QUERIES
