@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,6 +68,14 @@ def text_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw[off[0] : off[-1]]
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of ``column`` (a longer single text stays whole)."""
     for batch in batches:
@@ -76,6 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def texts(col: pa.Array) -> list[bytes]:
