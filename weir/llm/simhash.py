@@ -61,14 +61,14 @@ def fingerprint(text: bytes, words_in: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) of every document."""
+    """doc_id, th (hash of the text), fp (the fingerprint's bits as a long) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fp = np.array([fingerprint(t) for t in texts(b.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 @dataclass
@@ -253,24 +253,31 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+def grouped(docs: DataFrame, distance: int) -> DataFrame:
+    """doc_id, th, fp, root (names the component), component_id of every document."""
     own = stage(fingerprints(docs), "fingerprints", narrow=False)
     distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     stars = components(links(distinct, distance))
     named = distinct.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(low, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = named.join(low, "root").select("fp", "root", "component_id")
+    return own.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    return grouped(docs, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest doc_id (of rows with that id, one)."""
-    found = stage(near_duplicates(docs, distance).select("doc_id", "component_id"), "components")
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if again:  # repeated ids: one row of each
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-        out = out.withColumn("__first", first).where("__first = 1").drop("__first")
+    """``docs`` with one document of each component: of those with its smallest doc_id the one of smallest text hash."""
+    rows = stage(grouped(docs, distance).groupBy("root", "component_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "components")
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("__th"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("__th"))
+    judged = stage(rows.join(first, "root").select("doc_id", "th", "n", is_first.alias("stays")), "kept")
+    gone = judged.where("not stays").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__gone_th"))
+    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__gone_th")), "left_anti")
+    if judged.where("stays and n > 1").limit(1).count():  # a document that is there several times stays once
+        nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+        out = out.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
     return out
