@@ -1,0 +1,75 @@
+import re
+
+from helpers import edge_docs, frame, real_docs
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from weir.llm import pii
+
+K = b"key"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(0, 10**6)), min_size=1, max_size=12))
+def test_permute_inverts(pairs):
+    sizes = [s for s, _ in pairs]
+    values = [v % s for s, v in pairs]
+    out = pii.permute(K, "k", values, sizes)
+    assert all(0 <= o < s for o, s in zip(out, sizes))
+    assert pii.permute(K, "k", out, sizes, back=True) == values
+
+
+def test_permute_is_a_bijection():
+    assert len({tuple(pii.permute(K, "k", [a, b, c], [3, 4, 5])) for a in range(3) for b in range(4) for c in range(5)}) == 60
+
+
+def test_formats_and_validity():
+    text = "card 4111 1111 1111 1111, ssn 123-45-6789 on 2021-02-28; mail Jane.Doe7@example.org from 10.0.0.1, call +1 (212) 555-0100. iban DE89370400440532013000 token=\"abcdef0123456789\""
+    new, found = pii.replace(text, K)
+    assert found == {"card": 1, "ssn": 1, "date": 1, "email": 1, "ip": 1, "phone": 1, "iban": 1, "secret": 1}
+    shape = lambda t: re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "9", t.split(" from")[0])))
+    assert shape(new) == shape(text)
+    assert pii.luhn(re.search(r"card ([\d ]+),", new)[1].replace(" ", "")) == 0
+    for secret in ("4111 1111", "123-45-6789", "2021-02-28", "Jane.Doe7", "10.0.0.1", "555-0100", "DE89370400440532013000", "abcdef0123456789"):
+        assert secret not in new
+    assert pii.replace(new, K, back=True)[0] == text
+    assert pii.replace(text, b"other")[0] != new
+
+
+def test_invalid_values_stay():
+    for t in ("4111 1111 1111 1112", "300.1.1.1", "2021-02-30", "000-12-3456", "DE00370400440532013000", "1234567", "version 1.2.3", "12:30:45", "a@b"):
+        assert pii.replace(t, K)[0] == t
+
+
+def test_equal_values_stay_linked():
+    a = pii.replace("x 4111111111111111 y", K)[0].split()[1]
+    b = pii.replace("4111-1111-1111-1111", K)[0].replace("-", "")
+    assert a == b
+    assert pii.replace("2021-02-28", K)[0].split("-")[0] == pii.replace("28.02.2021", K)[0].split(".")[2]
+    two = pii.replace("7536784127813050 4845168114407329", K)[0].split()
+    assert two == [pii.replace(v, K)[0] for v in ("7536784127813050", "4845168114407329")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=60), st.sampled_from(["4111111111111111", "jo.99@mail.example.com", "9.8.7.6", ""]), st.text(max_size=20))
+def test_any_text_comes_back(a, value, b):
+    text = f"{a} {value} {b}"
+    new, _ = pii.replace(text, K)
+    assert pii.replace(new, K, back=True)[0] == text
+
+
+def test_table(spark):
+    rows = edge_docs() + real_docs()
+    df = frame(spark, rows)
+    out = pii.pseudonymise(df)
+    assert sorted(out.columns) == sorted(df.columns) and out.count() == len(rows)
+    before = {(r["doc_id"], r["text"]) for r in rows}
+    for r in out.collect():
+        clean = r["pii"] == ""
+        assert clean == ((r["doc_id"], r["text"]) in before)
+        if r["text"]:
+            for m in re.findall(r"[\w.+-]+@mail\d\.example\.com|\d{3}-\d{4}|\d+\.\d+\.\d+\.\d+", r["text"]):
+                assert clean or m
+    assert pii.pseudonymise(df.limit(0)).count() == 0
+    back = pii.pseudonymise(out, back=True)
+    assert {(r["doc_id"], r["text"]) for r in back.collect()} == before
