@@ -4,6 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from weir.functions import versions as ver
 from weir.operators import backfill, changelog, orders, quality, scd2
 from weir.sources import contracts, derived, generators, readers, sinks
 from weir.streaming import orders as live
@@ -25,13 +26,13 @@ def test_fold_replay_epoch_and_tombstones(spark):
 
 
 def test_version_bounds(spark):
-    assert changelog.version(255, (1 << 44) - 1, 4095) == 2**64 - 1
+    assert ver.version(255, (1 << 44) - 1, 4095) == 2**64 - 1
     for bad in ((256, 0, 0), (0, 1 << 44, 0), (0, 0, 4096), (-1, 0, 0)):
         with pytest.raises(ValueError):
-            changelog.version(*bad)
+            ver.version(*bad)
     df = spark.createDataFrame([(128, 5, 3), (255, (1 << 44) - 1, 4095), (256, 0, 0)], "e int, o long, p int")
-    got = [r[0] for r in df.select(changelog.ingest_version(F.col("e"), F.col("o"), F.col("p"))).collect()]
-    assert got[0] == Decimal(changelog.version(128, 5, 3)) and got[1] == Decimal(2**64 - 1) and got[2] is None
+    got = [r[0] for r in df.select(ver.ingest_version(F.col("e"), F.col("o"), F.col("p"))).collect()]
+    assert got[0] == Decimal(ver.version(128, 5, 3)) and got[1] == Decimal(2**64 - 1) and got[2] is None
 
 
 def test_money_counts_once_an_order(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weir.functions.versions import ingest_version
 from weir.operators import backfill, behavior, changelog, dlq, orders, quality, scd2, serving
 from weir.sources import derived as src
 from weir.sources import readers
@@ -174,7 +175,7 @@ PLANS = {
     "channel_event_mix": lambda w: behavior.event_mix(behavior.clean(w.events())),
     "dimension_hit_rates": lambda w: behavior.hit_rates(w.facts()),
     "duplicate_lineitem_keys": lambda w: changelog.duplicate_keys(src.table(*w.at, "lineitem"), ["l_orderkey", "l_linenumber"]),
-    "order_log_versions": lambda w: w.log().select("order_id", "op", changelog.ingest_version(F.col("epoch"), F.col("offset"), F.col("partition")).alias("ingest_version")),
+    "order_log_versions": lambda w: w.log().select("order_id", "op", ingest_version(F.col("epoch"), F.col("offset"), F.col("partition")).alias("ingest_version")),
     "order_info_current": lambda w: w.orders().drop("ingest_version", "is_deleted"),
     "order_tombstones": lambda w: changelog.fold(w.log(), ["order_id"], keep_deleted=True).where("is_deleted = 1").select("order_id", "ingest_version", "is_deleted"),
     "order_log_compacted": lambda w: changelog.compact(w.log(), ["order_id"]).select("order_id", "op", "offset"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weir.functions.times import event_time
+
 from .contracts import BEHAVIOR, Contract
 
 
@@ -23,11 +25,6 @@ def decode_json(lines: DataFrame, schema: T.StructType, column: str = "value") -
     return parsed.where(readable).select(*keep, *[F.col(f"_r.{f.name}") for f in schema.fields])
 
 
-def event_time(column: str = "event_time") -> Column:
-    """Event timestamp of a text column; null where the text is no time."""
-    return F.try_to_timestamp(F.col(column), F.lit("yyyy-MM-dd HH:mm:ss"))
-
-
 def with_event_time(events: DataFrame) -> DataFrame:
     """Adds event_ts and proc_time, which the lookups use."""
     return events.withColumn("event_ts", event_time()).withColumn("proc_time", F.current_timestamp())

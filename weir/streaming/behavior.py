@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from weir.functions.versions import ingest_version
 from weir.operators import behavior
-from weir.operators.changelog import ingest_version
 from weir.sources.readers import with_event_time
 
 DELAY = "5 seconds"
