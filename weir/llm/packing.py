@@ -39,7 +39,7 @@ from .common import LOWER, slices, stage, texts
 CAPACITY = 2048
 GROUPS = 192
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 350_000
 #: Rows of one class that are ranked in one task, about.
 RANK_ROWS = 50_000
 
@@ -50,6 +50,44 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Vocabulary(dict):
+    """Chunks of text -> numbers, in order of arrival; ``ids`` from ``start[n]`` to ``start[n + 1]`` are chunk n's."""
+
+    def __init__(self):
+        self.chunks: list[bytes] = []
+        self.ids, self.start = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.int64)
+        self.full = 0  # chunks whose ids are known
+
+    def __missing__(self, chunk: bytes) -> int:
+        self[chunk] = n = len(self.chunks)
+        self.chunks.append(chunk)
+        return n
+
+    def fill(self, made: list[bytes]) -> None:
+        """Ids of the chunks that have none yet, in order."""
+        n, at = self.full, int(self.start[self.full])
+        ends = at + np.cumsum([len(m) // 4 for m in made])
+        while len(self.start) <= n + len(made):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        while len(self.ids) < at + sum(map(len, made)) // 4:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.start[n + 1 : n + 1 + len(made)] = ends
+        new = np.frombuffer(b"".join(made), "<u4")
+        self.ids[at : at + len(new)] = new
+        self.full = n + len(made)
+
+    def of(self, chunk: bytes) -> bytes:
+        n = self[chunk]
+        return self.ids[self.start[n] : self.start[n + 1]].tobytes()
+
+    def cut(self, most: int) -> None:
+        """Forget the chunks after the first ``most``: the first seen are the frequent ones."""
+        for chunk in self.chunks[most:]:
+            del self[chunk]
+        del self.chunks[most:]
+        self.full = min(self.full, most)
+
+
 @lru_cache(1)
 def _tokenizer(path: str):
     """The tokenizer, which of its ids end a word, and the encodings kept so far."""
@@ -60,7 +98,12 @@ def _tokenizer(path: str):
     vocabulary = tok.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-    return tok, ends, {b"": b""}
+    kept = Vocabulary()
+    marks = (b"", b".", b",")
+    for m in marks:
+        kept[m]
+    kept.fill([array("I", e.ids).tobytes() for e in tok.encode_batch([m.decode() for m in marks], add_special_tokens=False)])
+    return tok, ends, kept
 
 
 def _encode_words(tok, ends: np.ndarray, words: list[str]) -> list[bytes]:
@@ -79,36 +122,44 @@ def _encode_words(tok, ends: np.ndarray, words: list[str]) -> list[bytes]:
     return out
 
 
-def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each UTF-8 text as little-endian unsigned 32-bit numbers.
+def encode(texts: list[bytes], path: str) -> list[np.ndarray]:
+    """Ids of each UTF-8 text, little-endian unsigned 32-bit.
 
     The tokenizer ignores ASCII case, never joins across a space or newline, and splits a mark off
     the letters before it. So each lower-cased chunk between spaces is encoded once; a word with a
     last full stop or comma is the word's ids and the mark's.
     """
     tok, ends, kept = _tokenizer(path)
-    parts = []
+    number, numbers = kept.__getitem__, []
     for t in texts:  # special tokens are matched before lower-casing, so text that may hold one keeps its case
-        parts.append((t if b"<|" in t else t.translate(LOWER)).replace(b"\n", b" ").split(b" "))
-    new = set().union(*parts).difference(kept)
-    words, marked, other = [], {}, []
-    for w in new:
+        part = (t if b"<|" in t else t.translate(LOWER)).replace(b"\n", b" ").split(b" ")
+        numbers.append(np.fromiter(map(number, part), np.int64, len(part)))
+    made: dict[bytes, bytes] = {}
+    words, marked, other = [], [], []
+    for w in kept.chunks[kept.full :]:
         c = w.decode()
         if c.isalpha():
             words.append(w)
         elif c[-1] in ".," and c[:-1].isalpha() and "İ" not in c:  # whose lower case ends in a mark of its own
-            marked[w] = (w[:-1], w[-1:])
+            marked.append(w)
         else:
             other.append(w)
-    words += {x for x, _ in marked.values()}.difference(kept, words)
-    other += [m for m in (b".", b",") if m not in kept and m not in new]
-    kept.update(zip(words, _encode_words(tok, ends, [w.decode() for w in words])))
-    kept.update(zip(other, (array("I", e.ids).tobytes() for e in tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False))))
-    kept.update({w: kept[x] + kept[m] for w, (x, m) in marked.items()})
-    out = [b"".join(map(kept.__getitem__, p)) for p in parts]
-    if (spare := len(kept) - CACHED_WORDS) > 0:  # the first seen stay
-        for w in [*marked, *(w for w in words if w), *(w for w in other if w not in (b".", b","))][:spare]:
-            del kept[w]
+    new = set(words)
+    words += {w[:-1] for w in marked if w[:-1] not in new and (w[:-1] not in kept or kept[w[:-1]] >= kept.full)}
+    made.update(zip(words, _encode_words(tok, ends, [w.decode() for w in words])))
+    made.update(zip(other, (array("I", e.ids).tobytes() for e in tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False))))
+    mark = {m: kept.of(m) for m in (b".", b",")}
+    for w in marked:
+        base = w[:-1]
+        made[w] = (made[base] if base in made else kept.of(base)) + mark[w[-1:]]
+    kept.fill([made[w] for w in kept.chunks[kept.full :]])
+    out = []
+    for n in numbers:
+        first = kept.start[n]
+        size = kept.start[n + 1] - first
+        end = np.cumsum(size)
+        out.append(kept.ids[np.repeat(first - end + size, size) + np.arange(end[-1])])
+    kept.cut(CACHED_WORDS)
     return out
 
 
@@ -119,10 +170,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=4 << 20):
+        for b in slices(batches, most=3 << 20):
             rows = [[] for _ in names]
             for doc, ids in zip(b.column("doc_id").to_pylist(), encode(texts(b.column("text")), path)):
-                ids += b"\0\0\0\0"
+                ids = ids.tobytes() + b"\0\0\0\0"
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for r, v in zip(rows, (doc, i, at // 4, len(part) // 4, zlib.crc32(part), part)):
