@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space, as ``bytes.split()`` and ``bytes.strip()`` take it.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Paths of staged tables.
+_staged: list[str] = []
 #: Lower-cases A-Z and leaves every other byte.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -41,16 +43,27 @@ def stage(df: DataFrame, label: str, narrow: bool = True) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    _staged.append(path)
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _staged.remove(path)
+
+
 def unstage(df: DataFrame) -> None:
     """Remove a staged table that no later plan reads."""
     path = getattr(df, "_staged_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _staged:
+        _remove(df.sparkSession, path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove everything that this driver has staged; for use once its results are written."""
+    for path in list(_staged):
+        _remove(spark, path)
 
 
 def text_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

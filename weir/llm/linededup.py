@@ -29,7 +29,7 @@ from . import twobloom
 from .common import LOWER, SPACES, slices, stage, texts
 
 #: Bytes of dropped keys up to which they are broadcast; beyond, they are joined.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def keys(text: bytes) -> list[bytes]:

@@ -76,6 +76,15 @@ d AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_i
 SELECT k.doc_id, count(*) AS n_lines, count(d.key) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN d.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM k LEFT JOIN d USING (key) GROUP BY k.doc_id
+""",
+    "op8_substring_dedup": """
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM s) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM d)),
+x AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM t)),
+k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) FILTER (g.p IS NULL) AS kept, count(g.p) AS n FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.p = g.p GROUP BY x.doc_id)
+SELECT t.doc_id, len(t.w) AS n_words, coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
 """,
     "op9_chat_format": """
 WITH c AS (
