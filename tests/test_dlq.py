@@ -4,15 +4,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from weir.operators import dlq
+from weir.sources.contracts import PRODUCT_SCD2
+from weir.sources.topics import TOPICS, serving_key
 
-GOOD = {"event_id": "e1", "session_id": "s1", "user_id": 7, "product_id": 1, "shop_id": 2, "event_type": "pay", "channel": "app", "amount": "19.900", "event_ts": "2024-01-01T10:00:00.987"}
+FACTS = TOPICS["dwd_user_behavior"]
+
+GOOD = {"event_id": "e1", "session_id": "s1", "event_sequence": 1, "event_version": 1, "user_id": 7, "product_id": 1, "shop_id": 2, "event_type": "pay", "channel": "app", "amount": "19.900", "event_ts": "2024-01-01T10:00:00.987"}
 
 
 def records(spark, rows, topic="t"):
     return spark.createDataFrame([(topic, 0, i, k, v) for i, (k, v) in enumerate(rows)], "topic string, partition int, offset long, key string, value string")
 
 
-def run(spark, changes, topic=dlq.BEHAVIOR_FACTS):
+def run(spark, changes, topic=FACTS):
     good, bad = dlq.validate(records(spark, [(None, c if isinstance(c, str) else json.dumps({**GOOD, **c}))for c in changes]), topic)
     return good.collect(), {r["offset"]: r["error_message"] for r in bad.collect()}
 
@@ -44,16 +48,16 @@ def test_integer_text_and_extremes_pass(spark):
 
 def test_deletes(spark):
     r = records(spark, [('{"order_date": "2024-01-01", "channel": "app"}', None), (None, None), ('{"channel": "app"}', None)])
-    good, bad = dlq.validate(r, dlq.ORDER_DAILY)
+    good, bad = dlq.validate(r, TOPICS["ads_order_daily"])
     rows = good.collect()
     assert len(rows) == 1 and rows[0]["is_deleted"] == 1 and rows[0]["total_orders"] is None and str(rows[0]["order_date"]) == "2024-01-01"
     assert {x["error_message"] for x in bad.collect()} == {"delete without key"} and bad.count() == 2
-    good, bad = dlq.validate(records(spark, [("k", None)]), dlq.BEHAVIOR_FACTS)
+    good, bad = dlq.validate(records(spark, [("k", None)]), FACTS)
     assert good.count() == bad.count() == 0
 
 
 def test_envelope_identity_and_redaction(spark):
-    _, bad = dlq.validate(records(spark, [("k", "{oops"), (None, "{oops"), ("", "{oops")]), dlq.BEHAVIOR_FACTS)
+    _, bad = dlq.validate(records(spark, [("k", "{oops"), (None, "{oops"), ("", "{oops")]), FACTS)
     env = dlq.envelopes(bad, F.lit("now"))
     ids = [r["message_id"] for r in env.collect()]
     assert len(set(ids)) == 3 and ids == [r["message_id"] for r in env.collect()]
@@ -76,7 +80,7 @@ def test_repairs():
 
 
 def test_replay_plan(spark):
-    _, bad = dlq.validate(records(spark, [("k", "{oops"), ("l", "{oops")]), dlq.BEHAVIOR_FACTS)
+    _, bad = dlq.validate(records(spark, [("k", "{oops"), ("l", "{oops")]), FACTS)
     env = dlq.envelopes(bad, F.lit("now")).withColumns({"replay_topic": F.lit(None).cast("string"), "replay_sha256": F.lit(None).cast("string")})
     one = env.limit(1)
     done = dlq.replayed(one, "t", F.lit("v"))
@@ -86,3 +90,15 @@ def test_replay_plan(spark):
     for args in ((ids, True, True), (ids[:1], False, True)):
         with pytest.raises(ValueError):
             dlq.plan_replay(log, *args)
+
+
+def test_topics_agree_with_contracts_and_outputs(spark, sf):
+    from weir.plans.queries import Warehouse
+
+    w = Warehouse(spark, sf)
+    assert set(TOPICS["ods_dim_product_scd2"].types) == set(PRODUCT_SCD2.schema.names) and TOPICS["ods_dim_product_scd2"].key == PRODUCT_SCD2.key
+    made = {"dwd_user_behavior": w.facts(), "ads_realtime_overview": w.overview(), "ads_product_rank": w.products(), "ads_category_rank": w.categories(), "ads_channel_funnel": w.funnel(), "dwd_order_detail": w.wide(), "ads_order_lifecycle": w.lifecycle(), "ads_order_daily": w.daily(), "dwd_dirty_behavior": w.dirty().drop("event_ts", "proc_time")}
+    for name, df in made.items():
+        assert set(TOPICS[name].types) == set(df.columns), name
+    assert serving_key("dwd_dirty_behavior") == ("source_topic", "source_partition", "source_offset")
+    assert len(TOPICS) == 10 and all(set(t.required) | set(t.key) <= set(t.types) for t in TOPICS.values())

@@ -11,7 +11,7 @@ from weir.functions.versions import ingest_version
 
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row of largest ``order`` of each key: one aggregation with partial maxima, no sort.
+    """The row of largest ``order`` of each key: one aggregation, whose partial maxima are all that is shuffled.
 
     Two rows of a key with equal order are settled by the other columns, so that results repeat.
     """
@@ -55,3 +55,12 @@ def compact(log: DataFrame, key: Sequence[str], drop_tombstones: bool = False) -
     versioned = log.withColumn("__v", ingest_version(F.col("epoch"), F.col("offset"), F.col("partition")))
     out = versioned.groupBy(*key).agg(F.max_by(F.struct(*[c for c in log.columns if c not in key]), "__v").alias("__m")).select(*key, "__m.*")
     return out.where("value is not null") if drop_tombstones else out
+
+
+def expire(log: DataFrame, key: Sequence[str], time: str, days: int, now: Column) -> DataFrame:
+    """A log without the keys whose newest ``time`` is more than ``days`` old: state with a time to live.
+
+    A change that comes later finds no state, as in any store that forgets.
+    """
+    newest = log.groupBy(*key).agg(F.max(time).alias("__t")).where(F.col("__t") >= now - F.make_dt_interval(F.lit(days)))
+    return log.join(newest.select(*key), list(key), "left_semi")

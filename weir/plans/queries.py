@@ -13,6 +13,7 @@ from weir.functions.versions import ingest_version
 from weir.operators import backfill, behavior, changelog, dlq, orders, quality, scd2, serving
 from weir.sources import derived as src
 from weir.sources import readers
+from weir.sources.topics import TOPICS
 from weir.streaming import behavior as live
 from weir.streaming import orders as live_orders
 
@@ -107,12 +108,12 @@ def _loader(w: Warehouse) -> DataFrame:
     k = F.col("event_id") % 10
     value = F.to_json(F.struct(
         F.col("event_id").cast("string").alias("event_id"), F.lit("S").alias("session_id"), F.when(k == 4, "12x").otherwise(F.col("user_id").cast("string")).alias("user_id"),
-        F.when(k == 4, F.lit(1 << 40)).otherwise(F.lit(1)).alias("event_sequence"), F.lit(1).alias("product_id"), F.lit("2").alias("shop_id"), F.lit("pay").alias("event_type"),
+        F.when(k == 4, F.lit(1 << 40)).otherwise(F.lit(1)).alias("event_sequence"), F.lit(1).alias("event_version"), F.lit(1).alias("product_id"), F.lit("2").alias("shop_id"), F.lit("pay").alias("event_type"),
         F.lit("app").alias("channel"), F.when(k == 2, None).when(k == 3, "1.234").otherwise("19.900").alias("amount"), F.lit("2024-01-01T00:00:00.123").alias("event_ts"),
         F.when(k == 1, "x").alias("extra"),
     ))
     records = e.select(F.lit("dwd_user_behavior").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.lit(None).cast("string").alias("key"), F.when(k == 5, "{oops").otherwise(value).alias("value"))
-    return dlq.validate(records, dlq.BEHAVIOR_FACTS)[1].groupBy("error_message").agg(F.count(F.lit(1)).alias("n"))
+    return dlq.validate(records, TOPICS["dwd_user_behavior"])[1].groupBy("error_message").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _envelopes(w: Warehouse) -> DataFrame:

@@ -88,3 +88,16 @@ def change_log(rows: DataFrame, contract: Contract, op: Column, partition: Colum
         *contract.key, op.alias("op"), F.lit(epoch).alias("epoch"), partition.cast("int").alias("partition"), offset.cast("long").alias("offset"),
         F.when(op != "d", value).alias("value"),
     )
+
+
+def read_serving(spark: SparkSession, path: str, key: list[str], where: Column | None = None) -> DataFrame:
+    """Logical rows of a versioned serving table: the newest version of each key, without deleted ones, then ``where``."""
+    from weir.operators.changelog import active
+
+    out = active(spark.read.option("recursiveFileLookup", "true").parquet(path), key)
+    return out if where is None else out.where(where)
+
+
+def rows_frame(spark: SparkSession, lines: list[str], schema: T.StructType) -> DataFrame:
+    """A typed frame of JSON rows that an HTTP source returned (one object a line)."""
+    return decode_json(spark.createDataFrame([(x,) for x in lines if x.strip()], "value string"), schema)
