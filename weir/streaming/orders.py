@@ -1,15 +1,17 @@
 """Live order pipeline: change logs in, order facts and metrics out, with retractions.
 
 Spark's stream-stream joins never take a result back, so each batch recomputes what its changes
-touch: the touched orders' current rows, then the groups (old and new) those orders belong to.
-State is kept as Parquet tables of versioned rows, one folder a batch; a batch that is run again
-overwrites its own folder, which makes the pipeline idempotent.
+touch: the touched orders' current rows from their log entries, and the metrics of the groups that
+those orders leave or enter, by subtracting their old and adding their new contributions. State is
+kept as Parquet tables of versioned rows, one folder a batch; a batch that is run again overwrites its
+own folders and reads only earlier ones, which makes the pipeline idempotent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,34 +49,87 @@ class OrderState:
     def current(self, entity: str) -> DataFrame:
         return fold(self.log(entity), [ENTITIES[entity]])
 
-    def daily(self, before: int | None = None) -> DataFrame:
-        """The served metrics: newest entry of each group, without deleted groups."""
-        rows = self.spark.read.schema(DAILY).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").parquet(self._path("ads_order_daily"))
+    def _served(self, name: str, table: T.StructType, key: list[str], before: int | None) -> DataFrame:
+        """The newest row of each key, of batches before ``before`` (or all), without deleted ones."""
+        rows = self.spark.read.schema(table).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").parquet(self._path(name))
         if before is not None:
             rows = rows.where(F.col("batch_id") < before)
-        rest = [c for c in DAILY.names if c not in ("order_date", "channel", "batch_id")]
-        best = rows.groupBy("order_date", "channel").agg(F.max_by(F.struct(*rest), "batch_id").alias("m")).select("order_date", "channel", "m.*")
+        rest = [c for c in table.names if c not in (*key, "batch_id")]
+        best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("m")).select(*key, "m.*")
         return best.where("op = 'u'").drop("op")
 
+    def orders(self, before: int | None = None) -> DataFrame:
+        """Current orders."""
+        return self._served("dws_order_current", CURRENT, ["order_id"], before)
+
+    def daily(self, before: int | None = None) -> DataFrame:
+        """The served metrics."""
+        return self._served("ads_order_daily", DAILY, GROUP, before)
+
+    def serve(self, name: str, table: T.StructType, changed: DataFrame, batch_id: int) -> DataFrame:
+        path = f"{self._path(name)}/part-{batch_id}"
+        changed.withColumn("batch_id", F.lit(batch_id).cast("long")).select(*table.names).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(table).parquet(path)
+
 
+GROUP = ["order_date", "channel"]
+COUNTS = ("total_orders", "paid_orders", "cancelled_orders", "refunded_orders")
+SUMS = ("order_amount", "paid_amount", "refund_amount")
 DAILY = schema(
     "order_date string, channel string, op string, total_orders bigint, paid_orders bigint, cancelled_orders bigint, refunded_orders bigint, "
     "order_amount decimal(22,2), paid_amount decimal(22,2), refund_amount decimal(22,2), batch_id bigint"
 )
+CURRENT = schema(
+    "order_id string, op string, channel string, order_status string, order_amount decimal(12,2), payment_amount decimal(12,2), refund_amount decimal(12,2), "
+    "order_date string, batch_id bigint"
+)
+
+
+def _touched(state: OrderState, arrived: dict[str, DataFrame]) -> DataFrame:
+    """Orders that the batch's rows belong to now or belonged to before."""
+    parts = []
+    for entity, rows in arrived.items():
+        key = ENTITIES[entity]
+        if key == "order_id":
+            parts.append(rows.select("order_id"))
+        else:  # a delete has no value, so its order is looked up in the log
+            parts.append(state.log(entity).join(rows.select(key).distinct(), key, "left_semi").select("value.order_id"))
+    return reduce(DataFrame.unionByName, parts).where("order_id is not null").distinct()
+
+
+def _current(state: OrderState, entity: str, touched: DataFrame) -> DataFrame:
+    """Current rows of the touched orders."""
+    key, log = ENTITIES[entity], state.log(entity)
+    if key != "order_id":
+        keys = log.select(key, "value.order_id").join(touched, "order_id", "left_semi").select(key).distinct()
+        return fold(log.join(keys, key, "left_semi"), [key]).join(touched, "order_id", "left_semi")
+    return fold(log.join(touched, key, "left_semi"), [key])
 
 
 def apply_batch(state: OrderState, arrived: dict[str, DataFrame], versions: DataFrame, batch_id: int) -> DataFrame:
-    """Take in a batch of change rows by entity; the changes of the daily metrics (op 'u' or 'd')."""
+    """Take in a batch of change rows by entity; the changes of the daily metrics (op 'u' or 'd').
+
+    A new product version touches no order: it holds from its own time on.
+    """
     for entity, rows in arrived.items():
         state.receive(entity, rows, batch_id)
-    current = op.order_current(
-        op.order_detail_wide(state.current("order_detail"), state.current("order_info"), versions, state.current("payment_info"), state.current("refund_info"))
-    )
-    changed = op.changes(state.daily(batch_id), op.daily(current), ["order_date", "channel"]).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    out = changed.select(*DAILY.names)
-    path = f"{state._path('ads_order_daily')}/part-{batch_id}"
-    out.write.mode("overwrite").parquet(path)
-    return state.spark.read.schema(DAILY).parquet(path)
+    touched = _touched(state, arrived).persist()
+    parts = {e: _current(state, e, touched) for e in ENTITIES}
+    wide = op.order_detail_wide(parts["order_detail"], parts["order_info"], versions, parts["payment_info"], parts["refund_info"])
+    old = state.orders(batch_id).join(touched, "order_id", "left_semi")
+    changed = state.serve("dws_order_current", CURRENT, op.changes(old, op.order_current(wide), ["order_id"]), batch_id)
+
+    names = [*GROUP, *COUNTS, *SUMS]
+    came = op.daily(changed.where("op = 'u'")).select(*names)
+    left = op.daily(old.join(changed.select("order_id"), "order_id", "left_semi")).select(*GROUP, *[(-F.col(c)).alias(c) for c in (*COUNTS, *SUMS)])
+    delta = came.unionByName(left).persist()
+    before = state.daily(batch_id).join(delta.select(*GROUP).distinct(), GROUP, "left_semi").select(*names)
+    sums = [F.sum(c).cast(DAILY[c].dataType).alias(c) for c in (*COUNTS, *SUMS)]
+    after = before.unionByName(delta).groupBy(*GROUP).agg(*sums).where("total_orders > 0")
+    out = state.serve("ads_order_daily", DAILY, op.changes(before, after, GROUP), batch_id)
+    touched.unpersist()
+    delta.unpersist()
+    return out
 
 
 def start(log: DataFrame, state: OrderState, versions: Callable[[], DataFrame], checkpoint: str, **trigger) -> StreamingQuery:
