@@ -51,8 +51,9 @@ def enrich(events: DataFrame, products: DataFrame, shops: DataFrame, regions: Da
     broadcasts a dimension that its statistics show to be small and shuffles one that isn't.
     """
     p = products.select("product_id", "product_name", "category_id", "category_name")
-    s = shops.join(regions.withColumnRenamed("region_id", "__r"), F.col("region_id") == F.col("__r"), "left").select("shop_id", "shop_name", "province", "city")
-    out = clean(events).join(p, "product_id", "left").join(s, "shop_id", "left")
+    s, r = shops.select("shop_id", "shop_name", "region_id"), regions.select("region_id", "province", "city")
+    # One after the other: of a join of dimensions Spark overestimates the size, and would shuffle the facts by shop.
+    out = clean(events).join(p, "product_id", "left").join(s, "shop_id", "left").join(r, "region_id", "left")
     return out.select(
         "event_id", "session_id", "order_id", "event_sequence", "event_version", "user_id", "product_id", "product_name", "category_id", "category_name",
         "shop_id", "shop_name", "event_type", "channel", "amount", "event_ts", "province", "city",
