@@ -49,6 +49,15 @@ def test_hot_anchors_small_runs_and_no_copies_set_aside(spark, monkeypatch):
     assert rows_of(substring.dedup_passages(frame(spark, rows), 20, digest=True), "doc_id", "n_removed") == want
 
 
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_anchors_by_shuffle(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "FILTERED", -1)
+    monkeypatch.setattr(substring, "HOT", hot)
+    rows = docs()
+    want = sorted(((r["doc_id"], g) for r, (_, g, _) in zip(rows, brute(rows, 20))), key=repr)
+    assert rows_of(substring.dedup_passages(frame(spark, rows), 20, digest=True), "doc_id", "n_removed") == want
+
+
 def test_texts_keep_columns(spark):
     df = frame(spark, docs())
     out = substring.dedup_passages(df)

@@ -8,7 +8,8 @@ far as they have any); only the earliest of equal texts takes part below.
 
 1. Of the k-word grams in a window, the one of smallest hash is its anchor. Equal windows have
    equal anchors, so the anchor gram is the prefix that partitions suffixes. Two Bloom filters
-   tell which anchors may occur twice; other suffixes have no deep node and go no further.
+   (for a huge corpus, a shuffle of anchor hashes) tell which anchors may occur twice; other
+   suffixes have no deep node and go no further.
 2. Runs of windows with one suspected anchor are shipped as one piece of text, to the group of
    the anchor; a piece that a task has already seen is a repeat at once and isn't shipped again.
    Prefixes have variable length: an anchor that is counted very often would make too large a
@@ -45,6 +46,8 @@ GRAM = 8
 HOT = 4096
 #: Windows of one shipped piece, at most; bytes that a task remembers; bytes of pieces handled at once.
 RUN, REMEMBERED, AT_ONCE = 256, 32 << 20, 4 << 20
+#: Anchors up to which Bloom filters tell the repeated ones; beyond, a shuffle of their hashes does.
+FILTERED = twobloom.MAX_BITS // 8
 #: Equal texts (24 bytes each) up to which every worker knows them.
 COPIES = 2_000_000
 
@@ -254,8 +257,12 @@ def repeated_intervals(docs: DataFrame, window: int, copies) -> DataFrame:
     """id, th (text hash), spans: the word intervals [from, to) that repeat earlier text, of documents that ``copies`` doesn't name."""
     only = _named(docs)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    # An anchor each 7 words or so; words of 6 characters.
-    twice, hot = twobloom.twice_seen(only, _occurrences(window, copies), twobloom.bits_for(chars // 40), HOT)
+    anchors = chars // 40  # one each 7 words or so; words of 6 characters
+    if anchors <= FILTERED:
+        twice, hot = twobloom.twice_seen(only, _occurrences(window, copies), twobloom.bits_for(anchors), HOT)
+    else:
+        only, hot = _with_repeated_anchors(only, window, copies, max(HOT, anchors // 1_000_000))
+        twice = None
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -264,7 +271,11 @@ def repeated_intervals(docs: DataFrame, window: int, copies) -> DataFrame:
             off, raw = text_view(b.column("text"))
             a = Anchors(off, raw, window)
             first, last = a.runs()
-            keep = twobloom.has(twice.value, a.low[first]) if len(first) else np.zeros(0, bool)
+            if twice is None:  # an anchor on any text's list is repeated
+                listed = b.column("anchors").combine_chunks() if isinstance(b.column("anchors"), pa.ChunkedArray) else b.column("anchors")
+                keep = np.isin(a.low[first], listed.flatten().to_numpy().view(np.uint64))
+            else:
+                keep = twobloom.has(twice.value, a.low[first]) if len(first) else np.zeros(0, bool)
             first, last = first[keep], last[keep]
             key = a.low[first]
             often = np.isin(key, hot.value)
@@ -311,6 +322,28 @@ def repeated_intervals(docs: DataFrame, window: int, copies) -> DataFrame:
     return found.groupBy("id", "th").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
+def _with_repeated_anchors(only: DataFrame, window: int, copies, hot: int):
+    """``only`` with each text's anchors that occur twice or more anywhere; broadcast anchors that occur ``hot`` times (a millionth of all at most)."""
+    hashes = _occurrences(window, copies)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                one = b.slice(i, 1)
+                key, n = np.unique(hashes(one), return_counts=True)
+                take = pa.array(np.zeros(len(key), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), one.column("id").take(take), one.column("th").take(take), pa.array(n.astype(np.int64))], ["key", "id", "th", "n"])
+
+    rows = only.mapInArrow(emit, "key long, id long, th long, n long")
+    counts = rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = stage(counts, "anchors", narrow=False)
+    found = counts.where(F.col("n") >= hot).select("key").toArrow()["key"].to_numpy()
+    lists = rows.join(counts.select("key"), "key", "left_semi").groupBy("id", "th").agg(F.collect_set("key").alias("anchors"))
+    lists = lists.select(F.col("id").alias("__i"), F.col("th").alias("__t"), "anchors")
+    out = only.join(lists, F.col("id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__t"))).drop("__i", "__t")
+    return out, only.sparkSession.sparkContext.broadcast(np.sort(found.view(np.uint64)))
+
+
 def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
 
