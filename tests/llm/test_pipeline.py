@@ -14,7 +14,7 @@ def test_stages_do_their_work(spark):
     known, lines, single, mixed = seen[1:]
     assert known.count() == langid.keep_known(docs).count() < docs.count()
     assert lines.count() == known.count()
-    groups = simhash.near_duplicates(lines).select("component_id").distinct().count()
+    groups = simhash.grouped(lines, 4).select("root").distinct().count()
     assert single.count() == groups
     assert mixed.select("doc_id").distinct().count() <= groups
     words = mixing.mix_words(single).groupBy("source").agg({"taken": "sum", "target": "first"}).collect()

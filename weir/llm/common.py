@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space, as ``bytes.split()`` and ``bytes.strip()`` take it.
 SPACES = b" \t\n\x0b\x0c\r"
+#: Caches of this worker, by operator.
+_caches: dict[str, Callable[[], None]] = {}
 #: Paths of staged tables.
 _staged: list[str] = []
 #: Lower-cases A-Z and leaves every other byte.
@@ -89,8 +91,18 @@ def release() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``most`` bytes of ``column`` (a longer single text stays whole)."""
+def hold(name: str, forget: Callable[[], None]) -> None:
+    """This worker keeps a cache for the operator ``name``; the next partition of another one forgets it."""
+    _caches[name] = forget
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20, cache: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``most`` bytes of ``column`` (a longer single text stays whole).
+
+    ``cache`` names the cache that the operator uses; others are forgotten.
+    """
+    for name in [n for n in _caches if n != cache]:
+        _caches.pop(name)()
     for batch in batches:
         off, _ = text_view(batch.column(column))
         at = 0

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, stage, texts
+from .common import LOWER, hold, slices, stage, texts
 
 CAPACITY = 2048
 GROUPS = 192
@@ -103,6 +103,7 @@ def _tokenizer(path: str):
     for m in marks:
         kept[m]
     kept.fill([array("I", e.ids).tobytes() for e in tok.encode_batch([m.decode() for m in marks], add_special_tokens=False)])
+    hold("packing", _tokenizer.cache_clear)
     return tok, ends, kept
 
 
@@ -170,7 +171,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=3 << 20):
+        for b in slices(batches, most=3 << 20, cache="packing"):
             rows = [[] for _ in names]
             for doc, ids in zip(b.column("doc_id").to_pylist(), encode(texts(b.column("text")), path)):
                 ids = ids.tobytes() + b"\0\0\0\0"
