@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -47,6 +48,18 @@ def test_encode_equals_the_tokenizer_on_odd_texts(tok, monkeypatch):
         assert [g.tolist() for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_letters_that_nfc_takes_apart(tok, monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 60)
+    apart = [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha() and not unicodedata.normalize("NFC", c.lower()).isalpha()]
+    assert {"\u09df", "\u0958", "\u0a33", "\ufb1d", "İ"} <= set(apart)
+    texts = [t.format(c) for c in apart for t in ("{}", "{},", "a{}.", "{}a,", "{0}{0}.", "x {0}, {0}. y")] + ["\u09b9\u09df, \u09b8\u09ae\u09df."]
+    r = random.Random(6)
+    letters = [*apart, "a", "B", "中", " ", " ", ",", ".", "́", "1", "'s"]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    got = packing.encode([t.encode() for t in texts], packing.tokenizer_path())
+    assert [g.tolist() for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("rank_rows", [10**6, 20])
 def test_packs_real_documents(spark, monkeypatch, rank_rows):
     monkeypatch.setattr(packing, "RANK_ROWS", rank_rows)

@@ -28,6 +28,7 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,15 @@ def _tokenizer(path: str):
     return tok, ends, kept
 
 
+#: Ends of a chunk that are a pre-token of their own after a letter.
+_STOPS = (".", ",")
+
+
+def _stays_letters(word: str) -> bool:
+    """Whether the tokenizer's normalizer leaves letters only: İ and letters that NFC takes apart end in a mark, which joins the next one."""
+    return word.isascii() or normalize("NFC", word.lower()).isalpha()
+
+
 def _encode_words(tok, ends: np.ndarray, words: list[str]) -> list[bytes]:
     """Ids of words of letters only. They are encoded as one text: each gives ids up to one that ends a word."""
     out = []
@@ -128,7 +138,7 @@ def encode(texts: list[bytes], path: str) -> list[np.ndarray]:
 
     The tokenizer ignores ASCII case, never joins across a space or newline, and splits a mark off
     the letters before it. So each lower-cased chunk between spaces is encoded once; a word with a
-    last full stop or comma is the word's ids and the mark's.
+    last full stop or comma is the word's ids and the mark's, unless normalization puts a mark in the word.
     """
     tok, ends, kept = _tokenizer(path)
     number, numbers = kept.__getitem__, []
@@ -141,7 +151,7 @@ def encode(texts: list[bytes], path: str) -> list[np.ndarray]:
         c = w.decode()
         if c.isalpha():
             words.append(w)
-        elif c[-1] in ".," and c[:-1].isalpha() and "İ" not in c:  # whose lower case ends in a mark of its own
+        elif c[-1:] in _STOPS and c[:-1].isalpha() and _stays_letters(c[:-1]):
             marked.append(w)
         else:
             other.append(w)
