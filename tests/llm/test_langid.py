@@ -88,3 +88,16 @@ def test_edges(spark):
     kept = langid.keep_known(df)
     assert kept.columns == df.columns and kept.where("doc_id = 10010 or text is null or text = ''").count() == 0
     assert len(rows_of(kept.where("n_chars > 200"), "doc_id")) >= 0.97 * df.where("n_chars > 200").count()
+
+
+def test_every_label_is_learned(spark):
+    names = [f"l{i:03d}" for i in range(70)]
+    word = lambda i: "".join(chr(0x4E00 + 40 * i + j) for j in range(6)) + " "
+    rows = [(100 * i + j, word(i) * 3, lang) for i, lang in enumerate(names) for j in range(3 if i == 7 else 8)]
+    rows += [(20_000 + j, word(99) * 5000, "long") for j in range(8)]
+    rows += [(None, word(98) + str(j), "no ids") for j in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.sample(df)) == {*names, "long", "no ids"}
+    assert all(len(t.decode()) <= langid.SAMPLE_CHARS for t in langid.sample(df)["long"])
+    got = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(df).collect()}
+    assert got == {(i, lang) for i, _, lang in rows}

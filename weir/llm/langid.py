@@ -7,9 +7,10 @@ predicts them, and below order 0 every byte costs 8 bits. With frozen statistics
 depends on the byte and its context alone, so the trees are flattened into one table
 (context, byte) -> code length per language, and scoring a text is table lookups and a sum.
 
-Fitting sample (a documented bound): of each language the documents with the smallest id hashes,
-about ``SAMPLE_DOCS`` of them, each of at most ``SAMPLE_CHARS`` characters; at most
-``MAX_LANGS`` languages, the most frequent. Scoring takes every whole text.
+Fitting sample (a documented bound): of each language the documents with the smallest hashes,
+about ``SAMPLE_DOCS`` of them (with more than ``MANY_LANGS`` languages an equal share of as many rows),
+one at least, and of each its first ``SAMPLE_CHARS`` characters. Every label is learned; the
+table grows with their number. Scoring takes every whole text.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; so is everything if no
 labelled text is left; null doc_id counts as the empty text in the fold; equal code lengths go
@@ -33,7 +34,8 @@ from .common import slices, text_view
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 32_768
-MAX_LANGS = 64
+#: Languages that get SAMPLE_DOCS each; languages that are scored at once.
+MANY_LANGS = 64
 HELD_OUT = 2
 FOLDS = 4
 #: Bits per byte from which a text counts as noise in every known language (8 is incompressible).
@@ -89,10 +91,13 @@ def fit(samples: dict[str, list[bytes]], rare: int = 2) -> Model:
             probs[k] = np.concatenate([probs[k], np.where(total > 0, np.nan_to_num(p), base)])
         rows = rows[np.arange(span) % a ** (order - 1)] if order else np.zeros(1, np.int64)
         rows[values] = np.arange(len(values)) + (len(probs[0]) - len(values))
-    bits = -np.log2(np.maximum(np.stack(probs, -1), 1e-12)) if langs else np.zeros((0, a, 0))
-    bits[:, PAD] = 0
-    bits[:, OTHER] += np.log2(unseen)
-    return Model(langs, classes, rows.astype(np.int32), bits.reshape(len(bits) * a, len(langs)).astype(np.float32))
+    cost = np.empty((len(probs[0]) if langs else 0, a, len(langs)), np.float32)
+    for k in range(len(langs)):
+        bits, probs[k] = -np.log2(np.maximum(probs[k], 1e-12)), None
+        bits[:, PAD] = 0
+        bits[:, OTHER] += np.log2(unseen)
+        cost[:, :, k] = bits
+    return Model(langs, classes, rows.astype(np.int32), cost.reshape(len(cost) * a, len(langs)))
 
 
 def code_lengths(model: Model, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -115,21 +120,25 @@ def code_lengths(model: Model, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
     row = model.context[row].astype(np.int64)
     row *= a
     row += sym
-    out[np.diff(off) > 0] = np.add.reduceat(model.cost[row], starts, 0, np.float64)
+    for i in range(0, len(model.langs), MANY_LANGS):
+        some = slice(i, i + MANY_LANGS)
+        out[np.diff(off) > 0, some] = np.add.reduceat(model.cost[row] if len(model.langs) <= MANY_LANGS else model.cost[row, some], starts, 0, np.float64)
     return out
 
 
 def sample(docs: DataFrame) -> dict[str, list[bytes]]:
     """The bounded fitting sample of labelled documents outside the held-out fold."""
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
-    rows = docs.where((fold != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    rows = docs.where((fold != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    whole = 1 << 30
+    rows = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "doc_id", F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(whole)).alias("u"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("least")).collect()
     if not counts:
         return {}
-    whole = 1 << 30
-    u = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(whole))
-    cut = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(whole, whole * SAMPLE_DOCS // r["count"]))) for r in counts])
-    found = rows.where(u < cut).select("lang", "text", "doc_id").limit(2 * SAMPLE_DOCS * len(counts)).collect()
+    each = max(1, SAMPLE_DOCS * min(MANY_LANGS, len(counts)) // len(counts))
+    cuts = [(r["lang"], max(r["least"] + 1, min(whole, whole * each // r["n"]))) for r in counts]
+    cuts = docs.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    found = rows.join(F.broadcast(cuts), "lang").where("u < cut").select("lang", "text", "doc_id").distinct().collect()
     out: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"], r["text"])):
         out[r["lang"]].append(r["text"].encode())
