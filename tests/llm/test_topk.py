@@ -52,3 +52,34 @@ def test_slices_on_extremes():
             want = [j for j in np.lexsort((ids, -score)) if j != i][:7]
             got, exact = s.search(ids, i, m[i], 7)
             assert got.tolist() == want and exact.tolist() == score[want].tolist()
+
+
+def test_large_components_take_part(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL_ROWS", 50)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=3))]) for i in range(300)]
+    rows += [(400, [2.5e6, 1.0, 0.0]), (401, [-2.5e6, 0.5, 3.0]), (402, [2.2e6, -9.0, 2.0]), (500, [3e6, 0.25]), (501, [-0.5, 3e6]), (502, [9e14, 0.0]), (600, [4e12, 0.5, 0.5, 1.0]), (601, [0.5, 4e12, 1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, None, "s", "r", "c") for i, v in rows if i != 502], SCHEMA)
+    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute([r for r in rows if r[0] != 502], 10)
+    for more in ((502, [9e14, 0.0]), (503, [1e17, 0.0])):  # with 500 a score of 2.8e27; a code of 1e20
+        wide = spark.createDataFrame([(i, v, None, "s", "r", "c") for i, v in (rows[303], more)], SCHEMA)
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            topk.top_k(wide, wide.where("vec_id = 500")).collect()
+
+
+def test_slices_on_all_64_bits():
+    rng = np.random.default_rng(3)
+    m, ids = rng.integers(-(2**63) + 1, 2**63 - 1, (200, 3)), np.arange(200)
+    m[100:] >>= 40
+    s = topk.BitSlices(m)
+    for i in range(0, 200, 9):
+        q = m[i] >> 62 if i < 100 else m[i]
+        score = m.astype(object) @ q.astype(object)
+        want = [j for j in sorted(ids.tolist(), key=lambda j: (-score[j], j)) if j != i][:7]
+        if all(abs(score[j]) < 2**63 for j in want):
+            got, exact = s.search(ids, i, q, 7)
+            assert got.tolist() == want and exact.tolist() == [score[j] for j in want]
+        else:
+            with pytest.raises(OverflowError):
+                s.search(ids, i, q, 7)

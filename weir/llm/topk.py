@@ -9,8 +9,8 @@ significant slice downward the k-th largest coarse score is found, a bound on wh
 can add widens it, and the rows that remain are scored exactly. A cell's best k per query meet
 in a final top-k by query.
 
-Edge cases: vectors that are null or empty, or hold a null, NaN or infinite component, or a
-component of 2^31 / scale or more, take no part; a query meets only vectors of its own
+Edge cases: vectors that are null or empty, or hold a null, NaN or infinite component, take no
+part; a component's code, or a score to be returned, beyond 64 bits is an error, as in SQL; a query meets only vectors of its own
 dimension; rows with a query's vec_id are its own rows and no candidates for it; equal rows count
 once; null vec_id takes no part; ties go to the smaller vec_id; with fewer than k candidates all are
 returned; an empty table gives an empty result; extra columns are ignored.
@@ -34,22 +34,26 @@ CELL_ROWS, QUERY_ROWS = 16_384, 4_096
 
 
 def quantise(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, codes (little-endian int32 values of floor(scale * x)), once for each distinct pair."""
+    """vec_id, codes (little-endian int64 values of floor(scale * x)), once for each distinct pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
             col = b.column("embedding")
             flat = col.flatten() if col.null_count < len(col) else pa.array([], pa.float64())
-            x = np.floor(flat.cast(pa.float64()).to_numpy(zero_copy_only=False) * scale)  # null reads as NaN
+            flat = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null reads as NaN
+            fine = np.isfinite(flat)
+            with np.errstate(over="ignore"):
+                x = np.floor(np.where(fine, flat, 0) * scale)
+            held = np.abs(x) < 2.0**63
             size = np.nan_to_num(np.array(col.value_lengths().to_numpy(zero_copy_only=False), np.float64)).astype(np.int64)
             end = np.cumsum(size)
-            with np.errstate(invalid="ignore"):
-                fine = np.abs(x) < 2**31
-            codes = np.where(fine, x, 0).astype("<i4")
-            bad = np.r_[0, np.cumsum(~fine)]
+            codes = np.where(held, x, 0).astype("<i8")
+            bad, wide = np.r_[0, np.cumsum(~fine)], np.r_[0, np.cumsum(~held)]
             for i, e, n in zip(b.column("vec_id").to_pylist(), end.tolist(), size.tolist()):
                 if n and i is not None and bad[e] == bad[e - n]:
+                    if wide[e] != wide[e - n]:
+                        raise OverflowError(f"vec_id {i}: a component times {scale} is beyond 64 bits")
                     ids.append(i)
                     out.append(codes[e - n : e].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "codes"])
@@ -65,15 +69,16 @@ class BitSlices:
         self.codes = codes.astype(np.int64)
         self.n, self.dims = codes.shape
         self.low = self.codes.min(0)
-        above = self.codes - self.low
+        self.most = max(int(self.codes.max(initial=0)), -int(self.codes.min(initial=0)))
+        above = self.codes.view(np.uint64) - self.low.view(np.uint64)  # may take all 64 bits
         self.cut = max(0, int(above.max(initial=0)).bit_length() - SLICES)
-        high = above >> self.cut
+        high = (above >> np.uint64(self.cut)).astype(np.int64)
         pad = -self.n % 64
         bits = ((high.T[:, None, :] >> np.arange(SLICES)[:, None]) & 1).astype(np.uint8)
         bits = np.pad(bits, ((0, 0), (0, 0), (0, pad)))
         self.slices = np.packbits(bits, axis=2, bitorder="little").view(np.uint64)  # (dims, SLICES, words)
         self.every = np.packbits(np.r_[np.ones(self.n, np.uint8), np.zeros(pad, np.uint8)], bitorder="little").view(np.uint64)
-        rest = (above - (high << self.cut)) - ((1 << self.cut) - 1) / 2
+        rest = (above - (high.view(np.uint64) << np.uint64(self.cut))).astype(np.int64) - ((1 << self.cut) - 1) / 2
         self.rest = float(np.sqrt((rest**2).sum(1)).max(initial=0))  # longest vector of cut bits, about their middle
         self.top = (1 << SLICES) - 1
         middle = (high - self.top / 2) * float(1 << self.cut)
@@ -148,19 +153,30 @@ class BitSlices:
             for i in mine.tolist():
                 allowed[i >> 6] &= ~np.uint64(1 << (i & 63))
         rows = self.candidates(q, k, allowed)
+        if self.dims * self.most * int(np.abs(q).max(initial=0)) >= 2**63:  # products or sums may not fit
+            return self._ranked(ids[rows], self.codes[rows], q, k)
         score = self.codes[rows] @ q
         best = np.lexsort((ids[rows], -score))[:k]
         return ids[rows[best]], score[best]
 
+    @staticmethod
+    def _ranked(ids: np.ndarray, codes: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search``, in integers of any size."""
+        score = (codes.astype(object) @ q.astype(object)).tolist()
+        best = sorted(zip(score, ids.tolist()), key=lambda s: (-s[0], s[1]))[:k]
+        if any(not -(2**63) <= s < 2**63 for s, _ in best):
+            raise OverflowError("a score is beyond 64 bits")
+        return np.array([i for _, i in best], np.int64), np.array([s for s, _ in best], np.int64)
+
 
 def _tables(ids: pa.Array, codes: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Dimension -> (ids, matrix)."""
     by: dict[int, tuple[list, list]] = {}
     for i, c in zip(ids.to_pylist(), codes.to_pylist()):
-        a, b = by.setdefault(len(c) // 4, ([], []))
+        a, b = by.setdefault(len(c) // 8, ([], []))
         a.append(i)
         b.append(c)
-    return {d: (np.array(a, np.int64), np.frombuffer(b"".join(b), "<i4").reshape(-1, d)) for d, (a, b) in by.items()}
+    return {d: (np.array(a, np.int64), np.frombuffer(b"".join(b), "<i8").reshape(-1, d)) for d, (a, b) in by.items()}
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCALE) -> DataFrame:
