@@ -69,3 +69,19 @@ def test_expand_stores_pcm_and_survives_damage(spark):
     assert sizes == {0: 800, 1: 800, 2: 2 * 2 * 121 * 2, 3: 200, 4: None, 5: None, 6: None, 7: None, 8: 0}
     stored = audio.store(frame(spark, edge_docs()).select("doc_id", "text"))
     assert audio.expand(stored).where("pcm is null").count() == 0
+
+
+def test_expand_keeps_channels(spark):
+    one, two = (np.random.default_rng(i).integers(0, 256, 64 * 9, dtype=np.uint8) for i in (1, 2))
+    both = np.stack([one, two], 1).tobytes()
+    adpcm = np.stack([one.reshape(-1, 16, 4), two.reshape(-1, 16, 4)], 2).tobytes()
+    kinds = [(audio.MULAW, 1, 8), (audio.ALAW, 1, 8), (audio.IMA, 64, 4), (audio.PCM, 2, 16)]
+    files = [audio.wave(np.stack([one.view("<i2"), two.view("<i2")], 1).tobytes() if t == audio.PCM else adpcm if t == audio.IMA else both, t, 8000, 2 * b, bits, 2) for t, b, bits in kinds]
+    files += [audio.wave(x.tobytes(), t, 8000, b, bits) for t, b, bits in kinds for x in (one, two)]
+    df = spark.createDataFrame(list(enumerate(files)), "id int, media binary")
+    got = {r["id"]: bytes(r["pcm"]) for r in audio.expand(df).collect()}
+    for i in range(4):
+        *_, data, channels = audio.read_wave(got[i])
+        assert channels == 2
+        want = [np.frombuffer(audio.read_wave(got[4 + 2 * i + c])[3], "<i2") for c in (0, 1)]
+        assert np.frombuffer(data, "<i2").reshape(-1, 2).T.tolist() == [w.tolist() for w in want]

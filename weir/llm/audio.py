@@ -1,7 +1,7 @@
 """Telephony audio columns: G.711 mu-law and A-law by lookup table, IMA ADPCM with numpy across blocks.
 
 ``expand`` turns a binary column of RIFF/WAVE files (mu-law, A-law or IMA ADPCM) into resampled
-16-bit PCM files. ``media_digest`` stores each text's bytes as 8-bit mu-law samples, reads the
+16-bit PCM files of as many channels. ``media_digest`` stores each text's bytes as 8-bit mu-law samples, reads the
 stored file back and computes features of what it read.
 
 Edge cases: null text is the empty payload, null media gives null PCM; an empty payload is padded
@@ -89,23 +89,23 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     if rate == to or not len(pcm):
         return pcm
     at = np.arange(len(pcm) * to // rate, dtype=np.int64) * rate
-    i, part = at // to, at % to
+    i, part = at // to, (at % to).reshape(-1, *[1] * (pcm.ndim - 1))
     x = pcm.astype(np.int64)
     return (x[i] + (x[np.minimum(i + 1, len(x) - 1)] - x[i]) * part // to).astype(np.int16)
 
 
-def wave(data: bytes, tag: int, rate: int = 8000, block: int = 1, bits: int = 8) -> bytes:
-    """A mono RIFF/WAVE file around ``data``."""
-    per_block = 2 * (block - 4) + 1 if tag == IMA else 1
+def wave(data: bytes, tag: int, rate: int = 8000, block: int = 1, bits: int = 8, channels: int = 1) -> bytes:
+    """A RIFF/WAVE file around ``data``; ``block`` holds all channels."""
+    per_block = 2 * (block // channels - 4) + 1 if tag == IMA else 1
     more = struct.pack("<HH", 2, per_block) if tag == IMA else b"" if tag == PCM else struct.pack("<H", 0)
-    form = struct.pack("<HHIIHH", tag, 1, rate, rate * block // per_block, block, bits) + more
+    form = struct.pack("<HHIIHH", tag, channels, rate, rate * block // per_block, block, bits) + more
     fact = b"" if tag == PCM else b"fact" + struct.pack("<II", 4, len(data) // block * per_block)
     body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + fact + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_wave(file: bytes) -> tuple[int, int, int, memoryview]:
-    """(format tag, sample rate, block size, data) of a RIFF/WAVE file."""
+def read_wave(file: bytes) -> tuple[int, int, int, memoryview, int]:
+    """(format tag, sample rate, block size, data, channels) of a RIFF/WAVE file."""
     if file[:4] != b"RIFF" or file[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
     at, form = 12, None
@@ -113,20 +113,28 @@ def read_wave(file: bytes) -> tuple[int, int, int, memoryview]:
         name, size = file[at : at + 4], struct.unpack_from("<I", file, at + 4)[0]
         if name == b"fmt ":
             tag, channels, rate, _, block, _ = struct.unpack_from("<HHIIHH", file, at + 8)
-            if channels != 1:
-                raise ValueError("not mono")
+            if not channels:
+                raise ValueError("no channel")
             form = tag, rate, block
         elif name == b"data":
             if not form or at + 8 + size > len(file):
                 raise ValueError("damaged")
-            return *form, memoryview(file)[at + 8 : at + 8 + size]
+            return *form, memoryview(file)[at + 8 : at + 8 + size], channels
         at += 8 + size + (size & 1)
     raise ValueError("no data")
 
 
-def decode(tag: int, block: int, data) -> np.ndarray:
-    """16-bit samples of mu-law, A-law, IMA ADPCM or PCM data."""
+def decode(tag: int, block: int, data, channels: int = 1) -> np.ndarray:
+    """16-bit samples of mu-law, A-law, IMA ADPCM or PCM data: (samples,) of one channel, (samples, channels) of more."""
     raw = np.frombuffer(data, np.uint8)
+    if channels > 1 and tag == IMA:  # headers of all channels, then four bytes of each in turn
+        if block <= 4 * channels or block % (4 * channels):
+            raise ValueError("damaged")
+        words = raw[: len(raw) // block * block].reshape(-1, block // channels // 4, channels, 4)
+        return np.stack([decode(tag, block // channels, words[:, :, c].tobytes()) for c in range(channels)], 1)
+    if channels > 1:
+        frame = channels * (2 if tag == PCM else 1)
+        return decode(tag, block, raw[: len(raw) // frame * frame]).reshape(-1, channels)
     if tag in TABLE:
         return TABLE[tag][raw]
     if tag == IMA and block > 4:
@@ -145,8 +153,8 @@ def expand(df: DataFrame, column: str = "media", rate: int = 16000, output: str
         if file is None:
             return None
         try:
-            tag, own, block, data = read_wave(file)
-            return wave(resample(decode(tag, block, data), own, rate).astype("<i2").tobytes(), PCM, rate, 2, 16)
+            tag, own, block, data, channels = read_wave(file)
+            return wave(resample(decode(tag, block, data, channels), own, rate).astype("<i2").tobytes(), PCM, rate, 2 * channels, 16, channels)
         except (ValueError, struct.error):
             return None
 
