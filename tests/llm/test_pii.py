@@ -73,3 +73,17 @@ def test_table(spark):
     assert pii.pseudonymise(df.limit(0)).count() == 0
     back = pii.pseudonymise(out, back=True)
     assert {(r["doc_id"], r["text"]) for r in back.collect()} == before
+
+
+def test_phones_abroad_and_long_cards():
+    nineteen = next(f"6304 0000 0000 0000 {n:03d}" for n in range(1000) if pii.luhn(f"6304000000000000{n:03d}") == 0)
+    for t in ("+44 20 7946 0958", "+49 30 123456", "+33.1.23.45.67.89", "+4915112345678", "+44 (0)20 7946 0958", nineteen, nineteen.replace(" ", "-")):
+        new, found = pii.replace(f"x {t}, y", K)
+        assert new != f"x {t}, y" and sum(found.values()) == 1 and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"x {t}, y")
+        assert pii.replace(new, K, back=True)[0] == f"x {t}, y"
+    for tail in (*range(60), "123-45-6789", "10.0.0.1", "2021-02-28"):
+        text = f"4111 1111 1111 1111 {tail}"
+        new = pii.replace(text, K)[0]
+        assert not new.startswith("4111 1111 1111 1111") and pii.replace(new, K, back=True)[0] == text
+        assert isinstance(tail, int) or tail not in new
+    assert pii.replace("+10.0.0.1 +2021-02-28", K)[1] == {"ip": 1, "date": 1}

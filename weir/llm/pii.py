@@ -1,6 +1,7 @@
 """Format-preserving pseudonyms for personal data.
 
-Found values are validated (Luhn, mod 97, calendar, octet ranges, number plans) and then permuted
+Found values are validated (Luhn, mod 97, calendar, octet ranges, SSN areas, country codes after a
+plus; North American phones by their layout alone) and then permuted
 within their own format by a keyed alternating Feistel network: positions keep their character
 class, check digits are computed anew, dates stay dates. The permutation depends on key and kind
 alone, so equal values have equal pseudonyms in every document, and the key holder can invert it.
@@ -47,7 +48,8 @@ _NUMBERS = re.compile(
     r"|(?P<phone>(?:\+\d{1,3}[ -]?)?\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|(?<![\d-])(?:\+\d{1,3}[ -])?\d{3}(?P<s1>[-. ])\d{3}(?P=s1)\d{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<date>(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d]|[/.-]\d))"
-    r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<s2>[ -])\d{4}(?P=s2)\d{4}(?:(?P=s2)\d{1,7})?|\d{4}(?P<s3>[ -])\d{6}(?P=s3)\d{5})(?!\d))"
+    r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<s2>[ -])\d{4}(?P=s2)\d{4}(?:(?P=s2)\d{4}(?P=s2)\d{1,3}(?![ ./-]?\d)|(?P=s2)\d{1,7})?|\d{4}(?P<s3>[ -])\d{6}(?P=s3)\d{5})(?!\d))"
+    r"|(?P<abroad>(?<!\d)\+(?!\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)|\d{4}-\d{2}-\d{2}(?!\d))\d(?:[ ()./-]{0,2}\d){7,14}(?![ ()./-]{0,2}\d))"
 )
 
 
@@ -112,7 +114,13 @@ def luhn(digits: str) -> int:
 def _card(key, value, back):
     digits = re.sub(r"\D", "", value)
     if not 13 <= len(digits) <= 19 or luhn(digits):
-        return None
+        head, tail = value[:19], value[19:]  # four groups of four may be a card of their own before a short number
+        if not re.fullmatch(r"[ -]\d{1,3}", tail) or luhn(re.sub(r"\D", "", head)):
+            return None
+        while True:  # cycle walking, so that all groups together stay no card
+            head = _card(key, head, back)
+            if luhn(re.sub(r"\D", "", head + tail)):
+                return head + tail
     body = _in_class(key, "card", digits[:-1], back)
     return _refill(value, body + str(-luhn(body + "0") % 10))
 
@@ -146,6 +154,18 @@ def _phone(key, value, back):
     return _refill(value, digits[:-10] + _in_class(key, "phone", digits[-10:], back))  # the country stays
 
 
+#: Country codes of two digits (1 and 7 have one, others three).
+_TWO = {"20", "27", *map(str, (*range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98))}
+
+
+def _abroad(key, value, back):
+    digits = re.sub(r"\D", "", value)
+    n = 1 if digits[0] in "17" else 2 if digits[:2] in _TWO else 3
+    if digits[0] == "0":
+        return None
+    return _refill(value, digits[:n] + _in_class(key, "phone" + digits[:n], digits[n:], back))  # the country stays
+
+
 def _ip(key, value, back):
     parts = [int(p) for p in value.split(".")]
     if max(parts) > 255 or any(p != "0" and p[0] == "0" for p in value.split(".")):
@@ -192,7 +212,7 @@ def _secret(key, value, back):
     return _in_class(key, "secret", value, back, _HEX if all(c in _HEX for c in value) else None)
 
 
-KINDS: dict[str, Callable] = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date, "email": _email, "secret": _secret}
+KINDS: dict[str, Callable] = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "abroad": _abroad, "ip": _ip, "date": _date, "email": _email, "secret": _secret}
 
 
 @lru_cache(100_000)
@@ -209,7 +229,7 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, Counter]:
         new = pseudonym(key, kind, value, back)
         if new is None:
             return value
-        found[kind] += 1
+        found["phone" if kind == "abroad" else kind] += 1
         return new
 
     def numbers(m: re.Match) -> str:
