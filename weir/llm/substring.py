@@ -1,22 +1,22 @@
-"""Substring dedup: repeated windows of words, by suffix trees partitioned by prefix.
+"""Substring dedup: repeated windows of words, by equality classes of fixed depth on anchor groups.
 
-A word position starts a suffix; two windows of ``window`` words are equal when their suffixes
-share a tree node at least that deep. The suffixes are split into groups that fit in memory:
+These replace suffix trees partitioned by prefix: no tree is built, nothing deeper than ``window``
+words is named, and no maximal repeats are found; a longer repeat is the union of its windows. The
+windows are split into groups that fit in memory:
 
 Documents whose whole text is another's are set aside first (all their windows are repeats, as
 far as they have any); only the earliest of equal texts takes part below.
 
 1. Of the k-word grams in a window, the one of smallest hash is its anchor. Equal windows have
-   equal anchors, so the anchor gram is the prefix that partitions suffixes. Two Bloom filters
-   (for a huge corpus, a shuffle of anchor hashes) tell which anchors may occur twice; other
-   suffixes have no deep node and go no further.
+   equal anchors, so the anchor gram, wherever it lies in the window, partitions the windows. Two Bloom
+   filters (for a huge corpus, a shuffle of anchor hashes) tell which anchors may occur twice; other
+   windows go no further.
 2. Runs of windows with one suspected anchor are shipped as one piece of text, to the group of
    the anchor; a piece that a task has already seen is a repeat at once and isn't shipped again.
-   Prefixes have variable length: an anchor that is counted very often would make too large a
+   An anchor that is counted very often would make too large a
    group, so its windows are grouped by their whole text instead.
-3. Each group's subtree is built on the actual words, by naming substrings of doubled length (the
-   classes of depth d are the tree's nodes of depth d); a node of depth ``window`` with several
-   leaves is a repeat, and all its leaves but the earliest are marked.
+3. In each group, runs of ``window`` actual words are named by doubling lengths; a class of several
+   windows is a repeat, and all of it but the earliest are marked.
 
 Marked words go back to their documents as intervals. Hashes choose and partition; equality is
 decided on words.
@@ -213,7 +213,7 @@ class _Seen:
 
 
 def classes(ids: np.ndarray, depth: int) -> np.ndarray:
-    """A name for the ``depth`` items from each position, equal exactly for equal items: tree nodes by doubled lengths."""
+    """A name for the ``depth`` items from each position, equal exactly for equal items, by doubling lengths."""
     names, have = ids.astype(np.int64), 1
 
     def pairs(step: int) -> np.ndarray:
@@ -279,7 +279,7 @@ def repeated_intervals(docs: DataFrame, window: int, copies) -> DataFrame:
             first, last = first[keep], last[keep]
             key = a.low[first]
             often = np.isin(key, hot.value)
-            if often.any():  # a longer prefix: the whole window
+            if often.any():  # a longer key: the whole window
                 one = np.concatenate([np.arange(x, y + 1) for x, y in zip(first[often], last[often])])
                 key = np.concatenate([key[~often], _rolling(a.hash, window)[one]])
                 first, last = np.concatenate([first[~often], one]), np.concatenate([last[~often], one])
