@@ -40,19 +40,10 @@ def test_digest_equals_brute_force(spark, window):
     assert rows_of(substring.dedup_passages(frame(spark, rows), window, digest=True), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
-def test_hot_anchors_small_runs_and_no_copies_set_aside(spark, monkeypatch):
-    for name, value in (("HOT", 2), ("RUN", 3), ("AT_ONCE", 200), ("REMEMBERED", 2000), ("COPIES", 0)):
+@pytest.mark.parametrize("change", [{"HOT": 2, "SAMPLED": 1}, {"CHUNK": 100, "GROUP": 500}, {"AT_ONCE": 2000, "CHUNK": 100, "GROUP": 1 << 40}])
+def test_hot_anchors_and_small_groups(spark, monkeypatch, change):
+    for name, value in change.items():
         monkeypatch.setattr(substring, name, value)
-    monkeypatch.setattr(substring.twobloom, "OFTEN", 2)
-    rows = docs()
-    want = sorted(((r["doc_id"], g) for r, (_, g, _) in zip(rows, brute(rows, 20))), key=repr)
-    assert rows_of(substring.dedup_passages(frame(spark, rows), 20, digest=True), "doc_id", "n_removed") == want
-
-
-@pytest.mark.parametrize("hot", [2, 4096])
-def test_anchors_by_shuffle(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring, "FILTERED", -1)
-    monkeypatch.setattr(substring, "HOT", hot)
     rows = docs()
     want = sorted(((r["doc_id"], g) for r, (_, g, _) in zip(rows, brute(rows, 20))), key=repr)
     assert rows_of(substring.dedup_passages(frame(spark, rows), 20, digest=True), "doc_id", "n_removed") == want
@@ -66,10 +57,62 @@ def test_texts_keep_columns(spark):
     assert substring.dedup_passages(df.limit(0)).count() == 0
 
 
-def test_classes_name_equal_substrings():
+def pieces(rng, n, words):
+    text = [b" ".join(b"ab"[x : x + 1] for x in rng.integers(0, 2, rng.integers(3, words))) for _ in range(n)]
+    text = list(dict.fromkeys(text))
+    k = np.arange(len(text))
+    return substring.Pieces(text, k.astype(np.uint64), k // 3 - 2, k > 4, k % 2, 5 * k, k % 3 == 1)
+
+
+def test_subtrees_equal_brute_force():
     rng = np.random.default_rng(3)
-    ids = rng.integers(0, 2, 300)
-    for depth in (1, 2, 3, 5, 8, 11):
-        c = substring.classes(ids, depth)
-        sub = [tuple(ids[i : i + depth]) for i in range(len(ids) - depth + 1)]
-        assert len(c) >= len(sub) and len({(a, b) for a, b in zip(c, sub)}) == len(set(sub)) == len(set(c[: len(sub)]))
+    for window in (3, 4, 7):
+        p = pieces(rng, 40, 25)
+        split = [t.split() for t in p.text]
+        where = {}
+        for i, w in enumerate(split):
+            for x in range(len(w) - window + 1):
+                where.setdefault(tuple(w[x : x + window]), []).append((bool(p.known[i]), int(p.id[i]), int(p.th[i]), int(p.first[i]) + x))
+        want = sorted(place for places in where.values() for place in places if place != min(places))
+        row, first, to = substring.repeats_in(p, window)
+        assert sorted((bool(p.known[i]), int(p.id[i]), int(p.th[i]), f) for i, f in zip(row.tolist(), first.tolist())) == want
+        assert (to - first == window).all()
+        # Branching nodes: runs of words that are followed by different words, or by an end, at least twice.
+        next_words = {}
+        for i, w in enumerate(split):
+            for x in range(len(w) - window + 1):
+                for y in range(x + window, len(w) + 1):
+                    next_words.setdefault(tuple(w[x:y]), []).append(w[y] if y < len(w) else (i, x))
+        nodes = sorted((len(r), r, len(n)) for r, n in next_words.items() if len(set(n)) > 1)
+        tree = substring._tree(p, window)
+        got = [(d, tuple(split[tree.piece[a]][tree.inner[a] : tree.inner[a] + d]), int(n)) for d, one, count in tree.branching() for a, n in zip(one, count)]
+        assert sorted(got) == nodes
+
+
+def test_windows_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(substring, "_rolling", lambda h, k: np.zeros(max(0, len(h) - k + 1), np.uint64))
+    p = pieces(np.random.default_rng(5), 20, 12)
+    tree = substring._tree(p, 3)
+    name = [tuple(p.text[i].split()[x : x + 3]) for i, x in zip(tree.piece.tolist(), tree.inner.tolist())]
+    named = {(n, w) for n, w in zip(tree.node.tolist(), name) if n >= 0}
+    assert len(named) == len({n for n, _ in named}) == len({w for _, w in named})
+
+
+def test_pieces_survive_packing():
+    p = pieces(np.random.default_rng(1), 30, 9)
+    q = substring.Pieces.unpack(p.pack())
+    assert p.text == q.text and all((getattr(p, c) == getattr(q, c)).all() for c in ("key", "id", "known", "th", "first", "loops"))
+
+
+def test_maximal_repeats(spark):
+    a, b = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(25))
+    rows = [{"doc_id": i, "text": t, "lang": "en", "source": "s"} for i, t in enumerate([f"x {a} y", f"z {a} w {b}", f"u {b} v", "nothing else"])]
+    got = substring.maximal_repeats(frame(spark, rows), 20).collect()
+    assert got and all(r["n_texts"] == 2 and r["n_words"] == len(r["passage"].split()) >= 20 and (r["passage"] in a or r["passage"] in b) for r in got)
+    assert substring.maximal_repeats(frame(spark, [])).count() == 0
+
+
+def test_any_column_names(spark):
+    df = frame(spark, docs()).withColumnsRenamed({"key": "__id", "spans": "__th", "pii": "__spans", "size": "row", "id": "__i"})
+    out = substring.dedup_passages(df)
+    assert out.columns == df.columns and rows_of(out, "doc_id", "__id", "row") == rows_of(df, "doc_id", "__id", "row")

@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,9 +25,15 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a folder of its own; on a cluster that would be one folder a machine, so
+    it is an error there.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="weir-shared-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()
@@ -36,13 +43,17 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str, narrow: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Tables of narrow rows are written in two files a core at most, not one a shuffle partition.
+    A table of narrow rows is rebalanced, so that it has few files while it is small and files of the advisory
+    size however large it grows; what computes it keeps its own number of tasks. Staged tables go when no
+    later plan reads them (``unstage``), with ``clear_stages``, or at the latest with the driver's JVM.
     """
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(2 * max(2, spark.sparkContext.defaultParallelism))
+        df = df.hint("rebalance", 2 * max(2, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     _staged.append(path)
@@ -68,6 +79,24 @@ def clear_stages(spark: SparkSession) -> None:
         _remove(spark, path)
 
 
+#: Before the names of an operator's own columns beside a caller's, whose names may be any.
+OWN = "\0"
+
+
+def packed(df: DataFrame, columns: list[str], **own: Column) -> DataFrame:
+    """``own`` columns and the caller's ``columns`` as one struct ``row``, so that no names clash."""
+    return df.select(*[c.alias(n) for n, c in own.items()], F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The caller's columns again, then the operator's own with ``OWN`` before their names."""
+    for b in batches:
+        row = b.column("row")
+        row = row.combine_chunks() if isinstance(row, pa.ChunkedArray) else row
+        rest = [n for n in b.schema.names if n != "row"]
+        yield pa.RecordBatch.from_arrays([*row.flatten(), *(b.column(n) for n in rest)], [*columns, *(OWN + n for n in rest)])
+
+
 def text_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) and UTF-8 bytes of a string column; null reads as empty."""
     if isinstance(col, pa.ChunkedArray):

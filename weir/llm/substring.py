@@ -1,25 +1,20 @@
-"""Substring dedup: repeated windows of words, by equality classes of fixed depth on anchor groups.
+"""Substring dedup: repeated windows of words, by suffix subtrees over prefix-partitioned groups.
 
-These replace suffix trees partitioned by prefix: no tree is built, nothing deeper than ``window``
-words is named, and no maximal repeats are found; a longer repeat is the union of its windows. The
-windows are split into groups that fit in memory:
+A suffix starts at every word that has ``window`` words before its text ends. One path at every size:
 
-Documents whose whole text is another's are set aside first (all their windows are repeats, as
-far as they have any); only the earliest of equal texts takes part below.
+1. Partition. Of the k-word grams in a suffix's first ``window`` words, the one of smallest hash is its
+   anchor; equal windows have equal anchors, so the hash range of the anchor is the suffix's group. Groups are
+   so many that one fits in memory. Neighbouring suffixes mostly share an anchor and travel as one piece of
+   text: about 3.4 times the text, where suffixes by literal first words would need 20 times. Where a sample
+   shows an anchor to be hot, its suffixes get a longer key: all words of the window.
+2. Pre-aggregation. A task ships equal pieces once, with their earliest place; the others are repeats at once.
+3. Subtrees. In a group, pieces whose anchor no other piece has are passed over. Over the rest the suffix tree
+   is evaluated top down, from depth ``window`` on: suffixes below one node of that depth are equal
+   windows, and all but the earliest are repeats. ``maximal_repeats`` goes on to the deeper nodes, each
+   of which is a repeat that no longer one replaces.
 
-1. Of the k-word grams in a window, the one of smallest hash is its anchor. Equal windows have
-   equal anchors, so the anchor gram, wherever it lies in the window, partitions the windows. Two Bloom
-   filters (for a huge corpus, a shuffle of anchor hashes) tell which anchors may occur twice; other
-   windows go no further.
-2. Runs of windows with one suspected anchor are shipped as one piece of text, to the group of
-   the anchor; a piece that a task has already seen is a repeat at once and isn't shipped again.
-   An anchor that is counted very often would make too large a
-   group, so its windows are grouped by their whole text instead.
-3. In each group, runs of ``window`` actual words are named by doubling lengths; a class of several
-   windows is a repeat, and all of it but the earliest are marked.
-
-Marked words go back to their documents as intervals. Hashes choose and partition; equality is
-decided on words.
+Repeats go back to their documents as intervals of words; one that runs through several groups
+is the union of theirs. Hashes partition and propose; equality is decided on words.
 
 Edge cases: null or empty text has no words; texts shorter than a window lose nothing; rows of
 equal doc_id and text are one document (what one keeps, all keep), rows of equal doc_id and other
@@ -31,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import twobloom
-from .common import slices, stage, text_view, texts
+from .common import OWN, packed, slices, text_view, texts, unpacked
 
-GRAM = 8
-#: Counted occurrences from which an anchor's windows are grouped by their whole text.
+GRAM = 6
+#: Pieces from which an anchor's suffixes are grouped by their whole window (a millionth of all, if that is more).
 HOT = 4096
-#: Windows of one shipped piece, at most; bytes that a task remembers; bytes of pieces handled at once.
-RUN, REMEMBERED, AT_ONCE = 256, 32 << 20, 4 << 20
-#: Anchors up to which Bloom filters tell the repeated ones; beyond, a shuffle of their hashes does.
-FILTERED = twobloom.MAX_BITS // 8
-#: Equal texts (24 bytes each) up to which every worker knows them.
-COPIES = 2_000_000
+#: One document in so many is looked at for hot anchors. This decides cost, never results.
+SAMPLED = 16
+#: Suffixes of one piece, at most; bytes of text that a task turns into pieces at once.
+RUN, CHUNK = 256, 12 << 20
+#: Bytes of pieces in a group, about; bytes from which a group's equal pieces are reduced before all have come.
+GROUP, AT_ONCE = 4 << 20, 48 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -100,36 +95,28 @@ def _rolling(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def _extreme(x: np.ndarray, w: int, f) -> np.ndarray:
-    """``f`` (minimum or maximum) over every w consecutive items."""
+def _smallest(x: np.ndarray, w: int) -> np.ndarray:
+    """The minimum of every w consecutive items."""
     n, have = len(x) - w + 1, 1
     if n <= 0:
         return x[:0]
     while 2 * have <= w:
-        x = f(x[:-have], x[have:])
+        x = np.minimum(x[:-have], x[have:])
         have *= 2
-    return f(x[:n], x[w - have : w - have + n])
+    return np.minimum(x[:n], x[w - have : w - have + n])
 
 
 class Anchors:
-    """Anchors of one slice of texts: ``low`` is each window's smallest gram hash, ``valid`` says which windows lie in one text."""
+    """The suffixes of one slice of texts: ``low`` is each window's smallest gram hash, ``valid`` says which windows lie in one text."""
 
     def __init__(self, off: np.ndarray, raw: np.ndarray, window: int):
         self.start, self.end, self.text, self.hash = words_of(off, raw)
-        self.k = min(GRAM, window)
-        self.grams = _rolling(self.hash, self.k)
-        self.low = _extreme(self.grams, window - self.k + 1, np.minimum)
+        k = min(GRAM, window)
+        self.span = window - k + 1  # grams in a window
+        self.grams = _rolling(self.hash, k)
+        self.low = _smallest(self.grams, self.span)
         n = len(self.low)
         self.valid = self.text[:n] == self.text[window - 1 : window - 1 + n]
-        self.span = window - self.k + 1
-
-    def occurrences(self) -> np.ndarray:
-        """The hash of every anchor position, once each."""
-        if not self.valid.any():
-            return np.zeros(0, np.uint64)
-        pad = np.zeros(self.span - 1, np.uint64)
-        best = _extreme(np.concatenate([pad, np.where(self.valid, self.low, np.uint64(0)), pad]), self.span, np.maximum)
-        return self.grams[best == self.grams]
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """First and last window of the runs of valid windows with one anchor, at most RUN long."""
@@ -142,215 +129,355 @@ class Anchors:
         first = np.flatnonzero(new)
         return at[first], at[np.r_[first[1:] - 1, len(at) - 1]]
 
+    def loops(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which runs meet their anchor more than once, so that they may repeat themselves."""
+        if not len(first):
+            return np.zeros(0, bool)
+        n = last - first + self.span
+        head = np.cumsum(n) - n
+        at = np.repeat(first - head, n) + np.arange(int(n.sum()))
+        return np.add.reduceat(self.grams[at] == np.repeat(self.low[first], n), head, dtype=np.int64) > 1
 
-class Copies:
-    """Equal texts that occur in several rows: text hash -> the earliest doc_id."""
-
-    def __init__(self, only: DataFrame):
-        groups = only.groupBy("th").agg(
-            F.min(F.md5("text")).alias("low"), F.max(F.md5("text")).alias("high"), F.count(F.lit(1)).alias("n"),
-            F.min("id").alias("id"), F.count("id").alias("known"),
-        )
-        # Two texts with one hash would show different digests; they aren't set aside.
-        found = stage(groups.where("n > 1 and low = high").select("th", "id", (F.col("known") == F.col("n")).alias("known")), "copies")
-        rows = found.toArrow() if found.count() <= COPIES else None  # beyond, copies go the way of other repeats
-        order = np.argsort(rows["th"].to_numpy()) if rows else []
-        self.th = rows["th"].to_numpy()[order] if rows else np.zeros(0, np.int64)
-        self.id = rows["id"].fill_null(0).to_numpy()[order] if rows else self.th
-        self.known = rows["known"].to_numpy()[order] if rows else np.zeros(0, bool)
-
-    def later(self, id_col: pa.Array, th_col: pa.Array) -> np.ndarray:
-        """Which rows repeat the text of an earlier document."""
-        th = th_col.to_numpy(zero_copy_only=False)
-        if not len(self.th):
-            return np.zeros(len(th), bool)
-        at = np.minimum(np.searchsorted(self.th, th), len(self.th) - 1)
-        known = id_col.is_valid().to_numpy(zero_copy_only=False)
-        same = self.known[at] == known  # with a null id in the group, rows of null id are the earliest
-        first = same & ((self.id[at] == id_col.fill_null(0).to_numpy(zero_copy_only=False)) | ~known)
-        return (self.th[at] == th) & ~first
-
-
-def _occurrences(window: int, copies):
-    def hashes(batch: pa.RecordBatch) -> np.ndarray:
-        batch = batch.filter(pa.array(~copies.value.later(batch.column("id"), batch.column("th"))))
-        found = [Anchors(*text_view(b.column("text")), window).occurrences() for b in slices(iter([batch]), most=1 << 20)]
-        return np.concatenate([np.zeros(0, np.uint64), *found])
-
-    return hashes
-
-
-class _Seen:
-    """Pieces that a task has met, each with its earliest place; others of the same text are repeats."""
-
-    def __init__(self):
-        self.pieces: dict[tuple[int, bytes], tuple] = {}
-        self.size = 0
-        self.repeats: list[tuple] = []
-
-    def add(self, key: int, text: bytes, place: tuple) -> None:
-        """``place``: (id is not null, id, text hash, first word, last word + 1)."""
-        old = self.pieces.setdefault((key, text), place)
-        if old is place:
-            self.size += len(text) + 300
-        elif place[:4] != old[:4]:
-            self.pieces[key, text], later = (place, old) if place < old else (old, place)
-            self.repeats.append(later)
-
-    def drain(self) -> Iterator[pa.RecordBatch]:
-        """Everything as rows: repeats have no text."""
-        rows = [(hash(p), p, None) for p in self.repeats] + [(k, p, t) for (k, t), p in self.pieces.items()]
-        self.__init__()
-        for i in range(0, len(rows), 20_000):
-            part = rows[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in part], pa.int64()), pa.array([r[1][1] for r in part], pa.int64()), pa.array([r[1][2] for r in part], pa.int64()),
-                    pa.array([r[1][3] for r in part], pa.int64()), pa.array([r[1][4] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.binary()),
-                ],
-                ["key", "id", "th", "from", "to", "piece"],
-            )
-
-
-def classes(ids: np.ndarray, depth: int) -> np.ndarray:
-    """A name for the ``depth`` items from each position, equal exactly for equal items, by doubling lengths."""
-    names, have = ids.astype(np.int64), 1
-
-    def pairs(step: int) -> np.ndarray:
-        n = len(names) - step
-        return np.unique(names[:n] * (names.max() + 1) + names[step:], return_inverse=True)[1]
-
-    while 2 * have <= depth:
-        names = pairs(have)
-        have *= 2
-    return pairs(depth - have) if have < depth else names
 
+@dataclass
+class Pieces:
+    """Pieces of text and where they are: key, id (0 for null), known (id is not null), th (text hash), first word; loops: may repeat itself.
+
+    Packing keeps the low 32 bits of the key; the high ones are the group's.
+    """
 
-def repeats_in(pieces: list[bytes], ids: list, ths: np.ndarray, first: np.ndarray, window: int) -> list[tuple]:
-    """(row, first word, last word + 1) of the windows in ``pieces`` that are equal to an earlier one."""
+    text: list[bytes]
+    key: np.ndarray
+    id: np.ndarray
+    known: np.ndarray
+    th: np.ndarray
+    first: np.ndarray
+    loops: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def take(self, at: np.ndarray) -> Pieces:
+        return Pieces([self.text[i] for i in at.tolist()], self.key[at], self.id[at], self.known[at], self.th[at], self.first[at], self.loops[at])
+
+    def places(self) -> np.ndarray:
+        """A number for each piece: equal for equal places, smaller for earlier ones."""
+        order = np.lexsort((self.first, self.th, self.id, self.known))
+        new = np.zeros(len(order), bool)
+        for c in (self.first, self.th, self.id, self.known):
+            new[1:] |= c[order[1:]] != c[order[:-1]]
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(new)
+        return out
+
+    @staticmethod
+    def join(parts: list[Pieces]) -> Pieces:
+        return Pieces([t for p in parts for t in p.text], *(np.concatenate([getattr(p, c) for p in parts]) for c in ("key", "id", "known", "th", "first", "loops")))
+
+    def pack(self) -> bytes:
+        """All as compressed bytes; numbers by byte of significance, since the high ones hardly differ."""
+        base = int(self.id.min())
+        numbers = ((self.id - base).view("<u8"), self.th.astype("<i8"), self.first.astype("<u4"), np.array([*map(len, self.text)], "<u4"), self.key.astype("<u4"), self.known + 2 * self.loops.astype("u1"))
+        flat = b"".join([*(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in numbers), *self.text])
+        return b"".join([np.array([len(self), len(flat)], "<u4").tobytes(), np.array([base], "<i8").tobytes(), pa.compress(flat, "zstd", asbytes=True)])
+
+    @staticmethod
+    def unpack(data: bytes) -> Pieces:
+        n, size = np.frombuffer(data, "<u4", 2).tolist()
+        flat = pa.decompress(data[16:], size, "zstd", asbytes=True)
+        at, columns = 0, []
+        for kind in ("<u8", "<i8", "<u4", "<u4", "<u4", "u1"):
+            width = np.dtype(kind).itemsize
+            columns.append(np.ascontiguousarray(np.frombuffer(flat, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+            at += n * width
+        cuts = np.cumsum(np.r_[at, columns[3]]).tolist()
+        base = np.frombuffer(data, "<i8", 1, 8)
+        return Pieces([flat[a:b] for a, b in zip(cuts, cuts[1:])], columns[4], columns[0].view("<i8") + base, (columns[5] & 1).astype(bool), columns[1], columns[2].astype(np.int64), columns[5] > 1)
+
+
+def _distinct(p: Pieces) -> tuple[Pieces, Pieces]:
+    """(each distinct text with its earliest place, the pieces that repeat one from another place)."""
     number: dict[bytes, int] = {}
-    split = [p.split(b" ") for p in pieces]
-    sizes = np.array([len(s) for s in split])
-    flat = np.array([number.setdefault(w, len(number)) for s in split for w in s], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    row = np.repeat(np.arange(len(sizes)), sizes - window + 1)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(sizes - window + 1) - (sizes - window + 1), sizes - window + 1)
-    name = classes(flat, window)[starts[row] + inner]
-    known = np.array([i is not None for i in ids])
-    doc = np.array([i or 0 for i in ids], np.int64)
-    place = inner + first[row]
-    order = np.lexsort((place, ths[row], doc[row], known[row], name))
-    r, p = row[order], place[order]
-    head = np.r_[True, np.diff(name[order]) != 0]
-    lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-    same = (doc[r] == doc[r[lead]]) & (known[r] == known[r[lead]]) & (ths[r] == ths[r[lead]]) & (p == p[lead])
-    hit = np.sort(order[~same])  # back in order of rows and words
-    if not len(hit):
-        return []
-    new = np.r_[True, (np.diff(hit) > 1) | (row[hit[1:]] != row[hit[:-1]])]
-    a = np.flatnonzero(new)
-    b = np.r_[a[1:] - 1, len(hit) - 1]
-    return list(zip(row[hit[a]].tolist(), place[hit[a]].tolist(), (place[hit[b]] + window).tolist()))
-
-
-def repeated_intervals(docs: DataFrame, window: int, copies) -> DataFrame:
-    """id, th (text hash), spans: the word intervals [from, to) that repeat earlier text, of documents that ``copies`` doesn't name."""
-    only = _named(docs)
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    anchors = chars // 40  # one each 7 words or so; words of 6 characters
-    if anchors <= FILTERED:
-        twice, hot = twobloom.twice_seen(only, _occurrences(window, copies), twobloom.bits_for(anchors), HOT)
-    else:
-        only, hot = _with_repeated_anchors(only, window, copies, max(HOT, anchors // 1_000_000))
-        twice = None
+    same = np.array([number.setdefault(t, i) for i, t in enumerate(p.text)], np.int64)
+    if len(number) == len(p):
+        return p, p.take(np.zeros(0, np.int64))
+    place = p.places()
+    order = np.lexsort((place, same))
+    head = np.r_[True, np.diff(same[order]) != 0]
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    return p.take(np.sort(order[head])), p.take(order[place[order] != place[lead]])
+
+
+class Subtree:
+    """The deep part of the suffix tree over some pieces, evaluated top down: nodes at least ``window`` words deep.
+
+    ``ids`` are the words of all pieces as numbers, ``sizes`` the pieces' numbers of words. Suffixes end
+    with their piece. ``node[i]`` names the node that suffix i passes at depth ``window``, -1 where it is alone there.
+    """
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, window: int):
+        self.ids, self.window = ids, window
+        ends = np.cumsum(sizes)
+        n = np.maximum(sizes - window + 1, 0)
+        self.piece = np.repeat(np.arange(len(sizes)), n)
+        self.inner = np.arange(len(self.piece)) - np.repeat(np.cumsum(n) - n, n)
+        self.start = (ends - sizes)[self.piece] + self.inner
+        self.end = ends[self.piece]
+        h = _rolling(mix(ids.astype(np.uint64)), window)[self.start]
+        order = np.argsort(h, kind="stable")
+        new = np.r_[True, h[order[1:]] != h[order[:-1]]] if len(order) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        many = np.bincount(group, minlength=1)[group] > 1 if len(order) else new
+        order, group = order[many], group[many]
+        self.node = np.full(len(self.start), -1, np.int64)
+        if len(order):
+            words = self.start[order]
+            lead = words[np.maximum.accumulate(np.where(np.r_[True, np.diff(group) != 0], np.arange(len(group)), 0))]
+            equal = np.ones(len(order), bool)
+            for d in range(window):
+                equal &= ids[words + d] == ids[lead + d]
+            if not equal.all():  # different windows of one hash: name them by their words
+                group = np.unique(ids[words[:, None] + np.arange(window)], axis=0, return_inverse=True)[1].ravel()
+                kept = np.bincount(group)[group] > 1
+                order, group = order[kept], group[kept]
+            self.node[order] = group
+
+    def branching(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(depth, a suffix below each node, number of suffixes below it) of the branching nodes, level by level."""
+        at = np.flatnonzero(self.node >= 0)
+        node = np.unique(self.node[at], return_inverse=True)[1]
+        depth = self.window
+        while len(at):
+            inside = self.start[at] + depth < self.end[at]
+            word = np.where(inside, self.ids[np.minimum(self.start[at] + depth, len(self.ids) - 1)], -1 - np.arange(len(at)))  # ends differ from each other
+            order = np.lexsort((word, node))
+            a, n, w = at[order], node[order], word[order]
+            top = np.r_[True, n[1:] != n[:-1]]
+            child = np.cumsum(top | np.r_[True, w[1:] != w[:-1]]) - 1
+            children = np.bincount(n, np.r_[True, child[1:] != child[:-1]], minlength=n.max() + 1)
+            split = children[n[top]] > 1
+            if split.any():
+                yield depth, a[top][split], np.bincount(n)[n[top]][split]
+            go = np.bincount(child)[child] > 1
+            at, node = a[go], np.unique(child[go], return_inverse=True)[1]
+            depth += 1
+
+
+def _tree(p: Pieces, window: int) -> Subtree:
+    number: dict[bytes, int] = {}
+    split = [t.split(b" ") for t in p.text]
+    ids = np.array([number.setdefault(w, len(number)) for s in split for w in s], np.int64)
+    return Subtree(ids, np.array([*map(len, split)], np.int64), window)
+
+
+def _shared(p: Pieces) -> Pieces:
+    """The pieces whose key another piece has too, or that may repeat themselves."""
+    _, back, n = np.unique(p.key, return_inverse=True, return_counts=True)
+    return p.take(np.flatnonzero((n[back] > 1) | p.loops))
+
+
+def repeats_in(p: Pieces, window: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(piece, first word, last word + 1) of the windows in distinct pieces that are equal to an earlier one."""
+    tree = _tree(p, window)
+    at = np.flatnonzero(tree.node >= 0)
+    if not len(at):
+        return at, at, at
+    row, first = tree.piece[at], tree.inner[at] + p.first[tree.piece[at]]
+    place = Pieces([b""] * len(at), row, p.id[row], p.known[row], p.th[row], first, row > -1).places()
+    order = np.lexsort((place, tree.node[at]))
+    head = np.r_[True, np.diff(tree.node[at][order]) != 0]
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    hit = np.sort(order[place[order] != place[lead]])  # back in order of rows and words
+    return row[hit], first[hit], first[hit] + window
+
+
+def _spans(p: Pieces, row: np.ndarray, first: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
+    """Intervals of words in the documents of pieces, those that touch joined."""
+    place = np.lexsort((first, p.th[row], p.id[row], p.known[row]))
+    row, first, to = row[place], first[place], to[place]
+    if len(row):
+        new = np.r_[True, (p.id[row[1:]] != p.id[row[:-1]]) | (p.known[row[1:]] != p.known[row[:-1]]) | (p.th[row[1:]] != p.th[row[:-1]])]
+        doc = np.cumsum(new)
+        far = int(to.max()) + 1  # documents one after the other on one axis
+        reach = np.maximum.accumulate(to + doc * far)
+        new[1:] |= (first + doc * far)[1:] > reach[:-1]
+        at = np.flatnonzero(new)
+        to = reach[np.r_[at[1:] - 1, len(row) - 1]] - doc[at] * far
+        row, first = row[at], first[at]
+    none = np.zeros(len(row), bool)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(p.id[row], pa.int64(), mask=~p.known[row]), pa.array(p.th[row], pa.int64()), pa.array(first, pa.int64()), pa.array(to, pa.int64()), pa.array(none.astype(np.int32), mask=~none), pa.array([None] * len(row), pa.binary())],
+        ["id", "th", "from", "to", "bucket", "pieces"],
+    )
+
+
+SPANS = "id long, th long, from long, to long"
+
+
+def _cut_up(b: pa.RecordBatch, window: int, hot: np.ndarray) -> Pieces:
+    """The pieces of one slice of texts."""
+    off, raw = text_view(b.column("text"))
+    a = Anchors(off, raw, window)
+    first, last = a.runs()
+    key, loops = a.low[first], a.loops(first, last)
+    often = np.isin(key, hot)
+    if often.any():  # a longer key: the whole window
+        one = np.concatenate([np.arange(x, y + 1) for x, y in zip(first[often], last[often])])
+        key = np.concatenate([key[~often], _rolling(a.hash, window)[one]])
+        first, last = np.concatenate([first[~often], one]), np.concatenate([last[~often], one])
+        loops = np.r_[loops[~often], np.zeros(len(one), bool)]
+    whole = raw.tobytes()
+    cuts = off.tolist()
+    flat = b" ".join([w for t in (whole[x:y].split() for x, y in zip(cuts, cuts[1:])) for w in t])
+    at = np.r_[0, np.cumsum(a.end - a.start + 1)]
+    text = a.text[first]
+    known = b.column("id").is_valid().to_numpy(zero_copy_only=False)
+    ids, ths = b.column("id").fill_null(0).to_numpy(zero_copy_only=False), b.column("th").to_numpy(zero_copy_only=False)
+    return Pieces(
+        [flat[x:y] for x, y in zip(at[first].tolist(), (at[last + window] - 1).tolist())], key, ids[text], known[text], ths[text],
+        first - np.searchsorted(a.text, text), loops,
+    )
+
+
+def _shipped(only: DataFrame, window: int) -> DataFrame:
+    """Rows of two kinds: spans that repeat a text of the same task, and groups' pieces (bucket, pieces)."""
+    size = only.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    each = max(1, window - min(GRAM, window) + 2) / 2  # suffixes of a piece, on average
+    pieces = int(size / 6 / each)  # a word and its blank take 6 bytes or more
+    buckets = max(1, min(1 << 30, round(size * (window - 1 + each) / each / GROUP)))
+    hot = _hot(only, window, max(HOT, pieces // 1_000_000))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
-        kept = (b.filter(pa.array(~copies.value.later(b.column("id"), b.column("th")))) for b in batches)
-        for b in slices(kept, most=1 << 20):
-            off, raw = text_view(b.column("text"))
-            a = Anchors(off, raw, window)
-            first, last = a.runs()
-            if twice is None:  # an anchor on any text's list is repeated
-                listed = b.column("anchors").combine_chunks() if isinstance(b.column("anchors"), pa.ChunkedArray) else b.column("anchors")
-                keep = np.isin(a.low[first], listed.flatten().to_numpy().view(np.uint64))
-            else:
-                keep = twobloom.has(twice.value, a.low[first]) if len(first) else np.zeros(0, bool)
-            first, last = first[keep], last[keep]
-            key = a.low[first]
-            often = np.isin(key, hot.value)
-            if often.any():  # a longer key: the whole window
-                one = np.concatenate([np.arange(x, y + 1) for x, y in zip(first[often], last[often])])
-                key = np.concatenate([key[~often], _rolling(a.hash, window)[one]])
-                first, last = np.concatenate([first[~often], one]), np.concatenate([last[~often], one])
-            ids, ths = b.column("id").to_pylist(), b.column("th").to_pylist()
-            whole = raw.tobytes()
-            text = a.text[first]
-            zero = np.searchsorted(a.text, text)  # the text's first word
-            rows = zip(key.view(np.int64).tolist(), a.start[first].tolist(), a.end[last + window - 1].tolist(), text.tolist(), (first - zero).tolist(), (last + window - zero).tolist())
-            for k, x, y, t, lo, hi in rows:
-                seen.add(k, b" ".join(whole[x:y].split()), (ids[t] is not None, ids[t], ths[t], lo, hi))
-            if seen.size > REMEMBERED:
-                yield from seen.drain()
-        yield from seen.drain()
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids, ths, rows):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([ids[r] for r, _, _ in rows], pa.int64()), pa.array([ths[r] for r, _, _ in rows], pa.int64()), pa.array([x for _, x, _ in rows], pa.int64()), pa.array([y for _, _, y in rows], pa.int64())],
-                ["id", "th", "from", "to"],
-            )
-
-        held: list[tuple] = []
-        size = 0
+        held, n = [], 0
+        for b in slices(batches, most=1 << 20):
+            held.append(_cut_up(b, window, hot.value))
+            n += sum(map(len, held[-1].text))
+            if n > CHUNK * 4:
+                yield from drain(held)
+                held, n = [], 0
+        if held:
+            yield from drain(held)
+
+    def drain(held: list[Pieces]) -> Iterator[pa.RecordBatch]:
+        p, again = _distinct(Pieces.join(held))
+        if len(again):
+            yield _spans(again, np.arange(len(again)), again.first, again.first + np.array([t.count(b" ") + 1 for t in again.text]))
+        key = p.key.view(np.uint64)
+        bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        heads = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else order
+        for i in range(0, len(heads), 256):
+            own = heads[i : i + 256]
+            ends = [*heads[i + 1 : i + 257].tolist(), len(order)][: len(own)]
+            packed = [p.take(order[x:y]).pack() for x, y in zip(own.tolist(), ends)]
+            none = pa.array([None] * len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(bucket[order[own]], pa.int32()), pa.array(packed, pa.binary())], ["id", "th", "from", "to", "bucket", "pieces"])
+
+    return only.mapInArrow(ship, SPANS + ", bucket int, pieces binary")
+
+
+def _hot(only: DataFrame, window: int, least: int):
+    """Broadcast anchors that have ``least`` pieces or more, as far as the sample tells: a million at most, since ``least`` grows with the text."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, most=1 << 20):
+            a = Anchors(*text_view(b.column("text")), window)
+            key, n = np.unique(a.low[a.runs()[0]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    some = only.where(F.pmod(F.xxhash64(F.lit("hot"), "id", "th"), F.lit(SAMPLED)) == 0).select("text")
+    counts = some.mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least / SAMPLED)
+    found = counts.select("key").toArrow()["key"].to_numpy()
+    return only.sparkSession.sparkContext.broadcast(np.sort(found.view(np.uint64)))
+
+
+def _by_group(shipped: DataFrame, judge, schema: str) -> DataFrame:
+    """``judge`` on each group's distinct pieces; rows that are spans already go to ``judge.pass_on``."""
+    spread = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("id", "th", "from"), F.lit(1 << 30)).cast("int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Pieces] = []
+        now, size = None, 0
         for b in batches:
-            done = b.filter(b.column("piece").is_null())
+            done = b.filter(b.column("pieces").is_null())
             if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(c) for c in ("id", "th", "from", "to")], ["id", "th", "from", "to"])
-            b = b.filter(b.column("piece").is_valid())
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "th", "from", "piece"))):
-                if size > AT_ONCE and row[0] != held[-1][0]:
-                    yield _resolved(held, window, out)
+                yield from judge(None, done)
+            b = b.filter(b.column("pieces").is_valid())
+            for k, data in zip(b.column("bucket").to_pylist(), b.column("pieces")):
+                if held and k != now:
+                    yield from whole(held)
                     held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+                now = k
+                held.append(Pieces.unpack(data.as_py()))
+                size += sum(map(len, held[-1].text))
+                if size > AT_ONCE and len(held) > 1:
+                    p, again = _distinct(Pieces.join(held))
+                    yield from judge(again, None)
+                    held, size = [p], sum(map(len, p.text)) // 2  # what is left counts half, lest it be reduced at every step
         if held:
-            yield _resolved(held, window, out)
+            yield from whole(held)
 
-    pieces = only.mapInArrow(ship, "key long, id long, th long, from long, to long, piece binary").repartition("key").sortWithinPartitions("key")
-    found = pieces.mapInArrow(resolve, "id long, th long, from long, to long")
-    return found.groupBy("id", "th").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    def whole(held: list[Pieces]) -> Iterator[pa.RecordBatch]:
+        p, again = _distinct(_shared(Pieces.join(held)))
+        yield from judge(again, None)
+        p = _shared(p)
+        if len(p):
+            yield from judge(p, None, True)
 
+    return shipped.withColumn("__b", spread).repartition("__b").sortWithinPartitions("__b").drop("__b").mapInArrow(run, schema)
 
-def _with_repeated_anchors(only: DataFrame, window: int, copies, hot: int):
-    """``only`` with each text's anchors that occur twice or more anywhere; broadcast anchors that occur ``hot`` times (a millionth of all at most)."""
-    hashes = _occurrences(window, copies)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                one = b.slice(i, 1)
-                key, n = np.unique(hashes(one), return_counts=True)
-                take = pa.array(np.zeros(len(key), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), one.column("id").take(take), one.column("th").take(take), pa.array(n.astype(np.int64))], ["key", "id", "th", "n"])
-
-    rows = only.mapInArrow(emit, "key long, id long, th long, n long")
-    counts = rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = stage(counts, "anchors", narrow=False)
-    found = counts.where(F.col("n") >= hot).select("key").toArrow()["key"].to_numpy()
-    lists = rows.join(counts.select("key"), "key", "left_semi").groupBy("id", "th").agg(F.collect_set("key").alias("anchors"))
-    lists = lists.select(F.col("id").alias("__i"), F.col("th").alias("__t"), "anchors")
-    out = only.join(lists, F.col("id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__t"))).drop("__i", "__t")
-    return out, only.sparkSession.sparkContext.broadcast(np.sort(found.view(np.uint64)))
+def repeated_intervals(docs: DataFrame, window: int) -> DataFrame:
+    """id, th (text hash), spans: the word intervals [from, to) that repeat earlier text."""
+
+    def judge(p: Pieces | None, done: pa.RecordBatch | None, tree: bool = False) -> Iterator[pa.RecordBatch]:
+        if p is None:
+            out = done
+        elif tree:
+            out = _spans(p, *repeats_in(p, window))
+        else:
+            out = _spans(p, np.arange(len(p)), p.first, p.first + np.array([t.count(b" ") + 1 for t in p.text], np.int64))
+        if out.num_rows:
+            yield out.select(["id", "th", "from", "to"])
+
+    found = _by_group(_shipped(_named(docs), window), judge, SPANS)
+    return found.groupBy("id", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+
+
+def maximal_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """passage, n_words, n_texts: the branching nodes of all subtrees, as far as a group's pieces reach.
+
+    Each is a run of words that at least two distinct pieces share and that no longer run with as many
+    replaces; ``n_texts`` counts suffixes of distinct pieces. Equal pieces are one here, and a repeat that
+    runs through several groups shows as its parts in each.
+    """
+
+    def judge(p: Pieces | None, done: pa.RecordBatch | None, tree: bool = False) -> Iterator[pa.RecordBatch]:
+        if not tree:
+            return
+        t = _tree(p, window)
+        for depth, one, n in t.branching():
+            split = {i: p.text[i].split(b" ") for i in set(t.piece[one].tolist())}
+            passage = [b" ".join(split[i][x : x + depth]).decode() for i, x in zip(t.piece[one].tolist(), t.inner[one].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(passage, pa.string()), pa.array([depth] * len(one), pa.int64()), pa.array(n, pa.int64())], ["passage", "n_words", "n_texts"])
+
+    return _by_group(_shipped(_named(docs), window), judge, "passage string, n_words long, n_texts long")
 
 
 def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
 
 
-def _resolved(held: list[tuple], window: int, out) -> pa.RecordBatch:
-    _, ids, ths, first, pieces = zip(*held)
-    return out(ids, ths, repeats_in(pieces, ids, np.array(ths), np.array(first), window))
+def _cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
+    """(words outside the spans, words, removed words)."""
+    words = text.split()
+    if not spans:
+        return b" ".join(words), len(words), 0
+    change = np.zeros(len(words) + 1, np.int64)
+    np.add.at(change, [s["from"] for s in spans], 1)
+    np.add.at(change, [s["to"] for s in spans], -1)
+    kept = [w for w, d in zip(words, np.cumsum(change)[:-1].tolist()) if not d]
+    return b" ".join(kept), len(words), len(words) - len(kept)
 
 
 def dedup_passages(docs: DataFrame, window: int = 20, digest: bool = False) -> DataFrame:
@@ -358,42 +485,27 @@ def dedup_passages(docs: DataFrame, window: int = 20, digest: bool = False) -> D
 
     With ``digest`` instead: doc_id, n_words, n_removed, kept_sha256.
     """
-    copies = docs.sparkSession.sparkContext.broadcast(Copies(_named(docs)))
-    spans = repeated_intervals(docs, window, copies).select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.col("spans").alias("__spans"))
-    rows = docs.select("*", F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"))
-    if digest:
-        rows = rows.select("__id", "__th", "text")
-    rows = rows.join(spans, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__t")), "left").drop("__i", "__t")
+    spans = repeated_intervals(docs, window).select(F.col("id").alias("__i"), F.col("th").alias("__t"), "spans")
     names = list(docs.columns)
+    kept = ["text"] if digest else names
+    rows = packed(docs, kept, id=F.col("doc_id").cast("long"), th=F.xxhash64("text"))
+    rows = rows.join(spans, F.col("id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__t")), "left").select("id", "row", "spans")
     if digest:
         schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()))])
     else:
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
 
-    def cut(text: bytes, spans: list | None, copy: bool) -> tuple[bytes, int, int]:
-        words = text.split()
-        if copy and len(words) >= window:
-            return b"", len(words), len(words)
-        if not spans:
-            return b" ".join(words), len(words), 0
-        change = np.zeros(len(words) + 1, np.int64)
-        np.add.at(change, [s["from"] for s in spans], 1)
-        np.add.at(change, [s["to"] for s in spans], -1)
-        kept = [w for w, d in zip(words, np.cumsum(change)[:-1].tolist()) if not d]
-        return b" ".join(kept), len(words), len(words) - len(kept)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            own = b.column("__spans").to_pylist()
-            copy = copies.value.later(b.column("__id"), b.column("__th")).tolist()
-            made = [cut(t, s, c) for t, s, c in zip(texts(b.column("text")), own, copy)]
+        for b in slices(unpacked(batches, kept)):
+            own = b.column(OWN + "spans").to_pylist()
+            made = [_cut(t, s) for t, s in zip(texts(b.column("text")), own)]
             if digest:
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("__id"), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), pa.array([hashlib.sha256(m[0]).hexdigest() for m in made], pa.string())],
+                    [b.column(OWN + "id"), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), pa.array([hashlib.sha256(m[0]).hexdigest() for m in made], pa.string())],
                     ["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
                 continue
             text = pa.array([m[0].decode() if m[2] else t for m, t in zip(made, b.column("text").to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([text if c == "text" else b.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([text if c == "text" else b.column(i) for i, c in enumerate(names)], names)
 
     return rows.mapInArrow(run, schema)
