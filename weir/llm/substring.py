@@ -46,6 +46,7 @@ RUN, CHUNK = 256, 12 << 20
 #: Bytes of pieces in a group, about; bytes from which a group's equal pieces are reduced before all have come.
 GROUP, AT_ONCE = 4 << 20, 48 << 20
 
+_ZSTD = pa.Codec("zstd", 3)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -178,21 +179,25 @@ class Pieces:
         """All as compressed bytes; numbers by byte of significance, since the high ones hardly differ."""
         base = int(self.id.min())
         numbers = ((self.id - base).view("<u8"), self.th.astype("<i8"), self.first.astype("<u4"), np.array([*map(len, self.text)], "<u4"), self.key.astype("<u4"), self.known + 2 * self.loops.astype("u1"))
-        flat = b"".join([*(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in numbers), *self.text])
-        return b"".join([np.array([len(self), len(flat)], "<u4").tobytes(), np.array([base], "<i8").tobytes(), pa.compress(flat, "zstd", asbytes=True)])
+        flat = b"".join([np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in numbers])
+        text = b"".join(self.text)
+        small, body = _ZSTD.compress(flat, asbytes=True), _ZSTD.compress(text, asbytes=True)  # apart, since they differ in kind
+        return b"".join([np.array([len(self), len(small), len(text)], "<u4").tobytes(), np.array([base], "<i8").tobytes(), small, body])
 
     @staticmethod
     def unpack(data: bytes) -> Pieces:
-        n, size = np.frombuffer(data, "<u4", 2).tolist()
-        flat = pa.decompress(data[16:], size, "zstd", asbytes=True)
+        n, small, size = np.frombuffer(data, "<u4", 3).tolist()
+        kinds = ("<u8", "<i8", "<u4", "<u4", "<u4", "u1")
+        flat = _ZSTD.decompress(data[20 : 20 + small], n * sum(np.dtype(k).itemsize for k in kinds), asbytes=True)
+        text = _ZSTD.decompress(data[20 + small :], size, asbytes=True)
         at, columns = 0, []
-        for kind in ("<u8", "<i8", "<u4", "<u4", "<u4", "u1"):
+        for kind in kinds:
             width = np.dtype(kind).itemsize
             columns.append(np.ascontiguousarray(np.frombuffer(flat, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
             at += n * width
-        cuts = np.cumsum(np.r_[at, columns[3]]).tolist()
-        base = np.frombuffer(data, "<i8", 1, 8)
-        return Pieces([flat[a:b] for a, b in zip(cuts, cuts[1:])], columns[4], columns[0].view("<i8") + base, (columns[5] & 1).astype(bool), columns[1], columns[2].astype(np.int64), columns[5] > 1)
+        cuts = np.cumsum(np.r_[0, columns[3]]).tolist()
+        base = np.frombuffer(data, "<i8", 1, 12)
+        return Pieces([text[a:b] for a, b in zip(cuts, cuts[1:])], columns[4], columns[0].view("<i8") + base, (columns[5] & 1).astype(bool), columns[1], columns[2].astype(np.int64), columns[5] > 1)
 
 
 def _distinct(p: Pieces) -> tuple[Pieces, Pieces]:
@@ -319,8 +324,8 @@ def _cut_up(b: pa.RecordBatch, window: int, hot: np.ndarray) -> Pieces:
     off, raw = text_view(b.column("text"))
     a = Anchors(off, raw, window)
     first, last = a.runs()
-    key, loops = a.low[first], a.loops(first, last)
-    often = np.isin(key, hot)
+    key, loops = mix(a.low[first]), a.loops(first, last)  # minima are small numbers; scrambled, they spread over the groups
+    often = np.isin(a.low[first], hot)
     if often.any():  # a longer key: the whole window
         one = np.concatenate([np.arange(x, y + 1) for x, y in zip(first[often], last[often])])
         key = np.concatenate([key[~often], _rolling(a.hash, window)[one]])
