@@ -44,9 +44,9 @@ SAMPLED = 16
 #: Suffixes of one piece, at most; bytes of text that a task turns into pieces at once.
 RUN, CHUNK = 256, 12 << 20
 #: Bytes of pieces in a group, about; bytes from which a group's equal pieces are reduced before all have come.
-GROUP, AT_ONCE = 4 << 20, 48 << 20
+GROUP, AT_ONCE = 12 << 20, 48 << 20
 
-_ZSTD = pa.Codec("zstd", 3)
+_ZSTD = pa.Codec("zstd", 5)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -270,9 +270,9 @@ class Subtree:
 
 def _tree(p: Pieces, window: int) -> Subtree:
     number: dict[bytes, int] = {}
-    split = [t.split(b" ") for t in p.text]
-    ids = np.array([number.setdefault(w, len(number)) for s in split for w in s], np.int64)
-    return Subtree(ids, np.array([*map(len, split)], np.int64), window)
+    sizes = np.array([t.count(b" ") + 1 for t in p.text], np.int64)
+    ids = np.fromiter((number.setdefault(w, len(number)) for t in p.text for w in t.split(b" ")), np.int64, int(sizes.sum()))
+    return Subtree(ids, sizes, window)
 
 
 def _shared(p: Pieces) -> Pieces:
@@ -349,7 +349,8 @@ def _shipped(only: DataFrame, window: int) -> DataFrame:
     size = only.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     each = max(1, window - min(GRAM, window) + 2) / 2  # suffixes of a piece, on average
     pieces = int(size / 6 / each)  # a word and its blank take 6 bytes or more
-    buckets = max(1, min(1 << 30, round(size * (window - 1 + each) / each / GROUP)))
+    tasks = int(only.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, min(1 << 30, round(size * (window - 1 + each) / each / GROUP)))
     hot = _hot(only, window, max(HOT, pieces // 1_000_000))
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
