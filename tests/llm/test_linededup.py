@@ -60,13 +60,36 @@ def test_empty(spark):
     assert linededup.dedup_lines(df).count() == 0 and linededup.dedup_lines(df, digest=True).count() == 0
 
 
-def test_two_filters_never_miss(spark):
+def test_two_filters_never_miss(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    h = rng.integers(0, 2**63, 4000, dtype=np.uint64)
-    a, b = twobloom.Pair(1 << 16), twobloom.Pair(1 << 16)
-    a.add(np.concatenate([h[:2000], h[:50]]))
-    b.add(np.concatenate([h[1900:], h[3990:]]))
-    twice = a.twice | b.twice | (a.once & b.once)
-    assert twobloom.has(twice, np.concatenate([h[:50], h[1900:2000], h[3990:]])).all()
-    assert twobloom.has(twice, h).mean() < 0.2
-    assert twobloom.bits_for(10**12) == twobloom.MAX_BITS
+    h = rng.integers(0, 2**63, 6000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    rows = np.concatenate([h, h[:50], h[1900:2000], h[:7]])
+    df = spark.createDataFrame([(int(x),) for x in rows.view(np.int64)], "h long").repartition(3)
+    hashes = lambda b: b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+    again = np.concatenate([h[:50], h[1900:2000]])
+    for segment, most in ((1 << 19, 1 << 28), (100, 1 << 28), (100, 1 << 14), (1, 1 << 10)):
+        monkeypatch.setattr(twobloom, "SEGMENT", segment)
+        monkeypatch.setattr(twobloom, "MAX_BITS", most)
+        twice = twobloom.seen(df, hashes, len(rows)).value
+        assert len(twice.data) * 8 <= most and twice.has(again).all()
+        assert most < 1 << 20 or twice.has(h).mean() < 0.1
+        assert twobloom.seen(df, hashes, len(rows), twice=False).value.has(h).all()
+    assert twobloom.seen(df.limit(0), hashes, 0).value.has(h).sum() == 0
+
+
+def test_hot_line_beside_many_others(spark):
+    """Some keys are broadcast, the others joined; the hottest are the broadcast ones."""
+    rows = [{"doc_id": i, "text": f"hot\nline {i % 40}\n{i}\n" + "long " * 300 * (i % 50 == 0), "lang": "en", "source": "s"} for i in range(400)]
+    want = sorted(((r["doc_id"], n, d, hashlib.sha256(t.encode()).hexdigest()) for r, (n, d, t) in zip(rows, brute(rows, 8))), key=repr)
+    for limit in (110, 1000):
+        out = linededup.dedup_lines(frame(spark, rows), 8, broadcast_bytes=limit, digest=True)
+        assert rows_of(out, "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
+    found = linededup.repeated_keys(frame(spark, rows), 8)
+    assert set(linededup._hottest(found, 110)) == {b"hot"}
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_any_column_names(spark, limit):
+    df = frame(spark, docs()).withColumnsRenamed({"key": "__id", "spans": "__th", "pii": "own", "size": "row", "id": "__i"})
+    out = linededup.dedup_lines(df, 3, broadcast_bytes=limit)
+    assert out.columns == df.columns and rows_of(out, "doc_id", "__id", "row") == rows_of(df, "doc_id", "__id", "row")

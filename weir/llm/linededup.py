@@ -5,6 +5,10 @@ filters tell which key hashes may occur in two documents; only those keys are sh
 exactly as text, and the keys found in ``min_docs`` documents lose their lines: all of them, or
 with ``keep_first`` all but the first line of the first document.
 
+The keys found in the most documents are broadcast, up to ``broadcast_bytes``. Where there are more,
+a filter of the others tells which lines may be among them, and only those lines are joined; none of them is
+in more documents than the least of the broadcast ones, so no key is hot.
+
 Edge cases: null or empty text is one empty line, and null text without dropped lines stays null;
 empty keys are never dropped; a key counts once a document; every row is a document, also rows
 with equal doc_id; the first document is the one of smallest doc_id, then text hash, and equal
@@ -21,15 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import twobloom
-from .common import LOWER, SPACES, slices, stage, texts
+from .common import LOWER, OWN, SPACES, packed, slices, stage, texts, unpacked
 
-#: Bytes of dropped keys up to which they are broadcast; beyond, they are joined.
-BROADCAST_BYTES = 8 << 20
+#: Bytes of dropped keys that are broadcast; others are joined, as are those of more than LONG_KEY bytes.
+BROADCAST_BYTES, LONG_KEY = 8 << 20, 1000
 
 
 def keys(text: bytes) -> list[bytes]:
@@ -51,10 +56,10 @@ def _hashes(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def repeated_keys(docs: DataFrame, min_docs: int) -> DataFrame:
-    """key, first (id, text hash) of the keys found in at least ``min_docs`` documents."""
+    """key, n, first (id, th) of the keys found in at least ``min_docs`` documents."""
     only = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
     lines = F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
-    twice, _ = twobloom.twice_seen(only.select("text"), _hashes, twobloom.bits_for(docs.agg(lines).first()[0] or 0))
+    twice = twobloom.seen(only.select("text"), _hashes, docs.agg(lines).first()[0] or 0)
     schema = "key binary, id long, th long, n long"
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +67,7 @@ def repeated_keys(docs: DataFrame, min_docs: int) -> DataFrame:
             own = [sorted(_doc_keys(t)) for t in texts(b.column("text"))]
             flat = [k for ks in own for k in ks]
             doc = np.repeat(np.arange(len(own)), [len(ks) for ks in own])
-            at = np.flatnonzero(twobloom.has(twice.value, _hash(flat))).tolist() if flat else []
+            at = np.flatnonzero(twice.value.has(_hash(flat))).tolist() if flat else []
             count = Counter(flat[i] for i in at)
             first: dict[bytes, tuple] = {}
             ids, ths = b.column("id").to_pylist(), b.column("th").to_pylist()
@@ -77,51 +82,71 @@ def repeated_keys(docs: DataFrame, min_docs: int) -> DataFrame:
             )
 
     found = only.mapInArrow(suspects, schema).groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("id", "th")).alias("first"))
-    return found.where(F.col("n") >= min_docs).select("key", "first.id", "first.th")
+    return found.where(F.col("n") >= min_docs).select("key", "n", "first.id", "first.th")
 
 
-def _cut(text: bytes, drop, here: tuple | None) -> tuple[bytes, int, int]:
+def _cut(text: bytes, drop: dict, own: dict, here: tuple | None) -> tuple[bytes, int, int]:
     """(kept text, lines, dropped lines). ``here``: this document, if first occurrences stay."""
     lines, ks = text.split(b"\n"), keys(text)
-    gone = [k in drop for k in ks]
+    gone = [k in drop or k in own for k in ks]
     if here is not None and any(gone):
         seen: set[bytes] = set()
         for i, k in enumerate(ks):
-            if gone[i] and drop[k] == here and k not in seen:
+            if gone[i] and (drop[k] if k in drop else own[k]) == here and k not in seen:
                 seen.add(k)
                 gone[i] = False
     n = sum(gone)
     return (b"\n".join([x for x, g in zip(lines, gone) if not g]) if n else text), len(lines), n
 
 
+def _hottest(found: DataFrame, most: int) -> dict[bytes, tuple]:
+    """The keys found in the most documents, of up to ``most`` bytes in all (a key counts 100 more than it has; long ones are left out)."""
+    rows = found.where(F.octet_length("key") <= LONG_KEY).orderBy(F.desc("n"), "key").limit(most // 100).collect()
+    out, size = {}, 0
+    for r in rows:
+        size += len(r["key"]) + 100
+        if size > most:
+            break
+        out[bytes(r["key"])] = (r["id"], r["th"])
+    return out
+
+
+def _own_keys(docs: DataFrame, found: DataFrame, n: int, hot: Broadcast) -> DataFrame:
+    """id, th, own: each document's keys among the ``n`` of ``found`` that aren't hot, with the first documents of the keys."""
+
+    def hashes(b: pa.RecordBatch) -> np.ndarray:
+        return _hash([k for k in texts(b.column("key")) if k not in hot.value])
+
+    some = twobloom.seen(found.select("key"), hashes, n, twice=False)
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = [sorted(k for k in _doc_keys(t) if k not in hot.value) for t in texts(b.column("text"))]
+            flat = [k for ks in own for k in ks]
+            at = np.repeat(np.arange(len(own)), [len(ks) for ks in own])
+            maybe = some.value.has(_hash(flat))
+            take = pa.array(at[maybe])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("th").take(take), pa.array([flat[i] for i in np.flatnonzero(maybe).tolist()], pa.binary())], ["id", "th", "key"])
+
+    only = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
+    pairs = only.mapInArrow(mine, "id long, th long, key binary").join(found.select("key", F.struct("id", "th").alias("first")), "key")
+    return pairs.groupBy("id", "th").agg(F.collect_set(F.struct("key", F.col("first.id").alias("f"), F.col("first.th").alias("t"))).alias("own"))
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, broadcast_bytes: int = BROADCAST_BYTES, digest: bool = False) -> DataFrame:
     """``docs`` with the repeated lines gone from ``text``.
 
     With ``digest`` instead: doc_id, n_lines, n_dropped, kept_sha256.
     """
-    spark = docs.sparkSession
     found = stage(repeated_keys(docs, min_docs), "line-keys")
-    n, size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("key")), F.lit(0))).first()
+    hot = docs.sparkSession.sparkContext.broadcast(_hottest(found, broadcast_bytes))
+    more = found.count() - len(hot.value)
     names = list(docs.columns)
-    id_th = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th")]
-    if size + 100 * n <= broadcast_bytes:
-        drop = spark.sparkContext.broadcast({bytes(r["key"]): (r["id"], r["th"]) for r in found.collect()})
-        rows, per_row = docs.select("*", *id_th), None
-    else:
-        # Too many keys for every worker: bring each document only its own.
-        def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                own = [sorted(_doc_keys(t)) for t in texts(b.column("text"))]
-                at = np.repeat(np.arange(len(own)), [len(k) for k in own])
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("th").take(take), pa.array([k for ks in own for k in ks], pa.binary())], ["id", "th", "key"])
-
-        only = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
-        pairs = only.mapInArrow(mine, "id long, th long, key binary").join(found.select("key", F.struct("id", "th").alias("first")), "key")
-        lists = pairs.groupBy("id", "th").agg(F.collect_set(F.struct("key", F.col("first.id").alias("f"), F.col("first.th").alias("t"))).alias("__drop"))
-        lists = lists.select(F.col("id").alias("__i"), F.col("th").alias("__t"), "__drop")
-        rows = docs.select("*", *id_th).join(lists, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__t")), "left").drop("__i", "__t")
-        drop, per_row = None, "__drop"
+    kept = ["text"] if digest else names
+    rows = packed(docs, kept, id=F.col("doc_id").cast("long"), th=F.xxhash64("text"))
+    if more:
+        lists = _own_keys(docs, found, more, hot).select(F.col("id").alias("__i"), F.col("th").alias("__t"), "own")
+        rows = rows.join(lists, F.col("id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__t")), "left").drop("__i", "__t")
 
     if digest:
         out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
@@ -129,24 +154,21 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
         out = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            here = list(zip(b.column("__id").to_pylist(), b.column("__th").to_pylist())) if keep_first else [None] * b.num_rows
-            if per_row:
-                drops = [{x["key"]: (x["f"], x["t"]) for x in d or ()} for d in b.column(per_row).to_pylist()]
-            else:
-                drops = [drop.value] * b.num_rows
-            made = [_cut(t, d, h) for t, d, h in zip(texts(b.column("text")), drops, here)]
+        for b in slices(unpacked(batches, kept)):
+            here = list(zip(b.column(OWN + "id").to_pylist(), b.column(OWN + "th").to_pylist())) if keep_first else [None] * b.num_rows
+            own = [{x["key"]: (x["f"], x["t"]) for x in d or ()} for d in b.column(OWN + "own").to_pylist()] if more else [{}] * b.num_rows
+            made = [_cut(t, hot.value, d, h) for t, d, h in zip(texts(b.column("text")), own, here)]
             if digest:
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("__id"), *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2)), pa.array([hashlib.sha256(m[0]).hexdigest() for m in made], pa.string())],
+                    [b.column(OWN + "id"), *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2)), pa.array([hashlib.sha256(m[0]).hexdigest() for m in made], pa.string())],
                     names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
                 )
                 continue
             null = b.column("text").is_null().to_pylist()
-            kept = pa.array([None if x else m[0].decode() for x, m in zip(null, made)], pa.string())
-            yield pa.RecordBatch.from_arrays([kept if c == "text" else b.column(c) for c in names], names)
+            text = pa.array([None if x else m[0].decode() for x, m in zip(null, made)], pa.string())
+            yield pa.RecordBatch.from_arrays([text if c == "text" else b.column(i) for i, c in enumerate(names)], names)
 
-    done = (rows.select("__id", "__th", "text", *([per_row] if per_row else [])) if digest else rows).mapInArrow(cut, out)
+    done = rows.mapInArrow(cut, out)
     if not digest and "n_chars" in names:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done

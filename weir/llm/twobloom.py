@@ -1,16 +1,16 @@
-"""Two Bloom filters, built by all tasks and merged by segment: hashes seen once, hashes seen twice.
+"""Two Bloom filters over a table's hashes: seen once, seen twice.
 
-Each task fills its own pair; merging the pairs A and B gives once = A1 | B1 and
-twice = A2 | B2 | (A1 & B1). The result may name hashes that occurred once, never misses one that
-occurred twice. Filters have at most ``MAX_BITS`` bits, so what is broadcast is bounded; beyond
-about MAX_BITS / 8 hashes more and more once-seen ones are suspected, which costs shuffle, not
-correctness.
+Hashes are dealt by their top bits to segments, whose number grows with the table; each segment's
+pair of filters is filled where its hashes arrive, so no task holds or sends more than one segment at a time. Only
+the twice-seen filter travels on, folded to ``MAX_BITS`` bits over all segments at most, so what is broadcast
+is bounded. It may name hashes that occurred once, never misses one that occurred twice. Beyond some
+MAX_BITS / 8 repeated hashes more and more once-seen ones are suspected, which costs shuffle, not correctness.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,126 +18,109 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 MAX_BITS = 1 << 28
-SEGMENTS = 64
-#: Occurrences among half a million from which a task counts a hash for the list of hot ones.
-OFTEN = 16
+#: Hashes of a segment, about; bits for each.
+SEGMENT, BITS = 1 << 19, 16
+#: Hashes that a task reduces before it sends them.
+AT_ONCE = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bits_for(n: int) -> int:
-    """Filter size for ``n`` hashes: a power of two, 8 bits each at least, at most MAX_BITS."""
-    return min(MAX_BITS, max(1 << 16, 1 << (8 * max(1, n) - 1).bit_length()))
-
-
-def positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit positions of each hash, both in the segment that its top bits name."""
-    own = np.uint64(bits // SEGMENTS - 1)
-    base = (h >> np.uint64(58)) * np.uint64(bits // SEGMENTS)
-    return base + (h >> np.uint64(8) & own), base + ((h * _ODD) >> np.uint64(20) & own)
-
-
-def has(filt: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which hashes the filter (bytes) may hold."""
-    a, b = positions(h, len(filt) * 8)
-    bit = lambda p: filt[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1
-    return (bit(a) & bit(b)).astype(bool)
-
-
-def put(filt: np.ndarray, h: np.ndarray) -> None:
-    for p in positions(h, len(filt) * 8):
-        np.bitwise_or.at(filt, p >> np.uint64(3), np.left_shift(np.uint8(1), (p & np.uint64(7)).astype(np.uint8)))
-
-
-class Pair:
-    """One task's filters."""
-
-    def __init__(self, bits: int):
-        self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        self.often: Counter = Counter()
-
-    def add(self, hashes: np.ndarray) -> None:
-        u, n = np.unique(hashes, return_counts=True)
-        again = (n > 1) | has(self.once, u)
-        put(self.once, u)
-        put(self.twice, u[again])
-        self.often.update(dict(zip(u[n >= OFTEN].tolist(), n[n >= OFTEN].tolist())))
-
-
-def _packed(seg: np.ndarray) -> bytes:
-    """A filter segment: a tag and its set bits as numbers, or all its bytes, whichever is shorter."""
-    at = np.flatnonzero(np.unpackbits(seg, bitorder="little")).astype("<u4") if np.count_nonzero(seg) * 8 < len(seg) else None
-    return b"\1" + seg.tobytes() if at is None or at.nbytes >= len(seg) else b"\0" + at.tobytes()
-
-
-def _unpacked(data: bytes, size: int) -> np.ndarray:
-    if data[:1] == b"\1":
-        return np.frombuffer(data, np.uint8, offset=1).copy()
-    bits = np.zeros(size * 8, np.uint8)
-    bits[np.frombuffer(data, "<u4", offset=1)] = 1
-    return np.packbits(bits, bitorder="little")
-
+@dataclass
+class Filter:
+    """A Bloom filter in segments: bytes of (segments, bits of a segment / 8), flat. Both are powers of two."""
+
+    data: np.ndarray
+    segments: int
+
+    @staticmethod
+    def empty(segments: int, bits: int) -> Filter:
+        return Filter(np.zeros(segments * bits // 8, np.uint8), segments)
+
+    def _positions(self, h: np.ndarray) -> list[np.ndarray]:
+        """Two bit positions of each hash, both in the segment that its top bits name."""
+        bits = np.uint64(len(self.data) * 8 // self.segments)
+        base = segment_of(h, self.segments) * bits
+        return [base + (x & (bits - np.uint64(1))) for x in (h, (h * _ODD) >> np.uint64(20))]
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes the filter may hold."""
+        out = np.ones(len(h), bool)
+        for p in self._positions(h):
+            out &= (self.data[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+    def put(self, h: np.ndarray) -> None:
+        for p in self._positions(h):
+            np.bitwise_or.at(self.data, p >> np.uint64(3), np.left_shift(np.uint8(1), (p & np.uint64(7)).astype(np.uint8)))
+
+    def folded(self, bits: int) -> np.ndarray:
+        """One segment's bytes on ``bits`` bits: positions are low bits of the hash, so halves may be laid over each other."""
+        data = self.data
+        while len(data) * 8 > bits:
+            half = len(data) // 2
+            data = data[:half] | data[half:]
+        return data
+
+
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    return h >> np.uint64(64 - segments.bit_length() + 1) if segments > 1 else np.zeros(len(h), np.uint64)
+
+
+def shape(n: int) -> tuple[int, int, int]:
+    """(segments, bits of a segment while it is filled, bits of it in the folded filter) for ``n`` hashes."""
+    segments = 1 << max(0, (n - 1) // SEGMENT).bit_length()
+    segments = min(segments, MAX_BITS // 64)
+    bits = 1 << max(6, (BITS * max(1, -(-n // segments)) - 1).bit_length())
+    return segments, bits, min(bits, MAX_BITS // segments)
+
+
+def seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], n: int, twice: bool = True) -> Broadcast:
+    """The broadcast filter over what ``hashes`` gives for the batches of ``df``, some ``n`` in all: of those seen twice, or of all."""
+    segments, bits, few = shape(n)
+
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        u, count = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(segment_of(u, segments), np.arange(segments + 1)) if segments <= len(u) else np.r_[np.flatnonzero(np.r_[True, np.diff(segment_of(u, segments)) != 0]), len(u)]
+        own = [(a, b) for a, b in zip(cuts.tolist(), cuts[1:].tolist()) if a < b]
+        for i in range(0, len(own), 1024):
+            some = own[i : i + 1024]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(segment_of(u[a : a + 1], segments)[0]) for a, _ in some], pa.int32()), pa.array([u[a:b].tobytes() for a, b in some], pa.binary()), pa.array([np.packbits(count[a:b] > 1).tobytes() for a, b in some], pa.binary())],
+                ["segment", "hashes", "again"],
+            )
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(hashes(b))
+            size += len(held[-1])
+            if size > AT_ONCE:
+                yield from send(held)
+                held, size = [], 0
+        if size:
+            yield from send(held)
 
-def twice_seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int, hot: int | None = None) -> tuple[Broadcast, Broadcast]:
-    """Broadcasts: bytes of the twice-seen filter over what ``hashes`` gives for the batches of ``df``; hot hashes.
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, once, more = None, None, None
 
-    Hot hashes were counted at least ``hot`` times, so a table of n hashes has at most n / hot; for
-    a huge table raise ``hot`` with it. A hash that is rare in every half million may be missed.
-    """
-    size = bits // 8 // SEGMENTS
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(more if twice else once).folded(few).tobytes()], pa.binary())], ["segment", "bits"])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, held, n = Pair(bits), [], 0
-        for b in batches:
-            held.append(hashes(b))
-            n += len(held[-1])
-            if n > 500_000:
-                pair.add(np.concatenate(held))
-                held, n = [], 0
-        if held:
-            pair.add(np.concatenate(held))
-        for s in range(SEGMENTS):
-            once, twice = (_packed(f[s * size : (s + 1) * size]) for f in (pair.once, pair.twice))
-            if len(once) > 1:
-                yield row(s, once, twice)
-        if hot and pair.often:
-            found = np.array(list(pair.often.items()), np.uint64)
-            for s in range(SEGMENTS):
-                own = found[found[:, 0] >> np.uint64(58) == s]
-                if len(own):
-                    yield row(SEGMENTS + s, own.tobytes(), b"")
-
-    def row(s: int, a: bytes, b: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["segment", "once", "twice"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[np.ndarray]] = {}
-        often: Counter = Counter()
         for b in batches:
-            for i in range(b.num_rows):
-                s = b.column("segment")[i].as_py()
-                if s >= SEGMENTS:
-                    found = np.frombuffer(b.column("once")[i].as_py(), np.uint64).reshape(-1, 2)
-                    often.update(dict(found.tolist()))
-                    continue
-                once, twice = (_unpacked(b.column(c)[i].as_py(), size) for c in ("once", "twice"))
-                if s not in got:
-                    got[s] = [once, twice]
-                    continue
-                mine = got[s]
-                mine[1] |= twice | (mine[0] & once)
-                mine[0] |= once
-        for s, (_, twice) in got.items():
-            yield row(s, twice.tobytes(), b"")
-        if most := [h for h, n in often.items() if n >= hot]:
-            yield row(SEGMENTS, np.array(most, np.uint64).tobytes(), b"")
-
-    parts = df.mapInArrow(build, "segment int, once binary, twice binary").repartition("segment").mapInArrow(merge, "segment int, once binary, twice binary")
-    found = [np.zeros(0, np.uint64)]
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in parts.collect():  # at most MAX_BITS / 8 bytes
-        if r["segment"] >= SEGMENTS:
-            found.append(np.frombuffer(r["once"], np.uint64))
-        else:
-            whole[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["once"], np.uint8)
-    sc = df.sparkSession.sparkContext
-    return sc.broadcast(whole), sc.broadcast(np.sort(np.concatenate(found)))
+            for s, data, again in zip(b.column("segment").to_pylist(), b.column("hashes"), b.column("again")):
+                if s != now:
+                    if now is not None:
+                        yield out()
+                    now, once, more = s, Filter.empty(1, bits), Filter.empty(1, bits)
+                h = np.frombuffer(data.as_py(), np.uint64)
+                seen_here = np.unpackbits(np.frombuffer(again.as_py(), np.uint8), count=len(h)).astype(bool)
+                more.put(h[seen_here | once.has(h)])
+                once.put(h)
+        if now is not None:
+            yield out()
+
+    parts = df.mapInArrow(deal, "segment int, hashes binary, again binary").repartition("segment").sortWithinPartitions("segment").mapInArrow(fill, "segment int, bits binary")
+    whole = Filter.empty(segments, few)
+    for r in parts.toLocalIterator():  # MAX_BITS / 8 bytes at most
+        whole.data[r["segment"] * few // 8 : (r["segment"] + 1) * few // 8] = np.frombuffer(r["bits"], np.uint8)
+    return df.sparkSession.sparkContext.broadcast(whole)
