@@ -50,7 +50,6 @@ def test_documents_equal_brute_force(spark):
 @pytest.mark.parametrize("group, bulk", [(8192, 8), (6, 3)])
 def test_links_of_crowded_fingerprints(spark, monkeypatch, group, bulk):
     monkeypatch.setattr(simhash, "GROUP", group)
-    monkeypatch.setattr(simhash, "BLOCK", max(3, group // 2))
     monkeypatch.setattr(simhash, "BULK", bulk)
     r = random.Random(group)
     centres = [r.getrandbits(64) for _ in range(4)]
@@ -73,6 +72,29 @@ def test_links_of_crowded_fingerprints(spark, monkeypatch, group, bulk):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_xxh64_equals_the_library():
+    rng = np.random.default_rng(7)
+    raw = rng.integers(0, 256, 5000, dtype=np.uint8)
+    size = np.r_[np.arange(140), rng.integers(0, 60, 300)]
+    start = rng.integers(0, len(raw) - 140, len(size))
+    start[-1], size[-1] = len(raw) - 37, 37
+    want = [xxhash.xxh64_intdigest(raw[a : a + n].tobytes(), 42) for a, n in zip(start.tolist(), size.tolist())]
+    assert simhash.xxh64(raw, start, size, 42).tolist() == want
+    assert len(simhash.xxh64(raw[:0], start[:0], size[:0], 42)) == 0
+
+
+def test_fingerprints_of_long_texts_and_none():
+    texts = ["", "one", " ".join(f"w{i % 7919}" for i in range(90_000)), "a b c d", " ", "x " * 70_000, "A b C d e"]
+    assert simhash.fingerprints_of([t.encode() for t in texts]).tolist() == [brute(t) for t in texts]
+    assert simhash.fingerprints_of([]).tolist() == [] and simhash.fingerprints_of([b"", b" "]).tolist() == [0, 0]
+
+
+def test_any_column_names(spark):
+    df = frame(spark, edge_docs() + edge_docs()).withColumnsRenamed({"key": "gone", "spans": "__gone", "pii": "th", "size": "row", "id": "first"})
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns and 0 < out.count() < df.count()
+
+
 def test_plan_meets_the_pigeonhole_bound():
     rng = np.random.default_rng(1)
     for n in (10, 10**6, 10**10):

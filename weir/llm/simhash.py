@@ -9,13 +9,14 @@ results). A part is probed from both sides: fingerprints within 2r in a part hav
 within r of both, so each emits its ball of radius r.
 
 Distinct fingerprints that meet in a value are verified in that group, and only edges that span
-the group's components leave it. Groups of more than ``GROUP`` members are dealt out as pairs of
-blocks. Components are found by star rounds on distinct fingerprints.
+the group's components leave it. Groups of more than ``GROUP`` members are split again: of
+``distance`` + 1 parts of all bits linked members share one, so each member goes to as many smaller
+groups, never to all others. Components are found by star rounds on distinct fingerprints.
 
 Edge cases: null text counts as empty; texts without words have fingerprint zero and link like
 others; repeated rows and equal texts share a fingerprint; null doc_id is the name of a component
 only where no other id is in it; an empty table gives an empty result; extra columns are ignored
-by ``near_duplicates`` and kept by ``keep_one``.
+by ``near_duplicates`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,46 +27,96 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, stage, texts
+from .common import LOWER, packed, slices, stage, texts
 from .components import components
 from .substring import mix
 
 SAMPLE = 2048
-#: Members of a group that are verified together; members of one block of a larger group, about.
-GROUP, BLOCK = 8192, 4096
+#: Members of a group that are verified together; larger groups are split by further bits.
+GROUP = 8192
+#: The primes of XXH64.
+PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 #: Groups up to this size are compared pair by pair in bulk, larger ones by search from member to member.
 BULK = 8
 
 
-def fingerprint(text: bytes, words_in: int = 4) -> int:
-    """The 64-bit SimHash of the text's word shingles; 0 without words."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = max(1, len(words) - words_in + 1)
-    if n == 1:
-        return xxhash.xxh64_intdigest(joined, 42)
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    end = np.cumsum(size)
-    one = xxhash.xxh64_intdigest
-    h = np.fromiter((one(joined[a:b], 42) for a, b in zip((end - size)[:n].tolist(), (end[words_in - 1 :] - 1).tolist())), "<u8", n)
-    count = np.zeros(64, np.int64)
-    for a in range(0, n, 1 << 15):
-        count += np.unpackbits(h[a : a + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * count > n, bitorder="little").tobytes(), "little")
+def xxh64(raw: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of many byte ranges of ``raw`` at once: each step of the hash is one numpy operation over all ranges that take it."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in PRIMES)
+    raw = np.concatenate([raw, np.zeros(8, np.uint8)])
+    wide = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the eight bytes from each position
+    half = np.ndarray(len(raw) - 3, "<u4", raw, strides=(1,))
+    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    step = lambda acc, x: turn(acc + x * p2, 31) * p1
+    s = np.uint64(seed)
+    with np.errstate(over="ignore"):
+        h = np.full(len(start), s + p5, np.uint64)
+        long = np.flatnonzero(size >= 32)
+        if len(long):
+            lanes = [np.full(len(long), x, np.uint64) for x in (s + p1 + p2, s + p2, s, s - p1)]
+            at, left = start[long], size[long] // 32
+            for stripe in range(int(left.max())):
+                on = np.flatnonzero(left > stripe)
+                for i, lane in enumerate(lanes):
+                    lane[on] = step(lane[on], wide[at[on] + (32 * stripe + 8 * i)])
+            one = sum(turn(lane, n) for lane, n in zip(lanes, (1, 7, 12, 18)))
+            for lane in lanes:
+                one = (one ^ step(np.uint64(0), lane)) * p1 + p4
+            h[long] = one
+        h += size.astype(np.uint64)
+        at, left = start + size // 32 * 32, size % 32
+        for n in range(3):
+            on = np.flatnonzero(left >= 8 * (n + 1))
+            h[on] = turn(h[on] ^ step(np.uint64(0), wide[at[on] + 8 * n]), 27) * p1 + p4
+        at, left = at + left // 8 * 8, left % 8
+        on = np.flatnonzero(left >= 4)
+        h[on] = turn(h[on] ^ half[at[on]].astype(np.uint64) * p1, 23) * p2 + p3
+        at, left = at + left // 4 * 4, left % 4
+        for n in range(3):
+            on = np.flatnonzero(left > n)
+            h[on] = turn(h[on] ^ raw[at[on] + n].astype(np.uint64) * p5, 11) * p1
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        return h ^ h >> np.uint64(32)
+
+
+def fingerprints_of(found: list[bytes], words_in: int = 4) -> np.ndarray:
+    """The 64-bit SimHash of each text's word shingles; 0 without words."""
+    split = [t.translate(LOWER).split() for t in found]
+    n_words = np.array([*map(len, split)], np.int64)
+    flat = b" ".join([w for ws in split for w in ws])
+    size = np.fromiter((len(w) for ws in split for w in ws), np.int64, int(n_words.sum()))
+    end = np.cumsum(size + 1) - 1  # of each word in flat
+    n = np.where(n_words > 0, np.maximum(1, n_words - words_in + 1), 0)  # shingles
+    out = np.zeros(len(found), np.uint64)
+    some = np.flatnonzero(n)
+    heads = np.cumsum(n[some]) - n[some]
+    text = np.repeat(some, n[some])
+    first = (np.cumsum(n_words) - n_words)[text] + np.arange(len(text)) - np.repeat(heads, n[some])
+    last = first + np.minimum(words_in, n_words[text]) - 1
+    start = end[first] - size[first]
+    h = xxh64(np.frombuffer(flat, np.uint8), start, end[last] - start, 42)
+    count = np.zeros((len(some), 64), np.int64)
+    for a in range(0, len(h), 1 << 16):  # a long text passes in parts
+        b = min(len(h), a + (1 << 16))
+        bits = np.unpackbits(h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = np.searchsorted(heads, np.arange(a, b), "right") - 1
+        cut = np.flatnonzero(np.r_[True, np.diff(own) != 0])
+        count[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
+    if len(some):
+        out[some] = np.packbits(2 * count > n[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), fp (the fingerprint's bits as a long) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            fp = np.array([fingerprint(t) for t in texts(b.column("text"))], np.uint64)
+        for b in slices(batches, most=1 << 20):
+            fp = fingerprints_of(texts(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp.view(np.int64))], ["doc_id", "th", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
@@ -243,12 +294,10 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
     edges = first.where("a is not null").select("a", "b")
     large = first.where("key is not null").select("key", F.col("b").alias("fp")).distinct()
     if large.limit(1).count():
-        # Blocks of a large group meet in pairs: every two members share a cell, no cell holds more than two blocks.
-        blocks = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
-        dealt = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        cell = F.least("own", "other") * F.col("n") + F.greatest("own", "other")
-        cells = dealt.select("key", cell.alias("cell"), "fp").repartition("key", "cell").sortWithinPartitions("key", "cell")
+        masks = [sum(1 << b for b in range(i, 64, distance + 1)) for i in range(distance + 1)]
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        cell = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)]))
+        cells = large.select("key", cell.alias("cell"), "fp").repartition("key", "cell").sortWithinPartitions("key", "cell")
         edges = edges.unionByName(cells.mapInArrow(_verify(distance, None), out).select("a", "b"))
     return edges
 
@@ -270,14 +319,17 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: of those with its smallest doc_id the one of smallest text hash."""
+    """``docs`` with one document of each component: of those with its smallest doc_id the one of smallest text hash.
+
+    Of several rows with that doc_id and text one stays, any of them if they differ in other columns.
+    """
     rows = stage(grouped(docs, distance).groupBy("root", "component_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "components")
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("__th"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("__th"))
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("first"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first"))
     judged = stage(rows.join(first, "root").select("doc_id", "th", "n", is_first.alias("stays")), "kept")
-    gone = judged.where("not stays").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__gone_th"))
-    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__gone_th")), "left_anti")
+    gone = judged.where("not stays").select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th"))
+    out = packed(docs, docs.columns, id=F.col("doc_id").cast("long"), th=F.xxhash64("text"))
+    out = out.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("th") == F.col("gone_th")), "left_anti")
     if judged.where("stays and n > 1").limit(1).count():  # a document that is there several times stays once
-        nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-        out = out.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return out
+        out = out.dropDuplicates(["id", "th"])  # reduced before the shuffle, so its copies don't meet in one task
+    return out.select("row.*")

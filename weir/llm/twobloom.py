@@ -121,6 +121,6 @@ def seen(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], n: int,
 
     parts = df.mapInArrow(deal, "segment int, hashes binary, again binary").repartition("segment").sortWithinPartitions("segment").mapInArrow(fill, "segment int, bits binary")
     whole = Filter.empty(segments, few)
-    for r in parts.toLocalIterator():  # MAX_BITS / 8 bytes at most
+    for r in parts.collect():  # MAX_BITS / 8 bytes at most
         whole.data[r["segment"] * few // 8 : (r["segment"] + 1) * few // 8] = np.frombuffer(r["bits"], np.uint8)
     return df.sparkSession.sparkContext.broadcast(whole)
