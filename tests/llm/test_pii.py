@@ -1,5 +1,7 @@
 import re
 
+import pyarrow.parquet as pq
+import pytest
 from helpers import edge_docs, frame, real_docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,7 +39,7 @@ def test_formats_and_validity():
 
 
 def test_invalid_values_stay():
-    for t in ("4111 1111 1111 1112", "300.1.1.1", "2021-02-30", "000-12-3456", "DE00370400440532013000", "1234567", "version 1.2.3", "12:30:45", "a@b"):
+    for t in ("4111 1111 1111 1112", "300.1.1.1", "2021-02-30", "000-12-3456", "DE00370400440532013000", "1234567", "version 1.2.3", "12:30:45", "a@b", "version 10.1.2.3", "v10.1.2.3", "Release: 4.0.0.1", "000-000-0000", "123-456-7890", "211-555-0100"):
         assert pii.replace(t, K)[0] == t
 
 
@@ -61,7 +63,7 @@ def test_any_text_comes_back(a, value, b):
 def test_table(spark):
     rows = edge_docs() + real_docs()
     df = frame(spark, rows)
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, K)
     assert sorted(out.columns) == sorted(df.columns) and out.count() == len(rows)
     before = {(r["doc_id"], r["text"]) for r in rows}
     for r in out.collect():
@@ -70,8 +72,8 @@ def test_table(spark):
         if r["text"]:
             for m in re.findall(r"[\w.+-]+@mail\d\.example\.com|\d{3}-\d{4}|\d+\.\d+\.\d+\.\d+", r["text"]):
                 assert clean or m
-    assert pii.pseudonymise(df.limit(0)).count() == 0
-    back = pii.pseudonymise(out, back=True)
+    assert pii.pseudonymise(df.limit(0), K).count() == 0
+    back = pii.pseudonymise(out, K, back=True)
     assert {(r["doc_id"], r["text"]) for r in back.collect()} == before
 
 
@@ -87,3 +89,81 @@ def test_phones_abroad_and_long_cards():
         assert not new.startswith("4111 1111 1111 1111") and pii.replace(new, K, back=True)[0] == text
         assert isinstance(tail, int) or tail not in new
     assert pii.replace("+10.0.0.1 +2021-02-28", K)[1] == {"ip": 1, "date": 1}
+
+
+def test_marks_in_the_text_change_nothing():
+    value = "123-45-6789@example.org"
+    alone = pii.replace(value, K)[0]
+    for other in ("\U000f0000", "\0", "\U000ffffd", "\ue000"):
+        new, found = pii.replace(f"{other} {value} {other}{other}", K)
+        assert new == f"{other} {alone} {other}{other}" and found == {"email": 1}
+        assert pii.replace(new, K, back=True)[0] == f"{other} {value} {other}{other}"
+    many = " ".join([value] * 70_000)
+    assert pii.replace(many, K)[0] == " ".join([alone] * 70_000)
+
+
+def test_keys_count_whole():
+    a, b = b"x" * 64 + b"1", b"x" * 64 + b"2"
+    assert pii.replace("4111111111111111", a) != pii.replace("4111111111111111", b)
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(frame(spark, []), b"")
+
+
+def test_phones_stay_in_their_plan():
+    for i in range(300):
+        number = f"2{i:02d}-{200 + i}-{i * 31 % 10000:04d}"
+        if not pii._in_plan(number.replace("-", "")):
+            continue
+        new = pii.replace(number, K)[0]
+        assert pii._in_plan(new.replace("-", "")) and pii.replace(new, K, back=True)[0] == number
+        assert pii.replace(f"+1 ({number[:3]}) {number[4:]}", K)[0] == f"+1 ({new[:3]}) {new[4:]}"
+    new = pii.replace("+1 (017) 555-7713", K)[0]
+    assert new != "+1 (017) 555-7713" and not pii._in_plan(re.sub(r"\D", "", new)[1:]) and pii.replace(new, K, back=True)[0] == "+1 (017) 555-7713"
+
+
+def brute_replace(text, key):
+    """Value by value from left to right over patterns written out for this test's formats."""
+    patterns = [
+        ("secret", r'(?<=token = ")[0-9a-f]{40}'), ("email", r"[a-z]+\.\d+@mail\d\.example\.com"), ("phone", r"\+1 \(\d{3}\) 555-\d{4}"),
+        ("ip", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d.])"), ("card", r"(?<!\d)\d{16}(?!\d)"),
+    ]
+    found = []
+    for kind, p in patterns:
+        for m in re.finditer(p, text):
+            if not any(a < m.end() and m.start() < b for a, b, *_ in found):
+                found.append((*m.span(), kind, m[0]))
+    out, at = "", 0
+    for a, b, kind, value in sorted(found):
+        new = value
+        if kind == "card" and pii.luhn(value) == 0:
+            body = pii._in_class(key, kind, value[:-1], False)
+            new = next(body + d for d in "0123456789" if pii.luhn(body + d) == 0)
+        elif kind == "ip" and all(int(x) < 256 and str(int(x)) == x for x in value.split(".")):
+            new = ".".join(map(str, pii.permute(key, "ip", [int(x) for x in value.split(".")], [256] * 4)))
+        elif kind == "email":
+            new = pii._in_class(key, kind, value.split("@")[0], False) + "@" + value.split("@")[1]
+        elif kind == "secret":
+            new = "".join("0123456789abcdef"[v] for v in pii.permute(key, kind, [int(c, 16) for c in value], [16] * 40))
+        elif kind == "phone":
+            d = value[4:7] + value[9:12] + value[13:]
+            valid = pii._in_plan(d)
+            while True:
+                d = "".join(map(str, pii.permute(key, kind, [int(c) for c in d], [10] * 10)))
+                if pii._in_plan(d) == valid:
+                    break
+            new = f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}"
+        out += text[at:a] + new
+        at = b
+    return out + text[at:]
+
+
+def test_documents_equal_brute_force():
+    changed = 0
+    for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist():
+        new = pii.replace(r["text"] or "", K)[0]
+        assert new == brute_replace(r["text"] or "", K)
+        changed += new != r["text"]
+    assert changed > 20

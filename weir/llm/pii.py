@@ -1,10 +1,14 @@
 """Format-preserving pseudonyms for personal data.
 
 Found values are validated (Luhn, mod 97, calendar, octet ranges, SSN areas, country codes after a
-plus; North American phones by their layout alone) and then permuted
-within their own format by a keyed alternating Feistel network: positions keep their character
-class, check digits are computed anew, dates stay dates. The permutation depends on key and kind
-alone, so equal values have equal pseudonyms in every document, and the key holder can invert it.
+plus; North American phones by their numbering plan, unless a country code or brackets mark them as
+phones) and then permuted within their own format by a keyed alternating Feistel network: positions
+keep their character class, check digits are computed anew, dates stay dates, numbers of the plan stay
+in it. The permutation depends on key and kind alone, so equal values have equal pseudonyms in every
+document, and the key holder can invert it. Nobody else can: there is no default key.
+
+Each kind is searched in the text less what earlier kinds took, and the text is written once, so no
+pseudonym is found again.
 
 Kinds: card, iban, ssn, phone, ip, date (1900 to 2099), email (local part), secret (the value
 after a name like token or api_key). Values that fail validation are left alone.
@@ -54,7 +58,11 @@ _NUMBERS = re.compile(
 
 
 def permute(key: bytes, kind: str, values: list[int], sizes: list[int], back: bool = False) -> list[int]:
-    """A keyed permutation of mixed-radix numbers (``values[i] < sizes[i]``): alternating Feistel rounds on two halves."""
+    """A keyed permutation of mixed-radix numbers (``values[i] < sizes[i]``): alternating Feistel rounds on two halves.
+
+    A key of more than 64 bytes counts by its hash.
+    """
+    key = key if len(key) <= 64 else blake2b(key).digest()
     half = len(values) // 2
     a, b = prod(sizes[:half]), prod(sizes[half:])
     x = y = 0
@@ -67,7 +75,7 @@ def permute(key: bytes, kind: str, values: list[int], sizes: list[int], back: bo
     def f(i: int, v: int) -> int:
         n = max(a, b).bit_length() // 8 + 16
         seed = shape + b"%d:%d" % (i, v)
-        out = b"".join(blake2b(seed + b":%d" % j, key=key[:64]).digest() for j in range(-(-n // 64)))
+        out = b"".join(blake2b(seed + b":%d" % j, key=key).digest() for j in range(-(-n // 64)))
         return int.from_bytes(out[:n], "big")
 
     sign = -1 if back else 1
@@ -149,9 +157,21 @@ def _ssn(key, value, back):
             return _refill(value, digits)
 
 
+def _in_plan(digits: str) -> bool:
+    """Whether ten digits fit the North American plan: area and exchange begin with 2 to 9 and are no service codes (N11)."""
+    return all(part[0] in "23456789" and part[1:] != "11" for part in (digits[:3], digits[3:6]))
+
+
 def _phone(key, value, back):
     digits = re.sub(r"\D", "", value)
-    return _refill(value, digits[:-10] + _in_class(key, "phone", digits[-10:], back))  # the country stays
+    head, own = digits[:-10], digits[-10:]
+    known = _in_plan(own)
+    if not known and not head and "(" not in value:
+        return None
+    while True:  # cycle walking: numbers of the plan among themselves, others too; the country stays
+        own = _in_class(key, "phone", own, back)
+        if _in_plan(own) == known:
+            return _refill(value, head + own)
 
 
 #: Country codes of two digits (1 and 7 have one, others three).
@@ -166,6 +186,10 @@ def _abroad(key, value, back):
     return _refill(value, digits[:n] + _in_class(key, "phone" + digits[:n], digits[n:], back))  # the country stays
 
 
+#: What makes the four numbers behind it a version.
+_VERSION = re.compile(r"(?i)(?:\bv|\bver|\bversion|\brelease)[.:]? ?$")
+
+
 def _ip(key, value, back):
     parts = [int(p) for p in value.split(".")]
     if max(parts) > 255 or any(p != "0" and p[0] == "0" for p in value.split(".")):
@@ -221,51 +245,53 @@ def pseudonym(key: bytes, kind: str, value: str, back: bool = False) -> str | No
     return KINDS[kind](key, value, back)
 
 
+_IBAN_HINT = re.compile(r"[A-Z]{2}\d{2}")
+
+
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, Counter]:
     """``text`` with pseudonyms, and how many of each kind."""
     found: Counter = Counter()
-
-    def put(kind: str, value: str) -> str:
-        new = pseudonym(key, kind, value, back)
-        if new is None:
-            return value
-        found["phone" if kind == "abroad" else kind] += 1
-        return new
-
-    def numbers(m: re.Match) -> str:
-        return _NUMBERS.sub(lambda n: put(n.lastgroup, n[0]), m[0])
-
-    taken: list[str] = []
-    free = not _MARK.search(text)
-
-    def hold(kind: str, value: str) -> str:
-        """The pseudonym behind a mark that later searches pass over (in texts that have no such mark)."""
-        new = put(kind, value)
-        if not free or len(taken) >= MARKS:
-            return new
-        taken.append(new)
-        return chr(MARK_0 + len(taken) - 1)
+    put: list[tuple[int, int, str]] = []
+    left = text  # with blanks of another kind where values were taken
+
+    def take(kind: str, a: int, b: int) -> None:
+        new = pseudonym(key, kind, text[a:b], back)
+        if new is not None:
+            found["phone" if kind == "abroad" else kind] += 1
+            put.append((a, b, new))
+
+    def search(pattern: re.Pattern, kind: str, group: int = 0) -> str:
+        before = len(put)
+        for m in pattern.finditer(left):
+            take(kind, *m.span(group))
+        rest, at = [], 0
+        for a, b, _ in put[before:]:
+            rest += [left[at:a], "\0" * (b - a)]
+            at = b
+        return "".join([*rest, left[at:]])
 
     if "=" in text or ":" in text:
-        text = _SECRET.sub(lambda m: m[0][: m.start(1) - m.start()] + hold("secret", m[1]) + m[0][m.end(1) - m.start() :], text)
-    if "@" in text:
-        text = _MAIL.sub(lambda m: hold("email", m[0]), text)
-    if _IBAN_HINT.search(text):
-        text = _IBAN.sub(lambda m: hold("iban", m[0]), text)
-    text = _RUN.sub(numbers, text)
-    if taken:
-        text = _MARK.sub(lambda m: taken[ord(m[0]) - MARK_0], text)
-    return text, found
-
-
-#: Private-use characters that stand for values while a text is searched.
-MARK_0, MARKS = 0xF0000, 0xFFFD
-_MARK = re.compile(f"[{chr(MARK_0)}-{chr(MARK_0 + MARKS)}]")
-_IBAN_HINT = re.compile(r"[A-Z]{2}\d{2}")
-
-
-def pseudonymise(docs: DataFrame, key: bytes = b"weir", counts: str = "pii", back: bool = False) -> DataFrame:
+        left = search(_SECRET, "secret", 1)
+    if "@" in left:
+        left = search(_MAIL, "email")
+    if _IBAN_HINT.search(left):
+        left = search(_IBAN, "iban")
+    for run in _RUN.finditer(left):
+        for m in _NUMBERS.finditer(run[0]):
+            a, b = (run.start() + x for x in m.span())
+            if m.lastgroup != "ip" or not _VERSION.search(left, max(0, a - 10), a):
+                take(m.lastgroup, a, b)
+    out, at = [], 0
+    for a, b, new in sorted(put):
+        out += [text[at:a], new]
+        at = b
+    return "".join([*out, text[at:]]), found
+
+
+def pseudonymise(docs: DataFrame, key: bytes, counts: str = "pii", back: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and ``counts``: what was replaced, as "kind:count;..." in order of kind."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields if f.name != counts]
     names = [f.name for f in fields]
 

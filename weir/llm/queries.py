@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import audio, chat, langid, linededup, mixing, packing, pii, simhash, substring, topk
@@ -36,8 +38,13 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(_docs(spark, sf_dir))
 
 
+#: The session setting of the pseudonyms' key; where it is unset, a key that ends with this driver.
+PII_KEY, _OWN_KEY = "spark.weir.pii.key", secrets.token_bytes(32)
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_docs(spark, sf_dir)).select("doc_id", "text", "pii")
+    key = spark.conf.get(PII_KEY, None)
+    return pii.pseudonymise(_docs(spark, sf_dir), key.encode() if key else _OWN_KEY).select("doc_id", "text", "pii")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
