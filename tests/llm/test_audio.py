@@ -51,10 +51,52 @@ def test_adpcm_equals_scalar_decoder():
     assert got.tolist() == [scalar_adpcm(data[i : i + 64].tobytes()) for i in range(0, len(data), 64)]
 
 
-def test_feature_uses_the_resampler():
-    payload = bytes(range(128))
-    pcm = audio.TABLE[audio.MULAW][np.frombuffer(payload, np.uint8)]
-    assert f"pcm16k:{zlib.crc32(audio.resample(pcm, 8000, 16000).astype('<i2').tobytes()):08x}" in audio.features([payload])[0]
+def scalar_mulaw(u):
+    u = ~u & 255
+    size = ((u & 15) * 8 + 132 << (u >> 4 & 7)) - 132
+    return -size if u & 128 else size
+
+
+def scalar_alaw(a):
+    a ^= 0x55
+    exponent, size = a >> 4 & 7, (a & 15) * 16
+    size = size + 8 if not exponent else (size + 264) << exponent - 1
+    return size if a & 128 else -size
+
+
+def brute_feature(payload):
+    mu, al = [scalar_mulaw(x) for x in payload], [scalar_alaw(x) for x in payload]
+    ad = [x for i in range(0, len(payload), 64) for x in scalar_adpcm(payload[i : i + 64])]
+    level = lambda name, x: f"{name}:{max(map(abs, x))}:{sum(map(abs, x)) // len(x)}"
+    turns = sum((a < 0) != (b < 0) for a, b in zip(mu, mu[1:]))
+    pcm = [y for a, b in zip(mu, [*mu[1:], mu[-1]]) for y in (a, a + (b - a) // 2)]
+    return ";".join([level("mulaw", mu), level("alaw", al), level("adpcm", ad), f"turns:{turns}", f"pcm16k:{zlib.crc32(struct.pack(f'<{len(pcm)}h', *pcm)):08x}"])
+
+
+def brute_file(payload):
+    form = struct.pack("<HHIIHHH", 7, 1, 8000, 8000, 1, 8, 0)
+    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"fact" + struct.pack("<II", 4, len(payload)) + b"data" + struct.pack("<I", len(payload)) + payload
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_features_and_files_equal_brute_force(spark):
+    rows = [r for r in edge_docs() if len(r["text"] or "") < 10_000] + real_docs()[:25] + [{"doc_id": 1, "text": "\u00ff\x00\x7f" * 40, "lang": None, "source": None}]
+    want = []
+    for r in rows:
+        raw = (r["text"] or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        file = brute_file(payload)
+        want.append((r["doc_id"], len(file), hashlib.sha256(file).hexdigest(), brute_feature(payload)))
+    assert rows_of(audio.media_digest(frame(spark, rows)), "doc_id", "media_bytes", "media_sha256", "feature") == sorted(want, key=repr)
+
+
+def test_resampling_by_whole_and_broken_ratios():
+    x = np.random.default_rng(3).integers(-32768, 32768, 500).astype(np.int16)
+    for rate, to in ((8000, 16000), (8000, 24000), (8000, 11025), (16000, 8000)):
+        for pcm in (x, np.stack([x, x[::-1]], 1), x[:1]):
+            got = audio.resample(pcm, rate, to)
+            want = [pcm[i * rate // to].astype(int) + (pcm[min(i * rate // to + 1, len(pcm) - 1)].astype(int) - pcm[i * rate // to].astype(int)) * (i * rate % to) // to for i in range(len(pcm) * to // rate)]
+            assert (got == np.array(want).reshape(got.shape)).all()
 
 
 def test_expand_stores_pcm_and_survives_damage(spark):

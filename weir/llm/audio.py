@@ -1,8 +1,8 @@
 """Telephony audio columns: G.711 mu-law and A-law by lookup table, IMA ADPCM with numpy across blocks.
 
-``expand`` turns a binary column of RIFF/WAVE files (mu-law, A-law or IMA ADPCM) into resampled
-16-bit PCM files of as many channels. ``media_digest`` stores each text's bytes as 8-bit mu-law samples, reads the
-stored file back and computes features of what it read.
+``expand`` turns a binary column of RIFF/WAVE files (mu-law, A-law or IMA ADPCM) into a column of resampled
+16-bit PCM files of as many channels. ``store`` makes a column of mu-law files of a column's bytes. ``media_digest``
+stores each text with it, writes that table, reads it back, expands it and computes features of what it read.
 
 Edge cases: null text is the empty payload, null media gives null PCM; an empty payload is padded
 to 64 zero bytes; damaged files give null PCM; a predictor's step index beyond 88 counts as 88; a
@@ -21,9 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_view
+from .common import slices, stage, text_view
 
 UNIT = 64
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17  # RIFF format tags
@@ -88,6 +89,15 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation in integers from ``rate`` to ``to``; the last sample holds."""
     if rate == to or not len(pcm):
         return pcm
+    if to % rate == 0:  # so many samples for each: no index arrays
+        k = to // rate
+        x = pcm.astype(np.int32)
+        rise = np.zeros_like(x)
+        rise[:-1] = x[1:] - x[:-1]
+        out = np.empty((len(x), k, *x.shape[1:]), np.int16)
+        for j in range(k):
+            out[:, j] = x + rise * j // k if j else x
+        return out.reshape(-1, *x.shape[1:])
     at = np.arange(len(pcm) * to // rate, dtype=np.int64) * rate
     i, part = at // to, (at % to).reshape(-1, *[1] * (pcm.ndim - 1))
     x = pcm.astype(np.int64)
@@ -144,40 +154,45 @@ def decode(tag: int, block: int, data, channels: int = 1) -> np.ndarray:
     raise ValueError(f"format {tag} is not known")
 
 
-def expand(df: DataFrame, column: str = "media", rate: int = 16000, output: str = "pcm") -> DataFrame:
-    """``df`` with ``output``: the file in ``column`` as 16-bit PCM at ``rate``; null where it can't be read."""
-    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name != output]
-    names = [f.name for f in fields]
-
-    def one(file):
-        if file is None:
-            return None
-        try:
-            tag, own, block, data, channels = read_wave(file)
-            return wave(resample(decode(tag, block, data, channels), own, rate).astype("<i2").tobytes(), PCM, rate, 2 * channels, 16, channels)
-        except (ValueError, struct.error):
-            return None
+def pcm_file(file: bytes | None, rate: int) -> bytes | None:
+    """A file as 16-bit PCM at ``rate``; None where it can't be read."""
+    if file is None:
+        return None
+    try:
+        tag, own, block, data, channels = read_wave(file)
+        return wave(resample(decode(tag, block, data, channels), own, rate).astype("<i2").tobytes(), PCM, rate, 2 * channels, 16, channels)
+    except (ValueError, struct.error):
+        return None
+
+
+def _added(b: pa.RecordBatch, output: str, made: pa.Array) -> pa.RecordBatch:
+    names = [n for n in b.schema.names if n != output]
+    return pa.RecordBatch.from_arrays([*(b.column(n) for n in names), made], [*names, output])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, column):
-            made = pa.array([one(x) for x in b.column(column).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), made], [*names, output])
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(output, T.BinaryType(), True)]))
+def expanding(batches: Iterator[pa.RecordBatch], column: str, rate: int, output: str) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, column):
+        yield _added(b, output, pa.array([pcm_file(x, rate) for x in b.column(column).to_pylist()], pa.binary()))
+
+
+def expand(df: DataFrame, column: str = "media", rate: int = 16000, output: str = "pcm") -> DataFrame:
+    """``df`` with ``output``: the file in ``column`` as 16-bit PCM at ``rate``; null where it can't be read."""
+    return df.mapInArrow(lambda batches: expanding(batches, column, rate, output), _schema(df, output))
 
 
 def store(df: DataFrame, column: str = "text", output: str = "media") -> DataFrame:
     """``df`` with ``output``: the column's bytes, padded to a multiple of 64, as a mu-law file."""
-    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name != output]
-    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, column):
             off, raw = text_view(b.column(column))
-            made = [wave(padded(raw[x:y]).tobytes(), MULAW) for x, y in zip(off.tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(made, pa.binary())], [*names, output])
+            yield _added(b, output, pa.array([wave(padded(raw[x:y]).tobytes(), MULAW) for x, y in zip(off.tolist(), off[1:].tolist())], pa.binary()))
+
+    return df.mapInArrow(run, _schema(df, output))
+
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(output, T.BinaryType(), True)]))
+def _schema(df: DataFrame, output: str) -> T.StructType:
+    return T.StructType([*(T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name != output), T.StructField(output, T.BinaryType(), True)])
 
 
 def padded(raw: np.ndarray) -> np.ndarray:
@@ -185,8 +200,8 @@ def padded(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([raw, np.zeros(max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw), np.uint8)])
 
 
-def features(payloads: list[memoryview]) -> list[str]:
-    """Peak and mean level in the three codecs, sign changes, and the CRC-32 of the 16 kHz PCM, of each payload."""
+def features(payloads: list[memoryview], pcm: list[bytes]) -> list[str]:
+    """Peak and mean level of each payload in the three codecs, its sign changes, and the CRC-32 of its expanded samples."""
     raw = np.frombuffer(b"".join(payloads), np.uint8)
     starts = np.cumsum([0, *map(len, payloads)])
     out = [[] for _ in payloads]
@@ -204,31 +219,27 @@ def features(payloads: list[memoryview]) -> list[str]:
     turn = np.r_[(mu[1:] < 0) != (mu[:-1] < 0), False]
     turn[starts[1:] - 1] = False
     turns = np.add.reduceat(turn, starts[:-1], dtype=np.int64).tolist()
-    for o, t, a, b in zip(out, turns, starts[:-1].tolist(), starts[1:].tolist()):
-        x = mu[a:b].astype(np.int32)
-        twice = np.empty(2 * len(x), "<i2")  # resample(x, 8000, 16000), without its index arrays
-        twice[::2] = x
-        twice[1:-1:2] = x[:-1] + (x[1:] - x[:-1] >> 1)
-        twice[-1] = x[-1]
-        o.append(f"turns:{t};pcm16k:{zlib.crc32(twice):08x}")
+    for o, t, x in zip(out, turns, pcm):
+        o.append(f"turns:{t};pcm16k:{zlib.crc32(x):08x}")
     return [";".join(o) for o in out]
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
     """Per document: the stored mu-law file's size and SHA-256, what was read back from it, and its features."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    media = stage(store(rows).select("doc_id", "n_bytes", "media"), "media", narrow=False, compression="zstd")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=1 << 19):
-            off, raw = text_view(b.column("text"))
-            files = [wave(padded(raw[x:y]).tobytes(), MULAW) for x, y in zip(off.tolist(), off[1:].tolist())]
-            read = [read_wave(f)[3] for f in files]
+        for b in expanding(slices(batches, "media", 1 << 19), "media", 16000, "pcm"):
+            files = b.column("media").to_pylist()
+            read, pcm = ([read_wave(f)[3] for f in some] for some in (files, b.column("pcm").to_pylist()))
             columns = [
-                b.column("doc_id"), pa.array(np.diff(off)), pa.array([len(p) for p in read], pa.int64()),
+                b.column("doc_id"), b.column("n_bytes"), pa.array([len(p) for p in read], pa.int64()),
                 pa.array([hashlib.sha256(p).hexdigest() for p in read]), pa.array([zlib.crc32(p[-UNIT:]) for p in read], pa.int64()),
                 pa.array([len(f) for f in files], pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]),
-                pa.array(features(read)),
+                pa.array(features(read, pcm)),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return media.mapInArrow(run, schema)

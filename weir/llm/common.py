@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stage(df: DataFrame, label: str, narrow: bool = True) -> DataFrame:
+def stage(df: DataFrame, label: str, narrow: bool = True, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     A table of narrow rows is rebalanced, so that it has few files while it is small and files of the advisory
@@ -51,7 +51,7 @@ def stage(df: DataFrame, label: str, narrow: bool = True) -> DataFrame:
     if narrow:
         df = df.hint("rebalance", 2 * max(2, spark.sparkContext.defaultParallelism))
     path = f"{shared_dir(spark)}/stage-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
