@@ -58,15 +58,52 @@ def test_code_lengths_equal_the_definition():
         assert np.allclose(g, brute_bits(samples, t), rtol=1e-4)
 
 
+def test_tables_apart_give_the_same_code_lengths():
+    samples = {"x": [b"abab abba", b"ab", b"xyz xyz"], "y": [b"cdc cd ddc a"], "z": ["да нет да".encode() * 3], "w": [b"abc cba"], "none": [b""]}
+    texts = ["abba cd да нет", "", "zq\u00ff", "a", "dcd abab xyz", "ж"]
+    raws = [t.encode() for t in texts]
+    off, raw = np.cumsum([0, *map(len, raws)]), np.frombuffer(b"".join(raws), np.uint8)
+    whole, apart = langid.fit(samples, block_bytes=1 << 30), langid.fit(samples, block_bytes=0)
+    assert len(whole.blocks) == 1 and len(apart.blocks) == 5
+    assert np.allclose(langid.code_lengths(whole, off, raw), langid.code_lengths(apart, off, raw), rtol=1e-5)
+
+
+def test_tables_are_bounded_and_grow_as_a_sum():
+    rng = np.random.default_rng(0)
+    text = lambda i: "".join(chr(x) for x in 0x4E00 + 60 * i + rng.integers(0, 40, 3000)).encode()
+    fit = lambda n: langid.fit({f"l{i:02d}": [text(i)] for i in range(n)}, block_bytes=1 << 20).blocks
+    size = lambda blocks: sum(b.cost.nbytes + b.context.nbytes for b in blocks)
+    small, large = fit(16), fit(64)
+    assert all(b.cost.nbytes <= 1.2 * (1 << 20) or len(b.langs) == 1 for b in large)
+    assert sorted(i for b in large for i in b.langs) == list(range(64))
+    assert size(large) < 5 * size(small)
+
+
 def test_probabilities_sum_to_one():
     model = langid.fit({"x": [b"hello there", b"hello world"], "y": [b"guten tag"]})
-    a = round(len(model.context) ** (1 / 3))
-    p = np.exp2(-model.cost.reshape(-1, a, 2).astype(float))
+    (block,) = model.blocks
+    a = round(len(block.context) ** (1 / 3))
+    p = np.exp2(-block.cost.reshape(-1, a, 2).astype(float))
     unseen = 256 - (a - 2)
     p[:, langid.OTHER] *= unseen
     assert np.allclose(p[:, 1:].sum(1), 1, atol=1e-4)
 
 
+def test_predictions_equal_the_definition(spark):
+    """Label and score from code lengths by the definition, on the sample that the operator takes."""
+    rows = [{"doc_id": i, "text": t, "lang": la, "source": "s"} for i, (t, la) in enumerate([("abab abba", "x"), ("cdc cd ddc", "y"), ("ab abba ba", "x"), ("dcd cdd", "y"), ("aacc", None), ("bab", None), ("12", "x")] * 6)]
+    df = frame(spark, rows)
+    samples = langid.sample(df)
+    assert sum(map(len, samples.values())) <= len(rows) and set(samples) == {"x", "y"}
+    for r in langid.predict(df).collect():
+        text = rows[r["doc_id"]]["text"]
+        if text == "12":
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        x, y = brute_bits(samples, text.encode())
+        assert r["lang_pred"] == ("x" if x <= y else "y") and np.isclose(r["score"], 1 / (1 + 2.0 ** -abs(x - y)), rtol=1e-3)
+
+
 def test_held_out_accuracy_and_fold(spark):
     rows = real_docs()
     got = {r["doc_id"]: r for r in langid.predict(frame(spark, rows)).collect()}

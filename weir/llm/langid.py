@@ -4,8 +4,9 @@ For each language a byte context tree of order 3 is counted on labelled text. A
 length in a context is that of PPM with escape method C and exclusion: seen bytes share
 n / (n + d), the escape d / (n + d) is shared by the unseen bytes as the next shorter context
 predicts them, and below order 0 every byte costs 8 bits. With frozen statistics that length
-depends on the byte and its context alone, so the trees are flattened into one table
-(context, byte) -> code length per language, and scoring a text is table lookups and a sum.
+depends on the byte and its context alone, so the trees are flattened into tables
+(context, byte) -> code length, and scoring a text is table lookups and a sum. Languages of like
+scripts share a table of bounded size; the model grows as the sum of the languages' own contexts.
 
 Fitting sample (a documented bound): of each language the documents with the smallest hashes,
 about ``SAMPLE_DOCS`` of them (with more than ``MANY_LANGS`` languages an equal share of as many rows),
@@ -34,8 +35,10 @@ from .common import slices, text_view
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 32_768
-#: Languages that get SAMPLE_DOCS each; languages that are scored at once.
+#: Languages that get SAMPLE_DOCS each.
 MANY_LANGS = 64
+#: Bytes of one table of languages, unless it has one language.
+BLOCK_BYTES = 12 << 20
 HELD_OUT = 2
 FOLDS = 4
 #: Bits per byte from which a text counts as noise in every known language (8 is incompressible).
@@ -44,40 +47,83 @@ PAD, OTHER = 0, 1
 
 
 @dataclass
-class Model:
-    langs: list[str]
+class Block:
+    """Some languages' trees as one table, over the bytes and contexts that occur in them."""
+
+    langs: list[int]  # their places among all languages
     classes: np.ndarray  # byte -> class
     context: np.ndarray  # class triple -> row of cost
     cost: np.ndarray  # (context * classes + class, language) -> bits
 
 
-def fit(samples: dict[str, list[bytes]], rare: int = 2) -> Model:
-    """Context trees of order 3. Order-3 contexts seen fewer than ``rare`` times fall to order 2."""
+@dataclass
+class Model:
+    langs: list[str]
+    blocks: list[Block]
+
+
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every (three bytes before, byte) with its count; 256 stands for what is before a text."""
+    parts = [np.r_[256, 256, 256, np.frombuffer(t, np.uint8).astype(np.int64)] for t in texts if t]
+    c = np.concatenate(parts) if parts else np.zeros(3, np.int64)
+    g = ((c[:-3] * 257 + c[1:-2]) * 257 + c[2:-1]) * 257 + c[3:]
+    return np.unique(g[c[3:] != 256], return_counts=True)
+
+
+def _lead(gram: tuple[np.ndarray, np.ndarray]) -> int:
+    """The lead byte of two or more that a language uses most: languages of one script have equal or near ones."""
+    last, n = gram[0] % 257, gram[1]
+    return int(np.bincount(np.where(last >= 0xC0, last, 0), n, 257)[1:].argmax())
+
+
+def fit(samples: dict[str, list[bytes]], rare: int = 2, block_bytes: int = BLOCK_BYTES) -> Model:
+    """Context trees of order 3. Order-3 contexts seen fewer than ``rare`` times in all languages fall to order 2.
+
+    Languages share a table as long as it takes ``block_bytes`` or less: it has a cell for each of their contexts
+    and bytes, so for scripts apart tables of their own are smaller, and the model grows as their sum.
+    """
     langs = sorted(samples)
-    seen = sorted(set(b"".join(t for lang in langs for t in samples[lang])))
-    classes = np.full(256, OTHER, np.int64)
+    grams = [_grams(samples[lang]) for lang in langs]
+    every = np.concatenate([g for g, _ in grams]) // 257 if langs else np.zeros(0, np.int64)
+    weight = np.concatenate([n for _, n in grams]) if langs else np.zeros(0, np.int64)
+    contexts, back = np.unique(every, return_inverse=True)
+    kept = contexts[np.bincount(back, weight, len(contexts)) >= rare]
+    blocks: list[Block] = []
+    todo = [sorted(range(len(langs)), key=lambda i: (_lead(grams[i]), i))] if langs else []
+    while todo:
+        some = todo.pop()
+        g = np.concatenate([grams[i][0] for i in some])
+        rows = sum(len(np.unique(g // 257 % 257**order)) for order in range(4))
+        if len(some) > 1 and rows * len(np.unique(g % 257)) * len(some) * 4 > block_bytes:
+            todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+        else:
+            blocks.append(_block(some, [grams[i] for i in some], kept))
+    return Model(langs, blocks)
+
+
+def _block(langs: list[int], raw: list[tuple[np.ndarray, np.ndarray]], kept: np.ndarray) -> Block:
+    """The table of some languages; order-3 contexts are those of ``kept``."""
+    seen = np.unique(np.concatenate([g % 257 for g, _ in raw]))
+    classes = np.full(257, OTHER, np.int64)
     classes[seen] = np.arange(len(seen)) + 2
+    classes[256] = PAD
     a, unseen = len(seen) + 2, max(1, 256 - len(seen))
     grams = []
-    for lang in langs:
-        parts = [np.r_[PAD, PAD, PAD, classes[np.frombuffer(t, np.uint8)]] for t in samples[lang] if t]
-        c = np.concatenate(parts) if parts else np.zeros(3, np.int64)  # each text after three pads
-        g = ((c[:-3] * a + c[1:-2]) * a + c[2:-1]) * a + c[3:]
-        grams.append(np.unique(g[c[3:] != PAD], return_counts=True))
+    for g, n in raw:
+        code = np.zeros(len(g), np.int64)
+        for back in (257**3, 257**2, 257, 1):
+            code = code * a + classes[g // back % 257]
+        grams.append((code, n, np.isin(g // 257, kept)))
     flat = np.full(a, 1 / 256)
     flat[PAD], flat[OTHER] = 0, (256 - len(seen)) / 256
     probs = [np.zeros((0, a)) for _ in langs]  # rows: contexts of all orders so far
     rows = np.zeros(1, np.int64)  # context value at the shorter order -> row
-    every = np.concatenate([g for g, _ in grams]) // a if langs else np.zeros(0, np.int64)
-    weight = np.concatenate([n for _, n in grams]) if langs else np.zeros(0, np.int64)
-    for order in range(4 if langs else 0):
+    for order in range(4):
         span = a**order
-        values, back = np.unique(every % span, return_inverse=True)
-        if order == 3:
-            values = values[np.bincount(back, weight, len(values)) >= rare]
+        values = np.unique(np.concatenate([np.zeros(int(order == 0), np.int64), *((g if order < 3 else g[known]) // a % span for g, _, known in grams)]))
         at = np.full(span, -1, np.int64)
         at[values] = np.arange(len(values))
-        for k, (g, n) in enumerate(grams):
+        for k, (g, n, _) in enumerate(grams):
             r = at[g // a % span]
             ok = r >= 0
             count = np.bincount(r[ok] * a + (g % a)[ok], n[ok], len(values) * a).reshape(len(values), a)
@@ -91,13 +137,13 @@ def fit(samples: dict[str, list[bytes]], rare: int = 2) -> Model:
             probs[k] = np.concatenate([probs[k], np.where(total > 0, np.nan_to_num(p), base)])
         rows = rows[np.arange(span) % a ** (order - 1)] if order else np.zeros(1, np.int64)
         rows[values] = np.arange(len(values)) + (len(probs[0]) - len(values))
-    cost = np.empty((len(probs[0]) if langs else 0, a, len(langs)), np.float32)
+    cost = np.empty((len(probs[0]), a, len(langs)), np.float32)
     for k in range(len(langs)):
         bits, probs[k] = -np.log2(np.maximum(probs[k], 1e-12)), None
         bits[:, PAD] = 0
         bits[:, OTHER] += np.log2(unseen)
         cost[:, :, k] = bits
-    return Model(langs, classes, rows.astype(np.int32), cost.reshape(len(cost) * a, len(langs)))
+    return Block(langs, classes[:256], rows.astype(np.uint16 if len(cost) < 1 << 16 else np.int32), cost.reshape(len(cost) * a, len(langs)))
 
 
 def code_lengths(model: Model, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -105,24 +151,23 @@ def code_lengths(model: Model, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
     out = np.zeros((len(off) - 1, len(model.langs)))
     if not len(raw) or not model.langs:
         return out
-    a = round(len(model.context) ** (1 / 3))
-    sym = model.classes[raw]
-    row = np.zeros(len(raw), np.int64)
-    starts = off[:-1][np.diff(off) > 0]
-    ends = off[1:][np.diff(off) > 0]
-    for back in (3, 2, 1):
-        before = np.zeros(len(raw), np.int64)
-        before[back:] = sym[:-back]
-        for i in range(back):  # the first bytes of a text have no bytes before them
-            before[np.minimum(starts + i, ends - 1)[starts + i < ends]] = PAD
+    some = np.flatnonzero(np.diff(off) > 0)
+    starts, ends = off[:-1][some], off[1:][some]
+    for block in model.blocks:
+        a = round(len(block.context) ** (1 / 3))
+        sym = block.classes[raw]
+        row = np.zeros(len(raw), np.int64)
+        for back in (3, 2, 1):
+            before = np.zeros(len(raw), np.int64)
+            before[back:] = sym[:-back]
+            for i in range(back):  # the first bytes of a text have no bytes before them
+                before[np.minimum(starts + i, ends - 1)[starts + i < ends]] = PAD
+            row *= a
+            row += before
+        row = block.context[row].astype(np.int64)
         row *= a
-        row += before
-    row = model.context[row].astype(np.int64)
-    row *= a
-    row += sym
-    for i in range(0, len(model.langs), MANY_LANGS):
-        some = slice(i, i + MANY_LANGS)
-        out[np.diff(off) > 0, some] = np.add.reduceat(model.cost[row] if len(model.langs) <= MANY_LANGS else model.cost[row, some], starts, 0, np.float64)
+        row += sym
+        out[np.ix_(some, block.langs)] = np.add.reduceat(block.cost[row], starts, 0, np.float64)
     return out
 
 
