@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import settle, stage, staged
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
@@ -61,4 +61,7 @@ def render(turns: DataFrame, kept: DataFrame, start="<|im_start|>", end="<|im_en
 
 def format_chats(turns: DataFrame, **markers) -> DataFrame:
     """Maximal conversations, rendered: conv_id, n_turns, n_copies, rendered."""
-    return render(turns, stage(maximal_conversations(turns), "chat-kept"), **markers)
+    before = staged()
+    kept = stage(maximal_conversations(turns), "chat-kept")
+    settle(turns.sparkSession, before, kept)
+    return render(turns, kept, **markers)

@@ -79,6 +79,18 @@ def clear_stages(spark: SparkSession) -> None:
         _remove(spark, path)
 
 
+def staged() -> set[str]:
+    """The folders of all staged tables."""
+    return set(_staged)
+
+
+def settle(spark: SparkSession, before: set[str], *keep: DataFrame) -> None:
+    """Remove what was staged since ``before``, but for ``keep``, whose plans read nothing else of it."""
+    kept = before | {getattr(df, "_staged_path", None) for df in keep}
+    for path in [p for p in _staged if p not in kept]:
+        _remove(spark, path)
+
+
 #: Before the names of an operator's own columns beside a caller's, whose names may be any.
 OWN = "\0"
 

@@ -190,11 +190,15 @@ def sample(docs: DataFrame) -> dict[str, list[bytes]]:
     return {k: v for k, v in out.items() if v}
 
 
+def _letters(col: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+
+
 def _scores(model: Model, col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Label, posterior probability of the label, and its bits per byte, for each text."""
     off, raw = text_view(col)
     bits = code_lengths(model, off, raw)
-    letters = pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    letters = _letters(col)
     if not model.langs:
         return ["und"] * len(col), np.zeros(len(col)), np.zeros(len(col))
     best = bits.argmin(1)
@@ -219,13 +223,16 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without texts that are ``und`` or noise (NOISE_BITS a byte or more) in every language."""
+    """``docs`` without texts that are ``und`` or noise (NOISE_BITS a byte or more) in every language.
+
+    Where no label is left to learn from, nothing can be judged but whether a text has a letter.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=1 << 20):
             names, _, bits = _scores(model.value, b.column("text"))
-            keep = np.array([n != "und" for n in names]) & (bits < NOISE_BITS)
+            keep = np.array([n != "und" for n in names]) & (bits < NOISE_BITS) if model.value.langs else _letters(b.column("text"))
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import twobloom
-from .common import LOWER, OWN, SPACES, packed, slices, stage, texts, unpacked
+from .common import LOWER, OWN, SPACES, packed, slices, stage, texts, unpacked, unstage
 
 #: Bytes of dropped keys that are broadcast; others are joined, as are those of more than LONG_KEY bytes.
 BROADCAST_BYTES, LONG_KEY = 8 << 20, 1000
@@ -141,6 +141,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
     found = stage(repeated_keys(docs, min_docs), "line-keys")
     hot = docs.sparkSession.sparkContext.broadcast(_hottest(found, broadcast_bytes))
     more = found.count() - len(hot.value)
+    if not more:
+        unstage(found)
     names = list(docs.columns)
     kept = ["text"] if digest else names
     rows = packed(docs, kept, id=F.col("doc_id").cast("long"), th=F.xxhash64("text"))

@@ -15,7 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, settle, stage, staged, unstage
+
+
+#: Sources that one task ranks, about.
+RANGE = 200_000
 
 
 def _keyed(docs: DataFrame, seed: int, keep: list[Column] = []) -> DataFrame:
@@ -37,13 +41,17 @@ def _keyed(docs: DataFrame, seed: int, keep: list[Column] = []) -> DataFrame:
 def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
     """``sources`` with its weight and target: weights by code-point rank, capped, the excess reshared.
 
-    One row per source enters the single-task rank; the resharing loop moves three scalars a round.
+    Sources are ranked in ranges of some RANGE, each in a task of its own; the resharing loop moves three scalars a round.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1
-    ranked = stage(
-        sources.withColumn("__w", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double")),
-        "mix-sources",
-    )
+    order = F.col("__source").asc_nulls_last()
+    sources = stage(sources, "mix-sizes")
+    ranges = max(1, -(-sources.count() // RANGE))
+    dealt = stage(sources.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id()), "mix-ranges", narrow=False)
+    counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__in"))
+    first = counts.select("__range", (F.sum("__in").over(Window.orderBy("__range")) - F.col("__in")).alias("__before"))  # a row a range
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1 + F.col("__before")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double")
+    ranked = stage(dealt.join(first, "__range").withColumn("__w", weight).drop("__range", "__before"), "mix-sources")
     most = F.col("__source_size") * F.lit(float(cap))
     total = ranked.agg(F.sum("__source_size")).first()[0] or 0
     budget, lam, held = share * total, 0.0, -1
@@ -64,6 +72,7 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: fl
 def plan_mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, cap=2.0, seed=0) -> tuple[DataFrame, DataFrame]:
     """(keyed rows, one row per source with target, whole epochs and the cut of the last epoch)."""
     rows = stage(_keyed(docs, seed), "mix-rows", narrow=False)
+    before_plan = staged()
     sources = rows.groupBy("__source").agg(F.sum("__size").alias("__source_size"), F.count(F.lit(1)).alias("__n"))
     plan = _targets(sources, weights, share, cap)
     budget = F.floor(F.col("__target") + 0.5)
@@ -89,7 +98,9 @@ def plan_mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, cap=2.0, seed=0) ->
         F.floor((F.col("__rest") - F.col("__run")) / F.col("__c")).alias("__part"),
     )
     plan = plan.join(cuts, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    return rows, stage(plan.select("__source", "__source_size", "__target", "__epochs", "__cut", "__part"), "mix-cuts")
+    plan = stage(plan.select("__source", "__source_size", "__target", "__epochs", "__cut", "__part"), "mix-cuts")
+    settle(docs.sparkSession, before_plan, plan)
+    return rows, plan
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -115,7 +126,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
     The document that a budget cuts is taken whole if at least half of it lies inside.
     """
-    _, plan = plan_mix(docs, **options)
+    made, plan = plan_mix(docs, **options)
+    unstage(made)
     rows = _keyed(docs, options.get("seed", 0), [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")])
     out = _with_plan(rows, plan)
     part = (F.col("__at") < F.col("__cut")) | ((F.col("__at") == F.col("__cut")) & (F.col("__last") * 2 >= F.col("__size")))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, hold, slices, stage, texts
+from .common import LOWER, hold, slices, stage, texts, unstage
 
 CAPACITY = 2048
 GROUPS = 192
@@ -366,4 +366,7 @@ def _by_length(groups: list[tuple[int, int, int]], capacity: int, least: int) ->
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset of every piece."""
-    return pack(stage(pieces(docs, capacity, path, with_ids), "pack-pieces", narrow=False), capacity)
+    made = stage(pieces(docs, capacity, path, with_ids), "pack-pieces", narrow=False)
+    out = pack(made, capacity)  # which has staged what it reads
+    unstage(made)
+    return out

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, packed, slices, stage, texts
+from .common import LOWER, packed, settle, slices, stage, staged, texts
 from .components import components
 from .substring import mix
 
@@ -306,7 +306,9 @@ def grouped(docs: DataFrame, distance: int) -> DataFrame:
     """doc_id, th, fp, root (names the component), component_id of every document."""
     own = stage(fingerprints(docs), "fingerprints", narrow=False)
     distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    before = staged()
     stars = components(links(distinct, distance))
+    settle(docs.sparkSession, before, stars)
     named = distinct.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(low, "root").select("fp", "root", "component_id")
@@ -323,10 +325,12 @@ def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
 
     Of several rows with that doc_id and text one stays, any of them if they differ in other columns.
     """
+    before = staged()
     rows = stage(grouped(docs, distance).groupBy("root", "component_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "components")
     first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("first"))
     is_first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first"))
     judged = stage(rows.join(first, "root").select("doc_id", "th", "n", is_first.alias("stays")), "kept")
+    settle(docs.sparkSession, before, judged)
     gone = judged.where("not stays").select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th"))
     out = packed(docs, docs.columns, id=F.col("doc_id").cast("long"), th=F.xxhash64("text"))
     out = out.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("th") == F.col("gone_th")), "left_anti")
