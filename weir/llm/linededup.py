@@ -6,8 +6,8 @@ exactly as text, and the keys found in ``min_docs`` documents lose their lines:
 with ``keep_first`` all but the first line of the first document.
 
 The keys found in the most documents are broadcast, up to ``broadcast_bytes``. Where there are more,
-a filter of the others tells which lines may be among them, and only those lines are joined; none of them is
-in more documents than the least of the broadcast ones, so no key is hot.
+a filter of the others tells which lines may be among them, and only those lines are joined; but for
+lines too long for the broadcast, none of them is in more documents than the least of the broadcast ones.
 
 Edge cases: null or empty text is one empty line, and null text without dropped lines stays null;
 empty keys are never dropped; a key counts once a document; every row is a document, also rows
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from . import twobloom
 from .common import LOWER, OWN, SPACES, packed, slices, stage, texts, unpacked, unstage
 
-#: Bytes of dropped keys that are broadcast; others are joined, as are those of more than LONG_KEY bytes.
-BROADCAST_BYTES, LONG_KEY = 8 << 20, 1000
+#: Bytes of dropped keys that are broadcast; others are joined.
+BROADCAST_BYTES = 8 << 20
 
 
 def keys(text: bytes) -> list[bytes]:
@@ -100,15 +100,18 @@ def _cut(text: bytes, drop: dict, own: dict, here: tuple | None) -> tuple[bytes,
 
 
 def _hottest(found: DataFrame, most: int) -> dict[bytes, tuple]:
-    """The keys found in the most documents, of up to ``most`` bytes in all (a key counts 100 more than it has; long ones are left out)."""
-    rows = found.where(F.octet_length("key") <= LONG_KEY).orderBy(F.desc("n"), "key").limit(most // 100).collect()
-    out, size = {}, 0
-    for r in rows:
-        size += len(r["key"]) + 100
-        if size > most:
-            break
-        out[bytes(r["key"])] = (r["id"], r["th"])
-    return out
+    """The keys found in the most documents, as many as fit in ``most`` bytes (a key counts 100 more than it has)."""
+    name = F.xxhash64("key").alias("name")
+    some, size = [], 0
+    for r in found.select("n", F.octet_length("key").alias("size"), name).orderBy(F.desc("n"), "name").limit(most // 100).collect():
+        if size + r["size"] + 100 <= most:
+            size += r["size"] + 100
+            some.append((r["name"],))
+    if not some:
+        return {}
+    names = found.sparkSession.createDataFrame(some, "name long")
+    rows = found.withColumn("name", name).join(F.broadcast(names), "name", "left_semi").collect()
+    return {bytes(r["key"]): (r["id"], r["th"]) for r in rows}
 
 
 def _own_keys(docs: DataFrame, found: DataFrame, n: int, hot: Broadcast) -> DataFrame:
