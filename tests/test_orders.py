@@ -148,44 +148,113 @@ def test_an_injected_violation_fails_its_rule(spark, sf, rule):
     assert not got.where(F.col("rule") == rule).first()["passed"]
 
 
-def test_incremental_orders_equal_batch_and_retract(spark, tmp_path):
-    versions = spark.createDataFrame([(p, 1, f"p{p}", 1, "c", Decimal("1.00")) for p in range(1001, 1101)], "product_id long, version_no int, product_name string, category_id long, category_name string, price decimal(10,2)")
-    versions = versions.withColumns({"effective_from": F.lit("1900-01-01").cast("timestamp"), "effective_to": F.lit("9999-12-31").cast("timestamp"), "is_current": F.lit(1).cast("byte"), "updated_at": F.lit("1900-01-01").cast("timestamp")})
-    schemas, state = {}, None
+def order_state(spark, path, **options):
+    schemas = {}
     for e, key in live.ENTITIES.items():
         c = contracts.CONTRACTS[e].schema
         T = contracts.T
         value = T.StructType([T.StructField(f.name, f.dataType) for f in c.fields])
-        schemas[e] = T.StructType([T.StructField(key, T.StringType()), T.StructField("op", T.StringType()), T.StructField("epoch", T.IntegerType()), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("value", value)])
-    state = live.OrderState(spark, str(tmp_path), schemas)
-    offset, everything = 0, {e: [] for e in schemas}
-    last = []
+        keys = [T.StructField(k, c[k].dataType) for k in key]
+        schemas[e] = T.StructType([*keys, T.StructField("op", T.StringType()), T.StructField("epoch", T.IntegerType()), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("value", value)])
+    return live.OrderState(spark, str(path), schemas, **options)
+
+
+class Feed:
+    """Change rows by entity, batch by batch, and everything so far."""
+
+    def __init__(self, spark, state):
+        self.spark, self.state, self.offset, self.all = spark, state, 0, {e: [] for e in live.ENTITIES}
+
+    def rows(self, entries):
+        out = {}
+        for entity, op, row in entries:
+            self.offset += 1
+            value = None if op == "d" else tuple(row[f] for f in contracts.CONTRACTS[entity].schema.names)
+            out.setdefault(entity, []).append((*[row[k] for k in live.ENTITIES[entity]], op, 128, 0, self.offset, value))
+        for e, r in out.items():
+            self.all[e] += r
+        return {e: self.spark.createDataFrame(r, self.state.schemas[e]) for e, r in out.items()}
+
+    def whole(self):
+        now = {e: changelog.fold(self.spark.createDataFrame(r, self.state.schemas[e]), live.ENTITIES[e]) for e, r in self.all.items()}
+        return orders.daily(orders.order_current(orders.order_detail_wide(now["order_detail"], now["order_info"], now["dim_product_scd2"], now["payment_info"], now["refund_info"])))
+
+
+def daily_rows(d):
+    return sorted(map(tuple, d.select(*sorted(d.columns)).collect()))
+
+
+def test_incremental_orders_equal_batch_and_retract(spark, tmp_path):
+    state = order_state(spark, tmp_path, buckets=2)
+    feed = Feed(spark, state)
     for batch, phase in enumerate(generators.order_phases(40, seed=2)):
-        arrived = {e: [] for e in schemas}
-        for entity, op, row in phase:
-            offset += 1
-            value = tuple(row[f] for f in contracts.CONTRACTS[entity].schema.names)
-            arrived[entity].append((row[live.ENTITIES[entity]], op, 128, 0, offset, value))
-            last.append((entity, row))
-        live.apply_batch(state, {e: spark.createDataFrame(r, schemas[e]) for e, r in arrived.items()}, versions, batch)
-        for e, r in arrived.items():
-            everything[e] += r
-
-    def whole():
-        now = {e: changelog.fold(spark.createDataFrame(r, schemas[e]), [live.ENTITIES[e]]) for e, r in everything.items()}
-        return orders.daily(orders.order_current(orders.order_detail_wide(now["order_detail"], now["order_info"], versions, now["payment_info"], now["refund_info"])))
-
-    rows = lambda d: sorted(map(tuple, d.select(*sorted(d.columns)).collect()))
-    assert rows(state.daily()) == rows(whole())
+        live.apply_batch(state, feed.rows(phase), batch)
+    assert daily_rows(state.daily()) == daily_rows(feed.whole())
     assert state.daily().agg(F.sum("refunded_orders")).first()[0] > 0
-    # A repeated batch changes nothing; deleting every header retracts every group; restoring brings them back.
-    keys = {r[0] for r in everything["order_info"]}
-    before = rows(state.daily())
-    deletes = [(k, "d", 128, 0, offset + i, None) for i, k in enumerate(sorted(keys), 1)]
-    gone = live.apply_batch(state, {"order_info": spark.createDataFrame(deletes, schemas["order_info"])}, versions, 3)
+    before, offset = daily_rows(state.daily()), feed.offset
+    # Compaction changes no result and leaves one folder a bucket.
+    state.compact(2)
+    assert daily_rows(state.daily()) == before and state.current("order_info").count() == 40
+    assert all(len(list(p.iterdir())) == 1 for p in tmp_path.glob("*/bucket=*"))
+    # Deleting every header retracts every group; restoring brings them back; a repeated batch changes nothing.
+    newest = {r[0]: r for r in feed.all["order_info"]}
+    schema = state.schemas["order_info"]
+    deletes = [(k, "d", 128, 0, offset + i, None) for i, k in enumerate(sorted(newest), 1)]
+    gone = live.apply_batch(state, {"order_info": spark.createDataFrame(deletes, schema)}, 3)
     assert state.daily().count() == 0 and gone.where("op = 'd'").count() == len(before)
-    newest = {r[0]: r for r in everything["order_info"]}
-    back = [(k, "c", 128, 0, offset + 1000 + i, newest[k][5]) for i, k in enumerate(sorted(keys))]
-    live.apply_batch(state, {"order_info": spark.createDataFrame(back, schemas["order_info"])}, versions, 4)
-    live.apply_batch(state, {"order_info": spark.createDataFrame(back, schemas["order_info"])}, versions, 4)
-    assert rows(state.daily()) == before
+    back = [(k, "c", 128, 0, offset + 1000 + i, newest[k][5]) for i, k in enumerate(sorted(newest))]
+    live.apply_batch(state, {"order_info": spark.createDataFrame(back, schema)}, 4)
+    live.apply_batch(state, {"order_info": spark.createDataFrame(back, schema)}, 4)
+    assert daily_rows(state.daily()) == before
+
+
+def test_late_and_redated_product_versions_reach_the_facts(spark, tmp_path):
+    state = order_state(spark, tmp_path, buckets=2)
+    feed = Feed(spark, state)
+    first = next(generators.order_phases(12, seed=4))
+    live.apply_batch(state, feed.rows([x for x in first if x[0] != "dim_product_scd2"]), 0)
+    assert state.daily().count() == 0
+    versions = [x for x in first if x[0] == "dim_product_scd2"]
+    live.apply_batch(state, feed.rows(versions[::2]), 1)
+    live.apply_batch(state, feed.rows(versions[1::2]), 2)
+    assert daily_rows(state.daily()) == daily_rows(feed.whole()) != []
+    used = {r["product_id"] for e, _, r in first if e == "order_detail"}
+    late = [("dim_product_scd2", "u", {**r, "effective_from": generators.LAST}) for _, _, r in versions if r["product_id"] in used and r["is_current"]][:4]
+    live.apply_batch(state, feed.rows(late), 3)
+    assert daily_rows(state.daily()) == daily_rows(feed.whole())
+    live.apply_batch(state, feed.rows([("dim_product_scd2", "d", r) for _, _, r in versions]), 4)
+    assert daily_rows(state.daily()) == daily_rows(feed.whole()) == []
+
+
+def test_state_forgets_after_its_time(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    state = order_state(spark, tmp_path, buckets=2)
+    feed = Feed(spark, state)
+    first = next(generators.order_phases(10, seed=1))
+    later = {f"O{i:06d}" for i in range(5, 10)}
+    live.apply_batch(state, feed.rows(first), 0)
+    before = daily_rows(state.daily())
+    touched = [("order_info", "u", {**r, "update_time": r["update_time"] + timedelta(days=40)}) for e, _, r in first if e == "order_info" and r["order_id"] in later]
+    live.apply_batch(state, feed.rows(touched), 1)
+    state.compact(1, ttl_days=30, now=datetime(2024, 2, 20))
+    assert {r[0] for r in state.log("order_info").select("order_id").collect()} == later
+    assert state.log("order_detail").count() == 0 and state.log("dim_product_scd2").count() > 100
+    assert daily_rows(state.daily()) == before
+
+
+def test_order_stream_compacts(spark, tmp_path):
+    import json
+    from datetime import datetime
+
+    state = order_state(spark, tmp_path / "state", buckets=2)
+    feed = Feed(spark, state)
+    first = next(generators.order_phases(6, seed=3))
+    frames = feed.rows(first)
+    log = tmp_path / "log"
+    for i, part in enumerate((("dim_product_scd2", "order_info"), ("order_detail",))):
+        rows = [(e, r["row"]) for e in part for r in frames[e].select(F.to_json(F.struct("*")).alias("row")).collect()]
+        spark.createDataFrame(rows, "entity string, row string").coalesce(1).write.mode("append").parquet(str(log))
+        stream = spark.readStream.schema("entity string, row string").parquet(str(log))
+        live.start(stream, state, str(tmp_path / "check"), compact_every=1, ttl_days=None, clock=lambda: datetime(2024, 1, 2), availableNow=True).awaitTermination()
+    assert json.dumps(daily_rows(state.daily()), default=str) == json.dumps(daily_rows(feed.whole()), default=str) != "[]"

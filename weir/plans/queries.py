@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,11 +125,19 @@ def _envelopes(w: Warehouse) -> DataFrame:
 
 
 def _work(spark: SparkSession, prefix: str) -> str:
-    """A new folder that executors can write to: under spark.checkpoint.dir where it is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder that executors can write to, under spark.checkpoint.dir; it goes with the driver's JVM.
+
+    Where that is unset, a local master gets a folder of its own, and any other an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        return tempfile.mkdtemp(prefix=prefix)
-    return f"{shared.rstrip('/')}/{prefix}{spark.range(1).select(F.uuid()).first()[0]}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="weir-")
+    path = f"{shared.rstrip('/')}/{prefix}{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def _streamed(w: Warehouse, name: str) -> DataFrame:
@@ -143,22 +152,31 @@ def _streamed(w: Warehouse, name: str) -> DataFrame:
 
 
 def _order_stream(w: Warehouse) -> DataFrame:
-    """Daily metrics after the order log arrived in three batches, the last with deletes and restores."""
+    """Daily metrics after the order log arrived in five batches: deletes and restores late, a compaction, product versions last and one of them dated anew."""
     spark, sf_dir = w.at
     root = _work(spark, "weir-orders-")
     log = w.log()
 
-    def created(rows: DataFrame, key: str) -> DataFrame:
+    def created(rows: DataFrame, *key: str, offset: int = 1) -> DataFrame:
         value = F.struct(*[c for c in rows.columns if c != "order_key"])
-        return rows.select(key, F.lit("c").alias("op"), F.lit(128).alias("epoch"), F.lit(0).alias("partition"), F.lit(1).cast("long").alias("offset"), value.alias("value"))
+        return rows.select(*key, F.lit("c").alias("op"), F.lit(128).alias("epoch"), F.lit(0).alias("partition"), F.lit(offset).cast("long").alias("offset"), value.alias("value"))
 
-    whole = {"order_info": log, "order_detail": created(src.order_detail(spark, sf_dir), "detail_id"), "payment_info": created(w.payments(), "payment_id"), "refund_info": created(w.refunds(), "refund_id")}
-    state = live_orders.OrderState(spark, root, {k: v.schema for k, v in whole.items()})
     versions = w.versions().persist()
+    key = ("product_id", "version_no")
+    # Version 1 of every product comes in two steps: at first as if it had ended before any order.
+    early = versions.withColumn("effective_to", F.when(F.col("version_no") == 1, F.lit("1950-01-01").cast("timestamp")).otherwise(F.col("effective_to")))
+    whole = {
+        "order_info": log, "order_detail": created(src.order_detail(spark, sf_dir), "detail_id"), "payment_info": created(w.payments(), "payment_id"),
+        "refund_info": created(w.refunds(), "refund_id"), "dim_product_scd2": created(early, *key),
+    }
+    state = live_orders.OrderState(spark, root, {k: v.schema for k, v in whole.items()}, buckets=4)
     step = F.col("offset") % 4
-    live_orders.apply_batch(state, {"order_info": log.where(step == 0), "order_detail": whole["order_detail"]}, versions, 0)
-    live_orders.apply_batch(state, {"order_info": log.where(step.isin(1, 2)), "payment_info": whole["payment_info"]}, versions, 1)
-    live_orders.apply_batch(state, {"order_info": log.where(step == 3), "refund_info": whole["refund_info"]}, versions, 2)
+    live_orders.apply_batch(state, {"order_info": log.where(step == 0), "order_detail": whole["order_detail"]}, 0)
+    live_orders.apply_batch(state, {"order_info": log.where(step.isin(1, 2)), "payment_info": whole["payment_info"]}, 1)
+    state.compact(1)
+    live_orders.apply_batch(state, {"order_info": log.where(step == 3), "refund_info": whole["refund_info"]}, 2)
+    live_orders.apply_batch(state, {"dim_product_scd2": whole["dim_product_scd2"]}, 3)
+    live_orders.apply_batch(state, {"dim_product_scd2": created(versions.where("version_no = 1"), *key, offset=2)}, 4)
     return state.daily()
 
 

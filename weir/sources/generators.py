@@ -9,6 +9,10 @@ from decimal import Decimal
 
 from .contracts import CHANNELS
 
+#: Products that cost 8 % more from the middle of a run on.
+REPRICED, RISE = (1001, 1021, 1076), Decimal("1.08")
+FIRST, LAST = datetime(1900, 1, 1), datetime(9999, 12, 31, 23, 59, 59, 999000)
+
 #: How many of the sessions that took a step take the next one.
 STEP_RATES = {"cart": 0.62, "order": 0.58, "pay": 0.76}
 #: Shares of independent events, and of orders.
@@ -58,13 +62,34 @@ def independent_events(n: int, seed: int = 0, start: datetime = datetime(2024, 1
     return out
 
 
+def _catalogue(r: random.Random) -> dict[int, dict]:
+    """The open version of each product."""
+    return {
+        p: {
+            "product_id": p, "version_no": 1, "product_name": f"product {p}", "category_id": p % 10, "category_name": f"category {p % 10}", "price": Decimal(r.randint(500, 50000)) / 100,
+            "effective_from": FIRST, "effective_to": LAST, "is_current": 1, "updated_at": FIRST,
+        }
+        for p in range(1001, 1101)
+    }
+
+
 def order_phases(n: int, seed: int = 0, start: datetime = datetime(2024, 1, 1)) -> Iterator[list[tuple[str, str, dict]]]:
-    """Three committed phases of (entity, op, row): orders with lines, then payments or cancellations, then refunds."""
+    """Three committed phases of (entity, op, row): products and orders with lines, then payments or cancellations, then refunds.
+
+    Lines have the catalogue price of their time; in the middle of the first phase some products change theirs.
+    """
     r = random.Random(seed)
-    orders, created, paid = [], [], []
+    products = _catalogue(r)
+    orders, created, paid = [], [("dim_product_scd2", "c", dict(v)) for v in products.values()], []
     for i in range(n):
         at = start + timedelta(seconds=7 * i)
-        lines = [(r.randint(1001, 1100), r.randint(1, 3), Decimal(r.randint(500, 50000)) / 100) for _ in range(r.randint(1, 3))]
+        if n >= 2 and i == n // 2:
+            for p in REPRICED:
+                old = products[p]
+                created.append(("dim_product_scd2", "u", {**old, "effective_to": at, "is_current": 0, "updated_at": at}))
+                products[p] = {**old, "version_no": old["version_no"] + 1, "price": (old["price"] * RISE).quantize(Decimal("0.01")), "effective_from": at, "updated_at": at}
+                created.append(("dim_product_scd2", "c", dict(products[p])))
+        lines = [(p, r.randint(1, 3), products[p]["price"]) for p in (r.randint(1001, 1100) for _ in range(r.randint(1, 3)))]
         order = {
             "order_id": f"O{i:06d}", "user_id": r.randint(1, 5000), "shop_id": r.randint(1, 20), "order_status": "CREATED", "channel": r.choice(CHANNELS),
             "order_amount": sum(q * p for _, q, p in lines), "promotion_code": r.choice((None, "NEW10", "VIP20", "SUMMER")), "create_time": at, "update_time": at, "version_no": 1,

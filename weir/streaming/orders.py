@@ -2,15 +2,22 @@
 
 Spark's stream-stream joins never take a result back, so each batch recomputes what its changes
 touch: the touched orders' current rows from their log entries, and the metrics of the groups that
-those orders leave or enter, by subtracting their old and adding their new contributions. State is
-kept as Parquet tables of versioned rows, one folder a batch; a batch that is run again overwrites its
-own folders and reads only earlier ones, which makes the pipeline idempotent.
+those orders leave or enter, by subtracting their old and adding their new contributions. Product
+versions are an entity like the others: one that arrives late, or is dated anew, touches the orders
+with lines of that product in the time whose version changes.
+
+State is kept as Parquet tables in folders by bucket of the key and by batch. A batch reads the
+buckets of its keys only (lines, payments and refunds are found by order, and lines by product,
+through index tables); a batch that is run again overwrites its own folders and reads only earlier
+ones, which makes the pipeline idempotent. ``OrderState.compact`` reduces each table to the newest row of
+each key and forgets keys without a change for longer than a time to live.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,24 +25,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from weir.operators import changelog
 from weir.operators import orders as op
 from weir.operators.changelog import fold
 from weir.sources.contracts import schema
 
-ENTITIES = {"order_info": "order_id", "order_detail": "detail_id", "payment_info": "payment_id", "refund_info": "refund_id"}
+VERSIONS = "dim_product_scd2"
+#: Entity -> key. The first key column also names the bucket.
+ENTITIES = {"order_info": ["order_id"], "order_detail": ["detail_id"], "payment_info": ["payment_id"], "refund_info": ["refund_id"], VERSIONS: ["product_id", "version_no"]}
+OF_ORDERS = ("order_detail", "payment_info", "refund_info")
+LINES = "lines_by_product"
+
+GROUP = ["order_date", "channel"]
+COUNTS = ("total_orders", "paid_orders", "cancelled_orders", "refunded_orders")
+SUMS = ("order_amount", "paid_amount", "refund_amount")
+DAILY = schema(
+    "order_date string, channel string, op string, total_orders bigint, paid_orders bigint, cancelled_orders bigint, refunded_orders bigint, "
+    "order_amount decimal(22,2), paid_amount decimal(22,2), refund_amount decimal(22,2), batch_id bigint"
+)
+CURRENT = schema(
+    "order_id string, op string, channel string, order_status string, order_amount decimal(12,2), payment_amount decimal(12,2), refund_amount decimal(12,2), "
+    "order_date string, batch_id bigint"
+)
+SERVED = {"dws_order_current": (CURRENT, ["order_id"]), "ads_order_daily": (DAILY, GROUP)}
 
 
 @dataclass
 class OrderState:
-    """Tables under ``root``: logs by entity, daily metrics with op and batch."""
+    """Tables under ``root``: logs by entity, indexes, served orders and daily metrics with op and batch."""
 
     spark: SparkSession
     root: str
     schemas: dict[str, T.StructType]
-
-    def log(self, entity: str) -> DataFrame:
-        """Everything received of an entity."""
-        return self.spark.read.schema(self.schemas[entity]).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").parquet(self._path(entity))
+    buckets: int = 16
 
     def _path(self, name: str) -> str:
         path = f"{self.root}/{name}"
@@ -43,102 +65,185 @@ class OrderState:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
         return path
 
+    def _bucket(self, key: list[str]):
+        return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
+
+    def _index(self, name: str) -> T.StructType:
+        if name == LINES:
+            return schema("product_id bigint, order_id string, create_time timestamp")
+        return T.StructType([T.StructField("order_id", T.StringType()), *[self.schemas[name][k] for k in ENTITIES[name]]])
+
+    def _read(self, name: str, table: T.StructType, key: list[str], keys: DataFrame | None, before: int | None = None) -> DataFrame:
+        """Rows with ``batch``, of the given keys (all, if None) and batches before ``before``: other buckets aren't read."""
+        own = T.StructType([*table.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+        rows = self.spark.read.schema(own).option("ignoreMissingFiles", "true").parquet(self._path(name))
+        if before is not None:
+            rows = rows.where(F.col("batch") < before)
+        if keys is not None:
+            some = [r[0] for r in keys.select(self._bucket(key)).distinct().collect()]
+            rows = rows.where(F.col("bucket").isin(some)).join(keys.select(*key).distinct(), key, "left_semi")
+        return rows.drop("bucket")
+
+    def _write(self, name: str, rows: DataFrame, key: list[str], batch_id: int) -> None:
+        out = rows.withColumns({"bucket": self._bucket(key), "batch": F.lit(batch_id).cast("long")}).repartition("bucket")
+        out.write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self._path(name))
+
+    def log(self, entity: str, keys: DataFrame | None = None, before: int | None = None) -> DataFrame:
+        """What was received of an entity."""
+        return self._read(entity, self.schemas[entity], ENTITIES[entity][:1], keys, before).drop("batch")
+
+    def keys_of(self, entity: str, orders: DataFrame) -> DataFrame:
+        """The keys that an entity's rows of these orders have or had."""
+        return self._read(f"{entity}_by_order", self._index(entity), ["order_id"], orders).select(*ENTITIES[entity]).distinct()
+
+    def lines(self, products: DataFrame) -> DataFrame:
+        """product_id, order_id, create_time of the lines that these products have or had."""
+        return self._read(LINES, self._index(LINES), ["product_id"], products).drop("batch").distinct()
+
     def receive(self, entity: str, rows: DataFrame, batch_id: int) -> None:
-        rows.select(*self.schemas[entity].names).write.mode("overwrite").parquet(f"{self._path(entity)}/batch-{batch_id}")
+        rows = rows.select(*self.schemas[entity].names).persist()
+        key = ENTITIES[entity]
+        self._write(entity, rows, key[:1], batch_id)
+        known = rows.where("value is not null")
+        if entity in OF_ORDERS:
+            self._write(f"{entity}_by_order", known.select("value.order_id", *key).distinct(), ["order_id"], batch_id)
+        if entity == "order_detail":
+            self._write(LINES, known.select("value.product_id", "value.order_id", "value.create_time").distinct(), ["product_id"], batch_id)
+        rows.unpersist()
 
     def current(self, entity: str) -> DataFrame:
-        return fold(self.log(entity), [ENTITIES[entity]])
+        return fold(self.log(entity), ENTITIES[entity])
 
-    def _served(self, name: str, table: T.StructType, key: list[str], before: int | None) -> DataFrame:
+    def _served(self, name: str, keys: DataFrame | None, before: int | None) -> DataFrame:
         """The newest row of each key, of batches before ``before`` (or all), without deleted ones."""
-        rows = self.spark.read.schema(table).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").parquet(self._path(name))
-        if before is not None:
-            rows = rows.where(F.col("batch_id") < before)
+        table, key = SERVED[name]
         rest = [c for c in table.names if c not in (*key, "batch_id")]
-        best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("m")).select(*key, "m.*")
+        best = self._read(name, table, key, keys, before).groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("m")).select(*key, "m.*")
         return best.where("op = 'u'").drop("op")
 
-    def orders(self, before: int | None = None) -> DataFrame:
+    def orders(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
         """Current orders."""
-        return self._served("dws_order_current", CURRENT, ["order_id"], before)
+        return self._served("dws_order_current", keys, before)
 
-    def daily(self, before: int | None = None) -> DataFrame:
+    def daily(self, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
         """The served metrics."""
-        return self._served("ads_order_daily", DAILY, GROUP, before)
-
-    def serve(self, name: str, table: T.StructType, changed: DataFrame, batch_id: int) -> DataFrame:
-        path = f"{self._path(name)}/part-{batch_id}"
-        changed.withColumn("batch_id", F.lit(batch_id).cast("long")).select(*table.names).write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(table).parquet(path)
-
-
-GROUP = ["order_date", "channel"]
-COUNTS = ("total_orders", "paid_orders", "cancelled_orders", "refunded_orders")
-SUMS = ("order_amount", "paid_amount", "refund_amount")
-DAILY = schema(
-    "order_date string, channel string, op string, total_orders bigint, paid_orders bigint, cancelled_orders bigint, refunded_orders bigint, "
-    "order_amount decimal(22,2), paid_amount decimal(22,2), refund_amount decimal(22,2), batch_id bigint"
-)
-CURRENT = schema(
-    "order_id string, op string, channel string, order_status string, order_amount decimal(12,2), payment_amount decimal(12,2), refund_amount decimal(12,2), "
-    "order_date string, batch_id bigint"
-)
-
-
-def _touched(state: OrderState, arrived: dict[str, DataFrame]) -> DataFrame:
+        return self._served("ads_order_daily", keys, before)
+
+    def serve(self, name: str, changed: DataFrame, batch_id: int) -> DataFrame:
+        table, key = SERVED[name]
+        self._write(name, changed.withColumn("batch_id", F.lit(batch_id).cast("long")).select(*table.names), key, batch_id)
+        return self._read(name, table, key, None).where(F.col("batch") == batch_id).drop("batch")
+
+    def compact(self, upto: int, ttl_days: int | None = None, now: datetime | None = None) -> None:
+        """Rewrite what batches up to ``upto`` left: the newest row of each key, in one folder a bucket.
+
+        With ``ttl_days``, keys of orders and their lines, payments and refunds whose newest change is older than that at
+        ``now`` are forgotten; served rows and product versions stay. A crash on the way leaves rows twice, which no reader minds.
+        """
+        for entity, key in ENTITIES.items():
+            rows = self._read(entity, self.schemas[entity], key[:1], None, upto + 1).drop("batch")
+            kept = changelog.compact(rows, key)
+            if ttl_days is not None and entity != VERSIONS:
+                changed = rows.withColumn("__at", F.col("value.update_time"))
+                kept = kept.join(changelog.expire(changed, key, "__at", ttl_days, F.lit(now).cast("timestamp")).select(*key).distinct(), key, "left_semi")
+            self._replace(entity, kept.select(*self.schemas[entity].names), key[:1], upto)
+            if entity in OF_ORDERS:
+                index = f"{entity}_by_order"
+                live = self._read(entity, self.schemas[entity], key[:1], None).select(*key).distinct()
+                self._replace(index, self._read(index, self._index(entity), ["order_id"], None, upto + 1).drop("batch").distinct().join(live, key, "left_semi").select(*self._index(entity).names), ["order_id"], upto)
+        self._replace(LINES, self._read(LINES, self._index(LINES), ["product_id"], None, upto + 1).drop("batch").distinct(), ["product_id"], upto)
+        for name, (table, key) in SERVED.items():
+            rows = self._read(name, table, key, None, upto + 1)
+            rest = [c for c in table.names if c not in key]
+            best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("m")).select(*key, "m.*").where("op = 'u'")
+            self._replace(name, best.select(*table.names), key, upto)
+
+    def _replace(self, name: str, rows: DataFrame, key: list[str], upto: int) -> None:
+        """``rows`` instead of a table's folders up to batch ``upto``; compacted folders have negative numbers."""
+        path = self._path(name)
+        self._write(name, rows, key, -upto - 1)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket=*/batch=*")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [(int(f.getPath().getName().partition("=")[2]), f.getPath()) for f in fs.globStatus(p)]
+        age = lambda n: -n - 1 if n < 0 else n
+        for n, folder in sorted(found, key=lambda x: age(x[0])):  # oldest first, so that no older row outlives what replaced it
+            if n <= upto and n != -upto - 1:
+                fs.delete(folder, True)
+
+
+def _redated(state: OrderState, rows: DataFrame, batch_id: int) -> DataFrame:
+    """product_id, since, until: the times in which another version holds than before the batch."""
+    key, keys = ENTITIES[VERSIONS], rows.select("product_id").distinct()
+    shown = ("product_name", "category_id", "category_name", "price")
+    side = lambda before, name: fold(state.log(VERSIONS, keys, before), key).join(rows.select(*key).distinct(), key, "left_semi").select(*key, F.struct("effective_from", "effective_to", F.struct(*shown).alias("shown")).alias(name))
+    both = side(batch_id, "a").join(side(None, "b"), key, "full_outer")
+    same_start = (F.col("a.effective_from") == F.col("b.effective_from")) & F.col("a.shown").eqNullSafe(F.col("b.shown"))
+    span = lambda x, y: F.struct(x.alias("since"), y.alias("until"))
+    ends = span(F.least("a.effective_to", "b.effective_to"), F.greatest("a.effective_to", "b.effective_to"))
+    whole = F.array(span(F.col("a.effective_from"), F.col("a.effective_to")), span(F.col("b.effective_from"), F.col("b.effective_to")))
+    return both.select("product_id", F.inline(F.when(F.coalesce(same_start, F.lit(False)), F.array(ends)).otherwise(whole))).where("since < until")
+
+
+def _touched(state: OrderState, arrived: dict[str, DataFrame], batch_id: int) -> DataFrame:
     """Orders that the batch's rows belong to now or belonged to before."""
     parts = []
     for entity, rows in arrived.items():
-        key = ENTITIES[entity]
-        if key == "order_id":
+        if entity == "order_info":
             parts.append(rows.select("order_id"))
+        elif entity == VERSIONS:
+            when = _redated(state, rows, batch_id).persist()
+            hit = (F.col("create_time") >= F.col("since")) & (F.col("create_time") < F.col("until"))
+            parts.append(state.lines(when).join(when, "product_id").where(hit).select("order_id"))
         else:  # a delete has no value, so its order is looked up in the log
-            parts.append(state.log(entity).join(rows.select(key).distinct(), key, "left_semi").select("value.order_id"))
+            parts.append(state.log(entity, rows).select("value.order_id"))
     return reduce(DataFrame.unionByName, parts).where("order_id is not null").distinct()
 
 
 def _current(state: OrderState, entity: str, touched: DataFrame) -> DataFrame:
     """Current rows of the touched orders."""
-    key, log = ENTITIES[entity], state.log(entity)
-    if key != "order_id":
-        keys = log.select(key, "value.order_id").join(touched, "order_id", "left_semi").select(key).distinct()
-        return fold(log.join(keys, key, "left_semi"), [key]).join(touched, "order_id", "left_semi")
-    return fold(log.join(touched, key, "left_semi"), [key])
-
+    key = ENTITIES[entity]
+    if entity == "order_info":
+        return fold(state.log(entity, touched), key)
+    return fold(state.log(entity, state.keys_of(entity, touched)), key).join(touched, "order_id", "left_semi")
 
-def apply_batch(state: OrderState, arrived: dict[str, DataFrame], versions: DataFrame, batch_id: int) -> DataFrame:
-    """Take in a batch of change rows by entity; the changes of the daily metrics (op 'u' or 'd').
 
-    A new product version touches no order: it holds from its own time on.
-    """
+def apply_batch(state: OrderState, arrived: dict[str, DataFrame], batch_id: int) -> DataFrame:
+    """Take in a batch of change rows by entity; the changes of the daily metrics (op 'u' or 'd')."""
     for entity, rows in arrived.items():
         state.receive(entity, rows, batch_id)
-    touched = _touched(state, arrived).persist()
-    parts = {e: _current(state, e, touched) for e in ENTITIES}
+    touched = _touched(state, arrived, batch_id).persist()
+    parts = {e: _current(state, e, touched) for e in ENTITIES if e != VERSIONS}
+    parts["order_detail"] = parts["order_detail"].persist()
+    versions = fold(state.log(VERSIONS, parts["order_detail"].select("product_id").distinct()), ENTITIES[VERSIONS])
     wide = op.order_detail_wide(parts["order_detail"], parts["order_info"], versions, parts["payment_info"], parts["refund_info"])
-    old = state.orders(batch_id).join(touched, "order_id", "left_semi")
-    changed = state.serve("dws_order_current", CURRENT, op.changes(old, op.order_current(wide), ["order_id"]), batch_id)
+    old = state.orders(batch_id, touched)
+    changed = state.serve("dws_order_current", op.changes(old, op.order_current(wide), ["order_id"]), batch_id)
 
     names = [*GROUP, *COUNTS, *SUMS]
     came = op.daily(changed.where("op = 'u'")).select(*names)
     left = op.daily(old.join(changed.select("order_id"), "order_id", "left_semi")).select(*GROUP, *[(-F.col(c)).alias(c) for c in (*COUNTS, *SUMS)])
     delta = came.unionByName(left).persist()
-    before = state.daily(batch_id).join(delta.select(*GROUP).distinct(), GROUP, "left_semi").select(*names)
+    before = state.daily(batch_id, delta.select(*GROUP).distinct()).select(*names)
     sums = [F.sum(c).cast(DAILY[c].dataType).alias(c) for c in (*COUNTS, *SUMS)]
     after = before.unionByName(delta).groupBy(*GROUP).agg(*sums).where("total_orders > 0")
-    out = state.serve("ads_order_daily", DAILY, op.changes(before, after, GROUP), batch_id)
-    touched.unpersist()
-    delta.unpersist()
+    out = state.serve("ads_order_daily", op.changes(before, after, GROUP), batch_id)
+    for df in (touched, delta, parts["order_detail"]):
+        df.unpersist()
     return out
 
 
-def start(log: DataFrame, state: OrderState, versions: Callable[[], DataFrame], checkpoint: str, **trigger) -> StreamingQuery:
-    """Run ``apply_batch`` on a stream of (entity, row) where ``row`` is the JSON of a change-log row."""
+def start(log: DataFrame, state: OrderState, checkpoint: str, compact_every: int = 100, ttl_days: int | None = 30, clock: Callable[[], datetime] = datetime.now, **trigger) -> StreamingQuery:
+    """Run ``apply_batch`` on a stream of (entity, row) where ``row`` is the JSON of a change-log row.
+
+    Every ``compact_every`` batches the state is compacted, and what had no change for ``ttl_days`` is forgotten.
+    """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
         arrived = {e: rows.where(F.col("entity") == e).select(F.from_json("row", s).alias("r")).select("r.*") for e, s in state.schemas.items()}
-        apply_batch(state, arrived, versions(), batch_id)
+        apply_batch(state, arrived, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            state.compact(batch_id, ttl_days, clock())
         rows.unpersist()
 
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
