@@ -1,15 +1,15 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from weir.operators import dlq
-from weir.sources.contracts import PRODUCT_SCD2
-from weir.sources.topics import TOPICS, serving_key
+from weir.sources.topics import TOPICS, differences, serving_key
 
 FACTS = TOPICS["dwd_user_behavior"]
 
-GOOD = {"event_id": "e1", "session_id": "s1", "event_sequence": 1, "event_version": 1, "user_id": 7, "product_id": 1, "shop_id": 2, "event_type": "pay", "channel": "app", "amount": "19.900", "event_ts": "2024-01-01T10:00:00.987"}
+GOOD = {"event_id": "e1", "session_id": "s1", "event_sequence": 1, "event_version": 1, "user_id": 7, "product_id": 1, "shop_id": 2, "event_type": "pay", "channel": "app", "amount": "7.2500", "event_ts": "2024-03-05T06:07:08.25"}
 
 
 def records(spark, rows, topic="t"):
@@ -23,15 +23,15 @@ def run(spark, changes, topic=FACTS):
 
 def test_accepts_scale_zeros_and_drops_fraction(spark):
     good, bad = run(spark, [{}])
-    assert not bad and str(good[0]["amount"]) == "19.90" and str(good[0]["event_ts"]) == "2024-01-01 10:00:00"
+    assert not bad and str(good[0]["amount"]) == "7.25" and str(good[0]["event_ts"]) == "2024-03-05 06:07:08"
     assert good[0]["ingest_version"] == 128 << 56
 
 
 @pytest.mark.parametrize(
     "change, reason",
     [
-        ({"user_id": "abc"}, "user_id: not int64"), ({"amount": "bad"}, "amount: not decimal(10,2)"), ({"amount": "19.905"}, "amount: not decimal(10,2)"),
-        ({"amount": "123456789.00"}, "amount: not decimal(10,2)"), ({"event_ts": "not-a-time"}, "event_ts: not datetime"), ({"event_sequence": 1 << 40}, "event_sequence: not int32"),
+        ({"user_id": "seven"}, "user_id: not int64"), ({"amount": "2,50"}, "amount: not decimal(10,2)"), ({"amount": "0.125"}, "amount: not decimal(10,2)"),
+        ({"amount": "987654321"}, "amount: not decimal(10,2)"), ({"event_ts": "yesterday"}, "event_ts: not datetime"), ({"event_sequence": 5_000_000_000}, "event_sequence: not int32"),
         ({"user_id": True}, "user_id: not int64"), ({"event_version": -1}, "event_version: not uint64"), ({"amount": None}, "missing fields: amount"), ({"more": 1}, "unknown fields: more"),
         ("[1]", "value is no JSON object"), ("{oops", "value is no JSON object"), ({"event_ts": "2024-02-30 00:00:00"}, "event_ts: not datetime"),
     ],
@@ -92,13 +92,98 @@ def test_replay_plan(spark):
             dlq.plan_replay(log, *args)
 
 
+def letters(spark, values, key="k", topic="dwd_user_behavior"):
+    """A dead-letter log of the given values, in order, and its marks."""
+    _, bad = dlq.validate(records(spark, [(key, v) for v in values], topic), TOPICS[topic])
+    env = dlq.envelopes(bad, F.lit("2024-01-01 00:00:00")).withColumns({"topic": F.lit("dlq"), "partition": F.lit(0), "offset": F.col("source_offset")})
+    return env, spark.createDataFrame([("dlq", 0, 0, len(values))], "topic string, partition int, low long, high long")
+
+
+def test_replay_runs_once_and_leaves_an_audit(spark):
+    log, marks = letters(spark, [json.dumps({**GOOD, "user_id": "seven"}), "{oops"])
+    ids = [r["message_id"] for r in log.orderBy("offset").collect()]
+    sent, audits = [], []
+    fix = dlq.Repair(patch={"user_id": 7})
+    run = lambda **k: dlq.replay(log, marks, ids[0], fix, lambda r: sent.extend(r.collect()), lambda a: audits.extend(a.collect()), F.lit("2024-01-02 00:00:00"), **k)
+    plan = run()
+    assert not plan.executed and not sent and not audits and json.loads(plan.record.first()["value"])["user_id"] == 7
+    done = run(execute=True)
+    assert done.executed and done.complete and [r["topic"] for r in sent] == ["dwd_user_behavior"] and sent[0]["key"] == "k"
+    one = audits[0]
+    assert (one["status"], one["message_id"], one["replay_topic"], one["replayed_at"]) == ("replayed", ids[0], "dwd_user_behavior", "2024-01-02 00:00:00")
+    assert one["replay_sha256"] == hashlib.sha256(sent[0]["value"].encode()).hexdigest()
+    with_audit = log.unionByName(done.audit.withColumns({"topic": F.lit("dlq"), "partition": F.lit(0), "offset": F.lit(2).cast("long")}), allowMissingColumns=True)
+    later = spark.createDataFrame([("dlq", 0, 0, 3)], marks.schema)
+    with pytest.raises(LookupError):
+        dlq.replay(with_audit, later, ids[0], fix, sent.append, audits.append, F.lit("x"), execute=True)
+
+
+def test_replay_refuses(spark):
+    log, marks = letters(spark, [json.dumps({**GOOD, "user_id": "seven"}), "{oops"])
+    ids = [r["message_id"] for r in log.orderBy("offset").collect()]
+
+    def refused(error, message, *, name=ids[0], how=dlq.Repair(patch={"user_id": 7}), of=log, upto=marks):
+        with pytest.raises(error, match=message):
+            dlq.replay(of, upto, name, how, pytest.fail, pytest.fail, F.lit("x"), execute=True)
+
+    refused(ValueError, "rejected again: user_id: not int64", how=dlq.Repair(patch={"user_id": "eight"}))
+    refused(ValueError, "rejected again", how=dlq.Repair(original=True))
+    refused(ValueError, "rejected again: unknown fields", how=dlq.Repair(patch={"user_id": 7, "more": 1}))
+    refused(ValueError, "no JSON", name=ids[1])
+    refused(ValueError, "is no loader topic", how=dlq.Repair(replacement=GOOD, topic="elsewhere", allow_topic_change=True))
+    refused(ValueError, "allow_topic_change", how=dlq.Repair(replacement=GOOD, topic="ads_order_daily"))
+    refused(LookupError, "no pending letter", name="0" * 64)
+    refused(RuntimeError, "end of every partition", upto=spark.createDataFrame([("dlq", 0, 0, 9)], marks.schema))
+    empty = marks.unionByName(spark.createDataFrame([("dlq", 1, 5, 5)], marks.schema))
+    assert dlq.replay(log, empty, ids[0], dlq.Repair(patch={"user_id": 7}), lambda r: None, lambda a: None, F.lit("x"), execute=True).executed
+
+
+def test_malformed_letters_are_set_aside(spark):
+    log, marks = letters(spark, [json.dumps({**GOOD, "user_id": "seven"})] * 2)
+    spoilt = {
+        "message_id is no SHA-256": {"message_id": F.lit("12")}, "unknown schema version 2": {"schema_version": F.lit(2)}, "unknown topic other": {"source_topic": F.lit("other")},
+        "no base64: value_base64": {"value_base64": F.lit("***")}, "missing fields: error_type,failed_at": {"error_type": F.lit(None).cast("string"), "failed_at": F.lit(None).cast("string")},
+    }
+    for reason, change in spoilt.items():
+        good, bad = dlq.well_formed(log.withColumns(change))
+        assert good.count() == 0 and {r["reason"] for r in bad.collect()} == {reason}
+    assert dlq.well_formed(log)[1].count() == 0
+    assert {r["reason"] for r in dlq.well_formed(log.drop("failed_at"))[1].collect()} == {"missing fields: failed_at"}
+    with pytest.raises(LookupError):
+        dlq.replay(log.withColumn("schema_version", F.lit(2)), marks, log.first()["message_id"], dlq.Repair(original=True), print, print, F.lit("x"))
+
+
 def test_topics_agree_with_contracts_and_outputs(spark, sf):
     from weir.plans.queries import Warehouse
 
     w = Warehouse(spark, sf)
-    assert set(TOPICS["ods_dim_product_scd2"].types) == set(PRODUCT_SCD2.schema.names) and TOPICS["ods_dim_product_scd2"].key == PRODUCT_SCD2.key
-    made = {"dwd_user_behavior": w.facts(), "ads_realtime_overview": w.overview(), "ads_product_rank": w.products(), "ads_category_rank": w.categories(), "ads_channel_funnel": w.funnel(), "dwd_order_detail": w.wide(), "ads_order_lifecycle": w.lifecycle(), "ads_order_daily": w.daily(), "dwd_dirty_behavior": w.dirty().drop("event_ts", "proc_time")}
+    made = {
+        "dwd_user_behavior": w.facts(), "ads_realtime_overview": w.overview(), "ads_product_rank": w.products(), "ads_category_rank": w.categories(), "ads_channel_funnel": w.funnel(),
+        "dwd_order_detail": w.wide(), "ads_order_lifecycle": w.lifecycle(), "ads_order_daily": w.daily(), "dwd_dirty_behavior": w.dirty().drop("event_ts", "proc_time"),
+        "ods_dim_product_scd2": w.versions(),
+    }
+    assert set(made) == set(TOPICS)
     for name, df in made.items():
-        assert set(TOPICS[name].types) == set(df.columns), name
+        assert differences(TOPICS[name], df.schema) == [], name
     assert serving_key("dwd_dirty_behavior") == ("source_topic", "source_partition", "source_offset")
     assert len(TOPICS) == 10 and all(set(t.required) | set(t.key) <= set(t.types) for t in TOPICS.values())
+    wrong = w.daily().withColumn("total_orders", F.lit(1)).drop("channel").withColumn("x", F.lit(1))
+    assert differences(TOPICS["ads_order_daily"], wrong.schema) == ["channel is missing", "x is unknown", "total_orders is int32, not int64"]
+
+
+def test_contracts_agree_with_what_is_captured(spark, sf):
+    """Names, types, keys and log topics of every entity, against the tables and change logs that the warehouse makes."""
+    from weir.plans.queries import Warehouse
+    from weir.sources import derived
+    from weir.sources.contracts import CONTRACTS
+
+    w = Warehouse(spark, sf)
+    logs = derived.change_logs(spark, sf, w.versions())
+    for name, log in logs.items():
+        c = CONTRACTS[name]
+        assert log.columns == [*c.key, "op", "epoch", "partition", "offset", "value"]
+        assert {f.name: f.dataType for f in log.schema["value"].dataType.fields} == {f.name: f.dataType for f in c.schema.fields}, name
+        assert all(not c.schema[k].nullable for k in c.key) and c.soft_delete and c.topic.startswith("ods_")
+    behavior = CONTRACTS["user_behavior"]
+    assert {f.name: f.dataType for f in w.events().drop("event_ts", "proc_time").schema.fields} == {f.name: f.dataType for f in behavior.schema.fields}
+    assert len({c.topic for c in CONTRACTS.values()}) == len(CONTRACTS) == 6 and not behavior.soft_delete

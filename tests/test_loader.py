@@ -43,6 +43,49 @@ def test_stream_loader(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r")).count() == 5
 
 
+def test_all_topics_load_side_by_side(spark, tmp_path):
+    values = {
+        "ads_order_daily": {"order_date": "2024-01-01", "channel": "app", "total_orders": 1}, "ads_order_lifecycle": {"channel": "app", "total_orders": 2},
+        "dwd_dirty_behavior": {"error_reason": "EMPTY_EVENT_ID"}, "dwd_order_detail": {"detail_id": "D1"},
+    }
+    rows = [(t, 0, i, None, json.dumps(values[t]) if t in values else "{oops") for i, t in enumerate([*TOPICS, *TOPICS])]
+    log = str(tmp_path / "log")
+    spark.createDataFrame(rows, "topic string, partition int, offset long, key string, value string").write.parquet(log)
+    stream = spark.readStream.schema("topic string, partition int, offset long, key string, value string").parquet(log)
+    metrics = loader.LoaderMetrics()
+    for _ in range(2):  # the second time finds nothing new
+        queries = loader.start_loaders(stream, str(tmp_path / "out"), metrics, availableNow=True)
+        assert set(queries) == set(TOPICS)
+        for q in queries.values():
+            q.awaitTermination()
+    n = lambda t, kind: spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out" / t / kind)).count()
+    assert {t: n(t, "rows") for t in TOPICS} == {t: 2 * (t in values) for t in TOPICS}
+    assert {t: n(t, "letters") for t in TOPICS} == {t: 2 * (t not in values) for t in TOPICS}
+    assert metrics.values["messages_consumed_total"] == 20
+    # Dirty rows have no id: their log positions keep both apart. The lifecycle's two rows are one channel's.
+    read = lambda t: readers.read_serving(spark, str(tmp_path / "out" / t / "rows"), list(serving_key(t))).count()
+    assert read("dwd_dirty_behavior") == 2 and read("ads_order_lifecycle") == 1
+    for k, v in loader.STREAM_CONF.items():
+        assert spark.conf.get(k) == v
+
+
+def test_loaded_rows_are_compacted(spark, tmp_path):
+    rows, letters, metrics = str(tmp_path / "rows"), str(tmp_path / "dlq"), loader.LoaderMetrics()
+    key = {"order_date": "2024-01-01", "channel": "app"}
+    for i in range(3):
+        loader.load_batch(batch(spark, [(10 * i + 1, key, {**key, "total_orders": i}), (10 * i + 2, None, {**key, "channel": f"c{i}"})]), TOPIC, rows, letters, i, metrics)
+    loader.load_batch(batch(spark, [(40, {**key, "channel": "c1"}, None)]), TOPIC, rows, letters, 3, metrics)
+    read = lambda: sorted((r["channel"], r["total_orders"]) for r in readers.read_serving(spark, rows, list(serving_key("ads_order_daily"))).collect())
+    before = read()
+    assert before == [("app", 2), ("c0", None), ("c2", None)]
+    for upto in (1, 3):
+        loader.compact_rows(spark, rows, "ads_order_daily", upto)
+        assert read() == before
+    assert len(list((tmp_path / "rows").iterdir())) == 1
+    loader.compact_rows(spark, rows, "ads_order_daily", -9)
+    assert read() == before
+
+
 def test_retries():
     waits, calls = [], []
 
@@ -64,4 +107,4 @@ def test_expire_and_rows_frame(spark):
     kept = changelog.expire(log, ["k"], "t", 30, F.lit("2024-03-15").cast("timestamp"))
     assert sorted(r["k"] for r in kept.collect()) == ["a", "a"]
     got = readers.rows_frame(spark, ['{"order_date": "2024-01-01", "total_orders": "3"}', ""], schema("order_date date, total_orders bigint")).collect()
-    assert len(got) == 1 and str(got[0]["order_date"]) == "2024-01-01"
+    assert len(got) == 1 and str(got[0]["order_date"]) == "2024-01-01" and got[0]["total_orders"] == 3

@@ -87,6 +87,23 @@ def test_range_validation(bad):
         backfill.parse_range(*bad)
 
 
+def test_backfill_job(spark, sf, tmp_path):
+    from weir.plans.queries import Warehouse
+
+    w = Warehouse(spark, sf)
+    args = (w.orders(), w.payments(), w.refunds())
+    run = lambda realtime, **k: backfill.run(*args, realtime, str(tmp_path / "daily"), str(tmp_path / "recon"), "1996-01-01", "1997-01-01", **k)
+    daily = w.offline().cache()  # the served metrics count failed payments too, so they differ
+    first, second = run(daily), run(daily)
+    assert first.code == second.code == 0 and "PASS" in first.report and second.rows[0] == second.rows[1] == first.rows[2] > 0
+    stored = spark.read.parquet(str(tmp_path / "recon" / "start_date=1996-01-01" / "end_date=1997-01-01"))
+    assert stored.count() == second.compared.count() and stored.where("not is_match").count() == 0
+    wrong = daily.withColumn("total_orders", F.col("total_orders") + 1)
+    assert run(wrong).code == run(w.daily()).code == 1 and run(wrong, allow_mismatch=True).code == 0
+    with pytest.raises(ValueError):
+        backfill.run(*args, daily, str(tmp_path / "daily"), str(tmp_path / "recon"), "2030-01-01", "2031-01-01")
+
+
 def test_jdbc_subqueries_push_range_and_columns():
     q = readers.jdbc_range_query("payment_info", ["order_id", "payment_amount"], date(2024, 1, 1), date(2024, 2, 1))
     assert "JOIN order_info" in q and "t.order_id, t.payment_amount" in q and "< '2024-02-01" in q

@@ -52,6 +52,54 @@ def test_branches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "good")).count() + spark.read.parquet(str(tmp_path / "bad")).count() == n
 
 
+def test_append_sink_writes_each_row_once(spark, tmp_path):
+    log, out, check = (str(tmp_path / x) for x in ("log", "out", "check"))
+    e = generators.independent_events(300, seed=3, dirty=0.2)
+    for part, name in ((e[:200], "a"), (e[200:], "b"), ([], "c")):
+        write(log, part, name)
+        live.start_append(behavior.dirty(readers.with_event_time(readers.stream_events(spark, log))).drop("proc_time"), out, check, availableNow=True).awaitTermination()
+    want = behavior.dirty(readers.with_event_time(readers.read_events(spark, log))).drop("proc_time")
+    got = spark.read.parquet(out)
+    assert rows(got) == rows(want) and got.count() > 20
+
+
+def test_alert_store(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    one, two = serving.alerts(overview(spark, [10] * 5 + [4])), serving.alerts(overview(spark, [10] * 5 + [0], [9] * 5 + [0]))
+    assert [serving.store_alerts(x, path) for x in (one, one, two, two)] == [1, 0, 3, 0]  # the drop was sent for that window before
+    sent = spark.read.parquet(path)
+    assert serving.recent_alerts(sent).count() == 4 and serving.recent_alerts(sent, 2).count() == 2
+    assert serving.store_alerts(one.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_freshness_survives_failed_queries():
+    now = [100.0]
+    state = serving.FreshnessState(lambda: now[0])
+
+    def fails():
+        raise OSError("gone")
+
+    state.collect({"a": lambda: 90.0, "b": fails})
+    assert state.last_epoch == {"a": 90.0} and (state.success, state.failures, state.last_success) == (0, 1, 0.0)
+    now[0] = 200
+    state.collect({"a": fails, "b": lambda: 250.0})
+    assert state.last_epoch == {"a": 90.0, "b": 250.0} and (state.success, state.failures) == (0, 2)
+    now[0] = 300
+    state.collect({"a": lambda: 280.0, "b": lambda: 250.0})
+    assert (state.success, state.failures, state.last_success) == (1, 2, 300.0)
+    assert state.text().splitlines() == ['freshness_age_seconds{pipeline="a"} 20', 'freshness_age_seconds{pipeline="b"} 50', "freshness_collection_success 1", "freshness_collection_failures_total 2", "freshness_last_success_unixtime_seconds 300"]
+
+
+def test_freshness_queries_read_the_pipelines(spark, sf):
+    from weir.plans.queries import Warehouse
+
+    w = Warehouse(spark, sf)
+    state = serving.FreshnessState(lambda: 2e9)
+    state.collect(serving.freshness_queries(w.facts(), w.wide(), w.overview()))
+    want = {r["pipeline"]: r["last_epoch"] for r in serving.freshness(w.facts(), w.wide(), w.overview(), F.lit(2e9)).collect()}
+    assert state.last_epoch == want and state.success == 1
+
+
 def overview(spark, amounts, users=None, uv=200):
     data = [(f"2024-01-01 00:{i:02d}:00", f"2024-01-01 00:{i + 1:02d}:00", 300, uv, 5, 5, (users or [9] * len(amounts))[i], float(a)) for i, a in enumerate(amounts)]
     df = spark.createDataFrame(data, "a string, b string, pv long, uv long, cart_users long, order_users long, pay_users long, x double")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.sources import sinks
 from weir.sources.readers import of_orders, orders_in_range
 
 from .orders import MONEY, metrics
@@ -68,3 +70,30 @@ def exit_code(rows: int, matches: bool, allow_mismatch: bool = False) -> int:
     if not rows:
         raise ValueError("the source range is empty")
     return 0 if matches or allow_mismatch else 1
+
+
+@dataclass(frozen=True)
+class Done:
+    """What a backfill run left: counts of its range before, written and read back; the stored comparison; the report; the exit code."""
+
+    rows: tuple[int, int, int]
+    compared: DataFrame
+    report: str
+    code: int
+
+
+def run(orders: DataFrame, payments: DataFrame, refunds: DataFrame, realtime: DataFrame, target: str, reconciliation: str, start: str, end: str, allow_mismatch: bool = False) -> Done:
+    """The backfill job of a half-open date range, from parsing to exit code.
+
+    Recomputes the daily metrics of the range, overwrites its partitions of ``target``, compares what it reads back
+    with the ``realtime`` rows of the range, and stores the comparison under folders of start and end. Run again, it
+    replaces its own output. An empty range is an error.
+    """
+    a, b = parse_range(start, end)
+    rows = sinks.overwrite_partitions(order_daily(orders, payments, refunds, a, b), target)
+    inside = lambda c: (c >= F.lit(a)) & (c < F.lit(b))
+    offline = orders.sparkSession.read.parquet(target).where(inside(F.col("order_date")))
+    compared = reconcile(offline, realtime.where(inside(F.col("order_date").cast("date"))))
+    compared = sinks.write_reconciliation(compared, reconciliation, a, b)
+    same, report = sinks.reconciliation_report(compared, a, b)
+    return Done(rows, compared, report, exit_code(rows[1], same, allow_mismatch))

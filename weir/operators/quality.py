@@ -1,4 +1,7 @@
-"""The 24 quality rules. Each table is read once: its rules are one aggregation."""
+"""The 24 quality rules. Each table is aggregated once for its rules, and once more by key where keys must be unique.
+
+The tables should be stored ones: a lazy table is computed for each of its aggregations.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from weir.sources.contracts import EVENT_TYPES, ORDER_STATUSES
 
 from .changelog import duplicate_keys
-from .scd2 import not_one_current, overlaps
+from .scd2 import not_one_current, overlapping_products
 
 #: (number, name, lowest and highest passing value); no highest: at least the lowest.
 RULES = (
@@ -51,7 +54,7 @@ def measure(facts, overview, products, categories, funnel, wide, versions, lifec
             19: bad(col("unit_price") != col("catalog_price")),
         }),
         _long(duplicate_keys(wide, ["detail_id"]), {15: n}),
-        _long(not_one_current(versions), {20: n}), _long(overlaps(versions), {21: n}),
+        _long(not_one_current(versions), {20: n}), _long(overlapping_products(versions), {21: n}),
         _long(lifecycle, {22: n, 24: bad(
             (col("paid_orders") > col("total_orders")) | (col("cancelled_orders") > col("total_orders")) | (col("refunded_orders") > col("paid_orders"))
             | (col("refund_amount") > col("paid_amount")) | (col("refund_amount") < 0)

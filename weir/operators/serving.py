@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.sources.sinks import append, stored
+
 
 def newest(df: DataFrame, n: int, *order: Column, by: str = "window_start") -> DataFrame:
     """The n rows of largest ``by``, ties by ``order``."""
@@ -87,6 +92,56 @@ def fresh_alerts(found: DataFrame, sent: DataFrame) -> DataFrame:
     return found.join(sent, ["window_start", "alert_type"], "left_anti")
 
 
+def store_alerts(found: DataFrame, path: str) -> int:
+    """Append the alerts that the store doesn't have for their window yet; how many these are."""
+    new = fresh_alerts(found, stored(found, path).select("window_start", "alert_type")).persist()
+    n = new.count()
+    if n:
+        append(new, path)
+    new.unpersist()
+    return n
+
+
+def recent_alerts(sent: DataFrame, n: int = 50) -> DataFrame:
+    """The newest n stored alerts."""
+    return newest(sent, n, F.col("alert_type"))
+
+
+class FreshnessState:
+    """What a freshness exporter remembers: a failed query keeps its pipeline's last value and clears the success flag."""
+
+    def __init__(self, clock: Callable[[], float] = time.time):
+        self.clock = clock
+        self.last_epoch: dict[str, float] = {}
+        self.success, self.failures, self.last_success = 0, 0, 0.0
+
+    def collect(self, queries: dict[str, Callable[[], float]]) -> None:
+        """Run each pipeline's query of its newest business time, in epoch seconds."""
+        failed = 0
+        for pipeline, query in queries.items():
+            try:
+                self.last_epoch[pipeline] = query()
+            except Exception:  # noqa: BLE001 - whatever a query dies of, the others go on
+                failed += 1
+        self.failures += failed
+        self.success = int(not failed)
+        if not failed:
+            self.last_success = self.clock()
+
+    def text(self) -> str:
+        """The state as Prometheus text; pipelines that never answered are left out."""
+        now = self.clock()
+        lines = [f'freshness_age_seconds{{pipeline="{p}"}} {max(0.0, now - t):g}' for p, t in sorted(self.last_epoch.items()) if t > 0]
+        lines += [f"freshness_collection_success {self.success}", f"freshness_collection_failures_total {self.failures}", f"freshness_last_success_unixtime_seconds {self.last_success:g}"]
+        return "\n".join(lines) + "\n"
+
+
+def freshness_queries(facts: DataFrame, wide: DataFrame, overview: DataFrame, zone: str = "UTC") -> dict[str, Callable[[], float]]:
+    """A query of the newest business time of each pipeline, for ``FreshnessState``."""
+    rows = freshness(facts, wide, overview, F.lit(0), zone)
+    return {p: lambda p=p: rows.where(F.col("pipeline") == p).first()["last_epoch"] for p in ("behavior_dwd", "order_dwd", "behavior_ads")}
+
+
 def _epoch(c: str, zone: str) -> Column:
     """Epoch seconds of business wall-clock time in ``zone``; 0 for null."""
     return F.coalesce(F.unix_micros(F.to_utc_timestamp(F.col(c), zone)) / 1_000_000, F.lit(0.0))

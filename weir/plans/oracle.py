@@ -30,7 +30,7 @@ SELECT CASE WHEN x.event_id % 211 <> 0 THEN 'E' || x.event_id END AS event_id,
   CASE WHEN x.event_id % 97 <> 0 THEN CASE x.event_type WHEN 'view' THEN 'view' WHEN 'click' THEN 'cart' WHEN 'signup' THEN 'order'
     WHEN 'purchase' THEN 'pay' ELSE 'unknown' END END AS event_type,
   (['app', 'h5', 'wechat', 'search', 'ad'])[(x.event_id // 4) % 5 + 1] AS channel, CAST(x.value AS DECIMAL(10,2)) AS amount,
-  CASE WHEN x.event_id % 229 = 0 THEN 'not-a-time' ELSE strftime(x.ts, {_T}) END AS event_time
+  CASE WHEN x.event_id % 229 = 0 THEN 'not-a-time' ELSE strftime(x.ts, {_T}) END AS event_time, x.event_id AS pos
 FROM events AS x""",
     "ev": "SELECT *, TRY_CAST(event_time AS TIMESTAMP) AS event_ts FROM ods",
     "bad": f"""
@@ -167,6 +167,22 @@ _LAST6 = "(SELECT *, row_number() OVER (ORDER BY window_start DESC) AS rn FROM o
 _ONE = f"(SELECT max(CASE WHEN rn = 1 THEN window_start END) AS window_start, max(CASE WHEN rn = 1 THEN window_end END) AS window_end, CAST(max(CASE WHEN rn = 1 THEN pay_amount END) AS DOUBLE) AS amount, max(CASE WHEN rn = 1 THEN pay_users END) AS users, max(CASE WHEN rn = 1 THEN uv END) AS uv, count(*) AS n, avg(CASE WHEN rn > 1 THEN CAST(pay_amount AS DOUBLE) END) AS mean FROM {_LAST6})"
 _ALERT = lambda kind, level, metric, value, when: f"SELECT {_W}, '{kind}' AS alert_type, '{level}' AS alert_level, '{metric}' AS metric_name, CAST({value} AS DOUBLE) AS metric_value FROM {_ONE} WHERE {when}"
 
+_RECON_SQL = f"SELECT strftime(coalesce(a.order_date, CAST(b.order_date AS DATE)), '%Y-%m-%d') AS order_date, coalesce(a.channel, b.channel) AS channel, {_RECON}, {_MATCH} AS is_match FROM {{a}} AS a FULL JOIN {{b}} AS b ON a.order_date = CAST(b.order_date AS DATE) AND a.channel = b.channel"
+_FRAME = lambda x: f"CASE WHEN {x} IS NULL THEN unhex('FF') ELSE unhex(printf('%016x', strlen({x}))) || encode({x}) END"
+_PAYLOAD = """'{' || concat_ws(',', '"event_id":"' || event_id || '"', '"session_id":"' || session_id || '"', '"user_id":' || user_id, '"event_type":"' || event_type || '"', '"event_time":"' || event_time || '"') || '}'"""
+_ENVELOPES = (
+    f"SELECT 1 AS schema_version, sha256({' || '.join(_FRAME(x) for x in ('topic', 'part', 'off', 'event_id', 'payload'))}) AS message_id, 'pending' AS status, topic AS source_topic, 0 AS source_partition, "
+    "pos AS source_offset, 'DirtyEvent' AS error_type, error_reason AS error_message, '2024-02-01 00:00:00' AS failed_at, CAST(strlen(event_id) AS INTEGER) AS key_bytes, sha256(event_id) AS key_sha256, "
+    "CAST(strlen(payload) AS INTEGER) AS value_bytes, sha256(payload) AS value_sha256 "
+    f"FROM (SELECT *, 'ods_user_behavior' AS topic, '0' AS part, CAST(pos AS VARCHAR) AS off, {_PAYLOAD} AS payload FROM bad)"
+)
+
+_ALERTS = " UNION ALL ".join([
+    _ALERT("pay_amount_zero", "WARNING", "pay_amount", "0", "amount = 0"), _ALERT("pay_users_zero", "WARNING", "pay_users", "0", "users = 0"),
+    _ALERT("pay_amount_drop", "CRITICAL", "pay_amount", "amount", "n >= 5 AND mean > 0 AND amount < mean * 0.5"),
+    _ALERT("low_conversion", "WARNING", "conversion_rate", "CAST(users AS DOUBLE) / uv", "uv > 100 AND CAST(users AS DOUBLE) / uv < 0.01"),
+])
+
 SQL = {
     "behavior_dirty": f"SELECT event_id, session_id, order_id, event_sequence, event_version, user_id, product_id, shop_id, event_type, channel, amount, event_time, error_reason FROM bad",
     "behavior_dirty_reasons": "SELECT error_reason, count(*) AS n FROM bad GROUP BY error_reason",
@@ -190,7 +206,7 @@ SQL = {
     "ads_order_daily": "SELECT * FROM day",
     "backfill_order_daily": "SELECT * REPLACE (strftime(order_date, '%Y-%m-%d') AS order_date) FROM off_day",
     "backfill_order_range": "SELECT * REPLACE (strftime(order_date, '%Y-%m-%d') AS order_date) FROM off_range",
-    "reconciliation": f"SELECT strftime(coalesce(a.order_date, CAST(b.order_date AS DATE)), '%Y-%m-%d') AS order_date, coalesce(a.channel, b.channel) AS channel, {_RECON}, {_MATCH} AS is_match FROM off_day AS a FULL JOIN day AS b ON a.order_date = CAST(b.order_date AS DATE) AND a.channel = b.channel",
+    "reconciliation": _RECON_SQL.format(a="off_day", b="day"),
     "scd2_versions": f"SELECT product_id, version_no, product_name, category_id, category_name, price, is_current, {_text('effective_from', 'effective_to')} FROM scd2",
     "scd2_overlaps": "SELECT a.product_id, a.version_no AS version_a, b.version_no AS version_b FROM scd2 AS a JOIN scd2 AS b ON a.product_id = b.product_id AND a.version_no < b.version_no AND a.effective_from < b.effective_to AND b.effective_from < a.effective_to",
     "scd2_not_one_current": "SELECT product_id, count(*) FILTER (is_current = 1) AS n_current FROM scd2 GROUP BY product_id HAVING count(*) FILTER (is_current = 1) <> 1",
@@ -208,11 +224,8 @@ SQL = {
     "bi_measures": "SELECT channel, CAST(sum(paid_orders) AS DOUBLE) / sum(total_orders) AS pay_rate, CASE WHEN sum(paid_orders) > 0 THEN CAST(sum(refunded_orders) AS DOUBLE) / sum(paid_orders) END AS refund_rate, CASE WHEN sum(paid_orders) > 0 THEN CAST(sum(paid_amount) AS DOUBLE) / sum(paid_orders) END AS paid_ticket FROM day GROUP BY channel",
     "bi_version_measures": "SELECT count(*) AS products, CAST(sum(n) AS BIGINT) AS versions, CAST(sum(c) AS BIGINT) AS current_versions, count(*) FILTER (n >= 2) AS repriced_products FROM (SELECT product_id, count(*) AS n, count(*) FILTER (is_current = 1) AS c FROM scd2 GROUP BY product_id)",
     "overview_moving_mean": f"SELECT {_text('window_start')}, pay_amount, avg(CAST(pay_amount AS DOUBLE)) OVER (ORDER BY window_start ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS mean_before FROM overview",
-    "alerts": " UNION ALL ".join([
-        _ALERT("pay_amount_zero", "WARNING", "pay_amount", "0", "amount = 0"), _ALERT("pay_users_zero", "WARNING", "pay_users", "0", "users = 0"),
-        _ALERT("pay_amount_drop", "CRITICAL", "pay_amount", "amount", "n >= 5 AND mean > 0 AND amount < mean * 0.5"),
-        _ALERT("low_conversion", "WARNING", "conversion_rate", "CAST(users AS DOUBLE) / uv", "uv > 100 AND CAST(users AS DOUBLE) / uv < 0.01"),
-    ]),
+    "alerts": _ALERTS,
+    "alert_store": _ALERTS,
     "freshness": "SELECT *, true AS available, greatest(0.0, 2000000000 - last_epoch) AS age_seconds FROM (SELECT 'behavior_dwd' AS pipeline, CAST(epoch(max(event_ts)) AS DOUBLE) AS last_epoch FROM dwd UNION ALL SELECT 'order_dwd', CAST(epoch(max(greatest(order_create_time, order_update_time, detail_update_time, coalesce(payment_time, order_create_time), coalesce(refund_time, order_create_time)))) AS DOUBLE) FROM wide UNION ALL SELECT 'behavior_ads', CAST(epoch(max(window_end)) AS DOUBLE) FROM overview)",
     "quality_rules": _QUALITY,
     "table_counts": " UNION ALL ".join(f"SELECT '{k}' AS table_name, count(*) AS n FROM {v}" for k, v in (("dwd_user_behavior", "dwd"), ("dwd_dirty_behavior", "bad"), ("ads_realtime_overview", "overview"), ("ads_product_rank", "products"), ("ads_category_rank", "categories"), ("ads_channel_funnel", "funnel"), ("dwd_order_detail", "wide"), ("ads_order_lifecycle", "life"), ("ads_order_daily", "day"))),
@@ -222,5 +235,12 @@ SQL = {
     "stream_overview": f"SELECT * REPLACE ({_W}) FROM overview WHERE overview.window_end <= (SELECT max(event_ts) - INTERVAL '5 seconds' FROM ev)",
     "stream_funnel": f"SELECT * REPLACE ({_W}) FROM funnel WHERE funnel.window_end <= (SELECT max(event_ts) - INTERVAL '5 seconds' FROM ev)",
     "stream_order_daily": "SELECT * FROM day",
+    "backfill_job": _RECON_SQL.format(a="off_range", b="(SELECT * FROM day WHERE CAST(order_date AS DATE) >= DATE '1997-01-01' AND CAST(order_date AS DATE) < DATE '1998-01-01')"),
+    "stream_serving": "SELECT order_id, order_status FROM o_now",
+    "dlq_envelopes": _ENVELOPES,
+    "captured_tables": " UNION ALL ".join(
+        f"SELECT '{k}' AS entity, count(*) + count(*) FILTER ({c} LIKE '%7') AS entries, count(*) FILTER ({c} LIKE '%7') AS deletes, count(*) FILTER (NOT {c} LIKE '%7') AS kept FROM {t}"
+        for k, t, c in (("order_info", "o_final", "order_id"), ("order_detail", "d_now", "detail_id"), ("payment_info", "pay", "payment_id"), ("refund_info", "refund", "refund_id"), ("dim_product_scd2", "scd2", "CAST(product_id AS VARCHAR)"))
+    ),
 }
 ORACLE_SQL = {k: WITH + v for k, v in SQL.items()}

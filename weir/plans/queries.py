@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,11 @@ from pyspark.sql import types as T
 from weir.functions.versions import ingest_version
 from weir.operators import backfill, behavior, changelog, dlq, orders, quality, scd2, serving
 from weir.sources import derived as src
-from weir.sources import readers
+from weir.sources import readers, sinks
+from weir.sources.contracts import CONTRACTS
 from weir.sources.topics import TOPICS
 from weir.streaming import behavior as live
+from weir.streaming import loader
 from weir.streaming import orders as live_orders
 
 RANGE = (date(1997, 1, 1), date(1998, 1, 1))
@@ -99,7 +102,22 @@ def _counts(w: Warehouse) -> DataFrame:
 
 
 def _quality(w: Warehouse) -> DataFrame:
-    return quality.judge(quality.measure(w.facts(), w.overview(), w.products(), w.categories(), w.funnel(), w.wide(), w.versions(), w.lifecycle(), w.daily()))
+    """Facts, versions and order lines are computed once and stored; all rules and aggregates read these."""
+    spark, root = w.at[0], _work(w.at[0], "weir-quality-")
+
+    def stored(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    facts = stored("facts", w.facts().select("event_id", "session_id", "user_id", "event_type", "channel", "amount", "event_ts", "product_id", "product_name", "category_name", "shop_name", "province"))
+    versions = stored("versions", w.versions())
+    shown = ("detail_id", "order_id", "order_status", "order_amount", "channel", "payment_id", "payment_status", "payment_amount", "refund_status", "refund_amount", "unit_price", "catalog_price", "order_create_time")
+    wide = stored("wide", orders.order_detail_wide(src.order_detail(*w.at), w.orders(), versions, w.payments(), w.refunds()).select(*shown))
+    current = stored("current", orders.order_current(wide))
+    measured = quality.measure(
+        facts, behavior.overview(facts), behavior.product_rank(facts), behavior.category_rank(facts), behavior.funnel(facts), wide, versions, orders.lifecycle(current), orders.daily(current)
+    )
+    return quality.judge(measured)
 
 
 def _loader(w: Warehouse) -> DataFrame:
@@ -108,9 +126,9 @@ def _loader(w: Warehouse) -> DataFrame:
     e = src.table(spark, sf_dir, "events")
     k = F.col("event_id") % 10
     value = F.to_json(F.struct(
-        F.col("event_id").cast("string").alias("event_id"), F.lit("S").alias("session_id"), F.when(k == 4, "12x").otherwise(F.col("user_id").cast("string")).alias("user_id"),
-        F.when(k == 4, F.lit(1 << 40)).otherwise(F.lit(1)).alias("event_sequence"), F.lit(1).alias("event_version"), F.lit(1).alias("product_id"), F.lit("2").alias("shop_id"), F.lit("pay").alias("event_type"),
-        F.lit("app").alias("channel"), F.when(k == 2, None).when(k == 3, "1.234").otherwise("19.900").alias("amount"), F.lit("2024-01-01T00:00:00.123").alias("event_ts"),
+        F.col("event_id").cast("string").alias("event_id"), F.lit("S").alias("session_id"), F.when(k == 4, "seven").otherwise(F.col("user_id").cast("string")).alias("user_id"),
+        F.when(k == 4, F.lit(5_000_000_000)).otherwise(F.lit(1)).alias("event_sequence"), F.lit(1).alias("event_version"), F.lit(1).alias("product_id"), F.lit("2").alias("shop_id"), F.lit("pay").alias("event_type"),
+        F.lit("app").alias("channel"), F.when(k == 2, None).when(k == 3, "1.234").otherwise("7.2500").alias("amount"), F.lit("2024-03-05T06:07:08.5").alias("event_ts"),
         F.when(k == 1, "x").alias("extra"),
     ))
     records = e.select(F.lit("dwd_user_behavior").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.lit(None).cast("string").alias("key"), F.when(k == 5, "{oops").otherwise(value).alias("value"))
@@ -119,11 +137,48 @@ def _loader(w: Warehouse) -> DataFrame:
 
 def _envelopes(w: Warehouse) -> DataFrame:
     """Dead letters of the dirty events, redacted."""
-    d = w.dirty().withColumn("offset", F.monotonically_increasing_id())
+    d = behavior.dirty(readers.with_event_time(src.ods_behavior(*w.at, offsets=True)))
     bad = d.select(F.lit("ods_user_behavior").alias("topic"), F.lit(0).alias("partition"), "offset", F.col("event_id").alias("key"), F.to_json(F.struct("event_id", "session_id", "user_id", "event_type", "event_time")).alias("value"), F.lit("DirtyEvent").alias("error_type"), F.col("error_reason").alias("error_message"))
     return dlq.redacted(dlq.envelopes(bad, F.lit("2024-02-01 00:00:00")))
 
 
+def _alert_store(w: Warehouse) -> DataFrame:
+    """Alerts of the newest windows, stored twice (the second time adds nothing) and read again."""
+    path = _work(w.at[0], "weir-alerts-")
+    found = serving.alerts(w.overview())
+    for _ in range(2):
+        serving.store_alerts(found, path)
+    return serving.recent_alerts(sinks.stored(found, path))
+
+
+def _captured(w: Warehouse) -> DataFrame:
+    """Of each captured table: entries of its change log, deletes among them, and the rows that are left."""
+    out = []
+    for name, log in src.change_logs(*w.at, w.versions()).items():
+        counts = log.agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("op") == "d").alias("deletes"))
+        now = changelog.fold(log, CONTRACTS[name].key).agg(F.count(F.lit(1)).alias("kept"))
+        out.append(counts.select(F.lit(name).alias("entity"), "entries", "deletes", F.lit(None).cast("long").alias("kept")).unionByName(now.select(F.lit(name).alias("entity"), F.lit(None).cast("long").alias("entries"), F.lit(None).cast("long").alias("deletes"), "kept")))
+    return reduce(DataFrame.unionByName, out).groupBy("entity").agg(*[F.max(c).alias(c) for c in ("entries", "deletes", "kept")])
+
+
+def _backfill_job(w: Warehouse) -> DataFrame:
+    """The whole job over a year: recompute, overwrite partitions, compare with the served metrics, store the comparison; which is read."""
+    root = _work(w.at[0], "weir-backfill-")
+    done = backfill.run(w.orders(), w.payments(), w.refunds(), w.daily(), f"{root}/daily", f"{root}/reconciliation", *map(str, RANGE))
+    return done.compared
+
+
+def _serving_stream(w: Warehouse) -> DataFrame:
+    """Orders' current rows after the order log went through the upsert sink, read as the newest version of each key."""
+    spark, sf_dir = w.at
+    root = _work(spark, "weir-serving-")
+    log = w.log().select("order_id", F.col("value.order_status").alias("order_status"), F.col("value").isNull().cast("byte").alias("is_deleted"), "offset", "partition")
+    log.repartition(3).write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    live.start_serving(stream, ["order_id"], f"{root}/rows", f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return readers.read_serving(spark, f"{root}/rows", ["order_id"]).select("order_id", "order_status")
+
+
 def _work(spark: SparkSession, prefix: str) -> str:
     """A new folder that executors can write to, under spark.checkpoint.dir; it goes with the driver's JVM.
 
@@ -143,6 +198,7 @@ def _work(spark: SparkSession, prefix: str) -> str:
 def _streamed(w: Warehouse, name: str) -> DataFrame:
     """An aggregate computed by a stream over the event log written as JSON; windows that closed."""
     spark, sf_dir = w.at
+    loader.configure(spark)
     root = _work(spark, "weir-stream-")
     src.ods_behavior(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{root}/log")
     events = live.timed(readers.stream_events(spark, f"{root}/log"))
@@ -230,6 +286,10 @@ PLANS = {
     "payments_in_range": lambda w: readers.of_orders(w.payments(), readers.orders_in_range(w.orders(), *RANGE)).select("payment_id", "order_id", "payment_status", "payment_amount"),
     "loader_rejects": _loader,
     "dlq_envelopes": _envelopes,
+    "captured_tables": _captured,
+    "alert_store": _alert_store,
+    "backfill_job": _backfill_job,
+    "stream_serving": _serving_stream,
     "stream_overview": lambda w: _streamed(w, "ads_realtime_overview"),
     "stream_funnel": lambda w: _streamed(w, "ads_channel_funnel"),
     "stream_order_daily": _order_stream,

@@ -5,24 +5,32 @@ FIXTURES.md part C gives the rules. Times are truncated to seconds, as the event
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .contracts import CHANNELS
-from .readers import with_event_time
+from .contracts import CHANNELS, CONTRACTS
+from .readers import captured, with_event_time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache
+def _rows(application: str, sf_dir: str, name: str) -> int:
+    """Rows of a table, counted once an application."""
+    return table(SparkSession.getActiveSession(), sf_dir, name).count()
+
+
 def _every(n: int, column: str = "event_id") -> Column:
     return F.col(column) % n == 0
 
 
-def ods_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The behaviour log: nulls, blanks, unknown types, bad times and unknown dimension keys included."""
-    parts, shops = (table(spark, sf_dir, t).count() for t in ("part", "supplier"))
+def ods_behavior(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
+    """The behaviour log: nulls, blanks, unknown types, bad times and unknown dimension keys included; on demand with each record's offset."""
+    parts, shops = (_rows(spark.sparkContext.applicationId, sf_dir, t) for t in ("part", "supplier"))
     e = table(spark, sf_dir, "events")
     session = F.floor(F.col("event_id") / 4)
     kinds = F.create_map(*[F.lit(x) for p in (("view", "view"), ("click", "cart"), ("signup", "order"), ("purchase", "pay")) for x in p])
@@ -39,6 +47,7 @@ def ods_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, CHANNELS)), (session % 5 + 1).cast("int")).alias("channel"),
         F.col("value").cast("decimal(10,2)").alias("amount"),
         F.when(_every(229), "not-a-time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("event_time"),
+        *([F.col("event_id").cast("long").alias("offset")] if offsets else []),
     )
 
 
@@ -159,3 +168,14 @@ def first_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "product_id", F.lit(1).alias("version_no"), "product_name", "category_id", "category_name", "price",
         start.alias("effective_from"), end.alias("effective_to"), F.lit(1).cast("byte").alias("is_current"), start.alias("updated_at"),
     )
+
+
+def change_logs(spark: SparkSession, sf_dir: str, versions: DataFrame) -> dict[str, DataFrame]:
+    """The five captured tables as change logs; keys that end in 7 are deleted in the end."""
+    rows = {"order_info": order_info, "order_detail": order_detail, "payment_info": payment_info, "refund_info": refund_info}
+    tables = {name: f(spark, sf_dir) for name, f in rows.items()} | {"dim_product_scd2": versions}
+    out = {}
+    for name, df in tables.items():
+        key = F.col(CONTRACTS[name].key[0]).cast("string")
+        out[name] = captured(df, CONTRACTS[name], F.endswith(key, F.lit("7")), F.length(key) % 3)
+    return out

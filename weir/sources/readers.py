@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date
+import time
+import urllib.request
+from collections.abc import Callable, Iterator, Sequence
+from datetime import date, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,16 +64,51 @@ def snapshot(log: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("low", "high"), state
 
 
-def jdbc_range_query(entity: str, columns: list[str], start: date, end: date) -> str:
-    """A ``dbtable`` subquery with pruned columns and a half-open date range on the order's creation."""
-    picked = ", ".join(f"t.{c}" for c in columns)
-    join = "" if entity == "order_info" else " JOIN order_info o ON o.order_id = t.order_id"
+def jdbc_range_query(entity: str, columns: list[str], start: date, end: date, scan_time: bool = False) -> str:
+    """A ``dbtable`` subquery with pruned columns and a half-open date range on the order's creation.
+
+    With ``scan_time`` the creation time is a column of that name.
+    """
     at = "t" if entity == "order_info" else "o"
+    picked = ", ".join([*(f"t.{c}" for c in columns), *([f"{at}.create_time AS scan_time"] if scan_time else [])])
+    join = "" if entity == "order_info" else " JOIN order_info o ON o.order_id = t.order_id"
     return f"(SELECT {picked} FROM {entity} t{join} WHERE {at}.create_time >= '{start} 00:00:00' AND {at}.create_time < '{end} 00:00:00') scan"
 
 
-def read_jdbc_range(spark: SparkSession, url: str, entity: str, columns: list[str], start: date, end: date, **options) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, dbtable=jdbc_range_query(entity, columns, start, end), **options).load()
+def read_jdbc_range(spark: SparkSession, url: str, entity: str, columns: list[str], start: date, end: date, slices: int = 8, **options: str) -> DataFrame:
+    """The rows of a date range, in ``slices`` half-open slices of the creation time: each is read by a task over a connection of its own."""
+    days = (end - start).days
+    edges = sorted({start + timedelta(days * i // slices) for i in range(slices + 1)})
+    parts = [f"scan_time >= '{a} 00:00:00' AND scan_time < '{b} 00:00:00'" for a, b in zip(edges, edges[1:])]
+    rows = spark.read.jdbc(url, jdbc_range_query(entity, columns, start, end, True), predicates=parts, properties=options)
+    return rows.select(*[F.col(c).alias(c) for c in columns])
+
+
+class Lookup:
+    """A dimension whose copy is read again once it is older than ``ttl_s``; call it for the current copy."""
+
+    def __init__(self, read: Callable[[], DataFrame], ttl_s: float = 60, clock: Callable[[], float] = time.monotonic):
+        self.read, self.ttl_s, self.clock = read, ttl_s, clock
+        self.copy: DataFrame | None = None
+        self.at = 0.0
+
+    def __call__(self) -> DataFrame:
+        if self.copy is None or self.clock() - self.at >= self.ttl_s:
+            old, self.copy, self.at = self.copy, self.read().persist(), self.clock()
+            self.copy.count()  # now, so that the copy is of one time
+            if old is not None:
+                old.unpersist()
+        return self.copy
+
+
+def jdbc_lookup(spark: SparkSession, url: str, table: str, columns: Sequence[str], ttl_s: float = 60, clock: Callable[[], float] = time.monotonic, **options: str) -> Lookup:
+    """A dimension table behind JDBC: only ``columns`` are read, again after ``ttl_s``."""
+
+    def read() -> DataFrame:
+        rows = spark.read.jdbc(url, f"(SELECT {', '.join(columns)} FROM {table}) lookup", properties=options)
+        return rows.select(*[F.col(c).alias(c) for c in columns])
+
+    return Lookup(read, ttl_s, clock)
 
 
 def orders_in_range(orders: DataFrame, start: date, end: date) -> DataFrame:
@@ -81,6 +120,12 @@ def of_orders(rows: DataFrame, orders: DataFrame) -> DataFrame:
     return rows.join(orders.select("order_id"), "order_id", "left_semi")
 
 
+def captured(rows: DataFrame, contract: Contract, deleted: Column, partition: Column) -> DataFrame:
+    """The change log of a captured table: its snapshot ('r'), then the deletes of the ``deleted`` rows ('d')."""
+    read = change_log(rows, contract, F.lit("r"), partition, F.lit(0))
+    return read.unionByName(change_log(rows.where(deleted), contract, F.lit("d"), partition, F.lit(1)))
+
+
 def change_log(rows: DataFrame, contract: Contract, op: Column, partition: Column, offset: Column, epoch: int = 128) -> DataFrame:
     """Rows of a source table as a keyed change log: key columns, op, position, value struct (null for a delete)."""
     value = F.struct(*[F.col(f.name) for f in contract.schema.fields if f.name in rows.columns])
@@ -98,6 +143,32 @@ def read_serving(spark: SparkSession, path: str, key: list[str], where: Column |
     return out if where is None else out.where(where)
 
 
+def read_http_rows(spark: SparkSession, urls: Sequence[str], schema: T.StructType, timeout_s: float = 30) -> DataFrame:
+    """A typed frame of what HTTP sources answer, one JSON object a line. Each URL, say one for each day, is fetched by a task."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for url in b.column("url").to_pylist():
+                lines: list[str] = []
+                with urllib.request.urlopen(url, timeout=timeout_s) as answer:
+                    for line in answer:
+                        if line.strip():
+                            lines.append(line.decode())
+                        if len(lines) == 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(lines)], ["value"])
+                            lines = []
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+
+    asked = spark.createDataFrame([(u,) for u in urls], "url string").repartition(max(1, len(urls)))
+    return typed_rows(asked.mapInArrow(fetch, "value string"), schema)
+
+
+def typed_rows(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """JSON objects with typed fields, whether numbers are quoted (as 64-bit ones often are) or not; null where a value doesn't fit."""
+    texts = decode_json(lines, T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))
+    return texts.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def rows_frame(spark: SparkSession, lines: list[str], schema: T.StructType) -> DataFrame:
     """A typed frame of JSON rows that an HTTP source returned (one object a line)."""
-    return decode_json(spark.createDataFrame([(x,) for x in lines if x.strip()], "value string"), schema)
+    return typed_rows(spark.createDataFrame([(x,) for x in lines if x.strip()], "value string"), schema)

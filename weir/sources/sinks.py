@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,9 +13,20 @@ class VerificationError(RuntimeError):
 
 
 def append(df: DataFrame, path: str) -> None:
+    """Add rows to a table."""
     df.write.mode("append").parquet(path)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The rows of a table with the columns of ``df``; none if nothing was written yet."""
+    try:
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    except Exception as e:  # noqa: BLE001 - only a missing folder is expected
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return df.limit(0)
+
+
 def overwrite_partitions(df: DataFrame, path: str, by: str = "order_date") -> tuple[int, int, int]:
     """Replace the partitions that ``df`` holds; (rows before, rows written, rows read back) of its range.
 
@@ -61,5 +71,8 @@ def quality_report(rules: DataFrame) -> tuple[bool, str]:
     return ok, "\n".join(lines) + "\n"
 
 
-def empty_like(spark: SparkSession, columns: Sequence[str], df: DataFrame) -> DataFrame:
-    return df.select(*columns).limit(0)
+def write_reconciliation(compared: DataFrame, root: str, start: date, end: date) -> DataFrame:
+    """``compared`` as Parquet under folders of the range's start and end, replacing an earlier run of the range; read back."""
+    path = f"{root}/start_date={start}/end_date={end}"
+    compared.write.mode("overwrite").parquet(path)
+    return compared.sparkSession.read.parquet(path)

@@ -35,6 +35,11 @@ def start_aggregate(facts: DataFrame, name: str, path: str, checkpoint: str, **t
     return out.writeStream.queryName(name).outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
+def start_append(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append a stream's rows, each exactly once: the file sink's own log says which files count."""
+    return rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
 def start_branches(events: DataFrame, dimensions, good: str, bad: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write enriched and dirty events of each batch. ``dimensions`` is called per batch, so lookups see new rows.
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weir.operators import dlq
-from weir.sources.topics import Topic
+from weir.operators import changelog
+from weir.sources.topics import TOPICS, Topic, serving_key
 
 #: Session settings of long-running queries: state on disk, checkpoints a few generations deep.
 STREAM_CONF = {
@@ -89,6 +90,43 @@ def load_batch(records: DataFrame, topic: Topic, rows_path: str, dlq_path: str,
         records.unpersist()
 
 
+def configure(spark: SparkSession) -> None:
+    """Give a session the settings of long-running queries."""
+    for k, v in STREAM_CONF.items():
+        spark.conf.set(k, v)
+
+
+def start_loaders(records: DataFrame, root: str, metrics: LoaderMetrics, topics: Mapping[str, Topic] = TOPICS, epoch: int = 128, **trigger) -> dict[str, StreamingQuery]:
+    """A loader for each topic over one source of records: rows, dead letters and offsets of a topic are under ``root``/its name."""
+    configure(records.sparkSession)
+    return {
+        name: start_loader(records.where(F.col("topic") == name), topic, f"{root}/{name}/rows", f"{root}/{name}/letters", f"{root}/{name}/checkpoint", metrics, epoch, **trigger)
+        for name, topic in topics.items()
+    }
+
+
+def compact_rows(spark: SparkSession, path: str, topic: str, upto: int) -> None:
+    """Rewrite a loader's batches up to ``upto`` as one: the newest version of each key, deleted ones included."""
+    found = _batches(spark, path)
+    old = [(n, p) for n, p in found if n <= upto]
+    if not old:
+        return
+    rows = spark.read.parquet(*[p for _, p in old])
+    target = f"{path}/batch={-upto - 1}"
+    changelog.latest(rows, list(serving_key(topic)), ["ingest_version"]).write.mode("overwrite").parquet(target)
+    fs = spark._jvm.org.apache.hadoop.fs
+    for n, p in old:
+        if n != -upto - 1:
+            at = fs.Path(p)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _batches(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return [(int(f.getPath().getName().partition("=")[2]), f.getPath().toString()) for f in found]
+
+
 def start_loader(records: DataFrame, topic: Topic, rows_path: str, dlq_path: str, checkpoint: str, metrics: LoaderMetrics, epoch: int = 128, **trigger) -> StreamingQuery:
     """A stream of records (topic, partition, offset, key, value) into ``load_batch``."""
     run = lambda batch, i: load_batch(batch, topic, rows_path, dlq_path, i, metrics, epoch)
