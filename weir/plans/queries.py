@@ -225,7 +225,7 @@ def _order_stream(w: Warehouse) -> DataFrame:
         "order_info": log, "order_detail": created(src.order_detail(spark, sf_dir), "detail_id"), "payment_info": created(w.payments(), "payment_id"),
         "refund_info": created(w.refunds(), "refund_id"), "dim_product_scd2": created(early, *key),
     }
-    state = live_orders.OrderState(spark, root, {k: v.schema for k, v in whole.items()}, buckets=4)
+    state = live_orders.OrderState(spark, root, {k: v.schema for k, v in whole.items()}, buckets=1)
     step = F.col("offset") % 4
     live_orders.apply_batch(state, {"order_info": log.where(step == 0), "order_detail": whole["order_detail"]}, 0)
     live_orders.apply_batch(state, {"order_info": log.where(step.isin(1, 2)), "payment_info": whole["payment_info"]}, 1)

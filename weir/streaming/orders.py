@@ -80,8 +80,10 @@ class OrderState:
         if before is not None:
             rows = rows.where(F.col("batch") < before)
         if keys is not None:
-            some = [r[0] for r in keys.select(self._bucket(key)).distinct().collect()]
-            rows = rows.where(F.col("bucket").isin(some)).join(keys.select(*key).distinct(), key, "left_semi")
+            if self.buckets > 1:
+                some = [r[0] for r in keys.select(self._bucket(key)).distinct().collect()]
+                rows = rows.where(F.col("bucket").isin(some))
+            rows = rows.join(keys.select(*key).distinct(), key, "left_semi")
         return rows.drop("bucket")
 
     def _write(self, name: str, rows: DataFrame, key: list[str], batch_id: int) -> None:
