@@ -24,7 +24,14 @@ def brute_bits(samples, text):
                     if k == 3:
                         total3[ctx] = total3.get(ctx, 0) + 1
 
+    known = {}
+
     def p(tree, ctx, c):
+        if (id(tree), ctx, c) not in known:
+            known[id(tree), ctx, c] = share(tree, ctx, c)
+        return known[id(tree), ctx, c]
+
+    def share(tree, ctx, c):
         lower = (lambda x: p(tree, ctx[1:], x)) if ctx else (lambda x: 1 / 256)
         if len(ctx) == 3 and total3.get(ctx, 0) < 2:
             return lower(c)
