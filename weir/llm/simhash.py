@@ -37,6 +37,8 @@ from .substring import mix
 SAMPLE = 2048
 #: Members of a group that are verified together; larger groups are split by further bits.
 GROUP = 8192
+#: Tasks over which the members of one component are spread.
+SALT = 32
 #: The primes of XXH64.
 PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 #: Groups up to this size are compared pair by pair in bulk, larger ones by search from member to member.
@@ -309,10 +311,13 @@ def grouped(docs: DataFrame, distance: int) -> DataFrame:
     before = staged()
     stars = components(links(distinct, distance))
     settle(docs.sparkSession, before, stars)
-    named = distinct.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(low, "root").select("fp", "root", "component_id")
-    return own.join(named, "fp")
+    # Only fingerprints with links need their component's name; a component with a third of them meets it in SALT tasks.
+    members = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
+    members = stage(members.join(distinct, "fp"), "members")
+    names = members.groupBy("root").agg(F.min("rep").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    named = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int")).join(names, ["root", "salt"])
+    alone = distinct.join(members.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("rep").alias("component_id"))
+    return own.join(alone.unionByName(named.select("fp", "root", "component_id")), "fp")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
@@ -327,9 +332,11 @@ def keep_one(docs: DataFrame, distance: int = 4) -> DataFrame:
     """
     before = staged()
     rows = stage(grouped(docs, distance).groupBy("root", "component_id", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")), "components")
-    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("first"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("first"))
-    judged = stage(rows.join(first, "root").select("doc_id", "th", "n", is_first.alias("stays")), "kept")
+    # Documents with another id than their component's go; of the others there are several only where ids repeat or are null.
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = rows.where(named).groupBy("root").agg(F.min("th").alias("first"))
+    judged = rows.where(named).join(first, "root").select("doc_id", "th", "n", (F.col("th") == F.col("first")).alias("stays"))
+    judged = stage(judged.unionByName(rows.where(~named).select("doc_id", "th", "n", F.lit(False).alias("stays"))), "kept")
     settle(docs.sparkSession, before, judged)
     gone = judged.where("not stays").select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th"))
     out = packed(docs, docs.columns, id=F.col("doc_id").cast("long"), th=F.xxhash64("text"))
