@@ -37,8 +37,8 @@ SAMPLE_DOCS = 400
 SAMPLE_CHARS = 32_768
 #: Languages that get SAMPLE_DOCS each.
 MANY_LANGS = 64
-#: Bytes of one table of languages, unless it has one language.
-BLOCK_BYTES = 12 << 20
+#: Bytes of all tables, about; of one table of several languages at least.
+MODEL_BYTES, BLOCK_BYTES = 128 << 20, 4 << 20
 HELD_OUT = 2
 FOLDS = 4
 #: Bits per byte from which a text counts as noise in every known language (8 is incompressible).
@@ -76,13 +76,15 @@ def _lead(gram: tuple[np.ndarray, np.ndarray]) -> int:
     return int(np.bincount(np.where(last >= 0xC0, last, 0), n, 257)[1:].argmax())
 
 
-def fit(samples: dict[str, list[bytes]], rare: int = 2, block_bytes: int = BLOCK_BYTES) -> Model:
+def fit(samples: dict[str, list[bytes]], rare: int = 2, block_bytes: int | None = None) -> Model:
     """Context trees of order 3. Order-3 contexts seen fewer than ``rare`` times in all languages fall to order 2.
 
-    Languages share a table as long as it takes ``block_bytes`` or less: it has a cell for each of their contexts
-    and bytes, so for scripts apart tables of their own are smaller, and the model grows as their sum.
+    Languages share a table as long as it takes ``block_bytes`` or less (an equal share of MODEL_BYTES, but BLOCK_BYTES at least): it
+    has a cell for each of their contexts and bytes, so tables of their own are smaller, if slower, and the model grows as their sum.
     """
     langs = sorted(samples)
+    if block_bytes is None:
+        block_bytes = max(BLOCK_BYTES, MODEL_BYTES // max(1, len(langs)))
     grams = [_grams(samples[lang]) for lang in langs]
     every = np.concatenate([g for g, _ in grams]) // 257 if langs else np.zeros(0, np.int64)
     weight = np.concatenate([n for _, n in grams]) if langs else np.zeros(0, np.int64)
