@@ -38,7 +38,7 @@ SAMPLE = 2048
 #: Members of a group that are verified together; larger groups are split by further bits.
 GROUP = 8192
 #: Tasks over which the members of one component are spread.
-SALT = 32
+SALT = 16
 #: The primes of XXH64.
 PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 #: Groups up to this size are compared pair by pair in bulk, larger ones by search from member to member.
