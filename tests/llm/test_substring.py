@@ -40,7 +40,7 @@ def test_digest_equals_brute_force(spark, window):
     assert rows_of(substring.dedup_passages(frame(spark, rows), window, digest=True), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
-@pytest.mark.parametrize("change", [{"HOT": 2, "SAMPLED": 1}, {"CHUNK": 100, "GROUP": 500}, {"AT_ONCE": 2000, "CHUNK": 100, "GROUP": 1 << 40}])
+@pytest.mark.parametrize("change", [{"HOT": 2, "SAMPLED": 1}, {"CHUNK": 100, "GROUP": 500}, {"AT_ONCE": 2000, "CHUNK": 100, "GROUP": 1 << 40}, {"FEW": 1 << 40}, {"FEW": 1 << 40, "HOT": 2, "SAMPLED": 1}, {"FEW": 9, "CHUNK": 4000, "GROUP": 3000}])
 def test_hot_anchors_and_small_groups(spark, monkeypatch, change):
     for name, value in change.items():
         monkeypatch.setattr(substring, name, value)
@@ -104,6 +104,13 @@ def test_pieces_survive_packing():
     assert p.text == q.text and all((getattr(p, c) == getattr(q, c)).all() for c in ("key", "id", "known", "th", "first", "loops"))
 
 
+def test_pieces_survive_rows():
+    p = pieces(np.random.default_rng(1), 30, 9)
+    q = substring._from_rows(substring._single(p, np.zeros(len(p), np.int64)))
+    known = p.known
+    assert p.text == q.text and all((getattr(p, c) == getattr(q, c)).all() for c in ("key", "known", "th", "first", "loops")) and (p.id[known] == q.id[known]).all()
+
+
 def test_maximal_repeats(spark):
     a, b = " ".join(f"p{i}" for i in range(30)), " ".join(f"q{i}" for i in range(25))
     rows = [{"doc_id": i, "text": t, "lang": "en", "source": "s"} for i, t in enumerate([f"x {a} y", f"z {a} w {b}", f"u {b} v", "nothing else"])]

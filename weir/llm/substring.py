@@ -7,7 +7,8 @@ A suffix starts at every word that has ``window`` words before its text ends. On
    so many that one fits in memory. Neighbouring suffixes mostly share an anchor and travel as one piece of
    text: about 3.4 times the text, where suffixes by literal first words would need 20 times. Where a sample
    shows an anchor to be hot, its suffixes get a longer key: all words of the window.
-2. Pre-aggregation. A task ships equal pieces once, with their earliest place; the others are repeats at once.
+2. Pre-aggregation. A task ships equal pieces once, with their earliest place; the others are repeats at once. Its
+   pieces for a group are packed and compressed; where it has hardly more than one for each group, as on huge tables, they are rows.
 3. Subtrees. In a group, pieces whose anchor no other piece has are passed over. Over the rest the suffix tree
    is evaluated top down, from depth ``window`` on: suffixes below one node of that depth are equal
    windows, and all but the earliest are repeats. ``maximal_repeats`` goes on to the deeper nodes, each
@@ -43,6 +44,8 @@ HOT = 4096
 SAMPLED = 16
 #: Suffixes of one piece, at most; bytes of text that a task turns into pieces at once.
 RUN, CHUNK = 256, 12 << 20
+#: Pieces that a task must have for a group, on average, to pack them; fewer travel as rows of their own.
+FEW = 8
 #: Bytes of pieces in a group, about; bytes from which a group's equal pieces are reduced before all have come.
 GROUP, AT_ONCE = 12 << 20, 48 << 20
 
@@ -309,14 +312,34 @@ def _spans(p: Pieces, row: np.ndarray, first: np.ndarray, to: np.ndarray) -> pa.
         at = np.flatnonzero(new)
         to = reach[np.r_[at[1:] - 1, len(row) - 1]] - doc[at] * far
         row, first = row[at], first[at]
-    none = np.zeros(len(row), bool)
     return pa.RecordBatch.from_arrays(
-        [pa.array(p.id[row], pa.int64(), mask=~p.known[row]), pa.array(p.th[row], pa.int64()), pa.array(first, pa.int64()), pa.array(to, pa.int64()), pa.array(none.astype(np.int32), mask=~none), pa.array([None] * len(row), pa.binary())],
-        ["id", "th", "from", "to", "bucket", "pieces"],
+        [
+            pa.array(p.id[row], pa.int64(), mask=~p.known[row]), pa.array(p.th[row], pa.int64()), pa.array(first, pa.int64()), pa.array(to, pa.int64()),
+            pa.nulls(len(row), pa.int32()), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.binary()),
+        ],
+        COLUMNS,
     )
 
 
 SPANS = "id long, th long, from long, to long"
+#: Of rows in the shuffle: spans (no pieces), packed pieces (bucket, pieces), single pieces (all but "to"; key has ``loops`` as bit 32).
+COLUMNS = ["id", "th", "from", "to", "bucket", "key", "pieces"]
+
+
+def _single(p: Pieces, bucket: np.ndarray) -> pa.RecordBatch:
+    """Each piece as a row of its own."""
+    key = (p.key.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64) | p.loops.astype(np.int64) << 32
+    return pa.RecordBatch.from_arrays(
+        [pa.array(p.id, pa.int64(), mask=~p.known), pa.array(p.th, pa.int64()), pa.array(p.first, pa.int64()), pa.nulls(len(p), pa.int64()), pa.array(bucket, pa.int32()), pa.array(key), pa.array(p.text, pa.binary())],
+        COLUMNS,
+    )
+
+
+def _from_rows(b: pa.RecordBatch) -> Pieces:
+    """The pieces of such rows."""
+    numbers = {c: b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("id", "th", "from", "key")}
+    known = b.column("id").is_valid().to_numpy(zero_copy_only=False)
+    return Pieces(b.column("pieces").to_pylist(), (numbers["key"] & 0xFFFFFFFF).astype(np.uint64), numbers["id"], known, numbers["th"], numbers["from"], numbers["key"] >> 32 > 0)
 
 
 def _cut_up(b: pa.RecordBatch, window: int, hot: np.ndarray) -> Pieces:
@@ -372,14 +395,18 @@ def _shipped(only: DataFrame, window: int) -> DataFrame:
         bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         heads = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(order) else order
+        if len(order) < FEW * len(heads):
+            for i in range(0, len(order), 10_000):
+                yield _single(p.take(order[i : i + 10_000]), bucket[order[i : i + 10_000]])
+            return
         for i in range(0, len(heads), 256):
             own = heads[i : i + 256]
             ends = [*heads[i + 1 : i + 257].tolist(), len(order)][: len(own)]
             packed = [p.take(order[x:y]).pack() for x, y in zip(own.tolist(), ends)]
-            none = pa.array([None] * len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(bucket[order[own]], pa.int32()), pa.array(packed, pa.binary())], ["id", "th", "from", "to", "bucket", "pieces"])
+            none = pa.nulls(len(own), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(bucket[order[own]], pa.int32()), none, pa.array(packed, pa.binary())], COLUMNS)
 
-    return only.mapInArrow(ship, SPANS + ", bucket int, pieces binary")
+    return only.mapInArrow(ship, SPANS + ", bucket int, key long, pieces binary")
 
 
 def _hot(only: DataFrame, window: int, least: int):
@@ -409,12 +436,12 @@ def _by_group(shipped: DataFrame, judge, schema: str) -> DataFrame:
             if done.num_rows:
                 yield from judge(None, done)
             b = b.filter(b.column("pieces").is_valid())
-            for k, data in zip(b.column("bucket").to_pylist(), b.column("pieces")):
+            for k, came in runs(b):
                 if held and k != now:
                     yield from whole(held)
                     held, size = [], 0
                 now = k
-                held.append(Pieces.unpack(data.as_py()))
+                held.append(came)
                 size += sum(map(len, held[-1].text))
                 if size > AT_ONCE and len(held) > 1:
                     p, again = _distinct(Pieces.join(held))
@@ -423,6 +450,14 @@ def _by_group(shipped: DataFrame, judge, schema: str) -> DataFrame:
         if held:
             yield from whole(held)
 
+    def runs(b: pa.RecordBatch) -> Iterator[tuple[int, Pieces]]:
+        """(bucket, pieces) of packed rows one by one, of single rows as many as follow each other."""
+        bucket = b.column("bucket").to_numpy(zero_copy_only=False)
+        single = b.column("key").is_valid().to_numpy(zero_copy_only=False)
+        heads = np.flatnonzero(np.r_[True, (np.diff(bucket) != 0) | ~single[1:] | ~single[:-1]]) if len(bucket) else bucket
+        for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)]):
+            yield int(bucket[x]), _from_rows(b.slice(x, y - x)) if single[x] else Pieces.unpack(b.column("pieces")[x].as_py())
+
     def whole(held: list[Pieces]) -> Iterator[pa.RecordBatch]:
         p, again = _distinct(_shared(Pieces.join(held)))
         yield from judge(again, None)
