@@ -49,6 +49,30 @@ def test_jdbc_lookup_is_read_again_when_old(spark, db):
     assert lookup().count() == n + 1
 
 
+def test_kafka_reads_all_topics_at_once(spark):
+    """Without the connector: the options that it would get, and the columns of what it gives."""
+    seen = {}
+
+    class Reader:
+        def format(self, name):
+            seen["format"] = name
+            return self
+
+        def options(self, **options):
+            seen.update(options)
+            return self
+
+        def load(self):
+            return spark.createDataFrame([(b"k", b"v", "t", 1, 2, 0)], "key binary, value binary, topic string, partition int, offset long, timestampType int")
+
+    class Session:
+        readStream = Reader()
+
+    got = readers.stream_kafka(Session(), "host:9092", ["a", "b"], "latest")
+    assert got.columns == ["key", "value", "topic", "partition", "offset"] and tuple(got.first()) == ("k", "v", "t", 1, 2)
+    assert (seen["format"], seen["subscribe"], seen["startingOffsets"], seen["failOnDataLoss"]) == ("kafka", "a,b", "latest", "true")
+
+
 def test_http_rows(spark):
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self):

@@ -44,9 +44,14 @@ def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return decode_json(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path), BEHAVIOR.schema)
 
 
-def stream_kafka(spark: SparkSession, servers: str, topic: str, starting: str = "earliest") -> DataFrame:
-    """A Kafka topic as (key, value, partition, offset); needs the connector on the class path."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting).load()
+def stream_kafka(spark: SparkSession, servers: str, topics: Sequence[str], starting: str = "earliest", most_per_batch: int = 1_000_000) -> DataFrame:
+    """Kafka topics as (key, value, topic, partition, offset), what the loaders read; needs the connector on the class path.
+
+    Offsets lie in the query's checkpoint; ``starting`` counts only where there is none. Records that
+    the broker has dropped since are an error, not a gap.
+    """
+    options = {"kafka.bootstrap.servers": servers, "subscribe": ",".join(topics), "startingOffsets": starting, "failOnDataLoss": "true", "maxOffsetsPerTrigger": str(most_per_batch)}
+    raw = spark.readStream.format("kafka").options(**options).load()
     return raw.selectExpr("CAST(key AS STRING) key", "CAST(value AS STRING) value", "topic", "partition", "offset")
 
 
