@@ -6,7 +6,7 @@ import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, langid, linededup, mixing, packing, pii, simhash, substring, topk
+from . import audio, chat, langid, lexical, linededup, mixing, packing, pii, simhash, substring, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +59,16 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_topk, op4_line_dedup, op5_media_audio, op6_mix_sources, op7_pseudonyms, op8_substring_dedup, op9_chat_format, op10_pack)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(_docs(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_topk, op4_line_dedup, op5_media_audio, op6_mix_sources, op7_pseudonyms, op8_substring_dedup, op9_chat_format, op10_pack, op11_lexical_search)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = rf"regexp_extract_all(translate(text, {_UP}, {_LOW}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
     "op3_topk": """
@@ -103,5 +109,17 @@ p AS (SELECT DISTINCT list_slice(l, 1, i) AS l FROM (SELECT l, unnest(range(1, n
 SELECT conv_id, n AS n_turns, n_copies,
        array_to_string(list_transform(l, lambda x: '<|im_start|>' || coalesce(x.r, '') || chr(10) || coalesce(x.t, '') || '<|im_end|>'), chr(10)) AS rendered
 FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l = g.l)
+""",
+    "op11_lexical_search": f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+d AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM t WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * (SELECT docs FROM s) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p GROUP BY term),
+x AS (SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+      FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 50
 """,
 }
