@@ -6,7 +6,7 @@ import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, chat, langid, lexical, linededup, mixing, packing, pii, simhash, substring, topk
+from . import audio, bpe, chat, langid, lexical, linededup, mixing, packing, pii, simhash, substring, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build_index(_docs(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_topk, op4_line_dedup, op5_media_audio, op6_mix_sources, op7_pseudonyms, op8_substring_dedup, op9_chat_format, op10_pack, op11_lexical_search)}
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_topk, op4_line_dedup, op5_media_audio, op6_mix_sources, op7_pseudonyms, op8_substring_dedup, op9_chat_format, op10_pack, op11_lexical_search, op13_byte_bpe)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
