@@ -6,7 +6,7 @@ import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, chat, langid, lexical, linededup, mixing, packing, pii, simhash, substring, topk
+from . import audio, bpe, chat, langid, lexical, linededup, mixing, packing, pii, simhash, spelling, substring, topk
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +63,15 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.build_index(_docs(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(_docs(spark, sf_dir), every=31, shortest=7, least=2, ratio=10)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_topk, op4_line_dedup, op5_media_audio, op6_mix_sources, op7_pseudonyms, op8_substring_dedup, op9_chat_format, op10_pack, op11_lexical_search, op13_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_topk, op4_line_dedup, op5_media_audio, op6_mix_sources, op7_pseudonyms, op8_substring_dedup, op9_chat_format, op10_pack, op11_lexical_search, op12_spelling_variants, op13_byte_bpe)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _KEY = f"translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,5 +129,24 @@ x AS (SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 *
       FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY item_id, r, doc_id)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 50
+""",
+    "op12_spelling_variants": f"""
+WITH RECURSIVE poly AS (SELECT list_transform(range(256), lambda b: list_reduce([CAST(b AS BIGINT)] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), {_UP}, {_LOW}) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+b AS (SELECT doc_id, run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM c),
+h AS (SELECT doc_id, run, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(0, len(x), 2), lambda i: CAST('0x' || x[i + 1:i + 2] AS BIGINT)), lambda s, v: xor(s >> 8, t[CAST(xor(s, v) & 255 AS INTEGER) + 1]))) AS h FROM b, poly),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+g AS (SELECT word, n, word[1:i - 1] || '*' || word[i + 1:] AS k FROM p),
+d AS (SELECT DISTINCT word, n, word[1:i - 1] || word[i + 1:] AS k FROM p),
+e AS (SELECT a.word, o.word AS o, o.n AS o_n FROM g a JOIN g o ON a.k = o.k AND a.word <> o.word
+      UNION ALL SELECT d.word, w.word, w.n FROM d JOIN w ON d.k = w.word
+      UNION ALL SELECT w.word, d.word, d.n FROM d JOIN w ON d.k = w.word),
+f AS (SELECT word, count(*) AS n_near, first(o ORDER BY o_n DESC, encode(o)) AS o, max(o_n) AS o_n FROM e GROUP BY word),
+x AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN o_n >= 10 * w.n THEN o END AS form, CASE WHEN o_n >= 10 * w.n THEN o_n END AS form_n FROM w LEFT JOIN f USING (word)),
+y AS (SELECT word, word AS root, form AS up FROM x UNION ALL SELECT y.word, x.word, x.form FROM y JOIN x ON y.up = x.word)
+SELECT x.word, x.form, y.root, x.n, x.n_near, x.form_n FROM x JOIN y ON x.word = y.word WHERE y.up IS NULL
 """,
 }
