@@ -275,3 +275,71 @@ def test_order_stream_compacts(spark, tmp_path):
         stream = spark.readStream.schema("entity string, row string").parquet(str(log))
         live.start(stream, state, str(tmp_path / "check"), compact_every=1, ttl_days=None, clock=lambda: datetime(2024, 1, 2), availableNow=True).awaitTermination()
     assert json.dumps(daily_rows(state.daily()), default=str) == json.dumps(daily_rows(feed.whole()), default=str) != "[]"
+
+
+def forgetful(spark, path, n=6):
+    """A state whose orders are all served and, but for product versions, forgotten; with a feed and what is served."""
+    from datetime import datetime
+
+    state = order_state(spark, path, buckets=2, clock=lambda: datetime(2024, 1, 2))
+    feed = Feed(spark, state)
+    phases = list(generators.order_phases(n, seed=1))
+    live.apply_batch(state, feed.rows(phases[0]), 0)
+    state.compact(0, ttl_days=30, now=datetime(2024, 6, 1))
+    assert state.log("order_info").count() == state.log("order_detail").count() == state.lines(state.log("dim_product_scd2").select("product_id")).count() == 0
+    return state, feed, phases, daily_rows(state.daily())
+
+
+def test_a_late_payment_of_a_forgotten_order_changes_nothing(spark, tmp_path):
+    state, feed, phases, before = forgetful(spark, tmp_path)
+    late = [x for x in phases[1] if x[0] == "payment_info"]
+    live.apply_batch(state, feed.rows(late), 1)
+    assert late and before and daily_rows(state.daily()) == before
+    live.apply_batch(state, feed.rows([x for x in phases[1] if x[0] == "order_info"]), 2)
+    assert daily_rows(state.daily()) == before
+
+
+def test_a_price_correction_after_forgetting_changes_nothing(spark, tmp_path):
+    from datetime import timedelta
+
+    state, feed, phases, before = forgetful(spark, tmp_path)
+    moved = [("dim_product_scd2", "u", {**r, "effective_from": r["effective_from"] + timedelta(days=1)}) for e, _, r in phases[0] if e == "dim_product_scd2"]
+    live.apply_batch(state, feed.rows(moved), 1)
+    assert daily_rows(state.daily()) == before != []
+
+
+def test_a_change_delivered_again_after_forgetting_brings_nothing_back(spark, tmp_path):
+    from datetime import datetime
+
+    state = order_state(spark, tmp_path, buckets=2, clock=lambda: datetime(2024, 3, 1))
+    feed = Feed(spark, state)
+    first = next(generators.order_phases(4, seed=1))
+    rows = feed.rows(first)
+    live.apply_batch(state, rows, 0)
+    header = next(r for e, _, r in first if e == "order_info")
+    live.apply_batch(state, feed.rows([("order_info", "d", header)]), 1)
+    assert state.daily().agg(F.sum("total_orders")).first()[0] == 3
+    # Two days later the delete is younger than the time to live, and still known; weeks later nothing is.
+    for upto, now in ((1, datetime(2024, 3, 3)), (2, datetime(2024, 3, 4)), (3, datetime(2024, 6, 1))):
+        state.compact(upto, ttl_days=30, now=now)
+        assert (state.log("order_info").where("value is null").count() == 1) == (upto < 3)
+        live.apply_batch(state, {e: r for e, r in rows.items() if e != "dim_product_scd2"}, upto + 1)
+        assert state.daily().agg(F.sum("total_orders")).first()[0] == 3
+
+
+def test_amounts_of_forgotten_payments_stay(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    state = order_state(spark, tmp_path, buckets=2)
+    feed = Feed(spark, state)
+    phases = list(generators.order_phases(20, seed=2))
+    live.apply_batch(state, feed.rows(phases[0]), 0)
+    live.apply_batch(state, feed.rows(phases[1]), 1)
+    before = state.daily().agg(F.sum("paid_amount")).first()[0]
+    later = lambda e, op, r: (e, op, {**r, "update_time": r["update_time"] + timedelta(days=60)})
+    newest = {(e, r.get("order_id"), r.get("detail_id")): later(e, "u", r) for p in phases[:2] for e, _, r in p if e in ("order_info", "order_detail")}
+    live.apply_batch(state, feed.rows(newest.values()), 2)
+    state.compact(2, ttl_days=30, now=datetime(2024, 3, 1))
+    assert state.log("payment_info").count() == 0 < state.log("order_info").count()
+    live.apply_batch(state, feed.rows(newest.values()), 3)
+    assert state.daily().agg(F.sum("paid_amount")).first()[0] == before > 0

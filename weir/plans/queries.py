@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from datetime import date
+from datetime import date, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -207,32 +207,50 @@ def _streamed(w: Warehouse, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
-def _order_stream(w: Warehouse) -> DataFrame:
-    """Daily metrics after the order log arrived in five batches: deletes and restores late, a compaction, product versions last and one of them dated anew."""
-    spark, sf_dir = w.at
-    root = _work(spark, "weir-orders-")
-    log = w.log()
+def _order_changes(w: Warehouse) -> dict[str, DataFrame]:
+    """The change logs of orders, their lines, payments, refunds and product versions."""
+    at, key = w.at, ("product_id", "version_no")
 
-    def created(rows: DataFrame, *key: str, offset: int = 1) -> DataFrame:
+    def created(rows: DataFrame, *key: str) -> DataFrame:
         value = F.struct(*[c for c in rows.columns if c != "order_key"])
-        return rows.select(*key, F.lit("c").alias("op"), F.lit(128).alias("epoch"), F.lit(0).alias("partition"), F.lit(offset).cast("long").alias("offset"), value.alias("value"))
-
-    versions = w.versions().persist()
-    key = ("product_id", "version_no")
-    # Version 1 of every product comes in two steps: at first as if it had ended before any order.
-    early = versions.withColumn("effective_to", F.when(F.col("version_no") == 1, F.lit("1950-01-01").cast("timestamp")).otherwise(F.col("effective_to")))
-    whole = {
-        "order_info": log, "order_detail": created(src.order_detail(spark, sf_dir), "detail_id"), "payment_info": created(w.payments(), "payment_id"),
-        "refund_info": created(w.refunds(), "refund_id"), "dim_product_scd2": created(early, *key),
+        return rows.select(*key, F.lit("c").alias("op"), F.lit(128).alias("epoch"), F.lit(0).alias("partition"), F.lit(1).cast("long").alias("offset"), value.alias("value"))
+
+    return {
+        "order_info": w.log(), "order_detail": created(src.order_detail(*at), "detail_id"), "payment_info": created(w.payments(), "payment_id"),
+        "refund_info": created(w.refunds(), "refund_id"), "dim_product_scd2": created(w.versions(), *key),
     }
-    state = live_orders.OrderState(spark, root, {k: v.schema for k, v in whole.items()}, buckets=1)
-    step = F.col("offset") % 4
-    live_orders.apply_batch(state, {"order_info": log.where(step == 0), "order_detail": whole["order_detail"]}, 0)
-    live_orders.apply_batch(state, {"order_info": log.where(step.isin(1, 2)), "payment_info": whole["payment_info"]}, 1)
-    state.compact(1)
-    live_orders.apply_batch(state, {"order_info": log.where(step == 3), "refund_info": whole["refund_info"]}, 2)
-    live_orders.apply_batch(state, {"dim_product_scd2": whole["dim_product_scd2"]}, 3)
-    live_orders.apply_batch(state, {"dim_product_scd2": created(versions.where("version_no = 1"), *key, offset=2)}, 4)
+
+
+def _order_stream(w: Warehouse) -> DataFrame:
+    """Daily metrics of a stream of order changes in five batches.
+
+    Product versions come after the first orders, and version 1 as if it had ended before any order; orders' changes are split over batches, deletes and restores late. Orders
+    before 1995 come first; when the rest comes, the state has been compacted and has forgotten them, but for what products need. Then
+    all of their changes come once more, and version 1 is dated anew.
+    """
+    spark, _ = w.at
+    root = _work(spark, "weir-orders-")
+    whole = _order_changes(w)
+    state = live_orders.OrderState(spark, f"{root}/state", {k: v.schema for k, v in whole.items()}, buckets=4)
+    versions, key = whole["dim_product_scd2"], ["product_id", "version_no"]
+    redated = F.when(F.col("version_no") == 1, F.col("value").withField("effective_to", F.lit("1950-01-01").cast("timestamp"))).otherwise(F.col("value"))
+    log, others = w.log(), [e for e in whole if e not in ("order_info", "dim_product_scd2")]
+    past = w.orders().where("create_time < '1995-01-01'").select("order_id")
+    old = {e: (log if e == "order_info" else whole[e].withColumn("order_id", F.col("value.order_id"))).join(past, "order_id", "left_semi").select(*whole[e].columns) for e in ("order_info", *others)}
+    new = {e: (log if e == "order_info" else whole[e].withColumn("order_id", F.col("value.order_id"))).join(past, "order_id", "left_anti").select(*whole[e].columns) for e in ("order_info", *others)}
+    early = F.col("offset") % 4 < 2
+    batches = [
+        {**old, "dim_product_scd2": versions},
+        {"order_info": new["order_info"].where(early), "order_detail": new["order_detail"]},
+        {"dim_product_scd2": versions.withColumns({"offset": F.lit(2).cast("long"), "value": redated}), "payment_info": new["payment_info"], **{e: old[e] for e in ("order_info", "order_detail")}},
+        {"order_info": new["order_info"].where(~early), "refund_info": new["refund_info"]},
+        {"dim_product_scd2": versions.where("version_no = 1").withColumn("offset", F.lit(3).cast("long")), **{e: old[e] for e in others}},
+    ]
+    for batch in batches:
+        rows = reduce(DataFrame.unionByName, [d.select(F.lit(e).alias("entity"), F.to_json(F.struct("*")).alias("row")) for e, d in batch.items()])
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/log")
+    stream = spark.readStream.schema("entity string, row string").option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    live_orders.start(stream, state, f"{root}/checkpoint", compact_every=1, ttl_days=366, clock=lambda: datetime(1996, 1, 2), availableNow=True).awaitTermination()
     return state.daily()
 
 

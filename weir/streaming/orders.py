@@ -11,6 +11,11 @@ buckets of its keys only (lines, payments and refunds are found by order, and li
 through index tables); a batch that is run again overwrites its own folders and reads only earlier
 ones, which makes the pipeline idempotent. ``OrderState.compact`` reduces each table to the newest row of
 each key and forgets keys without a change for longer than a time to live.
+
+Forgetting frees state and changes no result. What isn't known any more keeps its served value: an order whose header or
+lines are forgotten stays as it was served, and so do the amounts of forgotten payments and refunds; a delete is told
+from that by its tombstone. A change to a forgotten key that the log delivers again is recognised by its position,
+at or before the newest forgotten one of its log partition, and ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ VERSIONS = "dim_product_scd2"
 ENTITIES = {"order_info": ["order_id"], "order_detail": ["detail_id"], "payment_info": ["payment_id"], "refund_info": ["refund_id"], VERSIONS: ["product_id", "version_no"]}
 OF_ORDERS = ("order_detail", "payment_info", "refund_info")
 LINES = "lines_by_product"
+MARKS = schema("epoch int, partition int, upto bigint")
 
 GROUP = ["order_date", "channel"]
 COUNTS = ("total_orders", "paid_orders", "cancelled_orders", "refunded_orders")
@@ -58,6 +64,7 @@ class OrderState:
     root: str
     schemas: dict[str, T.StructType]
     buckets: int = 16
+    clock: Callable[[], datetime] = datetime.now
 
     def _path(self, name: str) -> str:
         path = f"{self.root}/{name}"
@@ -65,6 +72,12 @@ class OrderState:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
         return path
 
+    def _folders(self, name: str) -> list[tuple[int, object]]:
+        """(batch, path) of a table's folders."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(name)}/bucket=*/batch=*")
+        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p)
+        return [(int(f.getPath().getName().partition("=")[2]), f.getPath()) for f in found]
+
     def _bucket(self, key: list[str]):
         return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
 
@@ -90,28 +103,48 @@ class OrderState:
         out = rows.withColumns({"bucket": self._bucket(key), "batch": F.lit(batch_id).cast("long")}).repartition("bucket")
         out.write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self._path(name))
 
+    def _log(self, entity: str) -> T.StructType:
+        """What is stored of an entity: its change rows and when they came, by which tombstones age."""
+        return T.StructType([*self.schemas[entity].fields, T.StructField("seen", T.TimestampType())])
+
     def log(self, entity: str, keys: DataFrame | None = None, before: int | None = None) -> DataFrame:
         """What was received of an entity."""
-        return self._read(entity, self.schemas[entity], ENTITIES[entity][:1], keys, before).drop("batch")
+        return self._read(entity, self._log(entity), ENTITIES[entity][:1], keys, before).drop("batch", "seen")
 
-    def keys_of(self, entity: str, orders: DataFrame) -> DataFrame:
-        """The keys that an entity's rows of these orders have or had."""
-        return self._read(f"{entity}_by_order", self._index(entity), ["order_id"], orders).select(*ENTITIES[entity]).distinct()
+    def keys_of(self, entity: str, orders: DataFrame, *also: str) -> DataFrame:
+        """The keys that an entity's rows of these orders have or had, with order_id if ``also`` names it."""
+        return self._read(f"{entity}_by_order", self._index(entity), ["order_id"], orders).select(*ENTITIES[entity], *also).distinct()
 
     def lines(self, products: DataFrame) -> DataFrame:
         """product_id, order_id, create_time of the lines that these products have or had."""
         return self._read(LINES, self._index(LINES), ["product_id"], products).drop("batch").distinct()
 
-    def receive(self, entity: str, rows: DataFrame, batch_id: int) -> None:
-        rows = rows.select(*self.schemas[entity].names).persist()
+    def _forgotten(self, entity: str) -> DataFrame:
+        """epoch, partition, upto: the newest forgotten position of each log partition."""
+        marks = self._read(f"{entity}_forgotten", MARKS, ["epoch"], None)
+        return marks.groupBy("epoch", "partition").agg(F.max("upto").alias("upto"))
+
+    def _news(self, entity: str, rows: DataFrame, batch_id: int) -> DataFrame:
+        """``rows`` without changes of forgotten keys that the log delivers again."""
+        key = ENTITIES[entity]
+        if not self._folders(f"{entity}_forgotten"):
+            return rows
+        old = rows.join(self._forgotten(entity), ["epoch", "partition"]).where("offset <= upto")
+        known = self.log(entity, old, batch_id).select(*key).distinct()
+        again = old.join(known, key, "left_anti").select(*key, "epoch", "partition", "offset").distinct()
+        return rows.join(again, [*key, "epoch", "partition", "offset"], "left_anti")
+
+    def receive(self, entity: str, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Store what a batch brings of an entity, which is returned."""
         key = ENTITIES[entity]
-        self._write(entity, rows, key[:1], batch_id)
+        rows = self._news(entity, rows, batch_id).select(*self.schemas[entity].names).persist()
+        self._write(entity, rows.withColumn("seen", F.lit(self.clock()).cast("timestamp")), key[:1], batch_id)
         known = rows.where("value is not null")
         if entity in OF_ORDERS:
             self._write(f"{entity}_by_order", known.select("value.order_id", *key).distinct(), ["order_id"], batch_id)
         if entity == "order_detail":
             self._write(LINES, known.select("value.product_id", "value.order_id", "value.create_time").distinct(), ["product_id"], batch_id)
-        rows.unpersist()
+        return rows
 
     def current(self, entity: str) -> DataFrame:
         return fold(self.log(entity), ENTITIES[entity])
@@ -140,20 +173,26 @@ class OrderState:
         """Rewrite what batches up to ``upto`` left: the newest row of each key, in one folder a bucket.
 
         With ``ttl_days``, keys of orders and their lines, payments and refunds whose newest change is older than that at
-        ``now`` are forgotten; served rows and product versions stay. A crash on the way leaves rows twice, which no reader minds.
+        ``now`` are forgotten; served rows and product versions stay. A tombstone is as old as its arrival. A crash on the way leaves rows
+        twice, which no reader minds, and the positions of what is to be forgotten are noted first.
         """
         for entity, key in ENTITIES.items():
-            rows = self._read(entity, self.schemas[entity], key[:1], None, upto + 1).drop("batch")
+            rows = self._read(entity, self._log(entity), key[:1], None, upto + 1).drop("batch")
             kept = changelog.compact(rows, key)
             if ttl_days is not None and entity != VERSIONS:
-                changed = rows.withColumn("__at", F.col("value.update_time"))
-                kept = kept.join(changelog.expire(changed, key, "__at", ttl_days, F.lit(now).cast("timestamp")).select(*key).distinct(), key, "left_semi")
-            self._replace(entity, kept.select(*self.schemas[entity].names), key[:1], upto)
+                aged = rows.withColumn("__at", F.coalesce("value.update_time", "seen"))
+                live = changelog.expire(aged, key, "__at", ttl_days, F.lit(now).cast("timestamp")).select(*key).distinct()
+                gone = kept.join(live, key, "left_anti").groupBy("epoch", "partition").agg(F.max("offset").alias("upto"))
+                self._replace(f"{entity}_forgotten", self._forgotten(entity).unionByName(gone).groupBy("epoch", "partition").agg(F.max("upto").alias("upto")).select(*MARKS.names), ["epoch"], upto)
+                kept = kept.join(live, key, "left_semi")
+            self._replace(entity, kept.select(*self._log(entity).names), key[:1], upto)
             if entity in OF_ORDERS:
                 index = f"{entity}_by_order"
-                live = self._read(entity, self.schemas[entity], key[:1], None).select(*key).distinct()
+                live = self._read(entity, self._log(entity), key[:1], None).select(*key).distinct()
                 self._replace(index, self._read(index, self._index(entity), ["order_id"], None, upto + 1).drop("batch").distinct().join(live, key, "left_semi").select(*self._index(entity).names), ["order_id"], upto)
-        self._replace(LINES, self._read(LINES, self._index(LINES), ["product_id"], None, upto + 1).drop("batch").distinct(), ["product_id"], upto)
+        with_lines = self._read("order_detail_by_order", self._index("order_detail"), ["order_id"], None).select("order_id").distinct()
+        lines = self._read(LINES, self._index(LINES), ["product_id"], None, upto + 1).drop("batch").distinct()
+        self._replace(LINES, lines.join(with_lines, "order_id", "left_semi").select(*self._index(LINES).names), ["product_id"], upto)
         for name, (table, key) in SERVED.items():
             rows = self._read(name, table, key, None, upto + 1)
             rest = [c for c in table.names if c not in key]
@@ -162,15 +201,12 @@ class OrderState:
 
     def _replace(self, name: str, rows: DataFrame, key: list[str], upto: int) -> None:
         """``rows`` instead of a table's folders up to batch ``upto``; compacted folders have negative numbers."""
-        path = self._path(name)
         self._write(name, rows, key, -upto - 1)
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket=*/batch=*")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = [(int(f.getPath().getName().partition("=")[2]), f.getPath()) for f in fs.globStatus(p)]
+        found = self._folders(name)
         age = lambda n: -n - 1 if n < 0 else n
         for n, folder in sorted(found, key=lambda x: age(x[0])):  # oldest first, so that no older row outlives what replaced it
             if n <= upto and n != -upto - 1:
-                fs.delete(folder, True)
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _redated(state: OrderState, rows: DataFrame, batch_id: int) -> DataFrame:
@@ -209,17 +245,30 @@ def _current(state: OrderState, entity: str, touched: DataFrame) -> DataFrame:
     return fold(state.log(entity, state.keys_of(entity, touched)), key).join(touched, "order_id", "left_semi")
 
 
+def _remembered(now: DataFrame, old: DataFrame, owned: dict[str, DataFrame]) -> DataFrame:
+    """Orders' rows, with the amounts served before where the state has neither payment (or refund) nor a tombstone of one."""
+    out = now.join(old.select("order_id", *[F.col(f"{c}_amount").alias(f"__{c}") for c in ("payment", "refund")]), "order_id", "left")
+    for c in ("payment", "refund"):
+        out = out.join(owned[f"{c}_info"].select("order_id", F.lit(True).alias(f"__has_{c}")), "order_id", "left")
+        out = out.withColumn(f"{c}_amount", F.when(F.col(f"__has_{c}"), F.col(f"{c}_amount")).otherwise(F.coalesce(f"__{c}", f"{c}_amount")))
+    return out.select(*now.columns)
+
+
 def apply_batch(state: OrderState, arrived: dict[str, DataFrame], batch_id: int) -> DataFrame:
     """Take in a batch of change rows by entity; the changes of the daily metrics (op 'u' or 'd')."""
-    for entity, rows in arrived.items():
-        state.receive(entity, rows, batch_id)
+    arrived = {entity: state.receive(entity, rows, batch_id) for entity, rows in arrived.items()}
     touched = _touched(state, arrived, batch_id).persist()
+    old = state.orders(batch_id, touched)
+    owned = {e: state.keys_of(e, touched, "order_id").select("order_id").distinct() for e in OF_ORDERS}
+    # Orders that were served, but whose header or lines are forgotten, stay as they are.
+    whole = state.log("order_info", touched).select("order_id").distinct().join(owned["order_detail"], "order_id", "left_semi")
+    stay = old.join(whole, "order_id", "left_anti").select("order_id")
     parts = {e: _current(state, e, touched) for e in ENTITIES if e != VERSIONS}
     parts["order_detail"] = parts["order_detail"].persist()
     versions = fold(state.log(VERSIONS, parts["order_detail"].select("product_id").distinct()), ENTITIES[VERSIONS])
     wide = op.order_detail_wide(parts["order_detail"], parts["order_info"], versions, parts["payment_info"], parts["refund_info"])
-    old = state.orders(batch_id, touched)
-    changed = state.serve("dws_order_current", op.changes(old, op.order_current(wide), ["order_id"]), batch_id)
+    changed = op.changes(old, _remembered(op.order_current(wide), old, owned), ["order_id"]).join(stay, "order_id", "left_anti")
+    changed = state.serve("dws_order_current", changed, batch_id)
 
     names = [*GROUP, *COUNTS, *SUMS]
     came = op.daily(changed.where("op = 'u'")).select(*names)
@@ -229,17 +278,19 @@ def apply_batch(state: OrderState, arrived: dict[str, DataFrame], batch_id: int)
     sums = [F.sum(c).cast(DAILY[c].dataType).alias(c) for c in (*COUNTS, *SUMS)]
     after = before.unionByName(delta).groupBy(*GROUP).agg(*sums).where("total_orders > 0")
     out = state.serve("ads_order_daily", op.changes(before, after, GROUP), batch_id)
-    for df in (touched, delta, parts["order_detail"]):
+    for df in (touched, delta, parts["order_detail"], *arrived.values()):
         df.unpersist()
     return out
 
 
 def start(log: DataFrame, state: OrderState, checkpoint: str, compact_every: int = 100, ttl_days: int | None = 30, clock: Callable[[], datetime] = datetime.now, **trigger) -> StreamingQuery:
-    """Run ``apply_batch`` on a stream of (entity, row) where ``row`` is the JSON of a change-log row.
+    """Run ``apply_batch`` on a stream of (entity, row) where ``row`` is the JSON of a change-log row. ``clock`` tells the state's time, too.
 
     Every ``compact_every`` batches the state is compacted, and what had no change for ``ttl_days`` is forgotten.
     """
 
+    state.clock = clock
+
     def batch(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
         arrived = {e: rows.where(F.col("entity") == e).select(F.from_json("row", s).alias("r")).select("r.*") for e, s in state.schemas.items()}
