@@ -1,4 +1,5 @@
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -167,3 +168,30 @@ def test_documents_equal_brute_force():
         assert new == brute_replace(r["text"] or "", K)
         changed += new != r["text"]
     assert changed > 20
+
+
+def test_long_values():
+    for n in (255, 256, 257, 6_200, 100_000):
+        value = ("aZ3_" * n)[:n]
+        new, found = pii.replace(f'token="{value}" x', K)
+        assert found == {"secret": 1} and value not in new and len(new) == n + 10
+        assert pii.replace(new, K, back=True)[0] == f'token="{value}" x'
+    mail = "ab.C9-" * 1200 + "@example.org"
+    new, found = pii.replace(mail, K)
+    assert found == {"email": 1} and new != mail and pii.replace(new, K, back=True)[0] == mail
+
+
+@pytest.mark.parametrize("text", ["QUJD" * 250_000 + " a@b.example.org", "a@" + "QUJD" * 250_000, "(" * 1_000_000, "1 (" * 300_000 + "x", "a@b." * 200_000, "+" * 500_000 + "1", "token=" * 150_000, "AB12" * 200_000, "1.1." * 200_000])
+def test_search_takes_time_in_proportion(text):
+    began = time.process_time()
+    pii.replace(text, K)
+    assert time.process_time() - began < 5
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab.@-+_1( )/:éZ", max_size=40))
+def test_addresses_and_runs_are_those_of_their_patterns(text):
+    mail = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
+    run = re.compile(r"[+(0-9][0-9 ().:/-]*[0-9]")
+    assert list(pii._mails(text)) == [m.span() for m in mail.finditer(text)]
+    assert list(pii._runs(text)) == [m.span() for m in run.finditer(text)]

@@ -42,9 +42,11 @@ _CLASS = {c: (members, i) for members in CLASSES for i, c in enumerate(members)}
 HEX = "0123456789abcdef"
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2099, 12, 31) - date(1900, 1, 1)).days + 1
 
+#: Characters of a value that are permuted together; a longer value is permuted block by block, its blocks by kinds of their own.
+BLOCK = 256
 #: Text between digits that numbers may have inside.
-_RUN = re.compile(r"[+(0-9][0-9 ().:/-]*[0-9]")
-_MAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
+_RUN = re.compile(r"\+?[0-9 ().:/-]+")
+_NAME, _HOST = re.compile(r"[\w.+-]+"), re.compile(r"[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_+/=-]{12,})")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _NUMBERS = re.compile(
@@ -97,7 +99,12 @@ def _in_class(key: bytes, kind: str, text: str, back: bool, classes=None) -> str
     of = [(i, *(classes or _CLASS)[c]) for i, c in enumerate(text) if c in (classes or _CLASS)]
     if not of:
         return text
-    new = permute(key, kind, [n for _, _, n in of], [len(m) for _, m, _ in of], back)
+    numbers, sizes, n = [n for _, _, n in of], [len(m) for _, m, _ in of], len(of)
+    if n <= BLOCK:
+        new = permute(key, kind, numbers, sizes, back)
+    else:
+        edges = [n * i // -(-n // BLOCK) for i in range(-(-n // BLOCK) + 1)]
+        new = [v for a, b in zip(edges, edges[1:]) for v in permute(key, f"{kind}:{a} of {n}", numbers[a:b], sizes[a:b], back)]
     out = list(text)
     for (i, members, _), n in zip(of, new):
         out[i] = members[n]
@@ -239,12 +246,34 @@ def _secret(key, value, back):
 KINDS: dict[str, Callable] = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "abroad": _abroad, "ip": _ip, "date": _date, "email": _email, "secret": _secret}
 
 
-@lru_cache(100_000)
 def pseudonym(key: bytes, kind: str, value: str, back: bool = False) -> str | None:
     """The value's pseudonym (or, ``back``, the value of a pseudonym); None if it isn't valid."""
+    return _known(key, kind, value, back) if len(value) <= BLOCK else KINDS[kind](key, value, back)
+
+
+@lru_cache(100_000)
+def _known(key: bytes, kind: str, value: str, back: bool) -> str | None:
     return KINDS[kind](key, value, back)
 
 
+def _mails(text: str) -> Iterator[tuple[int, int]]:
+    """Where mail addresses lie: each name that ends before an @, but for what the address before took, and the host behind."""
+    at = 0
+    for name in _NAME.finditer(text):
+        a, b = max(name.start(), at), name.end()
+        if a < b and text[b : b + 1] == "@" and (host := _HOST.match(text, b + 1)):
+            yield a, host.end()
+            at = host.end()
+
+
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """Where numbers may lie: from a digit, plus or bracket to the last digit that such text goes on to."""
+    for run in _RUN.finditer(text):
+        a, b = run.end() - len(run[0].lstrip(" ).:/-")), run.start() + len(run[0].rstrip(" ().:/-+"))
+        if b - a > 1:
+            yield a, b
+
+
 _IBAN_HINT = re.compile(r"[A-Z]{2}\d{2}")
 
 
@@ -260,10 +289,10 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, Counter]:
             found["phone" if kind == "abroad" else kind] += 1
             put.append((a, b, new))
 
-    def search(pattern: re.Pattern, kind: str, group: int = 0) -> str:
+    def search(spans: Iterator[tuple[int, int]], kind: str) -> str:
         before = len(put)
-        for m in pattern.finditer(left):
-            take(kind, *m.span(group))
+        for a, b in spans:
+            take(kind, a, b)
         rest, at = [], 0
         for a, b, _ in put[before:]:
             rest += [left[at:a], "\0" * (b - a)]
@@ -271,14 +300,14 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, Counter]:
         return "".join([*rest, left[at:]])
 
     if "=" in text or ":" in text:
-        left = search(_SECRET, "secret", 1)
+        left = search((m.span(1) for m in _SECRET.finditer(left)), "secret")
     if "@" in left:
-        left = search(_MAIL, "email")
+        left = search(_mails(left), "email")
     if _IBAN_HINT.search(left):
-        left = search(_IBAN, "iban")
-    for run in _RUN.finditer(left):
-        for m in _NUMBERS.finditer(run[0]):
-            a, b = (run.start() + x for x in m.span())
+        left = search((m.span() for m in _IBAN.finditer(left)), "iban")
+    for start, end in _runs(left):
+        for m in _NUMBERS.finditer(left[start:end]):
+            a, b = (start + x for x in m.span())
             if m.lastgroup != "ip" or not _VERSION.search(left, max(0, a - 10), a):
                 take(m.lastgroup, a, b)
     out, at = [], 0
