@@ -235,6 +235,7 @@ SQL = {
     "stream_overview": f"SELECT * REPLACE ({_W}) FROM overview WHERE overview.window_end <= (SELECT max(event_ts) - INTERVAL '5 seconds' FROM ev)",
     "stream_funnel": f"SELECT * REPLACE ({_W}) FROM funnel WHERE funnel.window_end <= (SELECT max(event_ts) - INTERVAL '5 seconds' FROM ev)",
     "stream_order_daily": "SELECT * FROM day",
+    "stream_order_state": "SELECT * FROM day",
     "backfill_job": _RECON_SQL.format(a="off_range", b="(SELECT * FROM day WHERE CAST(order_date AS DATE) >= DATE '1997-01-01' AND CAST(order_date AS DATE) < DATE '1998-01-01')"),
     "stream_serving": "SELECT order_id, order_status FROM o_now",
     "dlq_envelopes": _ENVELOPES,

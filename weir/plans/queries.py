@@ -18,7 +18,7 @@ from weir.sources import readers, sinks
 from weir.sources.contracts import CONTRACTS
 from weir.sources.topics import TOPICS
 from weir.streaming import behavior as live
-from weir.streaming import loader
+from weir.streaming import keyed, loader
 from weir.streaming import orders as live_orders
 
 RANGE = (date(1997, 1, 1), date(1998, 1, 1))
@@ -231,7 +231,7 @@ def _order_stream(w: Warehouse) -> DataFrame:
     spark, _ = w.at
     root = _work(spark, "weir-orders-")
     whole = _order_changes(w)
-    state = live_orders.OrderState(spark, f"{root}/state", {k: v.schema for k, v in whole.items()}, buckets=4)
+    state = live_orders.OrderState(spark, f"{root}/state", {k: v.schema for k, v in whole.items()}, buckets=2)
     versions, key = whole["dim_product_scd2"], ["product_id", "version_no"]
     redated = F.when(F.col("version_no") == 1, F.col("value").withField("effective_to", F.lit("1950-01-01").cast("timestamp"))).otherwise(F.col("value"))
     log, others = w.log(), [e for e in whole if e not in ("order_info", "dim_product_scd2")]
@@ -250,10 +250,30 @@ def _order_stream(w: Warehouse) -> DataFrame:
         rows = reduce(DataFrame.unionByName, [d.select(F.lit(e).alias("entity"), F.to_json(F.struct("*")).alias("row")) for e, d in batch.items()])
         rows.coalesce(1).write.mode("append").parquet(f"{root}/log")
     stream = spark.readStream.schema("entity string, row string").option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
-    live_orders.start(stream, state, f"{root}/checkpoint", compact_every=1, ttl_days=366, clock=lambda: datetime(1996, 1, 2), availableNow=True).awaitTermination()
+    live_orders.start(stream, state, f"{root}/checkpoint", compact_every=2, ttl_days=366, clock=lambda: datetime(1996, 1, 2), availableNow=True).awaitTermination()
     return state.daily()
 
 
+def _order_state(w: Warehouse) -> DataFrame:
+    """Daily metrics of orders kept as keyed state, from a stream of changes year by year; at last those of the first two years once more, when their orders are forgotten."""
+    spark, sf_dir = w.at
+    root = _work(spark, "weir-state-")
+    logs = _order_changes(w)
+    ended = src.order_info(spark, sf_dir).select("order_id", (F.col("update_time") + F.expr("INTERVAL 1 HOUR")).alias("deleted_at"))
+    known = scd2.version_at(src.order_detail(spark, sf_dir), w.versions()).select("detail_id")
+    parts = [
+        keyed.of_log("order_info", logs["order_info"].join(ended, "order_id"), at=F.col("deleted_at")), keyed.of_log("order_detail", logs["order_detail"].join(known, "detail_id", "left_semi")),
+        keyed.of_log("payment_info", logs["payment_info"]), keyed.of_log("refund_info", logs["refund_info"]),
+    ]
+    reduce(DataFrame.unionByName, parts).write.parquet(f"{root}/changes")
+    changes = spark.read.parquet(f"{root}/changes")
+    year = F.year("at")
+    for some in (year <= 1993, year == 1994, year == 1995, year == 1996, (year > 1996) | (year <= 1993)):
+        changes.where(some).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    keyed.start(keyed.read_changes(spark, f"{root}/log"), f"{root}/signed", f"{root}/checkpoint", 366, availableNow=True).awaitTermination()
+    return keyed.metrics(spark.read.schema(keyed.SIGNED).parquet(f"{root}/signed"), "order_date", "channel")
+
+
 _desc = F.desc
 PLANS = {
     "behavior_dirty": lambda w: w.dirty().drop("event_ts", "proc_time"),
@@ -311,6 +331,7 @@ PLANS = {
     "stream_overview": lambda w: _streamed(w, "ads_realtime_overview"),
     "stream_funnel": lambda w: _streamed(w, "ads_channel_funnel"),
     "stream_order_daily": _order_stream,
+    "stream_order_state": _order_state,
 }
 
 
