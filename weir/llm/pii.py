@@ -45,7 +45,7 @@ FIRST_DAY, DAYS = date(1900, 1, 1), (date(2099, 12, 31) - date(1900, 1, 1)).days
 #: Characters of a value that are permuted together; a longer value is permuted block by block, its blocks by kinds of their own.
 BLOCK = 256
 #: Text between digits that numbers may have inside.
-_RUN = re.compile(r"\+?[0-9 ().:/-]+")
+_RUN = re.compile(r"[+(0-9][0-9 ().:/-]*")
 _NAME, _HOST = re.compile(r"[\w.+-]+"), re.compile(r"[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_+/=-]{12,})")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
@@ -269,7 +269,7 @@ def _mails(text: str) -> Iterator[tuple[int, int]]:
 def _runs(text: str) -> Iterator[tuple[int, int]]:
     """Where numbers may lie: from a digit, plus or bracket to the last digit that such text goes on to."""
     for run in _RUN.finditer(text):
-        a, b = run.end() - len(run[0].lstrip(" ).:/-")), run.start() + len(run[0].rstrip(" ().:/-+"))
+        a, b = run.start(), run.start() + len(run[0].rstrip(" ().:/-+"))
         if b - a > 1:
             yield a, b
 
