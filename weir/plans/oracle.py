@@ -237,6 +237,7 @@ SQL = {
     "stream_order_daily": "SELECT * FROM day",
     "stream_order_state": "SELECT * FROM day",
     "backfill_job": _RECON_SQL.format(a="off_range", b="(SELECT * FROM day WHERE CAST(order_date AS DATE) >= DATE '1997-01-01' AND CAST(order_date AS DATE) < DATE '1998-01-01')"),
+    "stream_serving_table": "SELECT order_id, order_status FROM o_now",
     "stream_serving": "SELECT order_id, order_status FROM o_now",
     "dlq_envelopes": _ENVELOPES,
     "captured_tables": " UNION ALL ".join(

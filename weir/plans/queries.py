@@ -20,6 +20,7 @@ from weir.sources.topics import TOPICS
 from weir.streaming import behavior as live
 from weir.streaming import keyed, loader
 from weir.streaming import orders as live_orders
+from weir.streaming.serving_table import ServingTable, start_upserts
 
 RANGE = (date(1997, 1, 1), date(1998, 1, 1))
 NOW = 2_000_000_000
@@ -179,6 +180,19 @@ def _serving_stream(w: Warehouse) -> DataFrame:
     return readers.read_serving(spark, f"{root}/rows", ["order_id"]).select("order_id", "order_status")
 
 
+def _serving_table(w: Warehouse) -> DataFrame:
+    """The same through a serving table whose runs are merged level by level."""
+    spark, _ = w.at
+    root = _work(spark, "weir-table-")
+    version = ingest_version(F.col("epoch"), F.col("offset"), F.col("partition")).alias("ingest_version")
+    log = w.log().select("order_id", F.col("value.order_status").alias("order_status"), version, F.col("value").isNull().cast("byte").alias("is_deleted"))
+    log.repartition(6).write.parquet(f"{root}/log")
+    table = ServingTable(spark, f"serving_{uuid.uuid4().hex}", f"{root}/rows", log.schema, ("order_id",), buckets=4, fan=2)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    start_upserts(stream, table, f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return table.read().select("order_id", "order_status")
+
+
 def _work(spark: SparkSession, prefix: str) -> str:
     """A new folder that executors can write to, under spark.checkpoint.dir; it goes with the driver's JVM.
 
@@ -224,9 +238,9 @@ def _order_changes(w: Warehouse) -> dict[str, DataFrame]:
 def _order_stream(w: Warehouse) -> DataFrame:
     """Daily metrics of a stream of order changes in five batches.
 
-    Product versions come after the first orders, and version 1 as if it had ended before any order; orders' changes are split over batches, deletes and restores late. Orders
-    before 1995 come first; when the rest comes, the state has been compacted and has forgotten them, but for what products need. Then
-    all of their changes come once more, and version 1 is dated anew.
+    Orders before 1995 come first, then the rest, whose changes are split over batches, deletes and restores late. Product version 1 comes at
+    first as if it had ended before any order. Before the last batches the state is compacted and forgets the old orders; their headers
+    and payments come once more, and version 1 is dated anew.
     """
     spark, _ = w.at
     root = _work(spark, "weir-orders-")
@@ -240,17 +254,17 @@ def _order_stream(w: Warehouse) -> DataFrame:
     new = {e: (log if e == "order_info" else whole[e].withColumn("order_id", F.col("value.order_id"))).join(past, "order_id", "left_anti").select(*whole[e].columns) for e in ("order_info", *others)}
     early = F.col("offset") % 4 < 2
     batches = [
-        {**old, "dim_product_scd2": versions},
-        {"order_info": new["order_info"].where(early), "order_detail": new["order_detail"]},
-        {"dim_product_scd2": versions.withColumns({"offset": F.lit(2).cast("long"), "value": redated}), "payment_info": new["payment_info"], **{e: old[e] for e in ("order_info", "order_detail")}},
+        {**old, "dim_product_scd2": versions.withColumn("value", F.when(F.col("value.product_id") % 2 == 0, redated).otherwise(F.col("value")))},
+        {"order_info": new["order_info"].where(early), "order_detail": new["order_detail"], "dim_product_scd2": versions.withColumn("offset", F.lit(2).cast("long"))},
+        {"dim_product_scd2": versions.where("product_id % 2 = 1").withColumns({"offset": F.lit(3).cast("long"), "value": redated}), "payment_info": new["payment_info"]},
         {"order_info": new["order_info"].where(~early), "refund_info": new["refund_info"]},
-        {"dim_product_scd2": versions.where("version_no = 1").withColumn("offset", F.lit(3).cast("long")), **{e: old[e] for e in others}},
+        {"dim_product_scd2": versions.where("version_no = 1").withColumn("offset", F.lit(4).cast("long")), "order_info": old["order_info"], "payment_info": old["payment_info"]},
     ]
     for batch in batches:
         rows = reduce(DataFrame.unionByName, [d.select(F.lit(e).alias("entity"), F.to_json(F.struct("*")).alias("row")) for e, d in batch.items()])
         rows.coalesce(1).write.mode("append").parquet(f"{root}/log")
     stream = spark.readStream.schema("entity string, row string").option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
-    live_orders.start(stream, state, f"{root}/checkpoint", compact_every=2, ttl_days=366, clock=lambda: datetime(1996, 1, 2), availableNow=True).awaitTermination()
+    live_orders.start(stream, state, f"{root}/checkpoint", compact_every=3, ttl_days=366, clock=lambda: datetime(1996, 1, 2), availableNow=True).awaitTermination()
     return state.daily()
 
 
@@ -328,6 +342,7 @@ PLANS = {
     "alert_store": _alert_store,
     "backfill_job": _backfill_job,
     "stream_serving": _serving_stream,
+    "stream_serving_table": _serving_table,
     "stream_overview": lambda w: _streamed(w, "ads_realtime_overview"),
     "stream_funnel": lambda w: _streamed(w, "ads_channel_funnel"),
     "stream_order_daily": _order_stream,
