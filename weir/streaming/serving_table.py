@@ -3,7 +3,7 @@
 The table is bucketed and sorted by its key. Each micro-batch is a run of level 0, a file a bucket; when a level has ``fan`` runs, they
 become one run of the level above: the newest version of each key, bucket by bucket, with no exchange, as
 they are bucketed alike. So a row is rewritten once a level, the number of files stays bounded by buckets, fan and levels, and reading
-the newest version of each key needs no exchange either. Deleted keys stay as tombstones until a merge takes in the oldest run.
+the newest version of each key needs no exchange either. Deleted keys stay as tombstones until a merge takes in the oldest run; so a key's versions must come in their order, as from one log partition.
 
 A batch that is run again replaces its run, or is skipped if that is merged already. A merge writes its run first and then removes
 those it took in, the oldest first; until then rows are there twice, which readers of the newest version don't mind.
