@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 import pytest
 
 from weir.sources.contracts import schema
-from weir.streaming.serving_table import ServingTable
+from weir.streaming.serving_table import ServingTable, start_upserts
 
 ROWS = schema("k string, part int, v int, ingest_version bigint, is_deleted tinyint")
 
@@ -46,6 +46,15 @@ def test_files_stay_bounded_and_reads_need_no_exchange(spark, tmp_path):
     assert before == state(t) or set(before) - set(state(t)) <= {k for k, v in want.items() if v == 19}
 
 
+def test_a_stream_upserts(spark, tmp_path):
+    t = table(spark, tmp_path / "rows", "streamed", fan=2)
+    for i in range(3):
+        spark.createDataFrame([("a", 0, i, i, 0), (f"k{i}", 0, i, i, 0)], ROWS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    start_upserts(stream, t, str(tmp_path / "check"), availableNow=True).awaitTermination()
+    assert state(t) == {("a", 0): 2, ("k0", 0): 0, ("k1", 0): 1, ("k2", 0): 2} and [r[:3] for r in t.runs()] == [(1, 0, 1), (0, 2, 2)]
+
+
 def test_a_delete_hides_older_runs_until_it_meets_the_oldest(spark, tmp_path):
     t = table(spark, tmp_path, "deletes", fan=2)
     one = lambda v, gone: spark.createDataFrame([("a", 0, v, v, gone), ("b", 0, v, v, 0)], ROWS)

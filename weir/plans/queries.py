@@ -185,10 +185,10 @@ def _serving_table(w: Warehouse) -> DataFrame:
     spark, _ = w.at
     root = _work(spark, "weir-table-")
     version = ingest_version(F.col("epoch"), F.col("offset"), F.col("partition")).alias("ingest_version")
-    steps = w.log().select("order_id", F.col("value.order_status").alias("order_status"), version, F.col("value").isNull().cast("byte").alias("is_deleted"), F.col("offset") % 4)
-    log = steps.drop(steps.columns[-1])
+    steps = w.log().select("order_id", F.col("value.order_status").alias("order_status"), version, F.col("value").isNull().cast("byte").alias("is_deleted"), (F.col("offset") % 4).alias("step"))
+    log = steps.drop("step")
     for step in range(4):  # a key's versions come in their order
-        steps.where(steps[steps.columns[-1]] == step).select(*log.columns).coalesce(1).write.mode("append").parquet(f"{root}/log")
+        steps.where(F.col("step") == step).drop("step").coalesce(1).write.mode("append").parquet(f"{root}/log")
     table = ServingTable(spark, f"serving_{uuid.uuid4().hex}", f"{root}/rows", log.schema, ("order_id",), buckets=4, fan=2)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
     start_upserts(stream, table, f"{root}/checkpoint", availableNow=True).awaitTermination()

@@ -60,14 +60,15 @@ class ServingTable:
 
     def _write(self, rows: DataFrame, level: int, first: int, last: int) -> None:
         own = rows.select(*self.schema.names, F.lit(level).alias("level"), F.lit(first).cast("long").alias("first"), F.lit(last).cast("long").alias("last"))
-        conf, mode = self.spark.conf, "spark.sql.sources.partitionOverwriteMode"
+        conf, mode = rows.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
         before = conf.get(mode)
-        conf.set(mode, "dynamic")  # only the run's own folder is replaced
+        conf.set(mode, "dynamic")  # only the run's own folder is replaced; a stream's batches have a session of their own
         try:
             own.write.insertInto(self.name, overwrite=True)
         finally:
             conf.set(mode, before)
-        self.spark.catalog.refreshTable(self.name)
+        for spark in (self.spark, rows.sparkSession):
+            spark.catalog.refreshTable(self.name)
 
     def upsert(self, rows: DataFrame, batch_id: int) -> None:
         """Take in a batch, and merge what is full."""
