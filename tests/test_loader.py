@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,57 @@ def test_all_topics_load_side_by_side(spark, tmp_path):
         assert spark.conf.get(k) == v
 
 
+def test_one_query_loads_all_topics(spark, tmp_path):
+    """The source is read once, all topics are committed together, and counts come from the writes and from Spark's reports."""
+    values = {"ads_order_daily": {"order_date": "2024-01-01", "channel": "app"}, "dwd_dirty_behavior": {"error_reason": "EMPTY_EVENT_ID"}, "dwd_order_detail": {"detail_id": "D1"}}
+    schema_ = "topic string, partition int, offset long, key string, value string"
+    produced = 0
+    for part in range(2):
+        rows = [(t, 0, 100 * part + i, None, json.dumps(values[t]) if t in values else "{oops") for i, t in enumerate([*TOPICS, *values, "another_topic"])]
+        spark.createDataFrame(rows, schema_).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        produced += len(rows)
+    stream = spark.readStream.schema(schema_).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    metrics = loader.LoaderMetrics()
+    spark.streams.addListener(listener := loader.LoaderListener(metrics, "all"))
+    run = lambda: loader.start_all_topics(stream, str(tmp_path / "out"), metrics, name="all", availableNow=True).awaitTermination()
+    try:
+        run()
+        newest = max((tmp_path / "out" / "checkpoint" / "commits").glob("[0-9]*"))
+        newest.unlink()
+        (newest.parent / f".{newest.name}.crc").unlink(missing_ok=True)
+        n = lambda t, kind: spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out" / t / kind)).count()
+        want = {t: (4, 0) if t in values else (0, 2) for t in TOPICS}
+        assert {t: (n(t, "rows"), n(t, "letters")) for t in TOPICS} == want
+        assert metrics.values["rows_inserted_total"] == 12 and metrics.values["dlq_publish_success_total"] == 14
+        for _ in range(100):  # reports come a little later
+            if metrics.values.get("source_rows_total") == produced:
+                break
+            time.sleep(0.1)
+        assert metrics.values["source_rows_total"] == produced == metrics.values["messages_consumed_total"] + 2
+        text = metrics.text()
+        assert "loader_source_rows_total 28\n" in text and "loader_last_batch_id 1\n" in text
+        run()  # the batch whose commit was lost is run again and replaces what it left
+        assert {t: (n(t, "rows"), n(t, "letters")) for t in TOPICS} == want
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_writes_are_tried_again_and_counted_once(spark, tmp_path, monkeypatch):
+    key, metrics, calls = {"order_date": "2024-01-01", "channel": "app"}, loader.LoaderMetrics(), []
+    counted = loader._counted
+
+    def fails(df, write):
+        calls.append(1)
+        if len(calls) in (1, 3):
+            raise OSError("no")
+        return counted(df, write)
+
+    monkeypatch.setattr(loader, "_counted", fails)
+    loader.load_batch(batch(spark, [(1, key, key), (2, key, "{oops")]), TOPIC, str(tmp_path / "r"), str(tmp_path / "d"), 0, metrics, sleep=lambda s: None)
+    v = metrics.values
+    assert (v["insert_failures_total"], v["dlq_publish_failures_total"], v["rows_inserted_total"], v["decode_failures_total"], v["messages_consumed_total"]) == (1, 1, 1, 1, 2)
+
+
 def test_loaded_rows_are_compacted(spark, tmp_path):
     rows, letters, metrics = str(tmp_path / "rows"), str(tmp_path / "dlq"), loader.LoaderMetrics()
     key = {"order_date": "2024-01-01", "channel": "app"}
