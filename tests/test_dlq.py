@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weir.operators import dlq
+from weir.sources import readers
 from weir.sources.topics import TOPICS, differences, serving_key
 
 FACTS = TOPICS["dwd_user_behavior"]
@@ -187,3 +188,39 @@ def test_contracts_agree_with_what_is_captured(spark, sf):
     behavior = CONTRACTS["user_behavior"]
     assert {f.name: f.dataType for f in w.events().drop("event_ts", "proc_time").schema.fields} == {f.name: f.dataType for f in behavior.schema.fields}
     assert len({c.topic for c in CONTRACTS.values()}) == len(CONTRACTS) == 6 and not behavior.soft_delete
+
+
+def test_replay_keeps_bytes(spark):
+    """What isn't changed is sent as it was, whatever its bytes; the letter's key too."""
+    value = json.dumps({**GOOD, "channel": "caf"}).encode().replace(b"caf", b"caf\xe9")
+    raw = spark.createDataFrame([("dwd_user_behavior", 0, 0, b"k\xe9", value)], "topic string, partition int, offset long, key binary, value binary")
+    bad = raw.select("*", F.lit("ValidationError").alias("error_type"), F.lit("x").alias("error_message"))
+    log = dlq.envelopes(bad, F.lit("2024-01-01 00:00:00")).withColumns({"topic": F.lit("dlq"), "partition": F.lit(0), "offset": F.lit(0).cast("long")})
+    letter, sent = log.first(), []
+    done = dlq.replay(log, None, letter["message_id"], dlq.Repair(original=True), lambda r: sent.extend(r.collect()), lambda a: None, F.lit("x"), execute=True)
+    assert bytes(sent[0]["key_bytes"]) == b"k\xe9" and bytes(sent[0]["value_bytes"]) == value
+    assert done.audit.first()["replay_sha256"] == hashlib.sha256(value).hexdigest()
+    patched = dlq.candidate(letter, dlq.Repair(patch={"channel": "é"}), spark).first()
+    assert bytes(patched["key_bytes"]) == b"k\xe9" and json.loads(bytes(patched["value_bytes"]))["channel"] == "é"
+    assert {r["reason"] for r in dlq.well_formed(log.drop("key_base64", "value_base64"))[1].collect()} == {"missing fields: key_base64,value_base64"}
+
+
+def test_scan_fixes_marks_and_tells_when_it_was_cut(spark, tmp_path):
+    log, _ = letters(spark, [json.dumps({**GOOD, "user_id": "seven"})] * 3)
+    path = str(tmp_path / "log")
+    log.write.parquet(path)
+    stored = spark.read.parquet(path)
+    marks = readers.watermarks(stored)
+    log.withColumn("offset", F.col("offset") + 3).write.mode("append").parquet(path)
+    assert [tuple(r) for r in marks.collect()] == [("dlq", 0, 0, 3)]
+    grown = spark.read.parquet(path)
+    whole, old, cut = readers.scan(grown), readers.scan(grown, marks), readers.scan(grown, limit=2)
+    assert [(s.scanned, s.complete, s.truncated) for s in (whole, old, cut)] == [(6, True, False), (3, True, False), (2, False, True)]
+    assert readers.scan(grown, limit=6).complete and not readers.scan(grown, limit=6).truncated
+    assert readers.scan(grown.limit(0)).complete
+    fix, name = dlq.Repair(patch={"user_id": 7}), log.first()["message_id"]
+    run = lambda **k: dlq.replay(grown, None, name, fix, lambda r: None, lambda a: None, F.lit("x"), **k)
+    with pytest.raises(RuntimeError, match="cut short"):
+        run(execute=True, scan_limit=2)
+    plan = run(scan_limit=2)
+    assert plan.truncated and plan.scanned == 2 and not plan.executed and run(execute=True).executed

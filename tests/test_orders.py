@@ -343,3 +343,16 @@ def test_amounts_of_forgotten_payments_stay(spark, tmp_path):
     assert state.log("payment_info").count() == 0 < state.log("order_info").count()
     live.apply_batch(state, feed.rows(newest.values()), 3)
     assert state.daily().agg(F.sum("paid_amount")).first()[0] == before > 0
+
+
+def test_versions_are_read_together(spark, tmp_path):
+    T = contracts.T
+    first = contracts.Contract("t", contracts.schema("k string not null, n int not null"), ("k",), "t")
+    second = contracts.evolve(first, T.StructField("kind", T.StringType()), fill={"kind": "IF(n > 1, 'many', 'one')"})
+    third = contracts.evolve(second, T.StructField("extra", T.IntegerType()))
+    for version, rows, ddl in ((1, [("a", 1), ("b", 2)], "k string, n int"), (2, [("c", 3, "x"), ("d", 4, None)], "k string, n int, kind string"), (3, [("e", 5, "y", 6)], "k string, n int, kind string, extra int")):
+        spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / f"version={version}"))
+    got = sorted(map(tuple, readers.read_versions(spark, str(tmp_path), third).collect()))
+    assert got == [("a", 1, "one", None), ("b", 2, "many", None), ("c", 3, "x", None), ("d", 4, None, None), ("e", 5, "y", 6)]
+    with pytest.raises(Exception, match="a newer version than 2"):
+        readers.read_versions(spark, str(tmp_path), second).collect()

@@ -1,6 +1,8 @@
 import json
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from weir.operators import behavior, serving
@@ -127,3 +129,34 @@ def test_freshness_of_nothing(spark):
     future = facts.unionByName(spark.sql("select timestamp '2024-01-01 08:00:00' as event_ts"))
     r = serving.freshness(future, wide, o, F.lit(0), "Asia/Shanghai").where("pipeline = 'behavior_dwd'").first()
     assert r["age_seconds"] == 0.0 and r["last_epoch"] == 1704067200.0
+
+
+def test_moving_mean_over_runs(spark):
+    from datetime import datetime, timedelta
+
+    r, at, rows = random.Random(3), datetime(2023, 12, 30), []
+    for _ in range(120):
+        at += timedelta(minutes=r.choice([1, 1, 1, 60, 3000, 200_000]))
+        rows.append((at, float(r.randint(0, 99))))
+    df = spark.createDataFrame(rows, "window_start timestamp, pay_amount double").repartition(3)
+    for length in (7, 5, 4096):
+        got = {x["window_start"]: x["mean_before"] for x in serving.moving_mean(df, length=length).collect()}
+        assert len(got) == 120
+        for i, (t, _) in enumerate(rows):
+            before = [v for _, v in rows[max(0, i - 5) : i]]
+            assert got[t] == (pytest.approx(sum(before) / len(before)) if before else None)
+    plan = serving.moving_mean(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert serving.moving_mean(df.limit(0)).count() == 0
+
+
+def test_freshness_series_with_a_threshold():
+    now = [100.0]
+    state = serving.FreshnessState(lambda: now[0], stale_after_s=30)
+    state.collect({"a": lambda: 90.0, "b": lambda: 0.0, "c": lambda: 1 / 0})
+    assert state.stale() == ["b", "c"] and state.success == 0
+    now[0] = 121.0
+    assert state.stale() == ["a", "b", "c"]
+    text = state.text()
+    for line in ('freshness_available{pipeline="a"} 1', 'freshness_available{pipeline="c"} 0', "freshness_stale_threshold_seconds 30", "freshness_last_collection_unixtime_seconds 100", 'freshness_max_business_unixtime_seconds{pipeline="a"} 90', 'freshness_age_seconds{pipeline="a"} 31'):
+        assert line in text.splitlines()

@@ -57,10 +57,34 @@ def version_measures(versions: DataFrame) -> DataFrame:
     )
 
 
-def moving_mean(overview: DataFrame, before: int = 5) -> DataFrame:
-    """Each window with the mean amount of the ``before`` windows that precede it. One row per window in all, so one task sorts them."""
-    w = Window.orderBy("window_start").rowsBetween(-before, -1)
-    return overview.select("window_start", "pay_amount", F.avg(F.col("pay_amount").cast("double")).over(w).alias("mean_before"))
+#: Windows of which the moving mean is taken in one task.
+RANGE = 4096
+
+
+def moving_mean(overview: DataFrame, before: int = 5, length: int = RANGE) -> DataFrame:
+    """Each window with the mean amount of the ``before`` windows that precede it.
+
+    Windows are numbered by their times: by day, days by year, and years by their counts, of which the driver has one a calendar year. Runs
+    of ``length`` windows are averaged side by side, each with the last ``before`` of the run before it.
+    """
+    rows = overview.select("window_start", F.col("pay_amount"), F.to_date("window_start").alias("day"))
+    days = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n")).withColumn("year", F.year("day"))
+    by_year = sorted((r["year"], r["n"]) for r in days.groupBy("year").agg(F.sum("n").alias("n")).collect())
+    upto, starts = 0, []
+    for year, n in by_year:
+        starts.append((year, upto))
+        upto += n
+    starts = rows.sparkSession.createDataFrame(starts, "year int, year_start long")
+    in_year = F.coalesce(F.sum("n").over(Window.partitionBy("year").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.withColumn("in_year", in_year).join(F.broadcast(starts), "year").select("day", (F.col("year_start") + F.col("in_year")).alias("day_start"))
+    number = F.col("day_start") + F.row_number().over(Window.partitionBy("day").orderBy("window_start")) - 1
+    numbered = rows.join(days, "day").select("window_start", "pay_amount", number.alias("number"))
+    own = F.floor(F.col("number") / length)
+    last = F.col("number") % length >= length - before
+    runs = F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))).alias("run")
+    mean = F.avg(F.col("pay_amount").cast("double")).over(Window.partitionBy("run").orderBy("number").rowsBetween(-before, -1))
+    out = numbered.select("*", runs).withColumn("mean_before", mean)
+    return out.where(F.col("run") == own).select("window_start", "pay_amount", "mean_before")
 
 
 def alerts(overview: DataFrame) -> DataFrame:
@@ -108,32 +132,56 @@ def recent_alerts(sent: DataFrame, n: int = 50) -> DataFrame:
 
 
 class FreshnessState:
-    """What a freshness exporter remembers: a failed query keeps its pipeline's last value and clears the success flag."""
+    """What a freshness exporter knows: of each pipeline the newest answer, and how the rounds of questions went.
 
-    def __init__(self, clock: Callable[[], float] = time.time):
-        self.clock = clock
-        self.last_epoch: dict[str, float] = {}
-        self.success, self.failures, self.last_success = 0, 0, 0.0
+    A pipeline whose question fails keeps its older answer. With ``stale_after_s`` the text has more series: whether a pipeline has
+    data, its newest business time, the age from which it counts as stale, and the time of the latest round.
+    """
+
+    def __init__(self, clock: Callable[[], float] = time.time, stale_after_s: float | None = None):
+        self.clock, self.stale_after_s = clock, stale_after_s
+        self.answers: dict[str, float] = {}
+        self.asked: set[str] = set()
+        #: (time, questions that failed) of the latest round and of the latest without failures; failures of all rounds.
+        self.latest, self.clean, self.failures = (0.0, 1), (0.0, 0), 0
+
+    last_epoch = property(lambda self: self.answers)
+    success = property(lambda self: int(self.latest[1] == 0))
+    last_success = property(lambda self: self.clean[0])
 
     def collect(self, queries: dict[str, Callable[[], float]]) -> None:
-        """Run each pipeline's query of its newest business time, in epoch seconds."""
-        failed = 0
-        for pipeline, query in queries.items():
-            try:
-                self.last_epoch[pipeline] = query()
-            except Exception:  # noqa: BLE001 - whatever a query dies of, the others go on
-                failed += 1
-        self.failures += failed
-        self.success = int(not failed)
-        if not failed:
-            self.last_success = self.clock()
+        """A round: each pipeline's newest business time, in epoch seconds, from its query."""
+        new = {pipeline: answer for pipeline, query in queries.items() if (answer := _answer(query)) is not None}
+        self.answers, self.asked = self.answers | new, self.asked | set(queries)
+        self.latest = (self.clock(), len(queries) - len(new))
+        self.failures += self.latest[1]
+        self.clean = self.clean if self.latest[1] else self.latest
+
+    def stale(self) -> list[str]:
+        """Pipelines whose data is older than ``stale_after_s``, or missing."""
+        now = self.clock()
+        return sorted(p for p in self.asked if self.stale_after_s is not None and now - max(0.0, self.answers.get(p, 0.0)) > self.stale_after_s)
 
     def text(self) -> str:
-        """The state as Prometheus text; pipelines that never answered are left out."""
-        now = self.clock()
-        lines = [f'freshness_age_seconds{{pipeline="{p}"}} {max(0.0, now - t):g}' for p, t in sorted(self.last_epoch.items()) if t > 0]
-        lines += [f"freshness_collection_success {self.success}", f"freshness_collection_failures_total {self.failures}", f"freshness_last_success_unixtime_seconds {self.last_success:g}"]
-        return "\n".join(lines) + "\n"
+        """The state as Prometheus text; pipelines without an answer have no age."""
+        now, series = self.clock(), []
+        known = {p: t for p, t in sorted(self.answers.items()) if t > 0}
+        for p, t in known.items():
+            series.append((f'age_seconds{{pipeline="{p}"}}', max(0.0, now - t)))
+        series += [("collection_success", self.success), ("collection_failures_total", self.failures), ("last_success_unixtime_seconds", self.last_success)]
+        if self.stale_after_s is not None:
+            series += [("stale_threshold_seconds", self.stale_after_s), ("last_collection_unixtime_seconds", self.latest[0])]
+            series += [(f'available{{pipeline="{p}"}}', int(p in known)) for p in sorted(self.asked)]
+            series += [(f'max_business_unixtime_seconds{{pipeline="{p}"}}', t) for p, t in known.items()]
+        return "".join(f"freshness_{name} {value:.12g}\n" for name, value in series)
+
+
+def _answer(query: Callable[[], float]) -> float | None:
+    """What a query gives; None if it fails, whatever of, so that the others go on."""
+    try:
+        return query()
+    except Exception:  # noqa: BLE001
+        return None
 
 
 def freshness_queries(facts: DataFrame, wide: DataFrame, overview: DataFrame, zone: str = "UTC") -> dict[str, Callable[[], float]]:

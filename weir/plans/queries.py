@@ -15,7 +15,7 @@ from weir.functions.versions import ingest_version
 from weir.operators import backfill, behavior, changelog, dlq, orders, quality, scd2, serving
 from weir.sources import derived as src
 from weir.sources import readers, sinks
-from weir.sources.contracts import CONTRACTS
+from weir.sources.contracts import CONTRACTS, evolve
 from weir.sources.topics import TOPICS
 from weir.streaming import behavior as live
 from weir.streaming import keyed, loader
@@ -152,6 +152,19 @@ def _alert_store(w: Warehouse) -> DataFrame:
     return serving.recent_alerts(sinks.stored(found, path))
 
 
+def _evolution(w: Warehouse) -> DataFrame:
+    """Orders written before and after a field was added, read together: older ones take the contract's fill, what was written later is as written."""
+    spark, _ = w.at
+    root = _work(spark, "weir-versions-")
+    first = CONTRACTS["order_info"]
+    second = evolve(first, T.StructField("delivery_type", T.StringType()), fill={"delivery_type": "CASE WHEN user_id % 2 = 0 THEN 'EXPRESS' ELSE 'STANDARD' END"})
+    orders, early = w.orders(), F.col("create_time") < "1995-01-01"
+    orders.where(early).select(*first.schema.names).write.parquet(f"{root}/version={first.version}")
+    later = orders.where(~early).withColumn("delivery_type", F.when(F.col("user_id") % 3 == 0, "PICKUP").when(F.col("user_id") % 3 == 1, "STANDARD"))
+    later.select(*second.schema.names).write.parquet(f"{root}/version={second.version}")
+    return readers.read_versions(spark, root, second).select("order_id", "user_id", "delivery_type")
+
+
 def _captured(w: Warehouse) -> DataFrame:
     """Of each captured table: entries of its change log, deletes among them, and the rows that are left."""
     out = []
@@ -336,7 +349,7 @@ PLANS = {
     "freshness": lambda w: serving.freshness(w.facts(), w.wide(), w.overview(), F.lit(NOW)),
     "quality_rules": _quality,
     "table_counts": _counts,
-    "schema_evolution_backfill": lambda w: w.orders().select("order_id", "user_id", F.when(F.col("user_id") % 2 == 0, "EXPRESS").otherwise("STANDARD").alias("delivery_type")),
+    "schema_evolution_backfill": _evolution,
     "payments_in_range": lambda w: readers.of_orders(w.payments(), readers.orders_in_range(w.orders(), *RANGE)).select("payment_id", "order_id", "payment_status", "payment_amount"),
     "loader_rejects": _loader,
     "dlq_envelopes": _envelopes,

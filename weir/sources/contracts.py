@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import types as T
 
@@ -38,6 +39,8 @@ class Contract:
     soft_delete: bool = True
     version: int = 1
     required: tuple[str, ...] = field(default=())
+    #: Added field -> (version that has it first, SQL of its value in rows of older versions).
+    since: Mapping[str, tuple[int, str]] = field(default_factory=dict)
 
 
 BEHAVIOR = Contract(
@@ -113,11 +116,16 @@ def compare_schema(old: T.StructType, new: T.StructType) -> list[str]:
     return found + [f"new field {n} is required" for n, f in have.items() if not f.nullable]
 
 
-def evolve(contract: Contract, *fields: T.StructField) -> Contract:
-    """The next version of a contract with ``fields`` added; adding what is there changes nothing."""
+def evolve(contract: Contract, *fields: T.StructField, fill: Mapping[str, str] | None = None) -> Contract:
+    """The next version of a contract with ``fields`` added; adding what is there changes nothing.
+
+    ``fill``: SQL over the older fields for what rows of older versions get, null by default.
+    """
     have = {f.name for f in contract.schema.fields}
     new = [f for f in fields if f.name not in have]
     schema = T.StructType([*contract.schema.fields, *new])
     if problems := compare_schema(contract.schema, schema):
         raise ValueError("; ".join(problems))
-    return Contract(contract.name, schema, contract.key, contract.topic, contract.soft_delete, contract.version + bool(new), contract.required)
+    version = contract.version + bool(new)
+    since = {**contract.since, **{f.name: (version, (fill or {}).get(f.name, "NULL")) for f in new}}
+    return replace(contract, schema=schema, version=version, since=since)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from datetime import date, timedelta
 
 import pyarrow as pa
@@ -69,6 +70,45 @@ def snapshot(log: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("low", "high"), state
 
 
+def watermarks(log: DataFrame) -> DataFrame:
+    """topic, partition, low, high of a log as it is now, fixed: a row a partition, which later entries don't change."""
+    found = log.groupBy("topic", "partition").agg(F.min("offset").alias("low"), (F.max("offset") + 1).alias("high"))
+    return log.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+@dataclass(frozen=True)
+class Scan:
+    """What a bounded scan read: rows; whether every partition was read to its mark; whether a limit cut it short."""
+
+    rows: DataFrame
+    scanned: int
+    complete: bool
+    truncated: bool
+
+
+def scan(log: DataFrame, marks: DataFrame | None = None, limit: int | None = None) -> Scan:
+    """A log's entries up to ``marks``, those of the moment by default; ``limit`` keeps the entries of the smallest offsets only."""
+    marks = watermarks(log) if marks is None else marks
+    rows, state = snapshot(log, marks)
+    if limit is not None:
+        rows, state = snapshot(rows.orderBy("offset", "topic", "partition").limit(limit), marks)
+    read = state.agg(F.sum("read").alias("read"), F.count_if(~F.col("complete")).alias("open")).first()
+    scanned, complete = read["read"] or 0, not read["open"]
+    return Scan(rows, scanned, complete, not complete and limit is not None and scanned >= limit)
+
+
+def read_versions(spark: SparkSession, path: str, contract: Contract) -> DataFrame:
+    """Files of a contract's versions, in folders ``version=N``, read as its newest: fields that a version didn't have yet take the contract's fill.
+
+    A null in a file that has the field stays null; files of a version beyond the contract's are an error.
+    """
+    fields = [T.StructField(f.name, f.dataType) for f in contract.schema.fields]
+    rows = spark.read.schema(T.StructType([*fields, T.StructField("version", T.IntegerType())])).option("basePath", path).parquet(path)
+    known = F.assert_true(F.col("version") <= contract.version, F.lit(f"a newer version than {contract.version} of {contract.name}"))
+    fill = lambda f: F.when(F.col("version") < contract.since[f.name][0], F.expr(contract.since[f.name][1])).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) if f.name in contract.since else F.col(f.name)
+    return rows.where(known.isNull()).select(*[fill(f) for f in contract.schema.fields])
+
+
 def jdbc_range_query(entity: str, columns: list[str], start: date, end: date, scan_time: bool = False) -> str:
     """A ``dbtable`` subquery with pruned columns and a half-open date range on the order's creation.
 
