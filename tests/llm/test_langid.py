@@ -145,3 +145,34 @@ def test_every_label_is_learned(spark):
     assert all(len(t.decode()) <= langid.SAMPLE_CHARS for t in langid.sample(df)["long"])
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(df).collect()}
     assert got == {(i, lang) for i, _, lang in rows}
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    model = langid.fit({"a": [b"the cat sat on the mat", b"a hat"], "b": "größer als über ärger".encode().split(b" ")})
+    raw = np.frombuffer(b"the cat \xc3\xbc on a mat, " * 40 + b"xyz", np.uint8)
+    off = np.array([0, 5, 5, 300, len(raw)])
+    whole = langid.code_lengths(model, off, raw)
+    for part in (1, 2, 3, 7, 100):
+        monkeypatch.setattr(langid, "PART", part)
+        assert np.allclose(langid.code_lengths(model, off, raw), whole, rtol=1e-9)
+
+
+def test_a_text_of_64_mb_takes_little_memory():
+    import tracemalloc
+
+    model = langid.fit({"a": [b"the cat sat on the mat"], "b": [b"der hund lief weg"]})
+    raw = np.frombuffer(b"the cat lief on the mat " * (1 << 21) + b"x" * (16 << 20), np.uint8)
+    tracemalloc.start()
+    try:
+        langid.code_lengths(model, np.array([0, len(raw)]), raw)
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_TEXT", 4000)
+    rows = [(i, "abcdefgh" * 100, f"l{i % 5}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.sample(docs)
+    assert len(found) == 5 and sum(len(t) for own in found.values() for t in own) <= 4000

@@ -10,8 +10,8 @@ scripts share a table of bounded size; the model grows as the sum of the languag
 
 Fitting sample (a documented bound): of each language the documents with the smallest hashes,
 about ``SAMPLE_DOCS`` of them (with more than ``MANY_LANGS`` languages an equal share of as many rows),
-one at least, and of each its first ``SAMPLE_CHARS`` characters. Every label is learned; the
-table grows with their number. Scoring takes every whole text.
+one at least, and of each its first ``SAMPLE_CHARS`` characters (fewer, if all would be more than
+``SAMPLE_TEXT``). Every label is learned; the table grows with their number. Scoring takes every whole text.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; so is everything if no
 labelled text is left; null doc_id counts as the empty text in the fold; equal code lengths go
@@ -35,6 +35,10 @@ from .common import slices, text_view
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 32_768
+#: Characters of the whole sample.
+SAMPLE_TEXT = 64 << 20
+#: Bytes of a text that are scored at once.
+PART = 1 << 20
 #: Languages that get SAMPLE_DOCS each.
 MANY_LANGS = 64
 #: Bytes of all tables, about; of one table of several languages at least.
@@ -149,7 +153,20 @@ def _block(langs: list[int], raw: list[tuple[np.ndarray, np.ndarray]], kept: np.
 
 
 def code_lengths(model: Model, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Bits of each text in each language: (texts, languages)."""
+    """Bits of each text in each language: (texts, languages). Long texts are scored part by part, with the bytes before each."""
+    if len(raw) <= 2 * PART:
+        return _lengths(model, off, raw)
+    out = np.zeros((len(off) - 1, len(model.langs)))
+    for i, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+        for at in range(a, z, PART):
+            before = min(3, at - a)
+            part = raw[at - before : min(z, at + PART)]
+            out[i] += _lengths(model, np.array([0, len(part)]), part, before)[0]
+    return out
+
+
+def _lengths(model: Model, off: np.ndarray, raw: np.ndarray, before_first: int = 0) -> np.ndarray:
+    """``code_lengths`` at once; of the first text, ``before_first`` bytes are only what comes before."""
     out = np.zeros((len(off) - 1, len(model.langs)))
     if not len(raw) or not model.langs:
         return out
@@ -169,7 +186,9 @@ def code_lengths(model: Model, off: np.ndarray, raw: np.ndarray) -> np.ndarray:
         row = block.context[row].astype(np.int64)
         row *= a
         row += sym
-        out[np.ix_(some, block.langs)] = np.add.reduceat(block.cost[row], starts, 0, np.float64)
+        cost = block.cost[row]
+        cost[:before_first] = 0
+        out[np.ix_(some, block.langs)] = np.add.reduceat(cost, starts, 0, np.float64)
     return out
 
 
@@ -178,14 +197,15 @@ def sample(docs: DataFrame) -> dict[str, list[bytes]]:
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     rows = docs.where((fold != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     whole = 1 << 30
-    rows = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "doc_id", F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(whole)).alias("u"))
+    rows = rows.select("lang", "text", "doc_id", F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(whole)).alias("u"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("least")).collect()
     if not counts:
         return {}
     each = max(1, SAMPLE_DOCS * min(MANY_LANGS, len(counts)) // len(counts))
     cuts = [(r["lang"], max(r["least"] + 1, min(whole, whole * each // r["n"]))) for r in counts]
     cuts = docs.sparkSession.createDataFrame(cuts, "lang string, cut long")
-    found = rows.join(F.broadcast(cuts), "lang").where("u < cut").select("lang", "text", "doc_id").distinct().collect()
+    chars = max(1, min(SAMPLE_CHARS, SAMPLE_TEXT // (each * len(counts))))
+    found = rows.join(F.broadcast(cuts), "lang").where("u < cut").select("lang", F.substring("text", 1, chars).alias("text"), "doc_id").distinct().collect()
     out: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"], r["text"])):
         out[r["lang"]].append(r["text"].encode())
