@@ -224,3 +224,13 @@ def test_scan_fixes_marks_and_tells_when_it_was_cut(spark, tmp_path):
         run(execute=True, scan_limit=2)
     plan = run(scan_limit=2)
     assert plan.truncated and plan.scanned == 2 and not plan.executed and run(execute=True).executed
+
+
+def test_large_numbers_are_exact(spark):
+    topic = TOPICS["ads_order_daily"]
+    values = ["73178117.31", "12345678901234567890.12", "9999999.99", "10000000.5", '"73178117.31"', "73178117.314", "1E5"]
+    rows = [("k", f'{{"order_date":"2024-01-01","channel":"c{i}","order_amount":{v}}}') for i, v in enumerate(values)]
+    good, bad = dlq.validate(records(spark, rows, "ads_order_daily"), topic)
+    got = {r["channel"]: str(r["order_amount"]) for r in good.collect()}
+    assert {k: got[k] for k in ("c0", "c1", "c2", "c3", "c4")} == {"c0": "73178117.31", "c1": "12345678901234567890.12", "c2": "9999999.99", "c3": "10000000.50", "c4": "73178117.31"}
+    assert [r["error_message"] for r in bad.where("value like '%c5%'").collect()] == ["order_amount: not decimal(22,2)"]

@@ -237,6 +237,12 @@ SQL = {
     "stream_order_daily": "SELECT * FROM day",
     "stream_order_state": "SELECT * FROM day",
     "backfill_job": _RECON_SQL.format(a="off_range", b="(SELECT * FROM day WHERE CAST(order_date AS DATE) >= DATE '1997-01-01' AND CAST(order_date AS DATE) < DATE '1998-01-01')"),
+    "stream_keyed_sink": "SELECT order_id, order_status FROM o_now",
+    "stream_loader": " UNION ALL ".join(
+        f"SELECT '{t}' AS topic, '{kind}' AS kind, count(*) FILTER ({'' if kind == 'letters' else 'NOT '}{spoilt}) AS n FROM {v}"
+        for t, v, spoilt in (("ads_order_daily", "day", "channel = '1-URGENT'"), ("ads_order_lifecycle", "life", "total_orders < 0"), ("dwd_order_detail", "wide", "quantity % 5 = 0"))
+        for kind in ("rows", "letters")
+    ),
     "stream_serving_table": "SELECT order_id, order_status FROM o_now",
     "stream_serving": "SELECT order_id, order_status FROM o_now",
     "dlq_envelopes": _ENVELOPES,

@@ -16,6 +16,7 @@ from weir.operators import backfill, behavior, changelog, dlq, orders, quality,
 from weir.sources import derived as src
 from weir.sources import readers, sinks
 from weir.sources.contracts import CONTRACTS, evolve
+from weir.sources.keyed_sink import KeyedSink, read_latest
 from weir.sources.topics import TOPICS
 from weir.streaming import behavior as live
 from weir.streaming import keyed, loader
@@ -208,6 +209,35 @@ def _serving_table(w: Warehouse) -> DataFrame:
     return table.read().select("order_id", "order_status")
 
 
+def _keyed_sink(w: Warehouse) -> DataFrame:
+    """The same through the keyed sink, whose commits say what counts."""
+    spark, _ = w.at
+    root = _work(spark, "weir-sink-")
+    log = w.log().select("order_id", F.col("value.order_status").alias("order_status"), "op", "offset")
+    log.repartition(3).write.parquet(f"{root}/log")
+    spark.dataSource.register(KeyedSink)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log").writeStream.format("weir_keyed")
+    stream = stream.option("path", f"{root}/sink").option("key", "order_id").option("version", "offset").option("checkpointLocation", f"{root}/checkpoint")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return read_latest(spark, f"{root}/sink", log.select("order_id", "order_status").schema)
+
+
+def _all_topics(w: Warehouse) -> DataFrame:
+    """Rows and dead letters by topic after one query has loaded records of several topics, some spoilt by an unknown field."""
+    spark, _ = w.at
+    root = _work(spark, "weir-loader-")
+    spoilt = {"ads_order_daily": F.col("channel") == "1-URGENT", "ads_order_lifecycle": F.col("total_orders") < 0, "dwd_order_detail": F.col("quantity") % 5 == 0}
+    tables = {"ads_order_daily": w.daily(), "ads_order_lifecycle": w.lifecycle(), "dwd_order_detail": w.wide()}
+    for topic, rows in tables.items():
+        rows = _text(rows.withColumn("extra", F.when(spoilt[topic], "x")))
+        records = rows.select(F.lit(topic).alias("topic"), F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), F.lit(None).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
+        records.write.mode("append").parquet(f"{root}/log")
+    stream = spark.readStream.schema("topic string, partition int, offset long, key string, value string").parquet(f"{root}/log")
+    loader.start_all_topics(stream, f"{root}/out", loader.LoaderMetrics(), availableNow=True).awaitTermination()
+    count = lambda topic, kind: spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/out/{topic}/{kind}").agg(F.lit(topic).alias("topic"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+    return reduce(DataFrame.unionByName, [count(t, kind) for t in tables for kind in ("rows", "letters")])
+
+
 def _work(spark: SparkSession, prefix: str) -> str:
     """A new folder that executors can write to, under spark.checkpoint.dir; it goes with the driver's JVM.
 
@@ -358,6 +388,8 @@ PLANS = {
     "backfill_job": _backfill_job,
     "stream_serving": _serving_stream,
     "stream_serving_table": _serving_table,
+    "stream_keyed_sink": _keyed_sink,
+    "stream_loader": _all_topics,
     "stream_overview": lambda w: _streamed(w, "ads_realtime_overview"),
     "stream_funnel": lambda w: _streamed(w, "ads_channel_funnel"),
     "stream_order_daily": _order_stream,
