@@ -229,7 +229,7 @@ SQL = {
     "freshness": "SELECT *, true AS available, greatest(0.0, 2000000000 - last_epoch) AS age_seconds FROM (SELECT 'behavior_dwd' AS pipeline, CAST(epoch(max(event_ts)) AS DOUBLE) AS last_epoch FROM dwd UNION ALL SELECT 'order_dwd', CAST(epoch(max(greatest(order_create_time, order_update_time, detail_update_time, coalesce(payment_time, order_create_time), coalesce(refund_time, order_create_time)))) AS DOUBLE) FROM wide UNION ALL SELECT 'behavior_ads', CAST(epoch(max(window_end)) AS DOUBLE) FROM overview)",
     "quality_rules": _QUALITY,
     "table_counts": " UNION ALL ".join(f"SELECT '{k}' AS table_name, count(*) AS n FROM {v}" for k, v in (("dwd_user_behavior", "dwd"), ("dwd_dirty_behavior", "bad"), ("ads_realtime_overview", "overview"), ("ads_product_rank", "products"), ("ads_category_rank", "categories"), ("ads_channel_funnel", "funnel"), ("dwd_order_detail", "wide"), ("ads_order_lifecycle", "life"), ("ads_order_daily", "day"))),
-    "schema_evolution_backfill": "SELECT order_id, user_id, CASE WHEN create_time < TIMESTAMP '1995-01-01' THEN CASE WHEN user_id % 2 = 0 THEN 'EXPRESS' ELSE 'STANDARD' END WHEN user_id % 3 = 0 THEN 'PICKUP' WHEN user_id % 3 = 1 THEN 'STANDARD' END AS delivery_type FROM o_now",
+    "schema_evolution_backfill": "SELECT order_id, user_id, CASE WHEN create_time < TIMESTAMP '1998-01-01' THEN CASE WHEN user_id % 2 = 0 THEN 'EXPRESS' ELSE 'STANDARD' END WHEN user_id % 3 = 0 THEN 'PICKUP' WHEN user_id % 3 = 1 THEN 'STANDARD' END AS delivery_type FROM o_now",
     "payments_in_range": "SELECT p.payment_id, p.order_id, p.payment_status, p.payment_amount FROM pay AS p JOIN o_now AS o USING (order_id) WHERE o.create_time >= TIMESTAMP '1997-01-01' AND o.create_time < TIMESTAMP '1998-01-01'",
     "loader_rejects": "SELECT error_message, count(*) AS n FROM (SELECT CASE WHEN event_id % 10 = 1 THEN 'unknown fields: extra' WHEN event_id % 10 = 2 THEN 'missing fields: amount' WHEN event_id % 10 = 3 THEN 'amount: not decimal(10,2)' WHEN event_id % 10 = 4 THEN 'event_sequence: not int32; user_id: not int64' WHEN event_id % 10 = 5 THEN 'value is no JSON object' END AS error_message FROM events) WHERE error_message IS NOT NULL GROUP BY 1",
     "stream_overview": f"SELECT * REPLACE ({_W}) FROM overview WHERE overview.window_end <= (SELECT max(event_ts) - INTERVAL '5 seconds' FROM ev)",

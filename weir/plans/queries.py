@@ -7,7 +7,7 @@ import uuid
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -159,7 +159,7 @@ def _evolution(w: Warehouse) -> DataFrame:
     root = _work(spark, "weir-versions-")
     first = CONTRACTS["order_info"]
     second = evolve(first, T.StructField("delivery_type", T.StringType()), fill={"delivery_type": "CASE WHEN user_id % 2 = 0 THEN 'EXPRESS' ELSE 'STANDARD' END"})
-    orders, early = w.orders(), F.col("create_time") < "1995-01-01"
+    orders, early = w.orders(), F.col("create_time") < "1998-01-01"
     orders.where(early).select(*first.schema.names).write.parquet(f"{root}/version={first.version}")
     later = orders.where(~early).withColumn("delivery_type", F.when(F.col("user_id") % 3 == 0, "PICKUP").when(F.col("user_id") % 3 == 1, "STANDARD"))
     later.select(*second.schema.names).write.parquet(f"{root}/version={second.version}")
@@ -270,21 +270,22 @@ def _order_changes(w: Warehouse) -> dict[str, DataFrame]:
     """The change logs of orders, their lines, payments, refunds and product versions."""
     at, key = w.at, ("product_id", "version_no")
 
-    def created(rows: DataFrame, *key: str) -> DataFrame:
+    def created(rows: DataFrame, offset: Column, *key: str) -> DataFrame:
         value = F.struct(*[c for c in rows.columns if c != "order_key"])
-        return rows.select(*key, F.lit("c").alias("op"), F.lit(128).alias("epoch"), F.lit(0).alias("partition"), F.lit(1).cast("long").alias("offset"), value.alias("value"))
+        return rows.select(*key, F.lit("c").alias("op"), F.lit(128).alias("epoch"), F.lit(0).alias("partition"), offset.cast("long").alias("offset"), value.alias("value"))
 
+    when = F.unix_seconds("update_time")  # positions in order of time
     return {
-        "order_info": w.log(), "order_detail": created(src.order_detail(*at), "detail_id"), "payment_info": created(w.payments(), "payment_id"),
-        "refund_info": created(w.refunds(), "refund_id"), "dim_product_scd2": created(w.versions(), *key),
+        "order_info": w.log(), "order_detail": created(src.order_detail(*at), when, "detail_id"), "payment_info": created(w.payments(), when, "payment_id"),
+        "refund_info": created(w.refunds(), when, "refund_id"), "dim_product_scd2": created(w.versions(), F.lit(1), *key),
     }
 
 
 def _order_stream(w: Warehouse) -> DataFrame:
     """Daily metrics of a stream of order changes in five batches.
 
-    Orders before 1995 come first, then the rest, whose changes are split over batches, deletes and restores late. Product version 1 comes at
-    first as if it had ended before any order. Before the last batches the state is compacted and forgets the old orders; their headers
+    Orders before 1997 come first, then the rest, whose changes are split over batches, deletes and restores late. Product version 1 comes at
+    first as if it had ended before the latter. Before the last batches the state is compacted and forgets the old orders; their headers
     and payments come once more, and version 1 is dated anew.
     """
     spark, _ = w.at
@@ -292,9 +293,9 @@ def _order_stream(w: Warehouse) -> DataFrame:
     whole = _order_changes(w)
     state = live_orders.OrderState(spark, f"{root}/state", {k: v.schema for k, v in whole.items()}, buckets=2)
     versions, key = whole["dim_product_scd2"], ["product_id", "version_no"]
-    redated = F.when(F.col("version_no") == 1, F.col("value").withField("effective_to", F.lit("1950-01-01").cast("timestamp"))).otherwise(F.col("value"))
+    redated = F.when(F.col("version_no") == 1, F.col("value").withField("effective_to", F.lit("1997-01-01").cast("timestamp"))).otherwise(F.col("value"))
     log, others = w.log(), [e for e in whole if e not in ("order_info", "dim_product_scd2")]
-    past = w.orders().where("create_time < '1995-01-01'").select("order_id")
+    past = src.order_info(*w.at).where("create_time < '1997-01-01'").select("order_id")
     old = {e: (log if e == "order_info" else whole[e].withColumn("order_id", F.col("value.order_id"))).join(past, "order_id", "left_semi").select(*whole[e].columns) for e in ("order_info", *others)}
     new = {e: (log if e == "order_info" else whole[e].withColumn("order_id", F.col("value.order_id"))).join(past, "order_id", "left_anti").select(*whole[e].columns) for e in ("order_info", *others)}
     early = F.col("offset") % 4 < 2
@@ -309,12 +310,12 @@ def _order_stream(w: Warehouse) -> DataFrame:
         rows = reduce(DataFrame.unionByName, [d.select(F.lit(e).alias("entity"), F.to_json(F.struct("*")).alias("row")) for e, d in batch.items()])
         rows.coalesce(1).write.mode("append").parquet(f"{root}/log")
     stream = spark.readStream.schema("entity string, row string").option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
-    live_orders.start(stream, state, f"{root}/checkpoint", compact_every=3, ttl_days=366, clock=lambda: datetime(1996, 1, 2), availableNow=True).awaitTermination()
+    live_orders.start(stream, state, f"{root}/checkpoint", compact_every=3, ttl_days=366, clock=lambda: datetime(1998, 1, 2), availableNow=True).awaitTermination()
     return state.daily()
 
 
 def _order_state(w: Warehouse) -> DataFrame:
-    """Daily metrics of orders kept as keyed state, from a stream of changes year by year; at last those of the first two years once more, when their orders are forgotten."""
+    """Daily metrics of orders kept as keyed state, from a stream of changes year by year; at last those before 1997 once more, when their orders are forgotten."""
     spark, sf_dir = w.at
     root = _work(spark, "weir-state-")
     logs = _order_changes(w)
@@ -327,7 +328,7 @@ def _order_state(w: Warehouse) -> DataFrame:
     reduce(DataFrame.unionByName, parts).write.parquet(f"{root}/changes")
     changes = spark.read.parquet(f"{root}/changes")
     year = F.year("at")
-    for some in (year <= 1993, year == 1994, year == 1995, year == 1996, (year > 1996) | (year <= 1993)):
+    for some in (year <= 1996, year == 1997, year == 1998, year == 1999, (year > 1999) | (year <= 1996)):
         changes.where(some).coalesce(1).write.mode("append").parquet(f"{root}/log")
     keyed.start(keyed.read_changes(spark, f"{root}/log"), f"{root}/signed", f"{root}/checkpoint", 366, availableNow=True).awaitTermination()
     return keyed.metrics(spark.read.schema(keyed.SIGNED).parquet(f"{root}/signed"), "order_date", "channel")
