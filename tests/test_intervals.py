@@ -1,0 +1,68 @@
+from statistics import median
+
+import pytest
+from pyspark.sql import functions as F
+
+from weir.operators import intervals
+
+SPANS = "k long, since timestamp, until timestamp, name string"
+
+
+def plain(rows, spans):
+    s = spans.withColumnRenamed("k", "__k")
+    return rows.join(s, (F.col("k") == F.col("__k")) & (F.col("t") >= F.col("since")) & (F.col("t") < F.col("until"))).drop("__k")
+
+
+def sorted_rows(df):
+    return sorted(map(repr, df.select("k", "t", "v", "name").collect()))
+
+
+def hot_table(spark, n=24_000):
+    """A third of the rows has key 0, half of these the same time; other keys are 1 to 800."""
+    i = F.col("id")
+    k = F.when(i % 3 == 0, 0).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(800)))
+    t = F.timestamp_seconds(F.when(i % 6 == 0, 1_000_000_000).otherwise(900_000_000 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(200_000_000))))
+    return spark.range(n).select(k.alias("k"), t.alias("t"), i.alias("v"))
+
+
+def versions(spark):
+    cut = lambda s: F.timestamp_seconds(s)
+    n = spark.range(801 * 5).select((F.col("id") % 801).alias("k"), F.floor(F.col("id") / 801).alias("i"))
+    since, until = F.when(F.col("i") == 0, F.lit("1900-01-01").cast("timestamp")).otherwise(cut(900_000_000 + F.col("i") * 40_000_000)), cut(940_000_000 + F.col("i") * 40_000_000)
+    return n.select("k", since.alias("since"), F.when(F.col("i") == 4, F.lit("9999-12-31").cast("timestamp")).otherwise(until).alias("until"), F.concat_ws("/", "k", "i").alias("name"))
+
+
+@pytest.mark.parametrize("at_least", [1, 20, 5000, 10**9])
+def test_equals_plain_join(spark, at_least):
+    rows, spans = hot_table(spark, 6000), versions(spark)
+    got = intervals.at_time(rows, spans, "k", "t", "since", "until", at_least)
+    assert got.columns == ["k", "t", "v", "since", "until", "name"]
+    assert sorted_rows(got) == sorted_rows(plain(rows, spans)) and got.count() == 6000
+
+
+@pytest.mark.parametrize("at_least", [1, 10**9])
+def test_nulls_bounds_overlaps_and_repeats(spark, at_least):
+    at = lambda s: F.lit(s).cast("timestamp")
+    rows = spark.createDataFrame([(1, "2020-01-01", 1), (1, "2020-01-01", 1), (1, "2020-01-02", 2), (1, "2019-12-31", 3), (1, None, 4), (None, "2020-01-01", 5), (2, "2020-01-01", 6)], "k long, t string, v long").withColumn("t", F.col("t").cast("timestamp"))
+    spans = spark.createDataFrame([(1, "2020-01-01", "2020-01-02", "a"), (1, "2019-06-01", "2021-01-01", "b"), (1, None, "2021-01-01", "c"), (1, "2020-01-01", None, "d"), (1, "2021-01-01", "2019-01-01", "e"), (None, "2019-01-01", "2021-01-01", "f"), (2, "2020-01-01", "2020-01-01", "g")], "k long, since string, until string, name string")
+    spans = spans.withColumns({c: F.col(c).cast("timestamp") for c in ("since", "until")})
+    got = intervals.at_time(rows, spans, "k", "t", "since", "until", at_least)
+    assert sorted_rows(got) == sorted_rows(plain(rows, spans))
+    assert sorted((r["v"], r["name"]) for r in got.collect()) == [(1, "a"), (1, "a"), (1, "b"), (1, "b"), (2, "b"), (3, "b")]
+    for a, b in ((rows.limit(0), spans), (rows, spans.limit(0)), (rows.where(F.col("t") < at("1800-01-01")), spans)):
+        assert intervals.at_time(a, b, "k", "t", "since", "until", at_least).count() == 0
+
+
+def test_hot_key_is_spread(spark):
+    """Of shuffled joins, the largest task has at most three times the rows of the median one."""
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for c, v in zip(old, ("16", "false", "-1")):
+        spark.conf.set(c, v)
+    try:
+        sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        rows, spans = hot_table(spark), versions(spark)
+        before, after = sizes(plain(rows, spans)), sizes(intervals.at_time(rows, spans, "k", "t", "since", "until", 1000))
+        assert max(before) > 5 * median(before) and max(after) <= 3 * median(after) and sum(after) == 24_000
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)

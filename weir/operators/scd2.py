@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weir.sources.contracts import OPEN_END
 
+from .intervals import at_time
+
 
 def apply_price_changes(versions: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new versions table, rejected changes).
@@ -47,14 +49,11 @@ def current_dimension(versions: DataFrame) -> DataFrame:
 def version_at(rows: DataFrame, versions: DataFrame, time: str = "create_time") -> DataFrame:
     """``rows`` joined to the product version that holds at their ``time``: from <= time < to.
 
-    An equi-join with a range condition on what matched, so it hashes on the product.
+    Hashes on the product; a product with very many rows is spread (``intervals.at_time``).
     """
-    v = versions.select(
-        F.col("product_id").alias("__p"), F.col("version_no").alias("product_version"), "product_name", "category_id", "category_name",
-        F.col("price").alias("catalog_price"), "effective_from", "effective_to",
-    )
-    hit = (F.col("product_id") == F.col("__p")) & (F.col(time) >= F.col("effective_from")) & (F.col(time) < F.col("effective_to"))
-    return rows.join(v, hit).drop("__p", "effective_from", "effective_to")
+    shown = ("product_version", "product_name", "category_id", "category_name", "catalog_price")
+    v = versions.withColumns({"product_version": F.col("version_no"), "catalog_price": F.col("price")}).select("product_id", *shown, "effective_from", "effective_to")
+    return at_time(rows, v, "product_id", time, "effective_from", "effective_to").select(*rows.columns, *shown)
 
 
 def not_one_current(versions: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql.streaming import StreamingQuery
 from weir.operators import changelog
 from weir.operators import orders as op
 from weir.operators.changelog import fold
+from weir.operators.intervals import at_time
 from weir.sources.contracts import schema
 
 VERSIONS = "dim_product_scd2"
@@ -230,8 +231,7 @@ def _touched(state: OrderState, arrived: dict[str, DataFrame], batch_id: int) ->
             parts.append(rows.select("order_id"))
         elif entity == VERSIONS:
             when = _redated(state, rows, batch_id).persist()
-            hit = (F.col("create_time") >= F.col("since")) & (F.col("create_time") < F.col("until"))
-            parts.append(state.lines(when).join(when, "product_id").where(hit).select("order_id"))
+            parts.append(at_time(state.lines(when), when, "product_id", "create_time", "since", "until").select("order_id"))
         else:  # a delete has no value, so its order is looked up in the log
             parts.append(state.log(entity, rows).select("value.order_id"))
     return reduce(DataFrame.unionByName, parts).where("order_id is not null").distinct()
