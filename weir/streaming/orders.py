@@ -33,7 +33,6 @@ from pyspark.sql.streaming import StreamingQuery
 from weir.operators import changelog
 from weir.operators import orders as op
 from weir.operators.changelog import fold
-from weir.operators.intervals import at_time
 from weir.sources.contracts import schema
 
 VERSIONS = "dim_product_scd2"
@@ -231,7 +230,8 @@ def _touched(state: OrderState, arrived: dict[str, DataFrame], batch_id: int) ->
             parts.append(rows.select("order_id"))
         elif entity == VERSIONS:
             when = _redated(state, rows, batch_id).persist()
-            parts.append(at_time(state.lines(when), when, "product_id", "create_time", "since", "until").select("order_id"))
+            hit = (F.col("create_time") >= F.col("since")) & (F.col("create_time") < F.col("until"))
+            parts.append(state.lines(when).join(when, "product_id").where(hit).select("order_id"))
         else:  # a delete has no value, so its order is looked up in the log
             parts.append(state.log(entity, rows).select("value.order_id"))
     return reduce(DataFrame.unionByName, parts).where("order_id is not null").distinct()
@@ -266,7 +266,7 @@ def apply_batch(state: OrderState, arrived: dict[str, DataFrame], batch_id: int)
     parts = {e: _current(state, e, touched) for e in ENTITIES if e != VERSIONS}
     parts["order_detail"] = parts["order_detail"].persist()
     versions = fold(state.log(VERSIONS, parts["order_detail"].select("product_id").distinct()), ENTITIES[VERSIONS])
-    wide = op.order_detail_wide(parts["order_detail"], parts["order_info"], versions, parts["payment_info"], parts["refund_info"])
+    wide = op.order_detail_wide(parts["order_detail"], parts["order_info"], versions, parts["payment_info"], parts["refund_info"], spread=False)
     changed = op.changes(old, _remembered(op.order_current(wide), old, owned), ["order_id"]).join(stay, "order_id", "left_anti")
     changed = state.serve("dws_order_current", changed, batch_id)
 
