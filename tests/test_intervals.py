@@ -66,3 +66,13 @@ def test_hot_key_is_spread(spark):
     finally:
         for c, v in old.items():
             spark.conf.set(c, v)
+
+
+def test_hot_keys_counted_elsewhere(spark):
+    rows, spans = hot_table(spark, 6000), versions(spark)
+    # Bounds within those of the rows: what lies outside is in the first or last cell.
+    bounds = spark.sql("select timestamp_seconds(n) as t from values (950000000), (1000000000) as v(n)")
+    hot = intervals.hot_keys(rows.select("k"), "k", "t", 1000, bounds)
+    assert [r["k"] for r in hot.collect()] == [0]
+    got = intervals.at_time(rows, spans, "k", "t", "since", "until", hot=hot)
+    assert sorted_rows(got) == sorted_rows(plain(rows, spans))

@@ -10,7 +10,7 @@ from .scd2 import version_at
 MONEY = "decimal(22,2)"
 
 
-def order_detail_wide(details: DataFrame, orders: DataFrame, versions: DataFrame, payments: DataFrame, refunds: DataFrame, spread: bool = True) -> DataFrame:
+def order_detail_wide(details: DataFrame, orders: DataFrame, versions: DataFrame, payments: DataFrame, refunds: DataFrame, spread: bool = True, hot: DataFrame | None = None) -> DataFrame:
     """One row per order line: header and product version must exist, payment and refund may.
 
     The version is the one that held when the line was created. Payments and refunds are at most one
@@ -22,7 +22,7 @@ def order_detail_wide(details: DataFrame, orders: DataFrame, versions: DataFrame
     )
     p = payments.select("order_id", "payment_id", "payment_status", "payment_method", "payment_amount", "payment_time", F.col("version_no").alias("payment_version"))
     r = refunds.select("order_id", "refund_id", "refund_status", "refund_amount", "refund_reason", "refund_time", F.col("version_no").alias("refund_version"))
-    d = version_at(details, versions, spread=spread).withColumnsRenamed({"update_time": "detail_update_time", "version_no": "detail_version"})
+    d = version_at(details, versions, spread=spread, hot=hot).withColumnsRenamed({"update_time": "detail_update_time", "version_no": "detail_version"})
     wide = d.join(o, "order_id").join(p, "order_id", "left").join(r, "order_id", "left")
     return wide.select(
         "detail_id", "order_id", "user_id", "shop_id", "product_id", "product_name", "category_id", "category_name", "product_version", "catalog_price",

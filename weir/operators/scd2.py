@@ -46,10 +46,10 @@ def current_dimension(versions: DataFrame) -> DataFrame:
     return versions.where("is_current = 1").select("product_id", "product_name", "category_id", "category_name", "price")
 
 
-def version_at(rows: DataFrame, versions: DataFrame, time: str = "create_time", spread: bool = True) -> DataFrame:
+def version_at(rows: DataFrame, versions: DataFrame, time: str = "create_time", spread: bool = True, hot: DataFrame | None = None) -> DataFrame:
     """``rows`` joined to the product version that holds at their ``time``: from <= time < to.
 
-    Hashes on the product; with ``spread`` a product with very many rows is spread (``intervals.at_time``), at the cost of counting rows by product.
+    Hashes on the product; with ``spread`` a product with very many rows is spread (``intervals.at_time``), at the cost of counting rows by product unless ``hot`` names these products.
     """
     shown = ("product_version", "product_name", "category_id", "category_name", "catalog_price")
     v = versions.withColumns({"product_version": F.col("version_no"), "catalog_price": F.col("price")}).select("product_id", *shown, "effective_from", "effective_to")
@@ -57,7 +57,7 @@ def version_at(rows: DataFrame, versions: DataFrame, time: str = "create_time",
         p = v.withColumnRenamed("product_id", "__p")
         hit = (F.col("product_id") == F.col("__p")) & (F.col(time) >= F.col("effective_from")) & (F.col(time) < F.col("effective_to"))
         return rows.join(p, hit).select(*rows.columns, *shown)
-    return at_time(rows, v, "product_id", time, "effective_from", "effective_to").select(*rows.columns, *shown)
+    return at_time(rows, v, "product_id", time, "effective_from", "effective_to", hot=hot).select(*rows.columns, *shown)
 
 
 def not_one_current(versions: DataFrame) -> DataFrame:

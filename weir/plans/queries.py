@@ -77,7 +77,7 @@ class Warehouse:
         return src.refund_info(*self.at)
 
     def wide(self):
-        return orders.order_detail_wide(src.order_detail(*self.at), self.orders(), self.versions(), self.payments(), self.refunds())
+        return orders.order_detail_wide(src.order_detail(*self.at), self.orders(), self.versions(), self.payments(), self.refunds(), hot=src.hot_products(*self.at))
 
     def current(self):
         return orders.order_current(self.wide())
@@ -114,7 +114,7 @@ def _quality(w: Warehouse) -> DataFrame:
     facts = stored("facts", w.facts().select("event_id", "session_id", "user_id", "event_type", "channel", "amount", "event_ts", "product_id", "product_name", "category_name", "shop_name", "province"))
     versions = stored("versions", w.versions())
     shown = ("detail_id", "order_id", "order_status", "order_amount", "channel", "payment_id", "payment_status", "payment_amount", "refund_status", "refund_amount", "unit_price", "catalog_price", "order_create_time")
-    wide = stored("wide", orders.order_detail_wide(src.order_detail(*w.at), w.orders(), versions, w.payments(), w.refunds()).select(*shown))
+    wide = stored("wide", orders.order_detail_wide(src.order_detail(*w.at), w.orders(), versions, w.payments(), w.refunds(), hot=src.hot_products(*w.at)).select(*shown))
     current = stored("current", orders.order_current(wide))
     measured = quality.measure(
         facts, behavior.overview(facts), behavior.product_rank(facts), behavior.category_rank(facts), behavior.funnel(facts), wide, versions, orders.lifecycle(current), orders.daily(current)
@@ -320,7 +320,7 @@ def _order_state(w: Warehouse) -> DataFrame:
     root = _work(spark, "weir-state-")
     logs = _order_changes(w)
     ended = src.order_info(spark, sf_dir).select("order_id", (F.col("update_time") + F.expr("INTERVAL 1 HOUR")).alias("deleted_at"))
-    known = scd2.version_at(src.order_detail(spark, sf_dir), w.versions()).select("detail_id")
+    known = scd2.version_at(src.order_detail(spark, sf_dir), w.versions(), hot=src.hot_products(*w.at)).select("detail_id")
     parts = [
         keyed.of_log("order_info", logs["order_info"].join(ended, "order_id"), at=F.col("deleted_at")), keyed.of_log("order_detail", logs["order_detail"].join(known, "detail_id", "left_semi")),
         keyed.of_log("payment_info", logs["payment_info"]), keyed.of_log("refund_info", logs["refund_info"]),
