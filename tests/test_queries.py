@@ -26,3 +26,18 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_lines_are_shuffled_without_what_is_not_shown(spark, sf):
+    text = plan(QUERIES["dwd_order_detail"](spark, sf))
+    assert "l_extendedprice" in text and "l_shipdate" not in text and "l_discount" not in text
+
+
+def test_logs_are_dealt_before_they_are_grouped(spark, sf):
+    lines = plan(QUERIES["order_info_current"](spark, sf)).splitlines()
+    grouped = [i for i, x in enumerate(lines) if "SortAggregate" in x]
+    assert grouped and max(grouped) < next(i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x)

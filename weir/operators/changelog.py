@@ -25,8 +25,10 @@ def fold(log: DataFrame, key: Sequence[str], keep_deleted: bool = False) -> Data
 
     The newest entry of each key counts; only then are deleted keys left out, so a delete never
     brings an older value back. With ``keep_deleted`` they stay, with ``is_deleted`` 1 and null values.
+
+    Entries are dealt by key before they are grouped: rows of structs are grouped by sorting, so partial groups would sort a task's whole input.
     """
-    versioned = log.withColumn("ingest_version", ingest_version(F.col("epoch"), F.col("offset"), F.col("partition")))
+    versioned = log.repartition(*key).withColumn("ingest_version", ingest_version(F.col("epoch"), F.col("offset"), F.col("partition")))
     now = versioned.groupBy(*key).agg(F.max_by(F.struct("ingest_version", "value"), "ingest_version").alias("__m"))
     out = now.select(*key, F.col("__m.ingest_version").alias("ingest_version"), F.when(F.col("__m.value").isNull(), 1).otherwise(0).cast("byte").alias("is_deleted"), F.col("__m.value").alias("value"))
     fields = [f.name for f in log.schema["value"].dataType.fields if f.name not in key]
@@ -51,8 +53,8 @@ def duplicate_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def compact(log: DataFrame, key: Sequence[str], drop_tombstones: bool = False) -> DataFrame:
-    """A log with the newest entry of each key only; tombstones stay until ``drop_tombstones``."""
-    versioned = log.withColumn("__v", ingest_version(F.col("epoch"), F.col("offset"), F.col("partition")))
+    """A log with the newest entry of each key only; tombstones stay until ``drop_tombstones``. Dealt by key first, as in ``fold``."""
+    versioned = log.repartition(*key).withColumn("__v", ingest_version(F.col("epoch"), F.col("offset"), F.col("partition")))
     out = versioned.groupBy(*key).agg(F.max_by(F.struct(*[c for c in log.columns if c not in key]), "__v").alias("__m")).select(*key, "__m.*")
     return out.where("value is not null") if drop_tombstones else out
 

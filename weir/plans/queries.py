@@ -167,9 +167,10 @@ def _evolution(w: Warehouse) -> DataFrame:
 
 
 def _captured(w: Warehouse) -> DataFrame:
-    """Of each captured table: entries of its change log, deletes among them, and the rows that are left."""
+    """Of each captured table: entries of its change log, deletes among them, and the rows that are left; of values only whether there is one."""
     out = []
     for name, log in src.change_logs(*w.at, w.versions()).items():
+        log = log.withColumn("value", F.when(F.col("value").isNotNull(), F.struct(F.lit(True).alias("known"))))
         counts = log.agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("op") == "d").alias("deletes"))
         now = changelog.fold(log, CONTRACTS[name].key).agg(F.count(F.lit(1)).alias("kept"))
         out.append(counts.select(F.lit(name).alias("entity"), "entries", "deletes", F.lit(None).cast("long").alias("kept")).unionByName(now.select(F.lit(name).alias("entity"), F.lit(None).cast("long").alias("entries"), F.lit(None).cast("long").alias("deletes"), "kept")))
