@@ -356,3 +356,13 @@ def test_versions_are_read_together(spark, tmp_path):
     assert got == [("a", 1, "one", None), ("b", 2, "many", None), ("c", 3, "x", None), ("d", 4, None, None), ("e", 5, "y", 6)]
     with pytest.raises(Exception, match="a newer version than 2"):
         readers.read_versions(spark, str(tmp_path), second).collect()
+
+
+def test_a_batch_finds_buckets_once_and_keeps_plans_short(spark, tmp_path):
+    state = order_state(spark, tmp_path, buckets=2)
+    keys = spark.createDataFrame([("a",), ("b",)], "order_id string")
+    for _ in range(2):
+        state.orders(None, keys)
+    assert len(state.hit) == 1
+    staged = state.staged("some", keys.groupBy("order_id").count())
+    assert "Exchange" not in staged._jdf.queryExecution().executedPlan().toString() and staged.count() == 2

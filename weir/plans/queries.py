@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 from datetime import date, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from weir.functions.versions import ingest_version
 from weir.operators import backfill, behavior, changelog, dlq, orders, quality, scd2, serving
@@ -262,6 +264,13 @@ def _streamed(w: Warehouse, name: str) -> DataFrame:
     root = _work(spark, "weir-stream-")
     src.ods_behavior(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{root}/log")
     events = live.timed(readers.stream_events(spark, f"{root}/log"))
+def _deliver(batches: Iterable[DataFrame], log: str, start: Callable[[str], StreamingQuery]) -> None:
+    """Each batch is added to a log, in as many files as it has tasks, and then streamed; the query goes on from its checkpoint."""
+    for rows in batches:
+        rows.write.mode("append").parquet(log)
+        start(log).awaitTermination()
+
+
     q = live.start_aggregate(behavior.clean(events), name, f"{root}/out", f"{root}/checkpoint", availableNow=True)
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
@@ -307,11 +316,9 @@ def _order_stream(w: Warehouse) -> DataFrame:
         {"order_info": new["order_info"].where(~early), "refund_info": new["refund_info"]},
         {"dim_product_scd2": versions.where("version_no = 1").withColumn("offset", F.lit(4).cast("long")), "order_info": old["order_info"], "payment_info": old["payment_info"]},
     ]
-    for batch in batches:
-        rows = reduce(DataFrame.unionByName, [d.select(F.lit(e).alias("entity"), F.to_json(F.struct("*")).alias("row")) for e, d in batch.items()])
-        rows.coalesce(1).write.mode("append").parquet(f"{root}/log")
-    stream = spark.readStream.schema("entity string, row string").option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
-    live_orders.start(stream, state, f"{root}/checkpoint", compact_every=3, ttl_days=366, clock=lambda: datetime(1998, 1, 2), availableNow=True).awaitTermination()
+    rows = [reduce(DataFrame.unionByName, [d.select(F.lit(e).alias("entity"), F.to_json(F.struct("*")).alias("row")) for e, d in batch.items()]) for batch in batches]
+    stream = spark.readStream.schema("entity string, row string").parquet
+    _deliver(rows, f"{root}/log", lambda log: live_orders.start(stream(log), state, f"{root}/checkpoint", compact_every=3, ttl_days=366, clock=lambda: datetime(1998, 1, 2), availableNow=True))
     return state.daily()
 
 

@@ -21,7 +21,7 @@ at or before the newest forgotten one of its log partition, and ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
 
@@ -65,6 +65,8 @@ class OrderState:
     schemas: dict[str, T.StructType]
     buckets: int = 16
     clock: Callable[[], datetime] = datetime.now
+    #: Of frames of keys that a batch reads by more than once: the frame and its buckets.
+    hit: dict[tuple, tuple[DataFrame, list[int]]] = field(default_factory=dict)
 
     def _path(self, name: str) -> str:
         path = f"{self.root}/{name}"
@@ -81,6 +83,13 @@ class OrderState:
     def _bucket(self, key: list[str]):
         return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
 
+    def _hit(self, keys: DataFrame, key: list[str]) -> list[int]:
+        """The buckets of a frame of keys, found once a batch."""
+        own = (id(keys), *key)
+        if own not in self.hit:
+            self.hit[own] = keys, [r[0] for r in keys.select(self._bucket(key).alias("bucket")).distinct().collect()]
+        return self.hit[own][1]
+
     def _index(self, name: str) -> T.StructType:
         if name == LINES:
             return schema("product_id bigint, order_id string, create_time timestamp")
@@ -94,13 +103,13 @@ class OrderState:
             rows = rows.where(F.col("batch") < before)
         if keys is not None:
             if self.buckets > 1:
-                some = [r[0] for r in keys.select(self._bucket(key)).distinct().collect()]
-                rows = rows.where(F.col("bucket").isin(some))
-            rows = rows.join(keys.select(*key).distinct(), key, "left_semi")
+                rows = rows.where(F.col("bucket").isin(self._hit(keys, key)))
+            rows = rows.join(keys.select(*key), key, "left_semi")
         return rows.drop("bucket")
 
     def _write(self, name: str, rows: DataFrame, key: list[str], batch_id: int) -> None:
-        out = rows.withColumns({"bucket": self._bucket(key), "batch": F.lit(batch_id).cast("long")}).repartition("bucket")
+        """A bucket with many rows is written by several tasks."""
+        out = rows.withColumns({"bucket": self._bucket(key), "batch": F.lit(batch_id).cast("long")}).hint("rebalance", "bucket")
         out.write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self._path(name))
 
     def _log(self, entity: str) -> T.StructType:
@@ -137,8 +146,9 @@ class OrderState:
     def receive(self, entity: str, rows: DataFrame, batch_id: int) -> DataFrame:
         """Store what a batch brings of an entity, which is returned."""
         key = ENTITIES[entity]
-        rows = self._news(entity, rows, batch_id).select(*self.schemas[entity].names).persist()
+        rows = self._news(entity, rows, batch_id).select(*self.schemas[entity].names)
         self._write(entity, rows.withColumn("seen", F.lit(self.clock()).cast("timestamp")), key[:1], batch_id)
+        rows = self._read(entity, self._log(entity), key[:1], None).where(F.col("batch") == batch_id).select(*self.schemas[entity].names)
         known = rows.where("value is not null")
         if entity in OF_ORDERS:
             self._write(f"{entity}_by_order", known.select("value.order_id", *key).distinct(), ["order_id"], batch_id)
@@ -146,6 +156,12 @@ class OrderState:
             self._write(LINES, known.select("value.product_id", "value.order_id", "value.create_time").distinct(), ["product_id"], batch_id)
         return rows
 
+    def staged(self, name: str, rows: DataFrame) -> DataFrame:
+        """``rows`` stored until the next batch, so that plans don't hold those of all that they come from."""
+        path = self._path(f"work/{name}")
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def current(self, entity: str) -> DataFrame:
         return fold(self.log(entity), ENTITIES[entity])
 
@@ -229,7 +245,7 @@ def _touched(state: OrderState, arrived: dict[str, DataFrame], batch_id: int) ->
         if entity == "order_info":
             parts.append(rows.select("order_id"))
         elif entity == VERSIONS:
-            when = _redated(state, rows, batch_id).persist()
+            when = state.staged("redated", _redated(state, rows, batch_id))
             hit = (F.col("create_time") >= F.col("since")) & (F.col("create_time") < F.col("until"))
             parts.append(state.lines(when).join(when, "product_id").where(hit).select("order_id"))
         else:  # a delete has no value, so its order is looked up in the log
@@ -237,12 +253,12 @@ def _touched(state: OrderState, arrived: dict[str, DataFrame], batch_id: int) ->
     return reduce(DataFrame.unionByName, parts).where("order_id is not null").distinct()
 
 
-def _current(state: OrderState, entity: str, touched: DataFrame) -> DataFrame:
-    """Current rows of the touched orders."""
+def _current(state: OrderState, entity: str, touched: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Current rows of the touched orders; ``keys`` are those of an entity that orders own."""
     key = ENTITIES[entity]
-    if entity == "order_info":
+    if keys is None:
         return fold(state.log(entity, touched), key)
-    return fold(state.log(entity, state.keys_of(entity, touched)), key).join(touched, "order_id", "left_semi")
+    return fold(state.log(entity, keys), key).join(touched, "order_id", "left_semi")
 
 
 def _remembered(now: DataFrame, old: DataFrame, owned: dict[str, DataFrame]) -> DataFrame:
@@ -257,15 +273,17 @@ def _remembered(now: DataFrame, old: DataFrame, owned: dict[str, DataFrame]) ->
 def apply_batch(state: OrderState, arrived: dict[str, DataFrame], batch_id: int) -> DataFrame:
     """Take in a batch of change rows by entity; the changes of the daily metrics (op 'u' or 'd')."""
     arrived = {entity: state.receive(entity, rows, batch_id) for entity, rows in arrived.items()}
-    touched = _touched(state, arrived, batch_id).persist()
-    old = state.orders(batch_id, touched)
-    owned = {e: state.keys_of(e, touched, "order_id").select("order_id").distinct() for e in OF_ORDERS}
+    touched = state.staged("touched", _touched(state, arrived, batch_id))
+    old = state.staged("old", state.orders(batch_id, touched))
+    keys = {e: state.staged(f"{e}_keys", state.keys_of(e, touched, "order_id")) for e in OF_ORDERS}
+    owned = {e: keys[e].select("order_id").distinct() for e in OF_ORDERS}
     # Orders that were served, but whose header or lines are forgotten, stay as they are.
     whole = state.log("order_info", touched).select("order_id").distinct().join(owned["order_detail"], "order_id", "left_semi")
     stay = old.join(whole, "order_id", "left_anti").select("order_id")
-    parts = {e: _current(state, e, touched) for e in ENTITIES if e != VERSIONS}
-    parts["order_detail"] = parts["order_detail"].persist()
-    versions = fold(state.log(VERSIONS, parts["order_detail"].select("product_id").distinct()), ENTITIES[VERSIONS])
+    parts = {e: _current(state, e, touched, keys.get(e)) for e in ENTITIES if e != VERSIONS}
+    parts["order_detail"] = state.staged("lines", parts["order_detail"])
+    products = state.staged("products", parts["order_detail"].select("product_id").distinct())
+    versions = fold(state.log(VERSIONS, products), ENTITIES[VERSIONS])
     wide = op.order_detail_wide(parts["order_detail"], parts["order_info"], versions, parts["payment_info"], parts["refund_info"], spread=False)
     changed = op.changes(old, _remembered(op.order_current(wide), old, owned), ["order_id"]).join(stay, "order_id", "left_anti")
     changed = state.serve("dws_order_current", changed, batch_id)
@@ -273,13 +291,12 @@ def apply_batch(state: OrderState, arrived: dict[str, DataFrame], batch_id: int)
     names = [*GROUP, *COUNTS, *SUMS]
     came = op.daily(changed.where("op = 'u'")).select(*names)
     left = op.daily(old.join(changed.select("order_id"), "order_id", "left_semi")).select(*GROUP, *[(-F.col(c)).alias(c) for c in (*COUNTS, *SUMS)])
-    delta = came.unionByName(left).persist()
+    delta = state.staged("delta", came.unionByName(left))
     before = state.daily(batch_id, delta.select(*GROUP).distinct()).select(*names)
     sums = [F.sum(c).cast(DAILY[c].dataType).alias(c) for c in (*COUNTS, *SUMS)]
     after = before.unionByName(delta).groupBy(*GROUP).agg(*sums).where("total_orders > 0")
     out = state.serve("ads_order_daily", op.changes(before, after, GROUP), batch_id)
-    for df in (touched, delta, parts["order_detail"], *arrived.values()):
-        df.unpersist()
+    state.hit.clear()
     return out
 
 
@@ -293,8 +310,10 @@ def start(log: DataFrame, state: OrderState, checkpoint: str, compact_every: int
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
-        arrived = {e: rows.where(F.col("entity") == e).select(F.from_json("row", s).alias("r")).select("r.*") for e, s in state.schemas.items()}
-        apply_batch(state, arrived, batch_id)
+        present = {r[0] for r in rows.select("entity").distinct().collect()}
+        arrived = {e: rows.where(F.col("entity") == e).select(F.from_json("row", s).alias("r")).select("r.*") for e, s in state.schemas.items() if e in present}
+        if arrived:
+            apply_batch(state, arrived, batch_id)
         if batch_id % compact_every == compact_every - 1:
             state.compact(batch_id, ttl_days, clock())
         rows.unpersist()
