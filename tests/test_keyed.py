@@ -83,3 +83,26 @@ def test_changes_from_a_log(spark):
 
     out = keyed.of_log("payment_info", log, F.lit("O1"), F.lit(DAY)).orderBy("position").collect()
     assert [(r["order_id"], r["deleted"], r["amount"]) for r in out] == [("O1", False, Decimal("3.50")), ("O1", True, None)]
+
+
+def test_state_is_one_value_that_reads_back():
+    known = {("order_info", "a"): keyed.Known(128, 5, 0, False, "web", "PAID", "2024-01-01", Decimal("10.50")), ("order_detail", "a-1"): keyed.Known(128, 6, 0, True, None, None, None, None)}
+    assert keyed._read_known(keyed._write_known(known)) == known
+    assert keyed._read_given(None) is None
+
+
+def test_batches_have_the_files_of_their_tasks(spark, tmp_path):
+    from weir.plans import queries
+
+    seen = []
+
+    class Ended:
+        def awaitTermination(self):
+            pass
+
+    def start(log):
+        seen.append((spark.read.parquet(log).count(), len(spark.read.parquet(log).inputFiles())))
+        return Ended()
+
+    queries._deliver([spark.range(0, 40, 1, 4), spark.range(40, 60, 1, 2)], str(tmp_path / "log"), start)
+    assert seen == [(40, 4), (60, 6)]

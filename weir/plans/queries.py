@@ -27,6 +27,10 @@ from weir.streaming.serving_table import ServingTable, start_upserts
 
 RANGE = (date(1997, 1, 1), date(1998, 1, 1))
 NOW = 2_000_000_000
+#: As many files a batch as there are.
+ALL_FILES = 2**31 - 1
+#: Orders a bucket of a serving table, which a task sorts.
+BUCKET_ORDERS = 250_000
 
 
 def _text(df: DataFrame) -> DataFrame:
@@ -336,9 +340,8 @@ def _order_state(w: Warehouse) -> DataFrame:
     reduce(DataFrame.unionByName, parts).write.parquet(f"{root}/changes")
     changes = spark.read.parquet(f"{root}/changes")
     year = F.year("at")
-    for some in (year <= 1996, year == 1997, year == 1998, year == 1999, (year > 1999) | (year <= 1996)):
-        changes.where(some).coalesce(1).write.mode("append").parquet(f"{root}/log")
-    keyed.start(keyed.read_changes(spark, f"{root}/log"), f"{root}/signed", f"{root}/checkpoint", 366, availableNow=True).awaitTermination()
+    rows = [changes.where(some) for some in (year <= 1996, year == 1997, year == 1998, year == 1999, (year > 1999) | (year <= 1996))]
+    _deliver(rows, f"{root}/log", lambda log: keyed.start(keyed.read_changes(spark, log, ALL_FILES), f"{root}/signed", f"{root}/checkpoint", 366, availableNow=True))
     return keyed.metrics(spark.read.schema(keyed.SIGNED).parquet(f"{root}/signed"), "order_date", "channel")
 
 

@@ -13,6 +13,7 @@ the newest by more than ``ttl_days`` are late; Spark drops them, so what the log
 
 from __future__ import annotations
 
+import json
 from collections import namedtuple
 from collections.abc import Iterator
 from decimal import Decimal
@@ -28,8 +29,7 @@ SIGNED = "order_id string, sign int, order_date string, channel string, order_st
 ENTITIES = {"order_info": ("order_id", "order_amount"), "order_detail": ("detail_id", None), "payment_info": ("payment_id", "payment_amount"), "refund_info": ("refund_id", "refund_amount")}
 _ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 _NAMES = [f.split()[0] for f in SIGNED.split(", ")]
-_VERSION = ("epoch", "position", "part")
-Known = namedtuple("Known", (*_VERSION, "deleted", "channel", "order_status", "order_date", "amount"))
+Known = namedtuple("Known", ("epoch", "position", "part", "deleted", "channel", "order_status", "order_date", "amount"))
 
 
 def of_log(entity: str, log: DataFrame, order_id: Column | None = None, at: Column | None = None) -> DataFrame:
@@ -51,53 +51,40 @@ def of_log(entity: str, log: DataFrame, order_id: Column | None = None, at: Colu
 
 
 class OrderProcessor(StatefulProcessor):
-    """The changes of one order, and the row last given out for it."""
+    """The changes of one order, and the row last given out for it: one value, since each access of state is a round trip."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        known = "epoch int, position long, part int, deleted boolean, channel string, order_status string, order_date string, amount decimal(12,2)"
-        self.known = handle.getMapState("known", "entity string, id string", known)
-        self.given = handle.getValueState("given", ", ".join(SIGNED.split(", ")[2:]))
-        self.due = handle.getValueState("due", "at long")
+        self.state = handle.getValueState("order", "due long, known string, given string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        newest: dict = {}
-        last = self.due.get()[0] if self.due.exists() else None
+        stored = self.state.get()
+        last, known, old = (None, {}, None) if stored is None else (stored[0], _read_known(stored[1]), _read_given(stored[2]))
         at = last or 0
         for r in rows:
-            at = max(at, int(r["at"].timestamp() * 1000))
-            own = (r["entity"], r["id"])
-            if own not in newest or self._version(r) > self._version(newest[own]):
-                newest[own] = r
-        for own, r in newest.items():
-            if not self.known.containsKey(own) or self._version(r) > tuple(self.known.getValue(own))[:3]:
-                self.known.updateValue(own, (*self._version(r), *(r[c] for c in ("deleted", "channel", "order_status", "order_date", "amount"))))
+            entity, n, when = r[1], r[2], r[6]
+            at = max(at, int(when.timestamp() * 1000))
+            value = Known(r[3], r[4], r[5], *r[7:12])
+            own = (entity, n)
+            if own not in known or value[:3] > known[own][:3]:
+                known[own] = value
         if at != last:
             if last is not None:
                 self.handle.deleteTimer(last)
             self.handle.registerTimer(at)
-            self.due.update((at,))
-        old = tuple(self.given.get()) if self.given.exists() else None
-        new = self._current(old)
+        new = self._current(known, old)
+        self.state.update((at, _write_known(known), None if new is None else json.dumps(new, default=str)))
         if new == old:
             return
         for sign, values in ((-1, old), (1, new)):
             if values is not None:
                 yield Row(**dict(zip(_NAMES, (key[0], sign, *values))))
-        if new is None:
-            self.given.clear()
-        else:
-            self.given.update(new)
 
     @staticmethod
-    def _version(r: Row) -> tuple:
-        return tuple(r[c] for c in _VERSION)
-
-    def _current(self, old: tuple | None) -> tuple | None:
+    def _current(known: dict[tuple, Known], old: tuple | None) -> tuple | None:
         """The order's row by what is known, None if there is none; ``old`` where too much is forgotten to tell."""
         header, lines, amounts = None, [], {"payment_info": [], "refund_info": []}
-        for (entity, _), value in self.known.iterator():
-            value = Known(*value)
+        for (entity, _), value in known.items():
             if entity == "order_info":
                 header = value
             elif entity == "order_detail":
@@ -118,14 +105,33 @@ class OrderProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """Free the state of an order that had no change for its time; nothing is given out."""
-        self.known.clear()
-        self.due.clear()
+        given = self.state.get()[2]
+        if given is None:
+            self.state.clear()
+        else:
+            self.state.update((None, "[]", given))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+def _write_known(known: dict[tuple, Known]) -> str:
+    return json.dumps([[*own, *value] for own, value in known.items()], default=str)
+
+
+def _read_known(text: str) -> dict[tuple, Known]:
+    """The changes of an order by entity and key; amounts are text in the state."""
+    return {(x[0], x[1]): Known(*x[2:9], None if x[9] is None else Decimal(x[9])) for x in json.loads(text)}
+
+
+def _read_given(text: str | None) -> tuple | None:
+    if text is None:
+        return None
+    values = json.loads(text)
+    return (*values[:3], *[None if v is None else Decimal(v) for v in values[3:]])
+
+
 def signed_orders(changes: DataFrame, ttl_days: int = 30) -> DataFrame:
     """A stream of orders' rows with signs from a stream of ``CHANGES``."""
     return changes.withWatermark("at", f"{ttl_days} days").groupBy("order_id").transformWithState(OrderProcessor(), T.StructType.fromDDL(SIGNED), "Append", "EventTime")
