@@ -53,3 +53,16 @@ def test_a_crash_between_write_and_commit_leaves_no_row_twice(spark, tmp_path, m
 def test_key_columns_must_exist():
     with pytest.raises(ValueError, match="no columns"):
         keyed_sink.KeyedSink({"path": "/x", "key": "nope", "version": "n"}).streamWriter(SUMS, False)
+
+
+def test_the_newest_rows_are_dealt_before_they_are_grouped(spark, tmp_path):
+    schema = "k string, n long"
+    spark.dataSource.register(keyed_sink.KeyedSink)
+    spark.createDataFrame([("a", 1), ("b", 2)], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).writeStream.format("weir_keyed").option("path", str(tmp_path / "out")).option("key", "k").option("version", "n")
+    stream.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    out = keyed_sink.read_latest(spark, str(tmp_path / "out"), spark.createDataFrame([], schema).schema)
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    grouped = [i for i, x in enumerate(lines) if "Aggregate" in x]
+    assert max(grouped) < next(i for i, x in enumerate(lines) if "Exchange hashpartitioning(key" in x)
+    assert sorted(map(tuple, out.collect())) == [("a", 1), ("b", 2)]

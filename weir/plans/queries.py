@@ -195,9 +195,8 @@ def _serving_stream(w: Warehouse) -> DataFrame:
     spark, sf_dir = w.at
     root = _work(spark, "weir-serving-")
     log = w.log().select("order_id", F.col("value.order_status").alias("order_status"), F.col("value").isNull().cast("byte").alias("is_deleted"), "offset", "partition")
-    log.repartition(3).write.parquet(f"{root}/log")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
-    live.start_serving(stream, ["order_id"], f"{root}/rows", f"{root}/checkpoint", availableNow=True).awaitTermination()
+    stream = spark.readStream.schema(log.schema).parquet
+    _deliver(_thirds(log), f"{root}/log", lambda path: live.start_serving(stream(path), ["order_id"], f"{root}/rows", f"{root}/checkpoint", availableNow=True))
     return readers.read_serving(spark, f"{root}/rows", ["order_id"]).select("order_id", "order_status")
 
 
@@ -216,6 +215,11 @@ def _serving_table(w: Warehouse) -> DataFrame:
     return table.read().select("order_id", "order_status")
 
 
+def _thirds(log: DataFrame) -> list[DataFrame]:
+    """A log in three parts, each with the shape of its tasks; a key's entries lie in several."""
+    return [log.where(F.pmod(F.xxhash64("order_id", "offset"), F.lit(3)) == i) for i in range(3)]
+
+
 def _keyed_sink(w: Warehouse) -> DataFrame:
     """The same through the keyed sink, whose commits say what counts."""
     spark, _ = w.at
@@ -223,9 +227,9 @@ def _keyed_sink(w: Warehouse) -> DataFrame:
     log = w.log().select("order_id", F.col("value.order_status").alias("order_status"), "op", "offset")
     log.repartition(3).write.parquet(f"{root}/log")
     spark.dataSource.register(KeyedSink)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log").writeStream.format("weir_keyed")
-    stream = stream.option("path", f"{root}/sink").option("key", "order_id").option("version", "offset").option("checkpointLocation", f"{root}/checkpoint")
-    stream.trigger(availableNow=True).start().awaitTermination()
+    options = {"path": f"{root}/sink", "key": "order_id", "version": "offset", "checkpointLocation": f"{root}/checkpoint"}
+    stream = spark.readStream.schema(log.schema).parquet
+    _deliver(_thirds(log), f"{root}/log", lambda path: stream(path).writeStream.format("weir_keyed").options(**options).trigger(availableNow=True).start())
     return read_latest(spark, f"{root}/sink", log.select("order_id", "order_status").schema)
 
 

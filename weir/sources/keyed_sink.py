@@ -139,8 +139,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The row of largest version of each key (of the later batch, where versions are equal), without deleted ones."""
-    newest = read_log(spark, path).groupBy("key").agg(F.max_by(F.struct("value"), F.struct("version", "batch")).alias("r"))
+    """The row of largest version of each key (of the later batch, where versions are equal), without deleted ones.
+
+    Dealt by key first: rows of texts are grouped by sorting, and partial groups would sort a task's whole split.
+    """
+    newest = read_log(spark, path).repartition("key").groupBy("key").agg(F.max_by(F.struct("value"), F.struct("version", "batch")).alias("r"))
     return newest.where("r.value is not null").select(F.from_json("r.value", schema).alias("v")).select("v.*")
 
 
