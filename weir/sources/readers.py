@@ -181,10 +181,13 @@ def change_log(rows: DataFrame, contract: Contract, op: Column, partition: Colum
 
 
 def read_serving(spark: SparkSession, path: str, key: list[str], where: Column | None = None) -> DataFrame:
-    """Logical rows of a versioned serving table: the newest version of each key, without deleted ones, then ``where``."""
+    """Logical rows of a versioned serving table: the newest version of each key, without deleted ones, then ``where``.
+
+    Rows are dealt by key before they are grouped, so that no task sorts its whole split.
+    """
     from weir.operators.changelog import active
 
-    out = active(spark.read.option("recursiveFileLookup", "true").parquet(path), key)
+    out = active(spark.read.option("recursiveFileLookup", "true").parquet(path).repartition(*key), key)
     return out if where is None else out.where(where)
 
 
