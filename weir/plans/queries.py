@@ -207,11 +207,11 @@ def _serving_table(w: Warehouse) -> DataFrame:
     version = ingest_version(F.col("epoch"), F.col("offset"), F.col("partition")).alias("ingest_version")
     steps = w.log().select("order_id", F.col("value.order_status").alias("order_status"), version, F.col("value").isNull().cast("byte").alias("is_deleted"), (F.col("offset") % 4).alias("step"))
     log = steps.drop("step")
-    for step in range(4):  # a key's versions come in their order
-        steps.where(F.col("step") == step).drop("step").coalesce(1).write.mode("append").parquet(f"{root}/log")
-    table = ServingTable(spark, f"serving_{uuid.uuid4().hex}", f"{root}/rows", log.schema, ("order_id",), buckets=4, fan=2)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
-    start_upserts(stream, table, f"{root}/checkpoint", availableNow=True).awaitTermination()
+    buckets = max(4, src.row_count(*w.at, "orders") // BUCKET_ORDERS)
+    table = ServingTable(spark, f"serving_{uuid.uuid4().hex}", f"{root}/rows", log.schema, ("order_id",), buckets=buckets, fan=2)
+    stream = spark.readStream.schema(log.schema).parquet
+    batches = [steps.where(F.col("step") == step).drop("step") for step in range(4)]  # a key's versions come in their order
+    _deliver(batches, f"{root}/log", lambda path: start_upserts(stream(path), table, f"{root}/checkpoint", availableNow=True))
     return table.read().select("order_id", "order_status")
 
 
@@ -225,7 +225,6 @@ def _keyed_sink(w: Warehouse) -> DataFrame:
     spark, _ = w.at
     root = _work(spark, "weir-sink-")
     log = w.log().select("order_id", F.col("value.order_status").alias("order_status"), "op", "offset")
-    log.repartition(3).write.parquet(f"{root}/log")
     spark.dataSource.register(KeyedSink)
     options = {"path": f"{root}/sink", "key": "order_id", "version": "offset", "checkpointLocation": f"{root}/checkpoint"}
     stream = spark.readStream.schema(log.schema).parquet
@@ -265,13 +264,6 @@ def _work(spark: SparkSession, prefix: str) -> str:
     return path
 
 
-def _streamed(w: Warehouse, name: str) -> DataFrame:
-    """An aggregate computed by a stream over the event log written as JSON; windows that closed."""
-    spark, sf_dir = w.at
-    loader.configure(spark)
-    root = _work(spark, "weir-stream-")
-    src.ods_behavior(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{root}/log")
-    events = live.timed(readers.stream_events(spark, f"{root}/log"))
 def _deliver(batches: Iterable[DataFrame], log: str, start: Callable[[str], StreamingQuery]) -> None:
     """Each batch is added to a log, in as many files as it has tasks, and then streamed; the query goes on from its checkpoint."""
     for rows in batches:
@@ -279,6 +271,13 @@ def _deliver(batches: Iterable[DataFrame], log: str, start: Callable[[str], Stre
         start(log).awaitTermination()
 
 
+def _streamed(w: Warehouse, name: str) -> DataFrame:
+    """An aggregate computed by a stream over the event log written as JSON; windows that closed."""
+    spark, sf_dir = w.at
+    loader.configure(spark)
+    root = _work(spark, "weir-stream-")
+    src.ods_behavior(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{root}/log")
+    events = live.timed(readers.stream_events(spark, f"{root}/log"))
     q = live.start_aggregate(behavior.clean(events), name, f"{root}/out", f"{root}/checkpoint", availableNow=True)
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")

@@ -26,6 +26,10 @@ def _rows(application: str, sf_dir: str, name: str) -> int:
     return table(SparkSession.getActiveSession(), sf_dir, name).count()
 
 
+def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    return _rows(spark.sparkContext.applicationId, sf_dir, name)
+
+
 def _every(n: int, column: str = "event_id") -> Column:
     return F.col(column) % n == 0
 
