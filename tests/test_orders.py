@@ -47,6 +47,22 @@ def test_money_counts_once_an_order(spark, sf):
     assert total == in_wide
 
 
+def test_order_counts_are_those_of_the_tables(spark, sf):
+    from weir.plans.queries import Warehouse
+
+    wide = Warehouse(spark, sf).wide()
+    odd = wide.where("channel = '1-URGENT'").withColumns({"channel": F.lit(None).cast("string"), "order_id": F.concat(F.lit("N"), "order_id")})
+    for lines in (wide, wide.unionByName(odd).unionByName(odd.withColumn("order_create_time", F.lit(None).cast("timestamp"))), wide.where("false")):
+        current = orders.order_current(lines)
+        tables = {"dwd_order_detail": lines, "ads_order_lifecycle": orders.lifecycle(current), "ads_order_daily": orders.daily(current)}
+        assert {r["table_name"]: r["n"] for r in quality.order_counts(lines).collect()} == {k: t.count() for k, t in tables.items()}
+
+
+def test_showing_keeps_deletes(spark):
+    log = spark.createDataFrame([("a", "c", 128, 0, 1, (1, 2)), ("a", "d", 128, 0, 2, None), ("b", "c", 128, 0, 1, (3, None))], LOG.replace("v:int", "v:int,u:int"))
+    assert [(r["k"], r["value"] and tuple(r["value"])) for r in changelog.showing(log, "v").collect()] == [("a", (1, None)), ("a", None), ("b", (3, None))]
+
+
 def test_price_changes(spark):
     v = spark.createDataFrame([(1, 1, "a", 1, "c", Decimal("10.00"), "1900-01-01", "9999-12-31 23:59:59.999", 1)], "product_id long, version_no int, product_name string, category_id long, category_name string, price decimal(10,2), f string, t string, c int")
     v = v.select("product_id", "version_no", "product_name", "category_id", "category_name", "price", F.col("f").cast("timestamp").alias("effective_from"), F.col("t").cast("timestamp").alias("effective_to"), F.col("c").cast("byte").alias("is_current"), F.col("f").cast("timestamp").alias("updated_at"))

@@ -41,3 +41,8 @@ def test_logs_are_dealt_before_they_are_grouped(spark, sf):
     lines = plan(QUERIES["order_info_current"](spark, sf)).splitlines()
     grouped = [i for i, x in enumerate(lines) if "SortAggregate" in x]
     assert grouped and max(grouped) < next(i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x)
+
+
+def test_order_lines_are_counted_in_one_pass(spark, sf):
+    scans = [x for x in plan(QUERIES["table_counts"](spark, sf)).splitlines() if "FileScan" in x and "lineitem" in x]
+    assert len([x for x in scans if "l_linenumber" in x]) == 1 and not [x for x in scans if "l_extendedprice" in x]

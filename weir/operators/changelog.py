@@ -37,6 +37,16 @@ def fold(log: DataFrame, key: Sequence[str], keep_deleted: bool = False) -> Data
     return out.select(*key, *[F.col(f"value.{f}").alias(f) for f in fields], "ingest_version", "is_deleted")
 
 
+def showing(log: DataFrame, *fields: str) -> DataFrame:
+    """A change log whose values are null but for ``fields``; deletes stay deletes.
+
+    The optimizer can't see which fields of a value are used behind ``fold``, and would deal all of them.
+    """
+    kind = log.schema["value"].dataType
+    kept = [(F.col("value")[f.name] if f.name in fields else F.lit(None).cast(f.dataType)).alias(f.name) for f in kind.fields]
+    return log.withColumn("value", F.when(F.col("value").isNotNull(), F.struct(*kept)))
+
+
 def tombstone(record_value: Column, soft_delete: bool) -> Column:
     """What a null value means: 'delete' for soft-delete topics, 'ignore' for others, 'row' if there is a value."""
     return F.when(record_value.isNotNull(), "row").otherwise("delete" if soft_delete else "ignore")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scd2 import version_at
@@ -37,12 +37,12 @@ def check_single(rows: DataFrame) -> DataFrame:
     return rows.groupBy("order_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def order_current(wide: DataFrame) -> DataFrame:
-    """Lines folded to orders before any sum, so that amounts count once an order."""
+def order_current(wide: DataFrame, *more: Column) -> DataFrame:
+    """Lines folded to orders before any sum, so that amounts count once an order; ``more`` aggregates of an order's lines may follow."""
     amount = lambda c: F.max(F.coalesce(c, F.lit(0).cast("decimal(12,2)"))).alias(c)
     return wide.groupBy("order_id").agg(
         F.max("channel").alias("channel"), F.max("order_status").alias("order_status"), F.max("order_amount").alias("order_amount"),
-        amount("payment_amount"), amount("refund_amount"), F.max(F.date_format("order_create_time", "yyyy-MM-dd")).alias("order_date"),
+        amount("payment_amount"), amount("refund_amount"), F.max(F.date_format("order_create_time", "yyyy-MM-dd")).alias("order_date"), *more,
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from weir.sources.contracts import EVENT_TYPES, ORDER_STATUSES
 
 from .changelog import duplicate_keys
+from .orders import order_current
 from .scd2 import not_one_current, overlapping_products
 
 #: (number, name, lowest and highest passing value); no highest: at least the lowest.
@@ -74,3 +75,11 @@ def judge(measured: DataFrame) -> DataFrame:
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, n of each table."""
     return reduce(DataFrame.unionAll, [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("table_name"), "n") for k, t in tables.items()])
+
+
+def order_counts(wide: DataFrame) -> DataFrame:
+    """table_name, n of the order lines and of their metrics by channel and by day, from one pass over the lines: they are counted in the groups by day, which are few."""
+    days = order_current(wide, F.count(F.lit(1)).alias("lines")).groupBy("order_date", "channel").agg(F.sum("lines").alias("lines"))
+    channels = F.count_distinct(F.struct("channel"))  # a null channel is a group, too
+    found = days.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("dwd_order_detail"), channels.alias("ads_order_lifecycle"), F.count(F.lit(1)).alias("ads_order_daily"))
+    return found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("table_name"), F.col(k).alias("n")) for k in found.columns])).alias("x")).select("x.*")

@@ -121,21 +121,23 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("order_id", "op", F.lit(128).alias("epoch"), "partition", "offset", "value")
 
 
-def order_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_detail(spark: SparkSession, sf_dir: str, amounts: bool = True) -> DataFrame:
     """Order lines, one a (order, line number): the largest of equal keys.
 
     Lines are dealt by order once, for their own grouping and for the join with orders. Columns behind the last one shown can't change what is shown.
+    Without ``amounts``, quantity and detail_amount are null, and the product is the last one shown.
     """
     l, o, p = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    rest = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    rest = ["l_partkey", *(["l_suppkey", "l_quantity", "l_extendedprice"] if amounts else [])]
+    amount = lambda c, kind: (F.col(c) if amounts else F.lit(None)).cast(kind)
     best = l.select("l_orderkey", "l_linenumber", *rest).repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.struct(*rest)).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
     best = best.join(o.select("o_orderkey", "o_orderdate"), best.l_orderkey == o.o_orderkey)
     best = best.join(p.select("p_partkey", "p_retailprice"), best.l_partkey == p.p_partkey, "left")
     created = F.col("o_orderdate").cast("timestamp")
     return best.select(
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-D"), F.col("l_linenumber").cast("string")).alias("detail_id"), _order_id("l_orderkey").alias("order_id"),
-        F.col("l_partkey").cast("long").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"), F.col("p_retailprice").cast("decimal(10,2)").alias("unit_price"),
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("detail_amount"), created.alias("create_time"), created.alias("update_time"), F.lit(1).cast("long").alias("version_no"),
+        F.col("l_partkey").cast("long").alias("product_id"), amount("l_quantity", "int").alias("quantity"), F.col("p_retailprice").cast("decimal(10,2)").alias("unit_price"),
+        amount("l_extendedprice", "decimal(12,2)").alias("detail_amount"), created.alias("create_time"), created.alias("update_time"), F.lit(1).cast("long").alias("version_no"),
     )
 
 
