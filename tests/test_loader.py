@@ -2,9 +2,12 @@ import json
 import time
 
 import pytest
+from duck import against_duckdb
 from pyspark.sql import functions as F
 
-from weir.operators import changelog
+from weir.operators import changelog, dlq
+from weir.plans import queries
+from weir.plans.oracle import ORACLE_SQL
 from weir.sources import readers
 from weir.sources.contracts import schema
 from weir.sources.topics import TOPICS, serving_key
@@ -105,6 +108,29 @@ def test_one_query_loads_all_topics(spark, tmp_path):
         spark.streams.removeListener(listener)
 
 
+def test_judged_records_keep_what_their_side_needs(spark):
+    key = {"order_date": "2024-01-01", "channel": "app"}
+    records = batch(spark, [(1, key, {**key, "total_orders": 1}), (2, key, "{oops"), (3, key, None), (4, None, None)])
+    judged = dlq.judged(records, TOPIC)
+    assert "names" not in judged.columns
+    got = {r["offset"]: (r["value"], r["fields"] is not None, r["key_fields"] is not None) for r in judged.collect()}
+    assert got == {1: (None, True, True), 2: ("{oops", False, False), 3: (None, False, True), 4: (None, False, False)}
+    good, bad = dlq.validate(records, TOPIC)
+    assert sorted((r["source_offset"], r["channel"], r["total_orders"], r["is_deleted"]) for r in good.collect()) == [(1, "app", 1, 0), (3, "app", None, 1)]
+    assert sorted((r["offset"], r["value"], r["error_message"]) for r in bad.collect()) == [(2, "{oops", "value is no JSON object"), (4, None, "delete without key")]
+
+
+def test_batches_do_not_grow_with_the_log(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "_work", lambda spark, prefix: str(tmp_path))
+    monkeypatch.setattr(queries, "FILE_RECORDS", 200)
+    monkeypatch.setattr(queries, "TASK_FILES", 1)
+    against_duckdb(queries.QUERIES["stream_loader"](spark, sf), ORACLE_SQL["stream_loader"], sf)
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 200
+    rows = spark.read.parquet(str(tmp_path / "out" / "dwd_order_detail" / "rows")).groupBy("batch").count()
+    assert rows.count() > 2 and rows.agg(F.max("count")).first()[0] <= 200 * spark.sparkContext.defaultParallelism
+
+
 def test_writes_are_tried_again_and_counted_once(spark, tmp_path, monkeypatch):
     key, metrics, calls = {"order_date": "2024-01-01", "channel": "app"}, loader.LoaderMetrics(), []
     counted = loader._counted

@@ -29,6 +29,8 @@ RANGE = (date(1997, 1, 1), date(1998, 1, 1))
 NOW = 2_000_000_000
 #: As many files a batch as there are.
 ALL_FILES = 2**31 - 1
+#: Records a file of the loader's log, of about 600 bytes each; files a core in a batch of it.
+FILE_RECORDS, TASK_FILES = 100_000, 2
 #: Orders a bucket of a serving table, which a task sorts.
 BUCKET_ORDERS = 250_000
 
@@ -114,12 +116,8 @@ def _counts(w: Warehouse) -> DataFrame:
 
 def _quality(w: Warehouse) -> DataFrame:
     """Facts, versions and order lines are computed once and stored; all rules and aggregates read these."""
-    spark, root = w.at[0], _work(w.at[0], "weir-quality-")
-
-    def stored(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
+    root = _work(w.at[0], "weir-quality-")
+    stored = lambda name, df: _stored(df, f"{root}/{name}")
     facts = stored("facts", w.facts().select("event_id", "session_id", "user_id", "event_type", "channel", "amount", "event_ts", "product_id", "product_name", "category_name", "shop_name", "province"))
     versions = stored("versions", w.versions())
     shown = ("detail_id", "order_id", "order_status", "order_amount", "channel", "payment_id", "payment_status", "payment_amount", "refund_status", "refund_amount", "unit_price", "catalog_price", "order_create_time")
@@ -236,16 +234,23 @@ def _keyed_sink(w: Warehouse) -> DataFrame:
 
 
 def _all_topics(w: Warehouse) -> DataFrame:
-    """Rows and dead letters by topic after one query has loaded records of several topics, some spoilt by an unknown field."""
+    """Rows and dead letters by topic after one query has loaded records of several topics, some spoilt by an unknown field.
+
+    Order lines and orders are computed once and stored. The loader keeps a batch while it works on it, some files a task: files have ``FILE_RECORDS``
+    records at most, and a batch has ``TASK_FILES`` files a core, so neither a task nor a batch grows with the log.
+    """
     spark, _ = w.at
     root = _work(spark, "weir-loader-")
+    wide = _stored(w.wide(), f"{root}/wide")
+    current = _stored(orders.order_current(wide), f"{root}/current")
     spoilt = {"ads_order_daily": F.col("channel") == "1-URGENT", "ads_order_lifecycle": F.col("total_orders") < 0, "dwd_order_detail": F.col("quantity") % 5 == 0}
-    tables = {"ads_order_daily": w.daily(), "ads_order_lifecycle": w.lifecycle(), "dwd_order_detail": w.wide()}
+    tables = {"ads_order_daily": orders.daily(current), "ads_order_lifecycle": orders.lifecycle(current), "dwd_order_detail": wide}
     for topic, rows in tables.items():
         rows = _text(rows.withColumn("extra", F.when(spoilt[topic], "x")))
         records = rows.select(F.lit(topic).alias("topic"), F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), F.lit(None).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
-        records.write.mode("append").parquet(f"{root}/log")
-    stream = spark.readStream.schema("topic string, partition int, offset long, key string, value string").parquet(f"{root}/log")
+        records.write.mode("append").option("maxRecordsPerFile", FILE_RECORDS).parquet(f"{root}/log")
+    files = TASK_FILES * spark.sparkContext.defaultParallelism
+    stream = spark.readStream.schema("topic string, partition int, offset long, key string, value string").option("maxFilesPerTrigger", files).parquet(f"{root}/log")
     loader.start_all_topics(stream, f"{root}/out", loader.LoaderMetrics(), availableNow=True).awaitTermination()
     count = lambda topic, kind: spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/out/{topic}/{kind}").agg(F.lit(topic).alias("topic"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
     return reduce(DataFrame.unionByName, [count(t, kind) for t in tables for kind in ("rows", "letters")])
@@ -267,6 +272,12 @@ def _work(spark: SparkSession, prefix: str) -> str:
     return path
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` computed once and read from ``path``."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _deliver(batches: Iterable[DataFrame], log: str, start: Callable[[str], StreamingQuery]) -> None:
     """Each batch is added to a log, in as many files as it has tasks, and then streamed; the query goes on from its checkpoint."""
     for rows in batches:
