@@ -248,7 +248,7 @@ def _all_topics(w: Warehouse) -> DataFrame:
     for topic, rows in tables.items():
         rows = _text(rows.withColumn("extra", F.when(spoilt[topic], "x")))
         records = rows.select(F.lit(topic).alias("topic"), F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), F.lit(None).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
-        records.write.mode("append").option("maxRecordsPerFile", FILE_RECORDS).parquet(f"{root}/log")
+        records.write.mode("append").options(maxRecordsPerFile=FILE_RECORDS, compression="zstd").parquet(f"{root}/log")
     files = TASK_FILES * spark.sparkContext.defaultParallelism
     stream = spark.readStream.schema("topic string, partition int, offset long, key string, value string").option("maxFilesPerTrigger", files).parquet(f"{root}/log")
     loader.start_all_topics(stream, f"{root}/out", loader.LoaderMetrics(), availableNow=True).awaitTermination()
@@ -274,7 +274,7 @@ def _work(spark: SparkSession, prefix: str) -> str:
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
     """``df`` computed once and read from ``path``."""
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
