@@ -106,3 +106,28 @@ def test_batches_have_the_files_of_their_tasks(spark, tmp_path):
 
     queries._deliver([spark.range(0, 40, 1, 4), spark.range(40, 60, 1, 2)], str(tmp_path / "log"), start)
     assert seen == [(40, 4), (60, 6)]
+
+
+class Grouped(Orders):
+    """The same with all orders in one group of a state of two partitions."""
+
+    def deliver(self, rows):
+        self.spark.createDataFrame(rows, T.StructType.fromDDL(keyed.CHANGES)).coalesce(1).write.mode("append").parquet(f"{self.root}/in")
+        keyed.start(keyed.read_changes(self.spark, f"{self.root}/in"), f"{self.root}/out", f"{self.root}/check", 30, groups=1, partitions=2, availableNow=True).awaitTermination()
+        return rows
+
+
+def test_orders_of_a_group_age_one_by_one(spark, tmp_path):
+    orders = Grouped(spark, tmp_path)
+    first = orders.run(header("a"), ("a", "order_detail", 1), ("a", "payment_info", 1, 10), header("tab\tand\nline", "CREATED", 5), ("tab\tand\nline", "order_detail", 1))
+    orders.run(header("b", "CREATED", 3), ("b", "order_detail", 1), header("tab\tand\nline", "CREATED", 6), days=20)
+    # a is forgotten, the others aren't: a header alone changes b and not a.
+    orders.run(header("x", "CREATED", 1), days=45)
+    orders.deliver(first)
+    orders.run(header("a", "PAID", 11), header("b", "PAID", 4), days=46)
+    assert orders.daily() == {("2024-01-01", "web"): (3, 2, 0, 20, 10, 0)}
+    # Nothing is known of any of them but what was given out.
+    orders.run(header("x", "CREATED", 1), days=90)
+    orders.run(header("a", "PAID", 12), header("b", "PAID", 5), header("tab\tand\nline", "CREATED", 7), ("b", "order_detail", 1), days=91)
+    assert orders.daily() == {("2024-01-01", "web"): (3, 2, 0, 21, 10, 0)}
+    assert len(list((tmp_path / "check/state/0").glob("[0-9]*"))) == 2

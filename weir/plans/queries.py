@@ -33,6 +33,8 @@ ALL_FILES = 2**31 - 1
 FILE_RECORDS, TASK_FILES = 100_000, 2
 #: Orders a bucket of a serving table, which a task sorts.
 BUCKET_ORDERS = 250_000
+#: Orders a group of keyed state, and a partition of it at most.
+GROUP_ORDERS, PARTITION_ORDERS = 64, 250_000
 
 
 def _text(df: DataFrame) -> DataFrame:
@@ -356,9 +358,10 @@ def _order_state(w: Warehouse) -> DataFrame:
     ]
     reduce(DataFrame.unionByName, parts).write.parquet(f"{root}/changes")
     changes = spark.read.parquet(f"{root}/changes")
-    year = F.year("at")
+    year, n = F.year("at"), src.row_count(spark, sf_dir, "orders")
+    size = {"groups": n // GROUP_ORDERS + 1, "partitions": max(spark.sparkContext.defaultParallelism, n // PARTITION_ORDERS)}
     rows = [changes.where(some) for some in (year <= 1996, year == 1997, year == 1998, year == 1999, (year > 1999) | (year <= 1996))]
-    _deliver(rows, f"{root}/log", lambda log: keyed.start(keyed.read_changes(spark, log, ALL_FILES), f"{root}/signed", f"{root}/checkpoint", 366, availableNow=True))
+    _deliver(rows, f"{root}/log", lambda log: keyed.start(keyed.read_changes(spark, log, ALL_FILES), f"{root}/signed", f"{root}/checkpoint", 366, **size, availableNow=True))
     return keyed.metrics(spark.read.schema(keyed.SIGNED).parquet(f"{root}/signed"), "order_date", "channel")
 
 
