@@ -382,3 +382,21 @@ def test_a_batch_finds_buckets_once_and_keeps_plans_short(spark, tmp_path):
     assert len(state.hit) == 1
     staged = state.staged("some", keys.groupBy("order_id").count())
     assert "Exchange" not in staged._jdf.queryExecution().executedPlan().toString() and staged.count() == 2
+
+
+def test_a_batch_does_side_by_side_what_needs_nothing_of_each_other(spark, tmp_path, monkeypatch):
+    import threading
+
+    state, met, write = order_state(spark, tmp_path, buckets=2), threading.Barrier(2, timeout=60), live.OrderState._write
+
+    def meeting(self, name, *args):
+        if name in ("order_info", "order_detail"):
+            met.wait()  # fails unless the other is written at the same time
+        write(self, name, *args)
+
+    monkeypatch.setattr(live.OrderState, "_write", meeting)
+    feed = Feed(spark, state)
+    live.apply_batch(state, feed.rows(next(generators.order_phases(12, seed=4))), 0)
+    assert daily_rows(state.daily()) == daily_rows(feed.whole()) != []
+    state.compact(0)
+    assert daily_rows(state.daily()) == daily_rows(feed.whole())

@@ -21,10 +21,12 @@ at or before the newest forgotten one of its log partition, and ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +70,12 @@ class OrderState:
     #: Of frames of keys that a batch reads by more than once: the frame and its buckets.
     hit: dict[tuple, tuple[DataFrame, list[int]]] = field(default_factory=dict)
 
+    def together(self, *jobs: Callable[[], object]) -> list:
+        """The results of jobs that need nothing of each other, run side by side: most of a small batch's time is not spent in tasks."""
+        target = inheritable_thread_target(self.spark)
+        with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+            return [f.result() for f in [pool.submit(target(job)) for job in jobs]]
+
     def _path(self, name: str) -> str:
         path = f"{self.root}/{name}"
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -149,11 +157,12 @@ class OrderState:
         rows = self._news(entity, rows, batch_id).select(*self.schemas[entity].names)
         self._write(entity, rows.withColumn("seen", F.lit(self.clock()).cast("timestamp")), key[:1], batch_id)
         rows = self._read(entity, self._log(entity), key[:1], None).where(F.col("batch") == batch_id).select(*self.schemas[entity].names)
-        known = rows.where("value is not null")
+        known, indexes = rows.where("value is not null"), []
         if entity in OF_ORDERS:
-            self._write(f"{entity}_by_order", known.select("value.order_id", *key).distinct(), ["order_id"], batch_id)
+            indexes.append(lambda: self._write(f"{entity}_by_order", known.select("value.order_id", *key).distinct(), ["order_id"], batch_id))
         if entity == "order_detail":
-            self._write(LINES, known.select("value.product_id", "value.order_id", "value.create_time").distinct(), ["product_id"], batch_id)
+            indexes.append(lambda: self._write(LINES, known.select("value.product_id", "value.order_id", "value.create_time").distinct(), ["product_id"], batch_id))
+        self.together(*indexes)
         return rows
 
     def staged(self, name: str, rows: DataFrame) -> DataFrame:
@@ -192,28 +201,36 @@ class OrderState:
         ``now`` are forgotten; served rows and product versions stay. A tombstone is as old as its arrival. A crash on the way leaves rows
         twice, which no reader minds, and the positions of what is to be forgotten are noted first.
         """
-        for entity, key in ENTITIES.items():
-            rows = self._read(entity, self._log(entity), key[:1], None, upto + 1).drop("batch")
-            kept = changelog.compact(rows, key)
-            if ttl_days is not None and entity != VERSIONS:
-                aged = rows.withColumn("__at", F.coalesce("value.update_time", "seen"))
-                live = changelog.expire(aged, key, "__at", ttl_days, F.lit(now).cast("timestamp")).select(*key).distinct()
-                gone = kept.join(live, key, "left_anti").groupBy("epoch", "partition").agg(F.max("offset").alias("upto"))
-                self._replace(f"{entity}_forgotten", self._forgotten(entity).unionByName(gone).groupBy("epoch", "partition").agg(F.max("upto").alias("upto")).select(*MARKS.names), ["epoch"], upto)
-                kept = kept.join(live, key, "left_semi")
-            self._replace(entity, kept.select(*self._log(entity).names), key[:1], upto)
-            if entity in OF_ORDERS:
-                index = f"{entity}_by_order"
-                live = self._read(entity, self._log(entity), key[:1], None).select(*key).distinct()
-                self._replace(index, self._read(index, self._index(entity), ["order_id"], None, upto + 1).drop("batch").distinct().join(live, key, "left_semi").select(*self._index(entity).names), ["order_id"], upto)
+        self.together(*[partial(self._compact_log, entity, upto, ttl_days, now) for entity in ENTITIES])
+        self.together(partial(self._compact_lines, upto), *[partial(self._compact_served, name, upto) for name in SERVED])
+
+    def _compact_log(self, entity: str, upto: int, ttl_days: int | None, now: datetime | None) -> None:
+        key = ENTITIES[entity]
+        rows = self._read(entity, self._log(entity), key[:1], None, upto + 1).drop("batch")
+        kept = changelog.compact(rows, key)
+        if ttl_days is not None and entity != VERSIONS:
+            aged = rows.withColumn("__at", F.coalesce("value.update_time", "seen"))
+            live = changelog.expire(aged, key, "__at", ttl_days, F.lit(now).cast("timestamp")).select(*key).distinct()
+            gone = kept.join(live, key, "left_anti").groupBy("epoch", "partition").agg(F.max("offset").alias("upto"))
+            self._replace(f"{entity}_forgotten", self._forgotten(entity).unionByName(gone).groupBy("epoch", "partition").agg(F.max("upto").alias("upto")).select(*MARKS.names), ["epoch"], upto)
+            kept = kept.join(live, key, "left_semi")
+        self._replace(entity, kept.select(*self._log(entity).names), key[:1], upto)
+        if entity in OF_ORDERS:
+            index = f"{entity}_by_order"
+            live = self._read(entity, self._log(entity), key[:1], None).select(*key).distinct()
+            self._replace(index, self._read(index, self._index(entity), ["order_id"], None, upto + 1).drop("batch").distinct().join(live, key, "left_semi").select(*self._index(entity).names), ["order_id"], upto)
+
+    def _compact_lines(self, upto: int) -> None:
         with_lines = self._read("order_detail_by_order", self._index("order_detail"), ["order_id"], None).select("order_id").distinct()
         lines = self._read(LINES, self._index(LINES), ["product_id"], None, upto + 1).drop("batch").distinct()
         self._replace(LINES, lines.join(with_lines, "order_id", "left_semi").select(*self._index(LINES).names), ["product_id"], upto)
-        for name, (table, key) in SERVED.items():
-            rows = self._read(name, table, key, None, upto + 1)
-            rest = [c for c in table.names if c not in key]
-            best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("m")).select(*key, "m.*").where("op = 'u'")
-            self._replace(name, best.select(*table.names), key, upto)
+
+    def _compact_served(self, name: str, upto: int) -> None:
+        table, key = SERVED[name]
+        rows = self._read(name, table, key, None, upto + 1)
+        rest = [c for c in table.names if c not in key]
+        best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("m")).select(*key, "m.*").where("op = 'u'")
+        self._replace(name, best.select(*table.names), key, upto)
 
     def _replace(self, name: str, rows: DataFrame, key: list[str], upto: int) -> None:
         """``rows`` instead of a table's folders up to batch ``upto``; compacted folders have negative numbers."""
@@ -240,16 +257,16 @@ def _redated(state: OrderState, rows: DataFrame, batch_id: int) -> DataFrame:
 
 def _touched(state: OrderState, arrived: dict[str, DataFrame], batch_id: int) -> DataFrame:
     """Orders that the batch's rows belong to now or belonged to before."""
-    parts = []
-    for entity, rows in arrived.items():
+    def part(entity: str, rows: DataFrame) -> DataFrame:
         if entity == "order_info":
-            parts.append(rows.select("order_id"))
-        elif entity == VERSIONS:
+            return rows.select("order_id")
+        if entity == VERSIONS:
             when = state.staged("redated", _redated(state, rows, batch_id))
             hit = (F.col("create_time") >= F.col("since")) & (F.col("create_time") < F.col("until"))
-            parts.append(state.lines(when).join(when, "product_id").where(hit).select("order_id"))
-        else:  # a delete has no value, so its order is looked up in the log
-            parts.append(state.log(entity, rows).select("value.order_id"))
+            return state.lines(when).join(when, "product_id").where(hit).select("order_id")
+        return state.log(entity, rows).select("value.order_id")  # a delete has no value, so its order is looked up in the log
+
+    parts = state.together(*[partial(part, entity, rows) for entity, rows in arrived.items()])
     return reduce(DataFrame.unionByName, parts).where("order_id is not null").distinct()
 
 
@@ -272,18 +289,25 @@ def _remembered(now: DataFrame, old: DataFrame, owned: dict[str, DataFrame]) ->
 
 def apply_batch(state: OrderState, arrived: dict[str, DataFrame], batch_id: int) -> DataFrame:
     """Take in a batch of change rows by entity; the changes of the daily metrics (op 'u' or 'd')."""
-    arrived = {entity: state.receive(entity, rows, batch_id) for entity, rows in arrived.items()}
+    arrived = dict(zip(arrived, state.together(*[partial(state.receive, entity, rows, batch_id) for entity, rows in arrived.items()])))
     touched = state.staged("touched", _touched(state, arrived, batch_id))
-    old = state.staged("old", state.orders(batch_id, touched))
-    keys = {e: state.staged(f"{e}_keys", state.keys_of(e, touched, "order_id")) for e in OF_ORDERS}
+    state._hit(touched, ["order_id"])  # once, before several ask for it
+    known = lambda e: state.staged(f"{e}_keys", state.keys_of(e, touched, "order_id"))
+    old, *found = state.together(lambda: state.staged("old", state.orders(batch_id, touched)), *[partial(known, e) for e in OF_ORDERS])
+    keys = dict(zip(OF_ORDERS, found))
     owned = {e: keys[e].select("order_id").distinct() for e in OF_ORDERS}
     # Orders that were served, but whose header or lines are forgotten, stay as they are.
     whole = state.log("order_info", touched).select("order_id").distinct().join(owned["order_detail"], "order_id", "left_semi")
     stay = old.join(whole, "order_id", "left_anti").select("order_id")
-    parts = {e: _current(state, e, touched, keys.get(e)) for e in ENTITIES if e != VERSIONS}
-    parts["order_detail"] = state.staged("lines", parts["order_detail"])
-    products = state.staged("products", parts["order_detail"].select("product_id").distinct())
-    versions = fold(state.log(VERSIONS, products), ENTITIES[VERSIONS])
+
+    def lines_and_versions() -> tuple[DataFrame, DataFrame]:
+        lines = state.staged("lines", _current(state, "order_detail", touched, keys["order_detail"]))
+        products = state.staged("products", lines.select("product_id").distinct())
+        return lines, fold(state.log(VERSIONS, products), ENTITIES[VERSIONS])
+
+    others = [e for e in ENTITIES if e not in ("order_detail", VERSIONS)]
+    (lines, versions), *rest = state.together(lines_and_versions, *[partial(_current, state, e, touched, keys.get(e)) for e in others])
+    parts = {"order_detail": lines} | dict(zip(others, rest))
     wide = op.order_detail_wide(parts["order_detail"], parts["order_info"], versions, parts["payment_info"], parts["refund_info"], spread=False)
     changed = op.changes(old, _remembered(op.order_current(wide), old, owned), ["order_id"]).join(stay, "order_id", "left_anti")
     changed = state.serve("dws_order_current", changed, batch_id)
